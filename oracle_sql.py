@@ -42,7 +42,7 @@ def fx_classified_cte() -> str:
     round(10.0 * l.l_discount, 4) AS confidence,
     'v' || CAST(o.o_custkey % 9 AS VARCHAR) AS app_version,
     o.o_custkey % 20 AS upvotes,
-    l.l_shipdate AS at,
+    l.l_shipdate AS "at",
     l.l_quantity,
     l.l_linenumber,
     {tier} AS user_tier
@@ -183,10 +183,411 @@ def topic_stats_sql() -> str:
     return "WITH " + ",\n".join(base_ctes()) + "\nSELECT * FROM fx_topics"
 
 
+def fx_reviews_cte() -> str:
+    tier = _tier_case("c.c_mktsegment")
+    sc = "(1 + (7 * o.o_orderkey + o.o_custkey) % 5)"
+    return f"""fx_reviews AS (
+  SELECT CAST(o.o_orderkey AS VARCHAR) AS reviewId, d.text AS content, d.lang,
+         CAST({sc} AS INTEGER) AS score,
+         CASE WHEN {sc} <= 2 THEN 'negative' ELSE 'positive' END AS sentiment,
+         o.o_orderdate AS "at", {tier} AS user_tier, c.c_acctbal AS clv,
+         'v' || CAST(o.o_custkey % 9 AS VARCHAR) AS appVersion,
+         CAST(o.o_custkey % 20 AS INTEGER) AS thumbsUpCount, 'fixture' AS app, d.doc_id
+  FROM orders o JOIN customer c ON o.o_custkey = c.c_custkey
+  JOIN documents d ON d.doc_id = o.o_orderkey % (SELECT count(*) FROM documents)
+)"""
+
+
+def valid_doc_sql(text: str = "text", lang: str | None = "lang") -> str:
+    """SQL twin of functions.text.is_valid_review, evaluated per row of `docs`."""
+    pats = " OR ".join(f"regexp_matches(lower(t), '{p}')" for p in C.CANNED_PATTERNS)
+    lang_pred = f"AND coalesce({lang}, '') = 'en'" if lang else ""
+    return f"""(
+  {text} IS NOT NULL AND length(t) >= 15 AND nw >= 3 {lang_pred}
+  AND NOT ({pats})
+  AND NOT coalesce(list_bool_or(list_transform(range(1, length(t) - 3),
+        lambda i: substr(lower(t), i, 1) <> chr(10) AND substr(lower(t), i, 5) = repeat(substr(lower(t), i, 1), 5))), false)
+  AND NOT (nw > 4 AND maxc / nw > 0.5)
+)"""
+
+
+def docs_valid_cte(src: str = "documents", key: str = "doc_id", text: str = "text", lang: str | None = "lang",
+                   name: str = "docs_valid") -> str:
+    lang_col = f", {lang}" if lang else ""
+    return f"""{name}_w AS (
+  SELECT {key}, {text}{lang_col}, regexp_replace({text}, '^\\s+|\\s+$', '', 'g') AS t,
+         list_filter(regexp_split_to_array(regexp_replace({text}, '^\\s+|\\s+$', '', 'g'), '\\s+'), lambda x: x <> '') AS ws
+  FROM {src}
+),
+{name}_c AS (
+  SELECT {key}, max(c) AS maxc FROM (
+    SELECT {key}, w, count(*) AS c FROM (SELECT {key}, lower(unnest(ws)) AS w FROM {name}_w) u GROUP BY 1, 2) g
+  GROUP BY 1
+),
+{name} AS (
+  SELECT w.{key}, coalesce({valid_doc_sql(text, lang)}, false) AS is_valid
+  FROM (SELECT *, len(ws) AS nw FROM {name}_w) w LEFT JOIN {name}_c c ON w.{key} = c.{key}
+)"""
+
+
+def period_cte(n: int, src: str = "fx_reviews", name: str = "p") -> str:
+    if n <= 0:
+        return f"{name} AS (SELECT *, 'cur' AS period FROM {src})"
+    c1 = f"TIMESTAMP '{AS_OF}' - INTERVAL {n} MONTH"
+    c2 = f"TIMESTAMP '{AS_OF}' - INTERVAL {2*n} MONTH"
+    return (f"{name} AS (SELECT *, CASE WHEN \"at\" >= {c1} THEN 'cur' ELSE 'prev' END AS period "
+            f"FROM {src} WHERE \"at\" >= {c2})")
+
+
+def review_stats_cte(n: int) -> str:
+    return period_cte(n) + """,
+rs AS (
+  SELECT count(*) FILTER (WHERE period = 'cur') AS n_cur, count(*) FILTER (WHERE period = 'prev') AS n_prev,
+         avg(CASE WHEN period = 'cur' THEN score END) AS avg_cur, avg(CASE WHEN period = 'prev' THEN score END) AS avg_prev,
+         count(*) FILTER (WHERE period = 'cur' AND sentiment = 'positive') AS pos_cur,
+         count(*) FILTER (WHERE period = 'cur' AND sentiment = 'negative') AS neg_cur,
+         count(*) FILTER (WHERE period = 'prev' AND sentiment = 'positive') AS pos_prev,
+         count(*) FILTER (WHERE period = 'prev' AND sentiment = 'negative') AS neg_prev
+  FROM p
+)"""
+
+
+def sentiment_distribution_sql(n: int) -> str:
+    return "WITH " + ",\n".join([fx_reviews_cte(), review_stats_cte(n)]) + """
+SELECT CAST(pos_cur AS BIGINT) AS positive, CAST(neg_cur AS BIGINT) AS negative,
+  CASE WHEN n_prev > 0 THEN round(
+    (CASE WHEN pos_cur + neg_cur > 0 THEN pos_cur / (pos_cur + neg_cur) * 100 ELSE 0.0 END) -
+    (CASE WHEN pos_prev + neg_prev > 0 THEN pos_prev / (pos_prev + neg_prev) * 100 ELSE 0.0 END), 1)
+  ELSE 0.0 END AS momentum
+FROM rs"""
+
+
+def window_totals_cte(key: str, value: str, mw: str = "mw", src: str = "fx_timeseries", name: str = "wt") -> str:
+    return f"""{name} AS (
+  SELECT {key},
+    sum(CASE WHEN period = 'cur' THEN {value} END) AS cur,
+    sum(CASE WHEN period = 'prev' THEN {value} END) AS prev,
+    max(CASE WHEN period = 'cur' THEN {value} END) AS cur_max,
+    max(CASE WHEN period = 'prev' THEN {value} END) AS prev_max,
+    count(*) FILTER (WHERE period = 'cur') AS n_cur,
+    count(*) FILTER (WHERE period = 'prev') AS n_prev
+  FROM {src} JOIN {mw} USING (month) GROUP BY {key}
+)"""
+
+
+def kpis_sql(n: int) -> str:
+    ctes = base_ctes() + [fx_reviews_cte(), review_stats_cte(n), month_window_cte(n),
+                          window_totals_cte("issue_label", "mentions")]
+    dated = n > 0
+    win = f"Last {n}M" if dated else "All Time"
+    body = f"""
+, act AS (
+  SELECT count(*) FILTER (WHERE cur > 0) AS active_cur,
+         CASE WHEN count(*) FILTER (WHERE n_prev > 0) > 0 THEN count(*) FILTER (WHERE prev > 0) END AS active_prev
+  FROM wt
+), k AS (
+  SELECT rs.*, round(avg_cur, 2) AS avg_c, round(avg_prev, 2) AS avg_p,
+    CASE WHEN n_cur > 0 THEN round(pos_cur / n_cur * 100, 1) ELSE 0.0 END AS pp_c,
+    CASE WHEN n_prev > 0 THEN round(pos_prev / n_prev * 100, 1) ELSE 0.0 END AS pp_p,
+    act.active_cur, act.active_prev
+  FROM rs, act
+)
+SELECT CAST(n_cur AS BIGINT) AS total_reviews, avg_c AS avg_rating, pp_c AS positive_pct,
+  CAST(active_cur AS BIGINT) AS active_issues, '{win}' AS window,
+  CAST({"CASE WHEN n_prev > 0 THEN round((n_cur - n_prev) / n_prev * 100, 1) END" if dated else "NULL"} AS DOUBLE) AS delta_reviews,
+  CAST({"CASE WHEN n_prev > 0 AND avg_c <> 0 AND avg_p <> 0 THEN round(avg_c - avg_p, 2) END" if dated else "NULL"} AS DOUBLE) AS delta_rating,
+  CAST({"CASE WHEN n_prev > 0 AND pp_p <> 0 THEN round(pp_c - pp_p, 2) END" if dated else "NULL"} AS DOUBLE) AS delta_positive_pct,
+  CAST({"CASE WHEN active_prev IS NOT NULL AND active_prev <> 0 THEN active_cur - active_prev END" if dated else "NULL"} AS BIGINT) AS delta_active_issues
+FROM k"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+def _aspect_map_values() -> str:
+    rows = ", ".join(f"('{a}', '{lab}')" for a, labs in C.ASPECT_MAP.items() for lab in labs)
+    return f"amap(aspect, issue_label) AS (VALUES {rows})"
+
+
+def _order_case(col: str, names) -> str:
+    parts = " ".join(f"WHEN '{a}' THEN {i}" for i, a in enumerate(names))
+    return f"(CASE {col} {parts} ELSE {len(names)} END)"
+
+
+def aspects_map_sql(n: int) -> str:
+    ctes = base_ctes() + [month_window_cte(n, "rest"), window_totals_cte("issue_label", "mentions"), _aspect_map_values()]
+    body = f"""
+, j AS (
+  SELECT a.aspect, a.issue_label, t.cur, t.prev, s.avg_severity
+  FROM amap a LEFT JOIN wt t ON a.issue_label = t.issue_label LEFT JOIN fx_topics s ON s.label = a.issue_label
+  WHERE a.aspect <> '{C.GENERAL_ASPECT}'
+), g AS (
+  SELECT aspect, sum(coalesce(cur, 0)) AS mentions,
+    CAST(sum(CAST(coalesce(cur, 0) AS DECIMAL(20,0)) * CAST(coalesce(avg_severity, 2.0) AS DECIMAL(10,2))) AS DOUBLE) AS wsum,
+    sum(coalesce(prev, 0)) AS prev_vol
+  FROM j GROUP BY aspect
+), top AS (
+  SELECT aspect, issue_label AS top_topic FROM (
+    SELECT aspect, issue_label, row_number() OVER (PARTITION BY aspect ORDER BY cur DESC, issue_label) AS r
+    FROM j WHERE cur IS NOT NULL) x WHERE r = 1
+), out AS (
+  SELECT g.aspect, CAST(mentions AS BIGINT) AS mentions, round(wsum / greatest(mentions, 1), 2) AS sentiment_score,
+    CASE WHEN prev_vol > 0 THEN round((mentions - prev_vol) / greatest(prev_vol, 1) * 100, 1) ELSE 100.0 END AS momentum_pct,
+    coalesce(top_topic, 'None') AS top_topic, {_order_case("g.aspect", list(C.ASPECT_MAP.keys()))} AS ord
+  FROM g LEFT JOIN top ON g.aspect = top.aspect
+)
+SELECT aspect, mentions, sentiment_score, momentum_pct, top_topic,
+       row_number() OVER (ORDER BY mentions DESC, ord) AS rank FROM out"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+FX_ASPECTS = None
+
+
+def _fx_aspect_keywords():
+    from vocspark.sources.fixtures import FX_ASPECT_KEYWORDS
+    return FX_ASPECT_KEYWORDS
+
+
+def fx_aspect_analysis_ctes() -> list[str]:
+    kw = _fx_aspect_keywords()
+    hits = " UNION ALL ".join(
+        f"SELECT '{a}' AS aspect, count(*) FILTER (WHERE " + " OR ".join(f"contains(lower(content), '{w}')" for w in ws)
+        + ") AS mentions FROM nv" for a, ws in kw.items())
+    return [fx_reviews_cte(), docs_valid_cte(),
+            "nv AS (SELECT r.* FROM fx_reviews r JOIN docs_valid v ON r.doc_id = v.doc_id "
+            "WHERE r.sentiment = 'negative' AND v.is_valid)",
+            f"fx_aspect_analysis AS (SELECT aspect, CAST(mentions AS BIGINT) AS mentions FROM ({hits}) h)"]
+
+
+def aspect_mentions_sql() -> str:
+    return "WITH " + ",\n".join(fx_aspect_analysis_ctes()) + "\nSELECT * FROM fx_aspect_analysis"
+
+
+def threshold_alerts_sql() -> str:
+    return "WITH " + ",\n".join(fx_aspect_analysis_ctes()) + f"""
+, x AS (SELECT *, mentions / sum(mentions) OVER () * 100 AS pct FROM fx_aspect_analysis)
+SELECT 'alert_' || CAST(CAST(epoch(TIMESTAMP '{AS_OF}') AS BIGINT) AS VARCHAR) || '_' || aspect AS id,
+  'aspect_spike' AS type, aspect AS category,
+  printf('Critical spike detected in %s (%.1f%% of complaints).', aspect, pct) AS message,
+  'high' AS severity, TIMESTAMP '{AS_OF}' AS timestamp
+FROM x WHERE pct IS NOT NULL AND pct >= {C.SHARE_ALERT_PCT}"""
+
+
+def _metric_for(metric: str) -> str:
+    return "revenue_risk_score" if metric == "revenue" else "severity_weighted_rate"
+
+
+def trending_ctes(n: int, metric: str = "severity", top: int = 5) -> list[str]:
+    m = _metric_for(metric)
+    thr = "greatest(2, CAST(floor(tot * 0.05) AS BIGINT))" if n > 0 else "15"
+    return base_ctes() + [month_window_cte(n), f"""cur AS (SELECT month FROM mw WHERE period = 'cur'),
+sums AS (SELECT issue_label, sum(mentions) AS m, max({m}) AS peak FROM fx_timeseries JOIN cur USING (month) GROUP BY 1),
+valid AS (SELECT * FROM (SELECT *, sum(m) OVER () AS tot FROM sums) s WHERE m >= {thr}),
+top5 AS (SELECT issue_label FROM (SELECT issue_label, row_number() OVER (ORDER BY peak DESC, issue_label) AS r FROM valid) v
+         WHERE r <= {top}),
+bounds AS (SELECT min(month) AS m0, max(month) AS m1 FROM fx_timeseries),
+grid AS (SELECT t.issue_label, strftime(unnest(generate_series(CAST(b.m0 || '-01' AS DATE), CAST(b.m1 || '-01' AS DATE),
+                INTERVAL 1 MONTH)), '%Y-%m') AS month FROM top5 t, bounds b),
+vals AS (SELECT issue_label, month, avg({m}) AS v FROM fx_timeseries GROUP BY 1, 2),
+g2 AS (SELECT grid.issue_label, grid.month, vals.v FROM grid LEFT JOIN vals
+       ON grid.issue_label = vals.issue_label AND grid.month = vals.month),
+bands AS (
+  SELECT issue_label, month, v AS raw,
+    coalesce(round(CASE WHEN count(v) OVER w >= 2 THEN avg(v) OVER w END, 2), 0.0) AS value,
+    coalesce(round(CASE WHEN count(v) OVER w >= 2 THEN avg(v) OVER w + 1.5 * stddev_samp(v) OVER w END, 2), 0.0) AS upper_bound,
+    coalesce(round(CASE WHEN lag(v) OVER w2 <> 0 THEN (v - lag(v) OVER w2) / lag(v) OVER w2 * 100 END, 1), 0.0) AS mom_pct
+  FROM g2
+  WINDOW w AS (PARTITION BY issue_label ORDER BY month ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING),
+         w2 AS (PARTITION BY issue_label ORDER BY month)
+)"""]
+
+
+def corr_best_cte(src: str, key: str, month: str, val: str, thr: float, name: str = "best") -> str:
+    return f"""{name}_pairs AS (
+  SELECT a.{key} AS a, b.{key} AS b,
+    CASE WHEN stddev_pop(a.{val}) * stddev_pop(b.{val}) = 0 THEN NULL
+         ELSE covar_pop(a.{val}, b.{val}) / (stddev_pop(a.{val}) * stddev_pop(b.{val})) END AS r
+  FROM {src} a JOIN {src} b ON a.{month} = b.{month} AND a.{key} <> b.{key} GROUP BY 1, 2
+),
+{name} AS (
+  SELECT a, b, r FROM (
+    SELECT *, row_number() OVER (PARTITION BY a ORDER BY r DESC, b) AS rn
+    FROM {name}_pairs WHERE r IS NOT NULL AND NOT isnan(r)) x
+  WHERE rn = 1 AND r > {thr}
+)"""
+
+
+def trending_sql(n: int, metric: str = "severity") -> str:
+    ctes = trending_ctes(n, metric) + [corr_best_cte("bands", "issue_label", "month", "value", C.CORR_TRENDING)]
+    tgt = "SELECT * FROM bands WHERE month IN (SELECT month FROM cur)" if n > 0 else "SELECT * FROM bands"
+    body = f"""
+, bc AS (
+  SELECT bands.*, coalesce(best.b || ' (' || CAST(CAST(trunc(best.r * 100) AS INTEGER) AS VARCHAR) || '% match)', '')
+         AS correlated_with
+  FROM bands LEFT JOIN best ON bands.issue_label = best.a
+), tgt AS ({tgt.replace('bands', 'bc')}),
+r AS (SELECT *, row_number() OVER (PARTITION BY issue_label ORDER BY month DESC) AS rd,
+             count(*) OVER (PARTITION BY issue_label) AS nt FROM tgt),
+f AS (SELECT l.*, f1.value AS v1, CAST(l.value AS DECIMAL(20,2)) AS dv, CAST(f1.value AS DECIMAL(20,2)) AS dv1 FROM r l JOIN r f1 ON l.issue_label = f1.issue_label AND f1.rd = 3
+      WHERE l.rd = 1 AND l.nt >= 3),
+fc AS (
+  SELECT strftime(CAST(month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m') || ' (Forecast)' AS month, issue_label,
+    CAST(round(greatest(dv + (dv - dv1) * 0.5, 0), 2) AS DOUBLE) AS value,
+    CAST(round(greatest(CAST(upper_bound AS DECIMAL(20,2)) + (dv - dv1) * 0.5, 0), 2) AS DOUBLE) AS upper_bound,
+    coalesce(round((CAST(round(greatest(dv + (dv - dv1) * 0.5, 0), 2) AS DOUBLE) - value)
+                   / (CASE WHEN value = 0 THEN 1.0 ELSE value END) * 100, 1), 0.0) AS mom_pct,
+    correlated_with, true AS is_forecast
+  FROM f
+)
+SELECT month, issue_label, value, upper_bound, mom_pct, correlated_with, false AS is_forecast FROM tgt
+UNION ALL SELECT * FROM fc"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+def issue_correlation_sql(n: int, thr: float) -> str:
+    ctes = trending_ctes(n) + [corr_best_cte("bands", "issue_label", "month", "value", thr)]
+    return "WITH " + ",\n".join(ctes) + "\nSELECT a AS issue_label, b AS linked_to, round(r, 4) AS score FROM best"
+
+
+def velocity_alerts_sql(n: int) -> str:
+    ctes = base_ctes() + [month_window_cte(n), window_totals_cte("topic_id", "mentions")]
+    pct = "round((c - p) / p * 100, 1)"
+    body = f"""
+, t AS (SELECT topic_id, CAST(coalesce(cur, 0) AS BIGINT) AS c, CAST(coalesce(prev, 0) AS BIGINT) AS p FROM wt),
+v AS (SELECT *, {pct} AS velocity_pct FROM t WHERE p <> 0),
+s AS (SELECT *, CASE WHEN velocity_pct >= 40 THEN 'CRITICAL' WHEN velocity_pct >= 20 THEN 'HIGH'
+                     WHEN velocity_pct >= 10 THEN 'WATCH' END AS severity FROM v),
+out AS (
+  SELECT 'vel-' || substr(replace(lower(topic_id), ' ', '-'), 1, 20) AS id, topic_id AS category, velocity_pct,
+    c AS curr_mentions, p AS prev_mentions, severity, 'Last {n}M' AS window,
+    '🔴 ' || topic_id || ': ' || (CASE WHEN velocity_pct > 0 THEN '+' ELSE '' END)
+      || CAST(CAST(velocity_pct AS DECIMAL(20,1)) AS VARCHAR) || '% mentions vs previous {n}M ('
+      || CAST(p AS VARCHAR) || ' → ' || CAST(c AS VARCHAR) || ')' AS message
+  FROM s WHERE severity IS NOT NULL
+)
+SELECT *, row_number() OVER (ORDER BY velocity_pct DESC, category) AS rank FROM out"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+def anomaly_cte(src: str, key: str, val: str, name: str = "an", k: float = 1.5, floor: float = 0.5,
+                fill_null: bool = False) -> str:
+    v = f"coalesce({val}, 0.0)" if fill_null else val
+    thr = f"(CASE WHEN std_ > 0 THEN mean_ + {k} * std_ ELSE mean_ END)"
+    return f"""{name}0 AS (
+  SELECT {key}, month, CAST({v} AS DOUBLE) AS v,
+    row_number() OVER (PARTITION BY {key} ORDER BY month DESC) AS rd,
+    count(*) OVER (PARTITION BY {key}) AS np,
+    avg(CAST({v} AS DOUBLE)) OVER (PARTITION BY {key} ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean_,
+    stddev_pop(CAST({v} AS DOUBLE)) OVER (PARTITION BY {key} ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS std_
+  FROM {src}
+),
+{name} AS (
+  SELECT {key}, v AS last, CASE WHEN np >= 3 THEN {thr} ELSE 0.0 END AS threshold,
+    coalesce(np >= 3 AND v > {thr} AND v > {floor}, false) AS is_anomaly, np AS n_points
+  FROM {name}0 WHERE rd = 1
+)"""
+
+
+def intelligence_alerts_sql(n: int, top: int = 6) -> str:
+    m = "severity_weighted_rate"
+    ctes = base_ctes() + fx_aspect_analysis_ctes() + [month_window_cte(n, "rest"), window_totals_cte("topic_id", m)]
+    ctes += [f"""nm AS (SELECT count(DISTINCT month) AS n FROM fx_timeseries),
+st AS (SELECT * FROM wt WHERE n_cur > 0),
+top5 AS (SELECT topic_id FROM (SELECT topic_id, row_number() OVER (ORDER BY cur_max DESC, topic_id) AS r FROM st) x
+         WHERE r <= 5),
+g AS (SELECT topic_id, month, max({m}) AS v FROM fx_timeseries WHERE topic_id IN (SELECT topic_id FROM top5)
+      GROUP BY 1, 2),
+months5 AS (SELECT DISTINCT month FROM g),
+gridf AS (SELECT t.topic_id, m.month, coalesce(g.v, 0.0) AS x FROM top5 t CROSS JOIN months5 m
+          LEFT JOIN g ON g.topic_id = t.topic_id AND g.month = m.month)""",
+             corr_best_cte("gridf", "topic_id", "month", "x", C.CORR_ALERTS, "lk"),
+             anomaly_cte("fx_timeseries", "topic_id", m)]
+    order = _order_case("aspect", list(C.ASPECT_KEYWORDS.keys()))
+    body = f"""
+, links AS (SELECT * FROM lk WHERE (SELECT n FROM nm) >= 3 AND (SELECT count(*) FROM top5) > 1),
+a AS (
+  SELECT st.topic_id, st.cur, coalesce(st.prev, 0.0) AS p, coalesce(an.is_anomaly, false) AS is_anomaly, an.threshold,
+    links.b AS linked_to, round(links.r, 2) AS link_score,
+    CASE WHEN coalesce(st.prev, 0.0) > 0 THEN round((st.cur - coalesce(st.prev, 0.0)) / coalesce(st.prev, 0.0) * 100, 1)
+         ELSE 100.0 END AS vel
+  FROM st LEFT JOIN an ON st.topic_id = an.topic_id LEFT JOIN links ON links.a = st.topic_id
+  WHERE st.cur >= 5
+),
+t_out AS (
+  SELECT 'int-' || substr(replace(lower(topic_id), ' ', '-'), 1, 15) AS id, topic_id AS category,
+    CASE WHEN is_anomaly THEN 'ANOMALY' ELSE 'VELOCITY' END AS type,
+    CASE WHEN is_anomaly AND vel > 40 THEN 'CRITICAL' WHEN is_anomaly OR vel > 25 THEN 'HIGH' ELSE 'WATCH' END AS severity,
+    concat_ws(' | ', CASE WHEN is_anomaly THEN printf('Statistically out-of-control (Limit: %.1f)', threshold) END,
+      CASE WHEN vel > 10 THEN 'MoM spike of +' || (CASE WHEN p > 0 THEN CAST(CAST(vel AS DECIMAL(20,1)) AS VARCHAR)
+                                                     ELSE '100' END) || '%' END) AS message,
+    CAST(vel AS DOUBLE) AS velocity_pct, is_anomaly, linked_to, link_score,
+    1 AS _src, 0 AS _ord, topic_id AS _key
+  FROM a WHERE is_anomaly OR vel > 10
+),
+a_out AS (
+  SELECT 'asp-' || substr(lower(aspect), 1, 15) AS id, aspect AS category, 'ASPECT_DOMINANCE' AS type, 'HIGH' AS severity,
+    printf('Dominant Volume: Accounting for %.1f%% of all feedback.', pct) AS message, 0.0 AS velocity_pct,
+    false AS is_anomaly, CAST(NULL AS VARCHAR) AS linked_to, CAST(NULL AS DOUBLE) AS link_score,
+    0 AS _src, {order} AS _ord, CAST(NULL AS VARCHAR) AS _key
+  FROM (SELECT *, sum(mentions) OVER () AS tot_, mentions / sum(mentions) OVER () * 100 AS pct FROM fx_aspect_analysis) x
+  WHERE tot_ > 0 AND pct >= {C.SHARE_ALERT_PCT}
+),
+u AS (SELECT * FROM a_out UNION ALL SELECT * FROM t_out),
+rk AS (
+  SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'WATCH' THEN 2
+                                               ELSE 3 END, velocity_pct DESC, _src, _ord, _key) AS rank
+  FROM u WHERE (SELECT n FROM nm) >= 2
+)
+SELECT id, category, type, severity, message, velocity_pct, is_anomaly, linked_to, link_score, rank
+FROM rk WHERE rank <= {top}"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+def stability_scores_cte(round_to: int | None = 3) -> str:
+    sc = "CAST(sum(CAST(t.mentions AS DECIMAL(20,0)) * CAST(coalesce(s.avg_severity, 2.0) AS DECIMAL(10,2))) AS DOUBLE) / sum(t.mentions)"
+    if round_to is not None:
+        sc = f"round({sc}, {round_to})"
+    return f"""sc AS (
+  SELECT t.month, {sc} AS score FROM fx_timeseries t LEFT JOIN fx_topics s ON t.issue_label = s.label
+  GROUP BY t.month HAVING sum(t.mentions) > 0
+),
+sb AS (
+  SELECT month, score, avg(score) OVER w AS rolling_mean, coalesce(stddev_samp(score) OVER w, 0.0) AS rolling_std
+  FROM sc WINDOW w AS (ORDER BY month ROWS BETWEEN 2 PRECEDING AND CURRENT ROW)
+),
+sbands AS (
+  SELECT month, score, rolling_mean, rolling_std, rolling_mean + 1.5 * rolling_std AS upper_band,
+    rolling_mean - 1.5 * rolling_std AS lower_band,
+    coalesce(score > rolling_mean + 1.5 * rolling_std OR score < rolling_mean - 1.5 * rolling_std, false) AS is_volatile
+  FROM sb
+)"""
+
+
+def sentiment_stability_sql(n: int) -> str:
+    body = "\nSELECT * FROM sbands"
+    if n > 0:
+        body = f"\nSELECT month, score, rolling_mean, rolling_std, upper_band, lower_band, is_volatile FROM (" \
+               f"SELECT *, row_number() OVER (ORDER BY month DESC) AS rd FROM sbands) x WHERE rd <= {n}"
+    return "WITH " + ",\n".join(base_ctes() + [stability_scores_cte(3)]) + body
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
         "topic_stats": topic_stats_sql(),
         "top_issues_3m": top_issues_sql(3),
         "top_issues_all": top_issues_sql(0),
+        "sentiment_distribution": sentiment_distribution_sql(3),
+        "kpis": kpis_sql(3),
+        "kpis_all": kpis_sql(0),
+        "aspects_3m": aspects_map_sql(3),
+        "aspect_mentions": aspect_mentions_sql(),
+        "threshold_alerts": threshold_alerts_sql(),
+        "trending_long": trending_sql(0),
+        "trending_3m": trending_sql(3),
+        "trending_6m_revenue": trending_sql(6, "revenue"),
+        "issue_correlation": issue_correlation_sql(0, -1.0),
+        "velocity_alerts": velocity_alerts_sql(3),
+        "intelligence_alerts": intelligence_alerts_sql(3),
+        "sentiment_stability": sentiment_stability_sql(0),
+        "sentiment_stability_6m": sentiment_stability_sql(6),
     }

@@ -232,3 +232,84 @@ def control_bands(long: DataFrame, key: str, value: str, month: str = "month", w
         F.coalesce(F.round(mean + F.lit(k) * std, 2), F.lit(0.0)).alias("upper_bound"),
         mom.alias("mom_pct"),
     )
+
+
+def anomaly_last(ts: DataFrame, key: str, value: str, month: str = "month", k: float = 1.5,
+                 floor: float = 0.5, min_rows: int = 3, fill_null: bool = False) -> DataFrame:
+    """Is the last point above mean + k * population std of the earlier points?
+
+    Needs >= `min_rows` points; a zero std makes the threshold the mean.
+    Output: key, last, threshold, is_anomaly, n_points.
+    """
+    v = F.coalesce(F.col(value), F.lit(0.0)) if fill_null else F.col(value)
+    base = ts.select(key, month, v.cast("double").alias("_v"))
+    w_all = W.partitionBy(key)
+    w_ord = W.partitionBy(key).orderBy(month)
+    w_hist = w_ord.rowsBetween(W.unboundedPreceding, -1)
+    x = base.select(
+        key, month, "_v",
+        F.row_number().over(W.partitionBy(key).orderBy(F.col(month).desc())).alias("_rd"),
+        F.count(F.lit(1)).over(w_all).alias("n_points"),
+        F.avg("_v").over(w_hist).alias("_mean"),
+        F.stddev_pop("_v").over(w_hist).alias("_std"),
+    ).filter(F.col("_rd") == 1)
+    thr = F.when(F.col("_std") > 0, F.col("_mean") + F.lit(k) * F.col("_std")).otherwise(F.col("_mean"))
+    enough = F.col("n_points") >= min_rows
+    return x.select(
+        key, F.col("_v").alias("last"),
+        F.when(enough, thr).otherwise(F.lit(0.0)).alias("threshold"),
+        F.coalesce(enough & (F.col("_v") > thr) & (F.col("_v") > F.lit(floor)), F.lit(False)).alias("is_anomaly"),
+        F.col("n_points"),
+    )
+
+
+def weighted_severity(ts: DataFrame, topics: DataFrame, by: str = "month", default: float = 2.0,
+                      label: str = "issue_label") -> DataFrame:
+    """J5 + A14: sum(mentions * severity(label)) / sum(mentions) per `by`; unknown label -> 2.0.
+
+    Products are summed as DECIMAL (mentions x 2-dp severity) so the sum is exact.
+    topics is bounded by #labels, hence broadcast.
+    """
+    sev = topics.select(F.col("label").alias(label), F.col("avg_severity").alias("_sev"))
+    j = ts.join(F.broadcast(sev), label, "left")
+    s = F.coalesce(F.col("_sev"), F.lit(default)).cast("decimal(10,2)")
+    return j.groupBy(by).agg(
+        F.sum(F.col("mentions").cast("decimal(20,0)") * s).cast("double").alias("_wsum"),
+        F.sum("mentions").alias("_vol"),
+    ).filter(F.col("_vol") > 0).select(by, (F.col("_wsum") / F.col("_vol")).alias("score"), F.col("_vol").alias("volume"))
+
+
+def stability_bands(scores: DataFrame, month: str = "month", score: str = "score", k: float = 1.5,
+                    exclude_current: bool = False) -> DataFrame:
+    """Trailing-3 rolling mean (min 1) and sample std (null -> 0), +-k sigma, volatility flag.
+
+    One series ordered by month: the frame is bounded by #months.
+    """
+    w = W.orderBy(month).rowsBetween(-3, -1) if exclude_current else W.orderBy(month).rowsBetween(-2, 0)
+    mean = F.avg(score).over(w)
+    std = F.coalesce(F.stddev_samp(score).over(w), F.lit(0.0))
+    x = scores.withColumn("rolling_mean", mean).withColumn("rolling_std", std)
+    x = x.withColumn("upper_band", F.col("rolling_mean") + F.lit(k) * F.col("rolling_std")) \
+         .withColumn("lower_band", F.col("rolling_mean") - F.lit(k) * F.col("rolling_std"))
+    return x.withColumn("is_volatile", F.coalesce((F.col(score) > F.col("upper_band")) |
+                                                  (F.col(score) < F.col("lower_band")), F.lit(False)))
+
+
+def correlate(long: DataFrame, key: str, month: str, value: str, threshold: float,
+              fill: float | None = 0.0) -> DataFrame:
+    """Pearson correlation of every pair of series over common months; best partner above threshold.
+
+    The self join is on month among a handful of series (top-5 callers), so
+    pairs are bounded by 5 x 4 x #months. Constant series give NULL (guarded
+    division), never an error. Output: key, linked_to, score.
+    """
+    x = long.select(F.col(key).alias("_a"), F.col(month).alias("_m"),
+                    (F.coalesce(F.col(value), F.lit(fill)) if fill is not None else F.col(value)).alias("_x"))
+    y = x.select(F.col("_a").alias("_b"), "_m", F.col("_x").alias("_y"))
+    p = x.join(y, "_m").filter(F.col("_a") != F.col("_b"))
+    c = p.groupBy("_a", "_b").agg(
+        F.try_divide(F.covar_pop("_x", "_y"), F.stddev_pop("_x") * F.stddev_pop("_y")).alias("_r"))
+    c = c.filter(F.col("_r").isNotNull() & ~F.isnan("_r"))
+    best = top_per_group(c, "_a", [F.col("_r").desc(), F.col("_b").asc()], 1)
+    return best.filter(F.col("_r") > F.lit(threshold)).select(
+        F.col("_a").alias(key), F.col("_b").alias("linked_to"), F.col("_r").alias("score"))

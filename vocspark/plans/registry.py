@@ -28,9 +28,34 @@ def _q_top_issues_all(spark: SparkSession, sf: str) -> DataFrame:
     return D.top_issues(FX.fx_topics(spark, sf), FX.fx_timeseries(spark, sf), 0)
 
 
+AS_OF = FX.AS_OF
+
+
+def _ts(spark, sf):
+    return FX.fx_timeseries(spark, sf)
+
+
+def _topics(spark, sf):
+    return FX.fx_topics(spark, sf)
+
+
 QUERIES = {
     "monthly_rates": _q_monthly_rates,
     "topic_stats": _q_topic_stats,
     "top_issues_3m": _q_top_issues_3m,
     "top_issues_all": _q_top_issues_all,
+    "sentiment_distribution": lambda sp, sf: D.sentiment_distribution(FX.fx_reviews(sp, sf), AS_OF, 3),
+    "kpis": lambda sp, sf: D.kpis(FX.fx_reviews(sp, sf), _ts(sp, sf), AS_OF, 3),
+    "kpis_all": lambda sp, sf: D.kpis(FX.fx_reviews(sp, sf), _ts(sp, sf), AS_OF, 0),
+    "aspects_3m": lambda sp, sf: D.aspects_map(_ts(sp, sf), _topics(sp, sf), 3),
+    "aspect_mentions": lambda sp, sf: FX.fx_aspect_analysis(sp, sf),
+    "threshold_alerts": lambda sp, sf: D.threshold_alerts(FX.fx_aspect_analysis(sp, sf), AS_OF),
+    "trending_long": lambda sp, sf: D.trending(_ts(sp, sf), 0),
+    "trending_3m": lambda sp, sf: D.trending(_ts(sp, sf), 3),
+    "trending_6m_revenue": lambda sp, sf: D.trending(_ts(sp, sf), 6, "revenue"),
+    "issue_correlation": lambda sp, sf: D.issue_correlation(_ts(sp, sf), 0, threshold=-1.0),
+    "velocity_alerts": lambda sp, sf: D.velocity_alerts(_ts(sp, sf), 3),
+    "intelligence_alerts": lambda sp, sf: D.intelligence_alerts(_ts(sp, sf), FX.fx_aspect_analysis(sp, sf), 3),
+    "sentiment_stability": lambda sp, sf: D.sentiment_stability(_ts(sp, sf), _topics(sp, sf), 0),
+    "sentiment_stability_6m": lambda sp, sf: D.sentiment_stability(_ts(sp, sf), _topics(sp, sf), 6),
 }

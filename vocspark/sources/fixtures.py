@@ -134,3 +134,32 @@ def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("value").alias("severity"),
         F.col("user_id"),
     )
+
+
+# FIXTURE LEXICONS — tokens that occur in the driver's invented prose. The
+# reference lexicons (vocspark.config) do not occur there, so text operators
+# are exercised with these (they are parameters of every text operator).
+FX_ASPECT_KEYWORDS = {
+    "Performance/Technical": ["thnt", "thble"],
+    "Content/Library": ["attion", "onnd"],
+    "UI/UX Experience": ["thou", "anon"],
+    "Pricing/Subscription": ["thwh", "thsh"],
+}
+FX_SEVERITY_5 = ["than"]
+FX_SEVERITY_4 = ["thing", "then"]
+FX_SEVERITY_3 = ["only", "thor"]
+FX_SIGNAL = ["than", "then", "thing", "thin", "thor", "only", "this", "that"]
+FX_VENT = ["the", "and", "of"]
+
+
+def fx_negative_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """P3 + P4: negative reviews passing the quality gate (language from the `lang` column)."""
+    from vocspark.functions.text import is_valid_review
+    r = fx_reviews(spark, sf_dir)
+    return r.filter((F.col("sentiment") == "negative") & is_valid_review(F.col("content"), F.col("lang")))
+
+
+def fx_aspect_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """aspect_analysis over the negative, valid fixture reviews (fixture aspect lexicon)."""
+    from vocspark.plans.dashboard import aspect_counts
+    return aspect_counts(fx_negative_valid(spark, sf_dir), "content", FX_ASPECT_KEYWORDS)
