@@ -570,6 +570,171 @@ def sentiment_stability_sql(n: int) -> str:
     return "WITH " + ",\n".join(base_ctes() + [stability_scores_cte(3)]) + body
 
 
+def _month_rank_cte(name: str = "mr") -> str:
+    return f"""{name} AS (
+  SELECT month, row_number() OVER (ORDER BY month DESC) AS rk, count(*) OVER () AS nm
+  FROM (SELECT DISTINCT month FROM fx_timeseries WHERE month IS NOT NULL) d
+)"""
+
+
+def report_alerts_sql(n: int, top: int = 4) -> str:
+    m = "severity_weighted_rate"
+    if n > 0:
+        fl = f"rk <= {n} AS is_cur, CASE WHEN nm >= {2*n} THEN rk > {n} AND rk <= {2*n} ELSE rk = 2 END AS is_prev"
+    else:
+        fl = "rk = 1 AS is_cur, rk = 2 AS is_prev"
+    ctes = base_ctes() + [_month_rank_cte(), f"fl AS (SELECT month, {fl}, nm FROM mr)",
+                          anomaly_cte("fx_timeseries", "issue_label", m, fill_null=True)]
+    r = "CAST(CAST(round_even(velocity_pct, 0) AS BIGINT) AS VARCHAR)"
+    body = f"""
+, t AS (
+  SELECT issue_label, CAST(sum(CASE WHEN is_cur THEN mentions END) AS DOUBLE) AS c,
+         CAST(coalesce(sum(CASE WHEN is_prev THEN mentions END), 0) AS DOUBLE) AS p, max(nm) AS nm
+  FROM fx_timeseries JOIN fl USING (month) GROUP BY issue_label
+), a AS (
+  SELECT t.*, coalesce(an.is_anomaly, false) AS is_anomaly,
+    CASE WHEN p = 0 THEN 100.0 ELSE round((c - p) / p * 100, 1) END AS velocity_pct
+  FROM t LEFT JOIN an USING (issue_label) WHERE c > 0
+), b AS (
+  SELECT issue_label AS category,
+    CASE WHEN is_anomaly AND velocity_pct > 40 THEN 'CRITICAL' WHEN is_anomaly OR velocity_pct > 25 THEN 'HIGH'
+         ELSE 'WATCH' END AS severity,
+    CASE WHEN is_anomaly AND velocity_pct > 10 THEN 'Statistically out-of-control with a +' || {r} || '% MoM spike.'
+         WHEN is_anomaly THEN 'Statistically out-of-control versus baseline.'
+         ELSE 'Mentions increased by about ' || {r} || '% compared with the previous window.' END AS message,
+    velocity_pct
+  FROM a WHERE (is_anomaly OR velocity_pct > 10) AND nm >= 2
+), r AS (
+  SELECT *, row_number() OVER (ORDER BY CASE severity WHEN 'CRITICAL' THEN 0 WHEN 'HIGH' THEN 1 WHEN 'WATCH' THEN 2
+                                         ELSE 3 END, velocity_pct DESC, category) AS rank FROM b
+)
+SELECT * FROM r WHERE rank <= {top}"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+def report_aspects_sql(n: int, top: int = 4) -> str:
+    cur = f"rk <= {n}" if n > 0 else "rk = 1"
+    prev = f"rk > {n} AND rk <= {2*n} AND nm >= {2*n}" if n > 0 else "false"
+    ctes = base_ctes() + fx_aspect_analysis_ctes() + [_month_rank_cte(), _aspect_map_values(),
+                                                       f"fl AS (SELECT month, {cur} AS is_cur, {prev} AS is_prev FROM mr)"]
+    body = f"""
+, totals AS (
+  SELECT aspect, mentions, share, row_number() OVER (ORDER BY mentions DESC, aspect) AS rank FROM (
+    SELECT aspect, sum(mentions) AS mentions, sum(mentions) / greatest(sum(sum(mentions)) OVER (), 1) * 100 AS share
+    FROM fx_aspect_analysis GROUP BY aspect) x
+), vols AS (
+  SELECT a.aspect, sum(CASE WHEN is_cur THEN mentions END) AS cv, sum(CASE WHEN is_prev THEN mentions END) AS pv
+  FROM fx_timeseries t JOIN fl USING (month) JOIN amap a ON a.issue_label = t.issue_label GROUP BY a.aspect
+), j AS (
+  SELECT t.*, CASE WHEN coalesce(pv, 0) > 0 THEN round((coalesce(cv, 0) - coalesce(pv, 0)) / coalesce(pv, 0) * 100, 1)
+                   ELSE 0.0 END AS momentum
+  FROM totals t LEFT JOIN vols v USING (aspect) WHERE rank <= {top}
+)
+SELECT aspect, CAST(mentions AS BIGINT) AS mentions, momentum,
+  CASE WHEN share >= 25 OR momentum >= 20 THEN 'Critical' WHEN share >= 14 OR momentum > 0 THEN 'Active'
+       ELSE 'Watch' END AS priority, rank
+FROM j"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+def report_stability_sql() -> str:
+    ctes = base_ctes() + [stability_scores_cte(None)]
+    return "WITH " + ",\n".join(ctes) + """
+SELECT round(arg_max(score, month), 2) AS baseline, CAST(count(*) FILTER (WHERE is_volatile) AS BIGINT) AS volatility_count,
+  CASE WHEN arg_max(is_volatile, month) THEN 'High volatility detected' ELSE 'Stable emotional range' END AS status,
+  max(month) AS latest_month, list_sort(coalesce(list(month) FILTER (WHERE is_volatile), [])) AS volatile_months
+FROM sbands"""
+
+
+def report_movers_sql(n: int, top: int = 4, min_mentions: int = 15) -> str:
+    m = "severity_weighted_rate"
+    first = f"CASE WHEN nm >= {n} THEN rk = {n} ELSE rk = nm END" if n > 0 else "rk = nm"
+    ctes = base_ctes() + [_month_rank_cte(), f"fl AS (SELECT month, {first} AS is_first, rk = 1 AS is_last, nm FROM mr)"]
+    body = f"""
+, t AS (
+  SELECT issue_label, sum(mentions) AS tot,
+    CAST(coalesce(max(CASE WHEN is_first THEN {m} END), 0.0) AS DOUBLE) AS s,
+    CAST(coalesce(max(CASE WHEN is_last THEN {m} END), 0.0) AS DOUBLE) AS e, max(nm) AS nm
+  FROM fx_timeseries JOIN fl USING (month) GROUP BY issue_label
+), c AS (
+  SELECT issue_label AS label, CASE WHEN s = 0 THEN 100.0 ELSE round((e - s) / s * 100, 1) END AS change_pct
+  FROM t WHERE tot >= {min_mentions} AND NOT (s = 0 AND e = 0) AND nm >= 2
+), r AS (
+  SELECT label, change_pct, CASE WHEN change_pct > 0 THEN 'Rising' ELSE 'Cooling' END AS direction,
+         row_number() OVER (ORDER BY abs(change_pct) DESC, label) AS rank FROM c
+)
+SELECT * FROM r WHERE rank <= {top}"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+def report_sentiment_sql(n: int) -> str:
+    return "WITH " + ",\n".join([fx_reviews_cte(), review_stats_cte(n)]) + """
+, x AS (
+  SELECT *, pos_cur + neg_cur AS tc, pos_prev + neg_prev AS tp FROM rs
+), y AS (
+  SELECT *, CASE WHEN tc > 0 THEN round(pos_cur / tc * 100, 1) ELSE 0.0 END AS pc,
+            CASE WHEN tc > 0 THEN round(neg_cur / tc * 100, 1) ELSE 0.0 END AS nc,
+            CASE WHEN tp > 0 THEN round(pos_prev / tp * 100, 1) ELSE 0.0 END AS pp FROM x
+)
+SELECT CAST(pos_cur AS BIGINT) AS positive, CAST(neg_cur AS BIGINT) AS negative, pc AS positive_pct, nc AS negative_pct,
+  CASE WHEN n_prev > 0 THEN round(pc - pp, 1) ELSE 0.0 END AS momentum
+FROM y WHERE n_cur > 0"""
+
+
+def report_kpis_sql(n: int) -> str:
+    ctes = base_ctes() + [fx_reviews_cte(), review_stats_cte(n), month_window_cte(n),
+                          window_totals_cte("issue_label", "mentions")]
+    win = f"Last {n} Months" if n > 0 else "All Time"
+    body = f"""
+, act AS (
+  SELECT count(*) FILTER (WHERE cur > 0) AS active_cur,
+         CASE WHEN count(*) FILTER (WHERE n_prev > 0) > 0 THEN count(*) FILTER (WHERE prev > 0) END AS active_prev
+  FROM wt
+), k AS (
+  SELECT rs.*, round(avg_cur, 2) AS avg_c, round(avg_prev, 2) AS avg_p,
+    CASE WHEN n_cur > 0 THEN round(pos_cur / n_cur * 100, 1) ELSE 0.0 END AS pp_c,
+    CASE WHEN n_prev > 0 THEN round(pos_prev / n_prev * 100, 1) ELSE 0.0 END AS pp_p,
+    act.active_cur, act.active_prev
+  FROM rs, act
+)
+SELECT 1 AS card, 'Total Feedback' AS label, format('{{:,}}', n_cur) AS value, '{win}' AS sub,
+  CAST(CASE WHEN n_prev > 0 THEN round((n_cur - n_prev) / n_prev * 100, 1) END AS DOUBLE) AS delta, '%' AS delta_suffix FROM k
+UNION ALL
+SELECT 2, 'Avg Rating', CASE WHEN avg_c IS NOT NULL THEN CAST(avg_c AS VARCHAR) || '/5.0' ELSE 'N/A' END, 'Average score',
+  CAST(CASE WHEN n_prev > 0 AND avg_c IS NOT NULL AND avg_p IS NOT NULL THEN round(avg_c - avg_p, 1) END AS DOUBLE), '' FROM k
+UNION ALL
+SELECT 3, 'Customer Happiness', CAST(pp_c AS VARCHAR) || '%', 'Positive sentiment share',
+  CAST(CASE WHEN n_prev > 0 THEN round(pp_c - pp_p, 1) END AS DOUBLE), ' pts' FROM k
+UNION ALL
+SELECT 4, 'Total Issues Found', CAST(active_cur AS VARCHAR), 'Distinct active issue clusters',
+  CAST(CASE WHEN active_prev IS NOT NULL THEN active_cur - active_prev END AS DOUBLE), '' FROM k"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
+def report_top_issues_sql(n: int, top: int = 10) -> str:
+    ctes = base_ctes()
+    if n > 0:
+        ctes = ctes + [month_window_cte(n)]
+        src = """SELECT t.label, coalesce(w.wm, 0) AS mentions, t.avg_severity, t.sample_reviews FROM fx_topics t LEFT JOIN (
+    SELECT issue_label, sum(mentions) AS wm FROM fx_timeseries JOIN mw USING (month) WHERE period = 'cur'
+    GROUP BY 1) w ON w.issue_label = t.label"""
+    else:
+        src = "SELECT label, mentions, avg_severity, sample_reviews FROM fx_topics"
+    body = f"""
+, t AS ({src}),
+e AS (
+  SELECT label, CAST(mentions AS BIGINT) AS mentions, round(avg_severity, 1) AS severity,
+    coalesce(list_filter(list_transform(sample_reviews, lambda x: regexp_replace(x, '^[ ''"\n\t]+|[ ''"\n\t]+$', '', 'g')),
+                         lambda x: x <> '')[1], 'No evidence snippet available.') AS evidence, avg_severity
+  FROM t WHERE mentions > 0
+), r AS (
+  SELECT label, mentions, severity, evidence,
+    row_number() OVER (ORDER BY mentions DESC, avg_severity DESC, label) AS rank FROM e
+)
+SELECT * FROM r WHERE rank <= {top}"""
+    return "WITH " + ",\n".join(ctes) + body
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -590,4 +755,12 @@ def all_sql() -> dict[str, str]:
         "intelligence_alerts": intelligence_alerts_sql(3),
         "sentiment_stability": sentiment_stability_sql(0),
         "sentiment_stability_6m": sentiment_stability_sql(6),
+        "report_alerts": report_alerts_sql(3),
+        "report_alerts_all": report_alerts_sql(0),
+        "report_aspects": report_aspects_sql(3),
+        "report_stability": report_stability_sql(),
+        "report_movers": report_movers_sql(12),
+        "report_sentiment": report_sentiment_sql(3),
+        "report_kpis": report_kpis_sql(3),
+        "report_top_issues": report_top_issues_sql(3),
     }

@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from vocspark.plans import dashboard as D
+from vocspark.plans import report as R
 from vocspark.sources import fixtures as FX
 
 
@@ -58,4 +59,12 @@ QUERIES = {
     "intelligence_alerts": lambda sp, sf: D.intelligence_alerts(_ts(sp, sf), FX.fx_aspect_analysis(sp, sf), 3),
     "sentiment_stability": lambda sp, sf: D.sentiment_stability(_ts(sp, sf), _topics(sp, sf), 0),
     "sentiment_stability_6m": lambda sp, sf: D.sentiment_stability(_ts(sp, sf), _topics(sp, sf), 6),
+    "report_alerts": lambda sp, sf: R.report_alerts(_ts(sp, sf), 3),
+    "report_alerts_all": lambda sp, sf: R.report_alerts(_ts(sp, sf), 0),
+    "report_aspects": lambda sp, sf: R.report_aspects(FX.fx_aspect_analysis(sp, sf), _ts(sp, sf), 3),
+    "report_stability": lambda sp, sf: R.report_stability(_topics(sp, sf), _ts(sp, sf), 0),
+    "report_movers": lambda sp, sf: R.report_movers(_ts(sp, sf), 12),
+    "report_sentiment": lambda sp, sf: R.report_sentiment(FX.fx_reviews(sp, sf), AS_OF, 3),
+    "report_kpis": lambda sp, sf: R.report_kpis(FX.fx_reviews(sp, sf), _ts(sp, sf), AS_OF, 3),
+    "report_top_issues": lambda sp, sf: R.report_top_issues(_topics(sp, sf), _ts(sp, sf), 3),
 }
