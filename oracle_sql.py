@@ -735,6 +735,237 @@ SELECT * FROM r WHERE rank <= {top}"""
     return "WITH " + ",\n".join(ctes) + body
 
 
+def _fx():
+    from vocspark.sources import fixtures as FX
+    return FX
+
+
+def _words_sql(text: str) -> str:
+    return f"list_filter(regexp_split_to_array(lower({text}), '\\s+'), lambda x: x <> '')"
+
+
+def text_scores_sql() -> str:
+    FX = _fx()
+    ws = f"list_distinct({_words_sql('text')})"
+    sev = f"""least(round(2.0
+      + (CASE WHEN len(list_intersect(ws, {_sql_list(FX.FX_SEVERITY_5)})) > 0 THEN 2.5
+              WHEN len(list_intersect(ws, {_sql_list(FX.FX_SEVERITY_4)})) > 0 THEN 1.5
+              WHEN len(list_intersect(ws, {_sql_list(FX.FX_SEVERITY_3)})) > 0 THEN 0.5 ELSE 0.0 END)
+      + (CASE WHEN length(regexp_replace(text, '[^\\p{{Lu}}]', '', 'g')) / greatest(length(text), 1) > 0.3 THEN 0.5 ELSE 0.0 END)
+      + least((length(text) - length(replace(text, '!', ''))) * 0.2, 0.6), 2), 5.0)"""
+    act = f"""CASE WHEN len(ws) = 0 THEN 0.0 ELSE greatest(0.0, least(1.0, round(
+        least(len(list_intersect(ws, {_sql_list(FX.FX_SIGNAL)})) * 0.3, 0.9)
+        + (CASE WHEN length(text) > 50 AND length(text) < 300 THEN 0.1 ELSE 0.0 END)
+        - least(len(list_intersect(ws, {_sql_list(FX.FX_VENT)})) * 0.1, 0.4), 2))) END"""
+    return f"""SELECT doc_id, CAST({sev} AS DOUBLE) AS severity, CAST({act} AS DOUBLE) AS actionability
+FROM (SELECT doc_id, text, {ws} AS ws FROM documents) d"""
+
+
+def valid_reviews_sql() -> str:
+    return "WITH " + ",\n".join([docs_valid_cte(), docs_valid_cte(lang=None, name="docs_any")]) + """
+SELECT v.doc_id, v.is_valid, a.is_valid AS is_valid_any_lang FROM docs_valid v JOIN docs_any a ON v.doc_id = a.doc_id"""
+
+
+def clean_text_sql() -> str:
+    from vocspark.functions.text import STOP_WORDS
+    t = "regexp_replace(regexp_replace(lower(coalesce(text, '')), 'http\\S+|www\\S+', '', 'g'), '[^a-zA-Z\\s]', '', 'g')"
+    lem = ("CASE WHEN length(w) > 4 AND suffix(w, 'ies') THEN regexp_replace(w, 'ies$', 'y') "
+           "WHEN length(w) > 3 AND suffix(w, 's') AND NOT suffix(w, 'ss') AND NOT suffix(w, 'us') AND NOT suffix(w, 'is') "
+           "THEN regexp_replace(w, 's$', '') ELSE w END")
+    return f"""SELECT doc_id, array_to_string(list_transform(
+    list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '' AND NOT list_contains({_sql_list(STOP_WORDS)}, w)),
+    lambda w: {lem}), ' ') AS cleaned_content
+FROM documents"""
+
+
+def value_weight_sql() -> str:
+    w = f"round({_tier_weight_case('user_tier')} * (CASE WHEN TRY_CAST(clv AS DOUBLE) > 0 THEN 1.0 + ln(1.0 + TRY_CAST(clv AS DOUBLE) / 100.0) ELSE 1.0 END), 2)"
+    return "WITH " + fx_reviews_cte() + f"\nSELECT reviewId, CAST({w} AS DOUBLE) AS value_weight FROM fx_reviews"
+
+
+def _hash_bucket_sql(key: str) -> str:
+    h = f"md5(CAST({key} AS VARCHAR))"
+    acc = "0"
+    for i in range(4):
+        chunk = f"CAST('0x' || substr({h}, {8*i+1}, 8) AS BIGINT)"
+        acc = f"(({acc}) * 96 + {chunk}) % 100"
+    return acc
+
+
+def hash_tier_sql() -> str:
+    b = _hash_bucket_sql("doc_id")
+    cases = " ".join(f"WHEN bucket < {u} THEN {w}" for u, w in C.HASH_TIER_BUCKETS[:-1])
+    return f"""SELECT doc_id, bucket, CAST(CASE {cases} ELSE {C.HASH_TIER_BUCKETS[-1][1]} END AS DOUBLE) AS value_weight
+FROM (SELECT doc_id, CAST({b} AS BIGINT) AS bucket FROM documents) d"""
+
+
+def cluster_keywords_cte(k: int = 5) -> str:
+    return f"""ck_wc AS (
+  SELECT doc_id, word, count(*) AS cnt FROM (SELECT doc_id, unnest({_words_sql('text')}) AS word FROM documents) u
+  GROUP BY 1, 2
+), ck_top AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY cnt DESC, word) AS rk FROM ck_wc) x
+  WHERE rk <= {k} AND NOT list_contains({_sql_list(C.CLUSTER_STOP_WORDS)}, word) AND length(word) >= 4
+), ck AS (
+  SELECT d.doc_id, coalesce(g.kw, '') AS keywords FROM (SELECT DISTINCT doc_id FROM documents) d
+  LEFT JOIN (SELECT doc_id, string_agg(word, ', ' ORDER BY rk) AS kw FROM ck_top GROUP BY 1) g ON d.doc_id = g.doc_id
+)"""
+
+
+def cluster_keywords_sql() -> str:
+    return "WITH " + cluster_keywords_cte() + "\nSELECT doc_id, keywords FROM ck"
+
+
+def keyword_titles_sql() -> str:
+    def cap(w):
+        return f"(upper(substr({w}, 1, 1)) || lower(substr({w}, 2)))"
+    stop = _sql_list(C.TITLE_STOP_WORDS)
+    return "WITH " + cluster_keywords_cte() + f"""
+, kt AS (
+  SELECT doc_id, keywords, list_transform(string_split(keywords, ','), lambda w: trim(w)) AS ow,
+         list_transform(string_split(keywords, ','), lambda w: lower(trim(w))) AS ws FROM ck
+), kt2 AS (SELECT *, list_filter(ws, lambda w: NOT list_contains({stop}, w)) AS kept FROM kt)
+SELECT doc_id, keywords,
+  CASE WHEN len(ow) >= 2 THEN {cap('ow[1]')} || ' ' || {cap('ow[2]')} || ' Issues' ELSE {cap('ow[1]')} || ' Issues' END AS old_label,
+  CASE WHEN keywords IS NULL OR trim(keywords) = '' THEN 'General Issue'
+       WHEN len(kept) >= 2 THEN {cap('kept[1]')} || ' ' || {cap('kept[2]')} || ' Task'
+       WHEN len(kept) = 1 THEN {cap('kept[1]')} || ' Related Problems'
+       ELSE {cap('ws[1]')} || ' System Feedback' END AS new_label
+FROM kt2"""
+
+
+def _norm_sql(v: str, eps: str | None = None) -> str:
+    n = f"sqrt(list_sum(list_transform({v}, lambda y: y * y)))"
+    d = f"({n} + {eps})" if eps else f"(CASE WHEN {n} = 0 THEN 1.0 ELSE {n} END)"
+    return f"list_transform({v}, lambda x: x / {d})"
+
+
+def fx_vectors_cte() -> str:
+    return """fx_vectors AS (
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(x AS DOUBLE)) AS embedding, 'c' || CAST(label AS VARCHAR) AS category,
+         '2024-0' || CAST(1 + vec_id % 6 AS VARCHAR) AS month
+  FROM embeddings
+)"""
+
+
+def centroids_cte(src: str, key: str, vec: str, name: str = "cents", eps: str | None = None) -> str:
+    return f"""{name}_m AS (
+  SELECT {key}, i, avg(x) AS m, count(*) AS n FROM (
+    SELECT {key}, generate_subscripts({vec}, 1) AS i, unnest({vec}) AS x FROM {src}) u GROUP BY 1, 2
+),
+{name} AS (
+  SELECT {key}, {_norm_sql('v', eps)} AS centroid, n FROM (
+    SELECT {key}, list(m ORDER BY i) AS v, max(n) AS n FROM {name}_m GROUP BY 1) g
+)"""
+
+
+def category_centroids_sql() -> str:
+    return "WITH " + ",\n".join([fx_vectors_cte(), centroids_cte("fx_vectors", "category", "embedding")]) + \
+        "\nSELECT category, centroid, CAST(n AS BIGINT) AS n FROM cents"
+
+
+def semantic_classify_sql() -> str:
+    return "WITH " + ",\n".join([fx_vectors_cte(), centroids_cte("fx_vectors", "category", "embedding")]) + f"""
+, vn AS (SELECT vec_id, category, {_norm_sql('embedding')} AS u FROM fx_vectors),
+sims AS (SELECT v.vec_id, v.category, c.category AS cc, list_dot_product(v.u, c.centroid) AS s FROM vn v CROSS JOIN cents c),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cc) AS r FROM sims) x WHERE r = 1)
+SELECT vec_id, category, cc AS best_label, round(s, 4) AS confidence,
+       CASE WHEN s >= 0.3 THEN cc ELSE 'General App Feedback' END AS predicted
+FROM best"""
+
+
+def semantic_search_sql(top: int = 15) -> str:
+    return "WITH " + fx_vectors_cte() + f"""
+, q AS (SELECT {_norm_sql('embedding')} AS qv FROM fx_vectors WHERE vec_id = 0),
+s AS (SELECT vec_id, list_dot_product({_norm_sql('embedding')}, (SELECT qv FROM q)) AS score FROM fx_vectors),
+r AS (SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS rank FROM s)
+SELECT rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {top}"""
+
+
+def silhouette_sql() -> str:
+    """Brute-force pairwise definition (the Spark operator uses cluster sums)."""
+    return "WITH " + fx_vectors_cte() + f"""
+, u AS (SELECT vec_id, category AS l, {_norm_sql('embedding')} AS u FROM fx_vectors),
+p AS (SELECT a.vec_id, a.l AS la, b.l AS lb, 1 - list_dot_product(a.u, b.u) AS d FROM u a JOIN u b ON a.vec_id <> b.vec_id),
+m AS (SELECT vec_id, la, lb, avg(d) AS md FROM p GROUP BY 1, 2, 3),
+s AS (SELECT vec_id, la, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM m GROUP BY 1, 2),
+sz AS (SELECT l, count(*) AS n FROM u GROUP BY 1),
+per AS (SELECT CASE WHEN sz.n <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS sv
+        FROM u LEFT JOIN s ON u.vec_id = s.vec_id LEFT JOIN sz ON sz.l = u.l)
+SELECT 'silhouette_score' AS metric, round(avg(sv), 4) AS value, CAST((SELECT count(*) FROM sz) AS INTEGER) AS n_categories,
+  CAST(count(*) AS INTEGER) AS n_samples, CAST({C.CONFIDENCE_THRESHOLD} AS DOUBLE) AS threshold_confidence,
+  CAST({C.DEDUP_THRESHOLD} AS DOUBLE) AS dedup_threshold
+FROM per HAVING (SELECT count(*) FROM sz) >= 2"""
+
+
+def fx_semantic_cte() -> str:
+    return """fx_semantic AS (
+  SELECT d.doc_id, d.text, d.lang, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS embedding,
+         'c' || CAST(e.label AS VARCHAR) AS category, '2024-0' || CAST(1 + d.doc_id % 6 AS VARCHAR) AS month
+  FROM documents d JOIN embeddings e ON e.vec_id = d.doc_id % (SELECT count(*) FROM embeddings)
+)"""
+
+
+def shifting_terms_cte(src: str = "fx_semantic") -> str:
+    return f"""st_wc AS (
+  SELECT category, month, word, count(*) AS cnt FROM (
+    SELECT category, month, unnest({_words_sql('text')}) AS word FROM {src}) u GROUP BY 1, 2, 3
+), st_pairs AS (
+  SELECT category, lag(month) OVER (PARTITION BY category ORDER BY month) AS mf, month AS mt
+  FROM (SELECT DISTINCT category, month FROM {src}) m
+), st_j AS (
+  SELECT p.category, p.mf, p.mt, c.word, c.cnt - coalesce(pv.cnt, 0) AS score
+  FROM st_pairs p JOIN st_wc c ON c.category = p.category AND c.month = p.mt AND length(c.word) >= 4
+  LEFT JOIN st_wc pv ON pv.category = p.category AND pv.month = p.mf AND pv.word = c.word
+  WHERE p.mf IS NOT NULL
+), st_t AS (
+  SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY category, mf, mt ORDER BY score DESC, word) AS rk
+                 FROM st_j WHERE score > 0) x WHERE rk <= 3
+), st AS (
+  SELECT category, mf AS month_from, mt AS month_to, string_agg(word, ', ' ORDER BY rk) AS shifting_terms
+  FROM st_t GROUP BY 1, 2, 3
+)"""
+
+
+def shifting_terms_sql() -> str:
+    return "WITH " + ",\n".join([fx_semantic_cte(), shifting_terms_cte()]) + "\nSELECT * FROM st"
+
+
+def drift_ctes() -> list[str]:
+    return [fx_semantic_cte(),
+            "fs_k AS (SELECT category || '|' || month AS k, category, month, embedding FROM fx_semantic)",
+            centroids_cte("fs_k", "k", "embedding", "dc", eps="1e-8"),
+            shifting_terms_cte(),
+            """dcm AS (SELECT split_part(k, '|', 1) AS category, split_part(k, '|', 2) AS month, centroid FROM dc),
+dp AS (
+  SELECT category, lag(month) OVER w AS month_from, month AS month_to, lag(centroid) OVER w AS pc, centroid
+  FROM dcm WINDOW w AS (PARTITION BY category ORDER BY month)
+),
+drift AS (
+  SELECT dp.category, dp.month_from, dp.month_to, round(1.0 - list_dot_product(pc, centroid), 4) AS drift_score,
+    round(1.0 - list_dot_product(pc, centroid), 4) > 0.12 AS is_evolving, coalesce(st.shifting_terms, '') AS shifting_terms
+  FROM dp LEFT JOIN st ON st.category = dp.category AND st.month_from = dp.month_from AND st.month_to = dp.month_to
+  WHERE dp.month_from IS NOT NULL
+)"""]
+
+
+def semantic_drift_sql() -> str:
+    return "WITH " + ",\n".join(drift_ctes()) + "\nSELECT * FROM drift"
+
+
+def semantic_drift_summary_sql(cut: float = 0.0) -> str:
+    return "WITH " + ",\n".join(drift_ctes()) + f"""
+, g AS (
+  SELECT category, avg(drift_score) AS a, max(drift_score) AS mx, count(*) AS n,
+         arg_max(shifting_terms, month_from || '|' || month_to) AS terms
+  FROM drift GROUP BY category HAVING avg(drift_score) > {cut}
+)
+SELECT category, round(a, 4) AS avg_drift, round(mx, 4) AS max_drift, CAST(n AS BIGINT) AS n_months,
+  coalesce(terms, 'stable') AS shifting_terms, CAST(least(round_even(a * 50, 0), 5.0) AS BIGINT) AS trend_bar,
+  row_number() OVER (ORDER BY a DESC, category) AS rank
+FROM g"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -763,4 +994,18 @@ def all_sql() -> dict[str, str]:
         "report_sentiment": report_sentiment_sql(3),
         "report_kpis": report_kpis_sql(3),
         "report_top_issues": report_top_issues_sql(3),
+        "text_scores": text_scores_sql(),
+        "valid_reviews": valid_reviews_sql(),
+        "clean_text": clean_text_sql(),
+        "value_weight": value_weight_sql(),
+        "hash_tier": hash_tier_sql(),
+        "cluster_keywords": cluster_keywords_sql(),
+        "keyword_titles": keyword_titles_sql(),
+        "category_centroids": category_centroids_sql(),
+        "semantic_classify": semantic_classify_sql(),
+        "semantic_search": semantic_search_sql(),
+        "silhouette": silhouette_sql(),
+        "semantic_drift": semantic_drift_sql(),
+        "semantic_drift_summary": semantic_drift_summary_sql(),
+        "shifting_terms": shifting_terms_sql(),
     }

@@ -83,8 +83,13 @@ CANNED_PATTERNS = [
 # Stop words dropped from emerging-cluster keywords.
 CLUSTER_STOP_WORDS = ["the", "and", "app", "to", "it", "is", "a", "of", "in", "for", "with", "this"]
 
-# Generic words dropped from keyword-title labels (old/improved labeler test).
-TITLE_GENERIC_WORDS = ["app", "good", "great", "bad", "use", "love", "like", "work", "just", "really"]
+# Generic words dropped from keyword-title labels (improved keyword labeler).
+TITLE_STOP_WORDS = [
+    "app", "netflix", "good", "bad", "great", "excellent", "nice", "ok", "awesome",
+    "hai", "hua", "hi", "bhai", "yaar", "kya", "ko", "ki", "he", "it", "very", "is",
+    "application", "working", "work", "use", "using", "like", "love", "really",
+    "amazing", "super", "useful", "best", "worst", "better", "quality",
+]
 
 # Thresholds.
 CONFIDENCE_THRESHOLD = 0.30

@@ -17,7 +17,7 @@ from vocspark.operators import series as S
 
 def _rank(df: DataFrame, order, name: str = "rank") -> DataFrame:
     """Dense 1..n ordering column for small result tables (bounded by #labels)."""
-    return df.withColumn(name, F.row_number().over(W.orderBy(*order)))
+    return df.withColumn(name, F.row_number().over(W.orderBy(*order)).cast("long"))
 
 
 def top_issues(topics: DataFrame, ts: DataFrame, limit_months: int = 0, top: int = 10) -> DataFrame:

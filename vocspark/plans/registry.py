@@ -7,6 +7,7 @@ with the scale factor.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from vocspark.plans import dashboard as D
 from vocspark.plans import report as R
@@ -40,6 +41,106 @@ def _topics(spark, sf):
     return FX.fx_topics(spark, sf)
 
 
+def _docs(spark, sf):
+    from vocspark.sources.tables import read_table
+    return read_table(spark, sf, "documents")
+
+
+def _text_scores(spark, sf):
+    from vocspark.functions import text as T
+    d = _docs(spark, sf)
+    return d.select("doc_id",
+                    T.severity("text", FX.FX_SEVERITY_5, FX.FX_SEVERITY_4, FX.FX_SEVERITY_3).alias("severity"),
+                    T.actionability("text", FX.FX_SIGNAL, FX.FX_VENT).alias("actionability"))
+
+
+def _valid_reviews(spark, sf):
+    from vocspark.functions import text as T
+    d = _docs(spark, sf)
+    return d.select("doc_id", T.is_valid_review(F.col("text"), F.col("lang")).alias("is_valid"),
+                    T.is_valid_review(F.col("text")).alias("is_valid_any_lang"))
+
+
+def _clean_text(spark, sf):
+    from vocspark.functions import text as T
+    return _docs(spark, sf).select("doc_id", T.clean_text("text").alias("cleaned_content"))
+
+
+def _value_weight(spark, sf):
+    from vocspark.functions.value import value_weight
+    r = FX.fx_reviews(spark, sf).select("reviewId", "user_tier", "clv")
+    return value_weight(r).select("reviewId", "value_weight")
+
+
+def _hash_tier(spark, sf):
+    from vocspark.functions.value import hash_bucket, hash_tier
+    d = _docs(spark, sf).select("doc_id")
+    return d.select("doc_id", hash_bucket(F.col("doc_id")).alias("bucket"), hash_tier(F.col("doc_id")).alias("value_weight"))
+
+
+def _cluster_keywords(spark, sf):
+    from vocspark.operators.textops import cluster_keywords
+    return cluster_keywords(_docs(spark, sf), "doc_id", "text")
+
+
+def _keyword_titles(spark, sf):
+    from vocspark.operators.textops import keyword_titles
+    k = _cluster_keywords(spark, sf)
+    return k.select("doc_id", "keywords", keyword_titles(F.col("keywords")).alias("t")).select("doc_id", "keywords", "t.*")
+
+
+def _vec_centroids(spark, sf):
+    from vocspark.operators.vectors import centroids
+    return centroids(FX.fx_vectors(spark, sf), "category", "embedding")
+
+
+def _semantic_classify(spark, sf):
+    from vocspark.operators.vectors import classify
+    v = FX.fx_vectors(spark, sf)
+    c = _vec_centroids(spark, sf)
+    out = classify(v, "embedding", c, "category", threshold=0.30, fallback="General App Feedback")
+    return out.select("vec_id", "category", "best_label", F.round("confidence", 4).alias("confidence"), "predicted")
+
+
+def _semantic_search(spark, sf):
+    from vocspark.operators.vectors import semantic_search
+    v = FX.fx_vectors(spark, sf)
+    q = v.filter(F.col("vec_id") == 0).select("embedding").scalar()
+    s = semantic_search(v, "embedding", q, "vec_id", 15)
+    return s.select("rank", "vec_id", F.round("score", 6).alias("score"))
+
+
+def _silhouette(spark, sf):
+    from vocspark.operators.vectors import silhouette
+    return silhouette(FX.fx_vectors(spark, sf), "category", "embedding")
+
+
+def _drift(spark, sf):
+    from vocspark.operators.vectors import drift_pairs
+    return drift_pairs(FX.fx_semantic(spark, sf), "category", "month", "embedding", "text")
+
+
+def _drift_summary(spark, sf):
+    from vocspark.operators.vectors import drift_summary
+    return drift_summary(_drift(spark, sf), 0, cut=0.0)
+
+
+def _shifting_terms(spark, sf):
+    from vocspark.operators.textops import shifting_terms
+    return shifting_terms(FX.fx_semantic(spark, sf), "category", "month", "text")
+
+
+def _near_dup(spark, sf):
+    from vocspark.operators.vectors import greedy_dedup
+    from vocspark.functions import vectors as V
+    v = FX.fx_vectors(spark, sf)
+    c = _vec_centroids(spark, sf)
+    j = v.join(F.broadcast(c.select("category", "centroid")), "category")
+    j = j.withColumn("align", V.dot(V.normalize("embedding"), F.col("centroid")))
+    return greedy_dedup(j, "category", [F.col("align").desc(), F.col("vec_id").asc()], "embedding", "vec_id",
+                        keep=15, threshold=0.85, candidates=20)
+
+
 QUERIES = {
     "monthly_rates": _q_monthly_rates,
     "topic_stats": _q_topic_stats,
@@ -67,4 +168,19 @@ QUERIES = {
     "report_sentiment": lambda sp, sf: R.report_sentiment(FX.fx_reviews(sp, sf), AS_OF, 3),
     "report_kpis": lambda sp, sf: R.report_kpis(FX.fx_reviews(sp, sf), _ts(sp, sf), AS_OF, 3),
     "report_top_issues": lambda sp, sf: R.report_top_issues(_topics(sp, sf), _ts(sp, sf), 3),
+    "text_scores": _text_scores,
+    "valid_reviews": _valid_reviews,
+    "clean_text": _clean_text,
+    "value_weight": _value_weight,
+    "hash_tier": _hash_tier,
+    "cluster_keywords": _cluster_keywords,
+    "keyword_titles": _keyword_titles,
+    "category_centroids": _vec_centroids,
+    "semantic_classify": _semantic_classify,
+    "semantic_search": _semantic_search,
+    "silhouette": _silhouette,
+    "semantic_drift": _drift,
+    "semantic_drift_summary": _drift_summary,
+    "shifting_terms": _shifting_terms,
+    "near_dup_evidence": _near_dup,
 }

@@ -163,3 +163,20 @@ def fx_aspect_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
     """aspect_analysis over the negative, valid fixture reviews (fixture aspect lexicon)."""
     from vocspark.plans.dashboard import aspect_counts
     return aspect_counts(fx_negative_valid(spark, sf_dir), "content", FX_ASPECT_KEYWORDS)
+
+
+def fx_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents with an embedding: every document gets embeddings[doc_id mod n_vecs].
+
+    Columns: doc_id, text, lang, embedding, category ('c' || label), month ('2024-0' || 1 + doc_id mod 6).
+    """
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    n_vecs = e.select(F.count(F.lit(1))).scalar()
+    j = d.join(e, F.pmod(d.doc_id, n_vecs) == e.vec_id)
+    return j.select(
+        "doc_id", "text", "lang",
+        F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
+        F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
+        F.concat(F.lit("2024-0"), (F.lit(1) + F.pmod(F.col("doc_id"), F.lit(6))).cast("string")).alias("month"),
+    )
