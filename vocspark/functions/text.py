@@ -27,7 +27,7 @@ def py_strip(text) -> Column:
 def words(text, lower: bool = True) -> Column:
     """Python str.split(): whitespace tokens, no empty strings."""
     t = F.lower(_col(text)) if lower else _col(text)
-    return F.filter(F.split(t, WS), lambda w: w != F.lit(""))
+    return F.array_remove(F.split(t, WS), "")
 
 
 def word_set(text) -> Column:
@@ -100,6 +100,26 @@ def dominant_word_ratio(text) -> Column:
     return longest_run(F.array_sort(ws)) / F.greatest(F.size(ws), F.lit(1))
 
 
+def has_majority_word(text) -> Column:
+    """F8: does one (lower-cased) word make up more than half of the words?
+
+    Boyer–Moore majority vote (one O(n) pass, no sort) finds the only possible
+    candidate; its exact count is n - size(array_remove(words, candidate)).
+    """
+    ws = words(text)
+    init = F.struct(F.lit(None).cast("string").alias("c"), F.lit(0).alias("k"))
+
+    def step(acc, x):
+        return F.when(acc["k"] == 0, F.struct(x.alias("c"), F.lit(1).alias("k"))) \
+                .when(acc["c"] == x, F.struct(acc["c"].alias("c"), (acc["k"] + 1).alias("k"))) \
+                .otherwise(F.struct(acc["c"].alias("c"), (acc["k"] - 1).alias("k")))
+
+    cand = F.aggregate(ws, init, step, lambda acc: acc["c"])
+    n = F.size(ws)
+    cnt = n - F.size(F.array_remove(ws, F.coalesce(cand, F.lit(""))))
+    return F.coalesce(cnt * 2 > n, F.lit(False))
+
+
 def canned(text_lower: Column, patterns=None) -> Column:
     cond = None
     for p in patterns or C.CANNED_PATTERNS:
@@ -120,7 +140,7 @@ def is_valid_review(text, lang=None, english: str = "en", patterns=None) -> Colu
     if lang is not None:
         ok = ok & (F.coalesce(_col(lang), F.lit("")) == F.lit(english))
     ok = ok & ~canned(lw, patterns) & ~lw.rlike(r"(.)\1{4,}")
-    ok = ok & ~((n_words > 4) & (dominant_word_ratio(t) > 0.5))
+    ok = ok & ~((n_words > 4) & has_majority_word(t))
     return F.coalesce(ok, F.lit(False))
 
 
@@ -149,14 +169,45 @@ def lemma(w: Column) -> Column:
             .otherwise(w))
 
 
+def trie_regex(words_) -> str:
+    """Alternation of literal words factored as a prefix trie, so the regex
+    engine tries ~one branch per position instead of every word."""
+    import re as _re
+    trie: dict = {}
+    for w in set(words_):
+        node = trie
+        for ch in w:
+            node = node.setdefault(ch, {})
+        node[""] = {}
+
+    def emit(node) -> str:
+        alts = []
+        end = "" in node
+        for ch in sorted(k for k in node if k):
+            alts.append(_re.escape(ch) + emit(node[ch]))
+        if not alts:
+            return ""
+        body = alts[0] if len(alts) == 1 else "(?:" + "|".join(alts) + ")"
+        return f"(?:{body})?" if end else body
+
+    return "(?:" + emit(trie) + ")"
+
+
 def clean_text(text, stop_words=None) -> Column:
-    """lower, drop URLs, keep letters and whitespace, drop stop words, lemma, join by space."""
+    """lower, drop URLs, keep letters and whitespace, drop stop words, lemma, join by space.
+
+    After the letter filter every token is a maximal [a-z]+ run, so stop-word
+    removal and the suffix lemma rules are whole-string regex rewrites (one
+    codegen'd pass each) instead of per-token lambdas; the result equals the
+    token pipeline (split, filter, transform, join).
+    """
     t = F.lower(F.coalesce(_col(text).cast("string"), F.lit("")))
     t = F.regexp_replace(t, r"http\S+|www\S+", "")
     t = F.regexp_replace(t, r"[^a-zA-Z\s]", "")
-    toks = F.filter(F.split(t, WS), lambda w: w != F.lit(""))
-    toks = F.filter(toks, lambda w: ~F.array_contains(C.str_array(stop_words or STOP_WORDS), w))
-    return F.array_join(F.transform(toks, lemma), " ")
+    t = F.regexp_replace(t, r"(?<![a-z])" + trie_regex(stop_words or STOP_WORDS) + r"(?![a-z])", "")
+    t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,})ies(?![a-z])", "$1y")
+    t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,}[a-rtvwxyz])s(?![a-z])", "$1")
+    return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 
 def snippet(text, n: int = 180) -> Column:

@@ -23,11 +23,22 @@ def norm(a) -> Column:
     return F.sqrt(F.aggregate(F.transform(_c(a), lambda x: x * x), F.lit(0.0), lambda acc, v: acc + v))
 
 
+def scale_by(a, d: Column) -> Column:
+    """Element-wise a / d with d evaluated once per row.
+
+    A lambda that referenced `d` directly would re-evaluate it for every
+    element (lambdas get no common-subexpression elimination), so d is
+    repeated into an array first and zipped in.
+    """
+    a = _c(a)
+    return F.zip_with(a, F.array_repeat(d, F.size(a)), lambda x, y: x / y)
+
+
 def normalize(a, eps: float = 0.0) -> Column:
     """L2-normalise; a zero vector is divided by 1 (eps = 0) or kept finite by eps > 0."""
     n = norm(a)
     d = (n + F.lit(eps)) if eps > 0 else F.when(n == 0, F.lit(1.0)).otherwise(n)
-    return F.transform(_c(a), lambda x: x / d)
+    return scale_by(a, d)
 
 
 def cosine(a, b) -> Column:
@@ -39,7 +50,7 @@ def scale(a, k) -> Column:
     return F.transform(_c(a), lambda x: x * _c(k))
 
 
-def argmax_label(scores: Column, labels: Column) -> Column:
-    """Index-stable argmax: struct(score, -index) so ties go to the first label."""
-    best = F.array_max(F.transform(scores, lambda s, i: F.struct(s.alias("s"), (-i).alias("ni"))))
-    return F.struct(best["s"].alias("score"), F.element_at(labels, (-best["ni"] + 1).cast("int")).alias("label"))
+def argmax(scores: Column) -> Column:
+    """Index-stable argmax as struct(s, ni) with ni = -index (ties go to the first element).
+    Materialise it in its own column before reading both fields."""
+    return F.array_max(F.transform(scores, lambda s, i: F.struct(s.alias("s"), (-i).alias("ni"))))

@@ -55,15 +55,14 @@ def classify(df: DataFrame, vec: str, cents: DataFrame, key: str = "category", c
 
     Adds `best_label`, `confidence` (raw cosine) and `predicted`.
     """
-    x = V.normalize(vec)
-    sims = F.transform("_packed", lambda c: V.dot(x, c["v"]))
-    labels = F.transform("_packed", lambda c: c["k"])
-    best = V.argmax_label(sims, labels)
-    out = df.withColumn("_packed", pack(cents, key, centroid)).withColumn("_best", best).drop("_packed")
-    return out.withColumn("best_label", F.col("_best.label")) \
-              .withColumn("confidence", F.col("_best.score")) \
-              .withColumn("predicted", F.when(F.col("confidence") >= threshold, F.col("best_label"))
-                          .otherwise(F.lit(fallback))).drop("_best")
+    # argmax of raw dot products = argmax of cosines (positive row norm); divide once after
+    raw = F.transform("_packed", lambda c: V.dot(F.col(vec), c["v"]))
+    n = V.norm(vec)
+    out = df.withColumn("_packed", pack(cents, key, centroid)).withColumn("_best", V.argmax(raw))
+    out = out.withColumn("best_label", F.element_at(F.col("_packed"), (F.lit(1) - F.col("_best.ni")).cast("int"))["k"]) \
+             .withColumn("confidence", F.col("_best.s") / F.when(n == 0, F.lit(1.0)).otherwise(n))
+    return out.withColumn("predicted", F.when(F.col("confidence") >= threshold, F.col("best_label"))
+                          .otherwise(F.lit(fallback))).drop("_best", "_packed")
 
 
 def semantic_search(df: DataFrame, vec: str, query: Column, id_col: str, top_n: int = 15) -> DataFrame:
@@ -87,11 +86,12 @@ def silhouette(df: DataFrame, label: str, vec: str) -> DataFrame:
     per = u.withColumn("_packed", packed).select("_l", F.transform("_packed", lambda c: F.struct(
         c["k"].alias("k"), c["n"].alias("n"), V.dot(F.col("_u"), c["S"]).alias("d"))).alias("_cs"),
         V.dot("_u", "_u").alias("_xx"))
-    own = F.filter("_cs", lambda c: c["k"] == F.col("_l"))[0]
-    others = F.filter("_cs", lambda c: c["k"] != F.col("_l"))
-    a = (own["n"] - F.lit(1) - (own["d"] - F.col("_xx"))) / (own["n"] - F.lit(1))
-    b = F.array_min(F.transform(others, lambda c: F.lit(1.0) - c["d"] / c["n"]))
-    s = F.when(own["n"] <= 1, F.lit(0.0)).otherwise((b - a) / F.greatest(a, b))
+    # staged projections: each non-trivial value is computed once per row
+    per = per.withColumn("_own", F.filter("_cs", lambda c: c["k"] == F.col("_l"))[0]) \
+             .withColumn("_b", F.array_min(F.transform(F.filter("_cs", lambda c: c["k"] != F.col("_l")),
+                                                        lambda c: F.lit(1.0) - c["d"] / c["n"])))
+    per = per.withColumn("_a", (F.col("_own.n") - F.lit(1) - (F.col("_own.d") - F.col("_xx"))) / (F.col("_own.n") - F.lit(1)))
+    s = F.when(F.col("_own.n") <= 1, F.lit(0.0)).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))
     r = per.select(s.alias("s"))
     nk = sums.select(F.count(F.lit(1))).scalar()
     return r.agg(F.avg("s").alias("v"), F.count(F.lit(1)).alias("n")).select(

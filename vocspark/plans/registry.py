@@ -23,22 +23,26 @@ def _q_topic_stats(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _q_top_issues_3m(spark: SparkSession, sf: str) -> DataFrame:
-    return D.top_issues(FX.fx_topics(spark, sf), FX.fx_timeseries(spark, sf), 3)
+    return D.top_issues(_topics(spark, sf), _ts(spark, sf), 3)
 
 
 def _q_top_issues_all(spark: SparkSession, sf: str) -> DataFrame:
-    return D.top_issues(FX.fx_topics(spark, sf), FX.fx_timeseries(spark, sf), 0)
+    return D.top_issues(_topics(spark, sf), _ts(spark, sf), 0)
 
 
 AS_OF = FX.AS_OF
 
 
 def _ts(spark, sf):
-    return FX.fx_timeseries(spark, sf)
+    return FX.timeseries_table(spark, sf)
 
 
 def _topics(spark, sf):
-    return FX.fx_topics(spark, sf)
+    return FX.topics_table(spark, sf)
+
+
+def _aspects(spark, sf):
+    return FX.aspect_table(spark, sf)
 
 
 def _docs(spark, sf):
@@ -150,19 +154,19 @@ QUERIES = {
     "kpis": lambda sp, sf: D.kpis(FX.fx_reviews(sp, sf), _ts(sp, sf), AS_OF, 3),
     "kpis_all": lambda sp, sf: D.kpis(FX.fx_reviews(sp, sf), _ts(sp, sf), AS_OF, 0),
     "aspects_3m": lambda sp, sf: D.aspects_map(_ts(sp, sf), _topics(sp, sf), 3),
-    "aspect_mentions": lambda sp, sf: FX.fx_aspect_analysis(sp, sf),
-    "threshold_alerts": lambda sp, sf: D.threshold_alerts(FX.fx_aspect_analysis(sp, sf), AS_OF),
+    "aspect_mentions": lambda sp, sf: _aspects(sp, sf),
+    "threshold_alerts": lambda sp, sf: D.threshold_alerts(_aspects(sp, sf), AS_OF),
     "trending_long": lambda sp, sf: D.trending(_ts(sp, sf), 0),
     "trending_3m": lambda sp, sf: D.trending(_ts(sp, sf), 3),
     "trending_6m_revenue": lambda sp, sf: D.trending(_ts(sp, sf), 6, "revenue"),
     "issue_correlation": lambda sp, sf: D.issue_correlation(_ts(sp, sf), 0, threshold=-1.0),
     "velocity_alerts": lambda sp, sf: D.velocity_alerts(_ts(sp, sf), 3),
-    "intelligence_alerts": lambda sp, sf: D.intelligence_alerts(_ts(sp, sf), FX.fx_aspect_analysis(sp, sf), 3),
+    "intelligence_alerts": lambda sp, sf: D.intelligence_alerts(_ts(sp, sf), _aspects(sp, sf), 3),
     "sentiment_stability": lambda sp, sf: D.sentiment_stability(_ts(sp, sf), _topics(sp, sf), 0),
     "sentiment_stability_6m": lambda sp, sf: D.sentiment_stability(_ts(sp, sf), _topics(sp, sf), 6),
     "report_alerts": lambda sp, sf: R.report_alerts(_ts(sp, sf), 3),
     "report_alerts_all": lambda sp, sf: R.report_alerts(_ts(sp, sf), 0),
-    "report_aspects": lambda sp, sf: R.report_aspects(FX.fx_aspect_analysis(sp, sf), _ts(sp, sf), 3),
+    "report_aspects": lambda sp, sf: R.report_aspects(_aspects(sp, sf), _ts(sp, sf), 3),
     "report_stability": lambda sp, sf: R.report_stability(_topics(sp, sf), _ts(sp, sf), 0),
     "report_movers": lambda sp, sf: R.report_movers(_ts(sp, sf), 12),
     "report_sentiment": lambda sp, sf: R.report_sentiment(FX.fx_reviews(sp, sf), AS_OF, 3),

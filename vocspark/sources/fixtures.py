@@ -180,3 +180,29 @@ def fx_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
         F.concat(F.lit("2024-0"), (F.lit(1) + F.pmod(F.col("doc_id"), F.lit(6))).cast("string")).alias("month"),
     )
+
+
+# ---------------------------------------------------------------------------
+# Materialised derived tables (built once per input folder, then read back)
+# ---------------------------------------------------------------------------
+
+def classified_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocspark.sources.derived import derived
+    return derived(spark, sf_dir, "review_classifications", lambda: fx_classified(spark, sf_dir))
+
+
+def timeseries_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocspark.operators.series import monthly_rates
+    from vocspark.sources.derived import derived
+    return derived(spark, sf_dir, "topic_timeseries", lambda: monthly_rates(classified_table(spark, sf_dir)))
+
+
+def topics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocspark.operators.series import topic_stats
+    from vocspark.sources.derived import derived
+    return derived(spark, sf_dir, "topic_analysis", lambda: topic_stats(classified_table(spark, sf_dir)))
+
+
+def aspect_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from vocspark.sources.derived import derived
+    return derived(spark, sf_dir, "aspect_analysis", lambda: fx_aspect_analysis(spark, sf_dir))
