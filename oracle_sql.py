@@ -392,7 +392,7 @@ g2 AS (SELECT grid.issue_label, grid.month, vals.v FROM grid LEFT JOIN vals
        ON grid.issue_label = vals.issue_label AND grid.month = vals.month),
 bands AS (
   SELECT issue_label, month, v AS raw,
-    coalesce(round(CASE WHEN count(v) OVER w >= 2 THEN avg(v) OVER w END, 2), 0.0) AS value,
+    coalesce(CASE WHEN count(v) OVER w >= 2 THEN round(avg(CAST(round(v * 100) AS BIGINT)) OVER w, 0) / 100.0 END, 0.0) AS value,
     coalesce(round(CASE WHEN count(v) OVER w >= 2 THEN avg(v) OVER w + 1.5 * stddev_samp(v) OVER w END, 2), 0.0) AS upper_bound,
     coalesce(round(CASE WHEN lag(v) OVER w2 <> 0 THEN (v - lag(v) OVER w2) / lag(v) OVER w2 * 100 END, 1), 0.0) AS mom_pct
   FROM g2
@@ -957,15 +957,71 @@ def semantic_drift_summary_sql(cut: float = 0.0) -> str:
     return "WITH " + ",\n".join(drift_ctes()) + f"""
 , g AS (
   SELECT category, avg(drift_score) AS a, max(drift_score) AS mx, count(*) AS n,
+         round(avg(CAST(round(drift_score * 10000) AS BIGINT)), 0) / 10000.0 AS a4,
          arg_max(shifting_terms, month_from || '|' || month_to) AS terms
   FROM drift GROUP BY category HAVING avg(drift_score) > {cut}
 )
-SELECT category, round(a, 4) AS avg_drift, round(mx, 4) AS max_drift, CAST(n AS BIGINT) AS n_months,
+SELECT category, a4 AS avg_drift, round(mx, 4) AS max_drift, CAST(n AS BIGINT) AS n_months,
   coalesce(terms, 'stable') AS shifting_terms, CAST(least(round_even(a * 50, 0), 5.0) AS BIGINT) AS trend_bar,
   row_number() OVER (ORDER BY a DESC, category) AS rank
 FROM g"""
 
 
+def _evidence_cols(src: str = "") -> str:
+    p = f"{src}." if src else ""
+    return (f"{p}text, {p}date AS \"at\", CAST(trunc({p}severity) AS INTEGER) AS score, {p}user_tier, "
+            f"{p}value_weight, {p}app_version, CAST({p}upvotes AS BIGINT) AS upvotes")
+
+
+def issue_reviews_sql(issue: str, n: int, top: int = 100) -> str:
+    iss = issue.strip().replace("'", "''")
+    cond = f"trim(category) = '{iss}'" + (" AND date IS NOT NULL AND date <> ''" if n > 0 else "")
+    months = (f"""m2 AS (SELECT * FROM m WHERE date IN (
+    SELECT date FROM (SELECT date, row_number() OVER (ORDER BY date DESC) AS rk FROM (SELECT DISTINCT date FROM m) x) y
+    WHERE rk <= {n}))""" if n > 0 else "m2 AS (SELECT * FROM m)")
+    win = f"Last {n}M" if n > 0 else "All Time"
+    return "WITH " + ",\n".join(base_ctes()) + f"""
+, m AS (SELECT * FROM fx_classified WHERE {cond}),
+{months},
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY confidence DESC, text) AS pr
+                     FROM m2 WHERE length(text) > 20) x WHERE pr = 1),
+r AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, text) AS rk FROM d)
+SELECT rk AS rank, {_evidence_cols()}, (SELECT count(*) FROM m2) AS total_in_window, '{win}' AS window
+FROM r WHERE rk <= {top}"""
+
+
+def diagnostic_evidence_sql(month: str | None, topic: str | None, aspect: str | None, top: int = 100) -> str:
+    conds = ["true"]
+    if month:
+        conds.append(f"contains(date, '{month}')")
+    if topic:
+        conds.append(f"(coalesce(regexp_matches(category, '(?i){topic}'), false) OR "
+                     f"coalesce(regexp_matches(text, '(?i){topic}'), false))")
+    if aspect:
+        conds.append(f"category IN ({', '.join(repr(x) for x in C.ASPECT_MAP.get(aspect, []))})")
+    return "WITH " + ",\n".join(base_ctes()) + f"""
+, r AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, text) AS rk FROM fx_classified WHERE {' AND '.join(conds)})
+SELECT rk AS rank, 'enriched-' || substr(md5(text), 1, 12) AS id, {_evidence_cols()} FROM r WHERE rk <= {top}"""
+
+
+def live_ticker_sql(n: int = 15) -> str:
+    return "WITH " + fx_reviews_cte() + f"""
+, t AS (SELECT *, row_number() OVER (ORDER BY "at" DESC NULLS LAST, reviewId) AS rk FROM fx_reviews)
+SELECT rk AS rank, reviewId AS id, substr(content, 1, 200) AS text, coalesce(sentiment, 'neutral') AS sentiment, "at"
+FROM t WHERE rk <= {n} AND length(content) >= 30"""
+
+
+def reviews_head_sql(n: int = 50) -> str:
+    return "WITH " + fx_reviews_cte() + f"""
+SELECT * EXCLUDE (doc_id) FROM fx_reviews ORDER BY CAST(reviewId AS BIGINT), reviewId LIMIT {n}"""
+
+
+def export_projection_sql(n: int) -> str:
+    return "WITH " + fx_reviews_cte() + f"""
+SELECT reviewId, content, score, sentiment, "at", app, appVersion FROM fx_reviews
+WHERE "at" >= TIMESTAMP '{AS_OF}' - INTERVAL {n} MONTH"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -1008,4 +1064,11 @@ def all_sql() -> dict[str, str]:
         "semantic_drift": semantic_drift_sql(),
         "semantic_drift_summary": semantic_drift_summary_sql(),
         "shifting_terms": shifting_terms_sql(),
+        "issue_reviews_3m": issue_reviews_sql("UI & Navigation", 3),
+        "issue_reviews_all": issue_reviews_sql("Customer Support", 0),
+        "diagnostic_evidence": diagnostic_evidence_sql("2000", "login|billing", None),
+        "diagnostic_evidence_aspect": diagnostic_evidence_sql("2001-0", None, "Performance/Technical"),
+        "live_ticker": live_ticker_sql(),
+        "reviews_head": reviews_head_sql(),
+        "export_projection": export_projection_sql(3),
     }

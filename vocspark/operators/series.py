@@ -224,11 +224,15 @@ def control_bands(long: DataFrame, key: str, value: str, month: str = "month", w
     cnt = F.count(F.col(value)).over(w)
     mean = F.when(cnt >= min_periods, F.avg(value).over(w))
     std = F.when(cnt >= min_periods, F.stddev_samp(value).over(w))
+    # the series holds 2-dp values: average whole cents so the half-cent means of
+    # two points ((a + b) / 2) round half-up exactly instead of on a binary approximation
+    cents = F.round(F.col(value) * F.lit(100)).cast("long")
+    mean_2dp = F.when(cnt >= min_periods, F.round(F.avg(cents).over(w), 0) / F.lit(100.0))
     prev = F.lag(value).over(W.partitionBy(key).orderBy(month))
     mom = F.coalesce(F.round(F.try_divide(F.col(value) - prev, prev) * F.lit(100), 1), F.lit(0.0))
     return long.select(
         key, month, F.col(value).alias("raw"),
-        F.coalesce(F.round(mean, 2), F.lit(0.0)).alias("value"),
+        F.coalesce(mean_2dp, F.lit(0.0)).alias("value"),
         F.coalesce(F.round(mean + F.lit(k) * std, 2), F.lit(0.0)).alias("upper_bound"),
         mom.alias("mom_pct"),
     )

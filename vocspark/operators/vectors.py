@@ -169,10 +169,13 @@ def drift_summary(drift: DataFrame, limit_months: int = 0, cut: float = C.DRIFT_
              .filter(F.col("_rk") <= limit_months).select("month_from")
         d = drift.join(F.broadcast(m), "month_from")
     g = d.groupBy("category").agg(F.avg("drift_score").alias("avg"), F.max("drift_score").alias("mx"),
+                                  # 4-dp scores: average whole 1e-4 units so ties round half-up exactly
+                                  (F.round(F.avg(F.round(F.col("drift_score") * 10000).cast("long")), 0)
+                                   / F.lit(10000.0)).alias("avg4"),
                                   F.count(F.lit(1)).alias("n"),
                                   F.max_by("shifting_terms", F.struct("month_from", "month_to")).alias("terms"))
     g = g.filter(F.col("avg") > cut)
-    out = g.select("category", F.round("avg", 4).alias("avg_drift"), F.round("mx", 4).alias("max_drift"),
+    out = g.select("category", F.col("avg4").alias("avg_drift"), F.round("mx", 4).alias("max_drift"),
                    F.col("n").cast("long").alias("n_months"),
                    F.coalesce(F.col("terms"), F.lit("stable")).alias("shifting_terms"),
                    F.least(F.bround(F.col("avg") * 50, 0), F.lit(5.0)).cast("long").alias("trend_bar"),

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from vocspark.plans import dashboard as D
 from vocspark.plans import report as R
+from vocspark.plans import evidence as EV
 from vocspark.sources import fixtures as FX
 
 
@@ -187,4 +188,14 @@ QUERIES = {
     "semantic_drift_summary": _drift_summary,
     "shifting_terms": _shifting_terms,
     "near_dup_evidence": _near_dup,
+    "issue_reviews_3m": lambda sp, sf: EV.issue_reviews(FX.classified_table(sp, sf), "UI & Navigation", 3,
+                                                        topics=_topics(sp, sf)),
+    "issue_reviews_all": lambda sp, sf: EV.issue_reviews(FX.classified_table(sp, sf), "Customer Support", 0),
+    "diagnostic_evidence": lambda sp, sf: EV.diagnostic_evidence(FX.classified_table(sp, sf), month="2000",
+                                                                 topic="login|billing"),
+    "diagnostic_evidence_aspect": lambda sp, sf: EV.diagnostic_evidence(FX.classified_table(sp, sf), month="2001-0",
+                                                                        aspect="Performance/Technical"),
+    "live_ticker": lambda sp, sf: EV.live_ticker(FX.fx_reviews(sp, sf)),
+    "reviews_head": lambda sp, sf: EV.reviews_head(FX.fx_reviews(sp, sf)),
+    "export_projection": lambda sp, sf: EV.export_projection(FX.fx_reviews(sp, sf), AS_OF, 3),
 }

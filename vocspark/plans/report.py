@@ -192,7 +192,7 @@ def report_top_issues(topics: DataFrame, ts: DataFrame, limit_months: int = 0, t
                   lambda x: x != F.lit(""))
     out = t.select("label", F.col("mentions").cast("long").alias("mentions"),
                    F.round("avg_severity", 1).alias("severity"),
-                   F.coalesce(F.element_at(ev, 1), F.lit("No evidence snippet available.")).alias("evidence"),
+                   F.coalesce(F.try_element_at(ev, F.lit(1)), F.lit("No evidence snippet available.")).alias("evidence"),
                    F.col("avg_severity").alias("_sev"))
     out = _rank(out, [F.col("mentions").desc(), F.col("_sev").desc(), F.col("label").asc()]).drop("_sev")
     return out.filter(F.col("rank") <= top)

@@ -44,8 +44,8 @@ def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     n_docs = d.select(F.count(F.lit(1))).scalar()
-    oc = o.join(c, o.o_custkey == c.c_custkey, "inner")
-    r = oc.join(d, F.pmod(oc.o_orderkey, n_docs) == d.doc_id, "inner")
+    oc = o.join(c, o.o_custkey == c.c_custkey, "inner").withColumn("_doc", F.pmod(F.col("o_orderkey"), n_docs))
+    r = oc.join(d, oc._doc == d.doc_id, "inner")
     score = (F.lit(1) + F.pmod(F.lit(7) * F.col("o_orderkey") + F.col("o_custkey"), F.lit(5))).cast("int")
     return r.select(
         F.col("o_orderkey").cast("string").alias("reviewId"),
@@ -173,7 +173,8 @@ def fx_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
     d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     n_vecs = e.select(F.count(F.lit(1))).scalar()
-    j = d.join(e, F.pmod(d.doc_id, n_vecs) == e.vec_id)
+    d = d.withColumn("_vec", F.pmod(F.col("doc_id"), n_vecs))
+    j = d.join(e, d._vec == e.vec_id)
     return j.select(
         "doc_id", "text", "lang",
         F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
