@@ -1022,6 +1022,86 @@ SELECT reviewId, content, score, sentiment, "at", app, appVersion FROM fx_review
 WHERE "at" >= TIMESTAMP '{AS_OF}' - INTERVAL {n} MONTH"""
 
 
+def metrics_body(src: str, t: str, p: str) -> str:
+    return f"""
+, m_conf AS (SELECT CAST({t} AS VARCHAR) AS t, CAST({p} AS VARCHAR) AS p, count(*) AS c FROM {src} GROUP BY 1, 2),
+m_t AS (SELECT t AS label, sum(c) AS support, sum(CASE WHEN t = p THEN c END) AS tp FROM m_conf GROUP BY 1),
+m_p AS (SELECT p AS label, sum(c) AS predicted FROM m_conf GROUP BY 1),
+m_j AS (SELECT coalesce(a.label, b.label) AS label, coalesce(support, 0) AS support, coalesce(tp, 0) AS tp,
+               coalesce(predicted, 0) AS predicted FROM m_t a FULL JOIN m_p b ON a.label = b.label),
+m_j2 AS (SELECT *, CASE WHEN predicted > 0 THEN tp / predicted ELSE 0.0 END AS prec,
+                   CASE WHEN support > 0 THEN tp / support ELSE 0.0 END AS rec FROM m_j),
+m_j3 AS (SELECT *, CASE WHEN prec + rec > 0 THEN 2 * prec * rec / (prec + rec) ELSE 0.0 END AS f1 FROM m_j2)
+SELECT label, round(prec, 4) AS precision, round(rec, 4) AS recall, round(f1, 4) AS f1, CAST(support AS BIGINT) AS support FROM m_j3
+UNION ALL SELECT 'accuracy', CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), round(sum(tp) / sum(support), 4),
+  CAST(sum(support) AS BIGINT) FROM m_j3
+UNION ALL SELECT 'macro avg', round(avg(prec), 4), round(avg(rec), 4), round(avg(f1), 4), CAST(sum(support) AS BIGINT) FROM m_j3
+UNION ALL SELECT 'weighted avg', round(sum(prec * support) / sum(support), 4), round(sum(rec * support) / sum(support), 4),
+  round(sum(f1 * support) / sum(support), 4), CAST(sum(support) AS BIGINT) FROM m_j3"""
+
+
+def classifier_metrics_sql() -> str:
+    cls = semantic_classify_sql().split("\nSELECT vec_id, category, cc AS best_label")[0]
+    return cls + """
+, cls AS (SELECT vec_id, category, CASE WHEN s >= 0.3 THEN cc ELSE 'General App Feedback' END AS predicted FROM best)""" + \
+        metrics_body("cls", "category", "predicted")
+
+
+def _hash_pct(expr: str, seed: int) -> str:
+    return f"(CAST('0x' || substr(md5('{seed}' || CAST({expr} AS VARCHAR)), 1, 8) AS BIGINT) % 100)"
+
+
+def eval_centroids_sql() -> str:
+    return "WITH " + ",\n".join([
+        fx_vectors_cte(),
+        f"sp AS (SELECT *, CASE WHEN {_hash_pct('vec_id', 42)} < 20 THEN 'test' ELSE 'train' END AS split FROM fx_vectors)",
+        "tr AS (SELECT * FROM sp WHERE split = 'train')",
+        centroids_cte("tr", "category", "embedding")]) + f"""
+, te AS (SELECT vec_id, category, {_norm_sql('embedding')} AS u FROM sp WHERE split = 'test'),
+sims AS (SELECT te.vec_id, te.category, c.category AS cc, list_dot_product(te.u, c.centroid) AS s FROM te CROSS JOIN cents c),
+best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY s DESC, cc) AS r FROM sims) x WHERE r = 1),
+pred AS (SELECT category, cc AS predicted FROM best)""" + metrics_body("pred", "category", "predicted")
+
+
+def bootstrap_cte(cap: int = 300) -> str:
+    return f"""boot AS (
+  SELECT text AS review, category FROM (
+    SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, text) AS rk FROM fx_classified
+    WHERE confidence IS NOT NULL AND confidence >= 0.0 AND category <> '{C.FALLBACK_LABEL}'
+      AND text IS NOT NULL AND trim(text) <> '') x
+  WHERE rk <= {cap}
+)"""
+
+
+def bootstrap_labels_sql() -> str:
+    return "WITH " + ",\n".join(base_ctes() + [bootstrap_cte()]) + "\nSELECT review, category FROM boot"
+
+
+def label_coverage_sql() -> str:
+    vals = ", ".join(f"('{x}')" for x in C.ALL_LABELS)
+    return "WITH " + ",\n".join(base_ctes() + [bootstrap_cte()]) + f"""
+, tax(category) AS (VALUES {vals}),
+cnt AS (SELECT category, count(*) AS n FROM boot GROUP BY 1)
+SELECT tax.category, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n FROM tax LEFT JOIN cnt ON tax.category = cnt.category"""
+
+
+def triplets_sql(cap: int = 500, seed: int = 42, eval_pct: int = 10) -> str:
+    return "WITH " + ",\n".join(base_ctes() + [bootstrap_cte()]) + f"""
+, r AS (SELECT review AS t, category AS c, md5('{seed}' || review) AS h,
+               row_number() OVER (PARTITION BY category ORDER BY md5('{seed}' || review), review) - 1 AS rk,
+               count(*) OVER (PARTITION BY category) AS sz FROM boot),
+cls AS (SELECT c, sz, row_number() OVER (ORDER BY md5('{seed}' || c), c) - 1 AS ci, count(*) OVER () AS nc
+        FROM (SELECT DISTINCT c, sz FROM r) d),
+a AS (SELECT r.*, cls.ci, cls.nc, (r.rk + 1) % r.sz AS prk, (cls.ci + 1) % cls.nc AS nci
+      FROM r JOIN cls ON r.c = cls.c WHERE r.sz > 1),
+x AS (SELECT a.*, p.t AS positive, n2.c AS ncls FROM a JOIN r p ON p.c = a.c AND p.rk = a.prk JOIN cls n2 ON n2.ci = a.nci),
+y AS (SELECT x.*, n.t AS negative FROM x JOIN r n ON n.c = x.ncls AND n.rk = x.rk % n.sz WHERE x.nc > 1),
+z AS (SELECT *, row_number() OVER (ORDER BY h, t) AS o FROM y)
+SELECT t AS anchor, positive, negative, c AS category,
+  CASE WHEN {_hash_pct('t', seed + 1)} < {eval_pct} THEN 'eval' ELSE 'train' END AS split
+FROM z WHERE o <= {cap}"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -1071,4 +1151,9 @@ def all_sql() -> dict[str, str]:
         "live_ticker": live_ticker_sql(),
         "reviews_head": reviews_head_sql(),
         "export_projection": export_projection_sql(3),
+        "classifier_metrics": classifier_metrics_sql(),
+        "bootstrap_labels": bootstrap_labels_sql(),
+        "label_coverage": label_coverage_sql(),
+        "triplets": triplets_sql(),
+        "eval_centroids": eval_centroids_sql(),
     }

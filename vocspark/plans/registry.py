@@ -146,6 +146,73 @@ def _near_dup(spark, sf):
                         keep=15, threshold=0.85, candidates=20)
 
 
+def _classifier_metrics(spark, sf):
+    from vocspark.operators.ml import classification_metrics
+    return classification_metrics(_semantic_classify(spark, sf), "category", "predicted")
+
+
+def _labeled_docs(spark, sf):
+    from vocspark.sources.tables import read_table
+    lab = read_table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor")
+                                                 .alias("label"))
+    return _docs(spark, sf).select("doc_id", "text").join(lab, "doc_id")
+
+
+def _sentiment_model(spark, sf):
+    """M1-M4 + A25: TF-IDF + balanced logistic regression, held-out metrics."""
+    from vocspark.operators import ml as ML
+    d = ML.hash_split(_labeled_docs(spark, sf), "doc_id", 20, 42)
+    model = ML.fit_sentiment(d.filter(F.col("split") == "train"), "text", "label", max_features=10000, max_iter=100)
+    pred = ML.predict_sentiment(d.filter(F.col("split") == "test"), model, "predicted")
+    return ML.classification_metrics(pred, "label", "predicted")
+
+
+def _topic_model(spark, sf):
+    """M5-M7: topic model on the English documents, most probable topic per document."""
+    from vocspark.operators import ml as ML
+    from vocspark.functions.text import STOP_WORDS
+    d = _docs(spark, sf).filter(F.col("lang") == "en").select("doc_id", "text")
+    model = ML.fit_topics(d, "text", k=10, max_iter=10, seed=42, stop_words=STOP_WORDS)
+    return ML.predict_topic(d, model).select("doc_id", "topic_id", "topic_keywords")
+
+
+def _bootstrap(spark, sf):
+    from vocspark.operators.ml import bootstrap_labels
+    return bootstrap_labels(FX.classified_table(spark, sf), cap=300).select("review", "category")
+
+
+def _label_coverage(spark, sf):
+    from vocspark.operators.ml import label_coverage
+    from vocspark import config as C
+    return label_coverage(_bootstrap(spark, sf), C.ALL_LABELS)
+
+
+def _triplets(spark, sf):
+    from vocspark.operators.ml import bootstrap_labels, triplets
+    lab = bootstrap_labels(FX.classified_table(spark, sf), cap=300)
+    return triplets(lab, cap=500, seed=42)
+
+
+def _eval_centroids(spark, sf):
+    """Nearest-centroid classifier trained on an 80 % hash split, scored on the rest."""
+    from vocspark.operators import ml as ML
+    from vocspark.operators.vectors import centroids, classify
+    v = ML.hash_split(FX.fx_vectors(spark, sf), "vec_id", 20, 42)
+    c = centroids(v.filter(F.col("split") == "train"), "category", "embedding")
+    pred = classify(v.filter(F.col("split") == "test"), "embedding", c, threshold=-2.0)
+    return ML.classification_metrics(pred, "category", "predicted")
+
+
+def _emerging(spark, sf):
+    """Clusters of the low-confidence pool (documents whose best centroid cosine < 0.30)."""
+    from vocspark.operators import ml as ML
+    from vocspark.operators.vectors import centroids, classify
+    sem = FX.fx_semantic(spark, sf)
+    cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
+    pool = classify(sem, "embedding", cents).filter(F.col("confidence") < 0.30)
+    return ML.emerging_clusters(pool, "embedding", "text", "month", label_centroids=cents)
+
+
 QUERIES = {
     "monthly_rates": _q_monthly_rates,
     "topic_stats": _q_topic_stats,
@@ -198,4 +265,12 @@ QUERIES = {
     "live_ticker": lambda sp, sf: EV.live_ticker(FX.fx_reviews(sp, sf)),
     "reviews_head": lambda sp, sf: EV.reviews_head(FX.fx_reviews(sp, sf)),
     "export_projection": lambda sp, sf: EV.export_projection(FX.fx_reviews(sp, sf), AS_OF, 3),
+    "classifier_metrics": _classifier_metrics,
+    "sentiment_model": _sentiment_model,
+    "topic_model": _topic_model,
+    "bootstrap_labels": _bootstrap,
+    "label_coverage": _label_coverage,
+    "triplets": _triplets,
+    "eval_centroids": _eval_centroids,
+    "emerging_clusters": _emerging,
 }
