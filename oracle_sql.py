@@ -1102,6 +1102,28 @@ SELECT t AS anchor, positive, negative, c AS category,
 FROM z WHERE o <= {cap}"""
 
 
+def stream_daily_sql() -> str:
+    return """SELECT date_trunc('day', ts) AS day, event_type AS category, count(*) AS reviews,
+  CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS severity_sum FROM events GROUP BY 1, 2"""
+
+
+def stream_weekly_sql() -> str:
+    return """SELECT ws AS window_start, event_type AS category, ws + INTERVAL 7 DAY AS window_end, count(*) AS reviews
+FROM (SELECT date_trunc('day', ts) - to_days(CAST(k AS INTEGER)) AS ws, event_type FROM events, range(0, 7) r(k)) x
+GROUP BY 1, 2, 3"""
+
+
+def stream_ticker_sql(n: int = 15) -> str:
+    return f"""SELECT * FROM (
+  SELECT CAST(event_id AS VARCHAR) AS reviewId, event_type AS category, ts AS "at", props AS content,
+         row_number() OVER (ORDER BY ts DESC, CAST(event_id AS VARCHAR)) AS rank FROM events) x WHERE rank <= {n}"""
+
+
+def stream_monthly_sql() -> str:
+    return """SELECT strftime(ts, '%Y-%m') AS month, event_type AS category, count(*) AS reviews,
+  CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS severity_sum FROM events GROUP BY 1, 2"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -1156,4 +1178,8 @@ def all_sql() -> dict[str, str]:
         "label_coverage": label_coverage_sql(),
         "triplets": triplets_sql(),
         "eval_centroids": eval_centroids_sql(),
+        "stream_daily_counts": stream_daily_sql(),
+        "stream_weekly_counts": stream_weekly_sql(),
+        "stream_ticker": stream_ticker_sql(),
+        "stream_monthly_rollup": stream_monthly_sql(),
     }

@@ -213,6 +213,29 @@ def _emerging(spark, sf):
     return ML.emerging_clusters(pool, "embedding", "text", "month", label_centroids=cents)
 
 
+def _landing(spark, sf):
+    """fx_events landed as files in the shared folder (once per input folder)."""
+    from vocspark.session import checkpoint_dir
+    from vocspark.sources.derived import _fingerprint
+    from vocspark.streaming.feed import land_events
+    ev = FX.fx_events(spark, sf).select("reviewId", "category", "at", "severity",
+                                        F.col("props").alias("content"))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-derived/{_fingerprint(spark, sf)}/landing_events"
+    return land_events(spark, ev, base)
+
+
+def _stream(kind):
+    def q(spark, sf):
+        from vocspark.streaming.feed import stream_table
+        return stream_table(spark, _landing(spark, sf), kind)
+    return q
+
+
+def _stream_monthly(spark, sf):
+    from vocspark.streaming.feed import monthly_rollup, stream_table
+    return monthly_rollup(stream_table(spark, _landing(spark, sf), "monthly"))
+
+
 QUERIES = {
     "monthly_rates": _q_monthly_rates,
     "topic_stats": _q_topic_stats,
@@ -273,4 +296,8 @@ QUERIES = {
     "triplets": _triplets,
     "eval_centroids": _eval_centroids,
     "emerging_clusters": _emerging,
+    "stream_daily_counts": _stream("daily"),
+    "stream_weekly_counts": _stream("weekly"),
+    "stream_ticker": _stream("ticker"),
+    "stream_monthly_rollup": _stream_monthly,
 }

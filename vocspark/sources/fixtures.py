@@ -133,6 +133,7 @@ def fx_events(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.col("ts").alias("at"),
         F.col("value").alias("severity"),
         F.col("user_id"),
+        F.col("props"),
     )
 
 
