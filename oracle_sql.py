@@ -56,21 +56,21 @@ def fx_classified_cte() -> str:
 )"""
 
 
-def fx_timeseries_cte() -> str:
-    return """fx_g AS (
+def fx_timeseries_cte(src: str = "fx_classified", name: str = "fx_timeseries", g: str = "fx_g") -> str:
+    return f"""{g} AS (
   SELECT category AS issue_label, date AS month, count(*) AS mentions,
          count(*) FILTER (WHERE length(text) > 20) AS n_long,
          sum(CASE WHEN length(text) > 20 THEN severity END) AS sev_sum,
          sum(CASE WHEN length(text) > 20 THEN CAST(financial_impact AS DECIMAL(18,2)) END) AS impact_sum
-  FROM fx_classified WHERE date IS NOT NULL AND date <> '' GROUP BY 1, 2
+  FROM {src} WHERE date IS NOT NULL AND date <> '' GROUP BY 1, 2
 ),
-fx_timeseries AS (
+{name} AS (
   SELECT issue_label AS topic_id, issue_label, month, CAST(mentions AS BIGINT) AS mentions,
     round(mentions / greatest(tot, 1) * 1000, 2) AS normalized_rate,
     round((CASE WHEN n_long > 0 THEN sev_sum ELSE mentions * 2.0 END) / greatest(tot, 1) * 1000, 2) AS severity_weighted_rate,
     round((CASE WHEN n_long > 0 THEN CAST(impact_sum AS DOUBLE) ELSE mentions * 2.0 END) / greatest(tot, 1) * 1000, 2) AS revenue_risk_score,
     CAST(tot AS BIGINT) AS total_reviews_in_month
-  FROM (SELECT *, sum(mentions) OVER (PARTITION BY month) AS tot FROM fx_g) x
+  FROM (SELECT *, sum(mentions) OVER (PARTITION BY month) AS tot FROM {g}) x
 )"""
 
 
@@ -1013,7 +1013,7 @@ FROM t WHERE rk <= {n} AND length(content) >= 30"""
 
 def reviews_head_sql(n: int = 50) -> str:
     return "WITH " + fx_reviews_cte() + f"""
-SELECT * EXCLUDE (doc_id) FROM fx_reviews ORDER BY CAST(reviewId AS BIGINT), reviewId LIMIT {n}"""
+SELECT * FROM fx_reviews ORDER BY CAST(reviewId AS BIGINT), reviewId LIMIT {n}"""
 
 
 def export_projection_sql(n: int) -> str:
@@ -1124,6 +1124,64 @@ def stream_monthly_sql() -> str:
   CAST(sum(CAST(value AS DECIMAL(20,2))) AS DOUBLE) AS severity_sum FROM events GROUP BY 1, 2"""
 
 
+def severity_sql(text: str, ws: str, l5, l4, l3) -> str:
+    return f"""least(round(2.0
+      + (CASE WHEN len(list_intersect({ws}, {_sql_list(l5)})) > 0 THEN 2.5
+              WHEN len(list_intersect({ws}, {_sql_list(l4)})) > 0 THEN 1.5
+              WHEN len(list_intersect({ws}, {_sql_list(l3)})) > 0 THEN 0.5 ELSE 0.0 END)
+      + (CASE WHEN length(regexp_replace({text}, '[^\\p{{Lu}}]', '', 'g')) / greatest(length({text}), 1) > 0.3 THEN 0.5 ELSE 0.0 END)
+      + least((length({text}) - length(replace({text}, '!', ''))) * 0.2, 0.6), 2), 5.0)"""
+
+
+def score_batch_ctes() -> list[str]:
+    FX = _fx()
+    w = f"round({_tier_weight_case('r.user_tier')} * (CASE WHEN TRY_CAST(r.clv AS DOUBLE) > 0 THEN 1.0 + ln(1.0 + TRY_CAST(r.clv AS DOUBLE) / 100.0) ELSE 1.0 END), 2)"
+    sev = severity_sql("r.content", "r.ws", FX.FX_SEVERITY_5, FX.FX_SEVERITY_4, FX.FX_SEVERITY_3)
+    return [fx_reviews_cte(), docs_valid_cte(), fx_vectors_cte(), centroids_cte("fx_vectors", "category", "embedding"),
+            f"""emb AS (SELECT vec_id, {_norm_sql('list_transform(embedding, lambda x: CAST(x AS DOUBLE))')} AS u FROM embeddings),
+sr AS (
+  SELECT fr.*, emb.u FROM fx_reviews fr JOIN docs_valid v ON v.doc_id = fr.doc_id AND v.is_valid
+  JOIN emb ON emb.vec_id = fr.doc_id % (SELECT count(*) FROM embeddings) WHERE fr.sentiment = 'negative'
+),
+ssims AS (SELECT sr.reviewId, c.category AS cc, list_dot_product(sr.u, c.centroid) AS d FROM sr CROSS JOIN cents c),
+sbest AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY reviewId ORDER BY d DESC, cc) AS rn FROM ssims) x WHERE rn = 1),
+r AS (SELECT sr.*, sbest.d, sbest.cc, list_distinct({_words_sql('sr.content')}) AS ws FROM sr JOIN sbest ON sr.reviewId = sbest.reviewId),
+scored AS (
+  SELECT r.content AS text, CASE WHEN r.d >= 0.3 THEN r.cc ELSE '{C.FALLBACK_LABEL}' END AS category, r.d AS confidence,
+    strftime(r."at", '%Y-%m') AS date, CAST({sev} AS DOUBLE) AS severity, CAST({w} AS DOUBLE) AS value_weight,
+    r.appVersion AS app_version, CAST(r.thumbsUpCount AS BIGINT) AS upvotes
+  FROM r
+),
+scored2 AS (
+  SELECT *, CAST(round(CAST(severity AS DECIMAL(12,2)) * CAST(value_weight AS DECIMAL(12,2)), 2) AS DOUBLE) AS financial_impact
+  FROM scored
+)""", fx_timeseries_cte("scored2", "sb_ts", "sb_g")]
+
+
+def score_batch_timeseries_sql() -> str:
+    return "WITH " + ",\n".join(score_batch_ctes()) + "\nSELECT * FROM sb_ts"
+
+
+def score_batch_classifications_sql() -> str:
+    return "WITH " + ",\n".join(score_batch_ctes()) + """
+SELECT text, category, date, severity, value_weight, financial_impact, round(confidence, 4) AS confidence, app_version, upvotes
+FROM scored2 WHERE length(text) > 20"""
+
+
+def score_batch_topics_sql() -> str:
+    return "WITH " + ",\n".join(score_batch_ctes()) + """
+SELECT category AS topic_id, category AS keywords, category AS label, CAST(count(*) AS BIGINT) AS mentions,
+  round(avg(severity), 2) AS avg_severity FROM scored2 GROUP BY category"""
+
+
+def preprocess_training_sql() -> str:
+    clean = clean_text_sql().split("SELECT doc_id, ")[1].split("\nFROM documents")[0]
+    clean = clean.replace("coalesce(text, '')", "coalesce(content, '')")
+    return "WITH " + fx_reviews_cte() + f"""
+, c AS (SELECT content, score, {clean} FROM fx_reviews WHERE content IS NOT NULL AND trim(content) <> '')
+SELECT content, score, cleaned_content FROM c WHERE trim(cleaned_content) <> ''"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -1182,4 +1240,8 @@ def all_sql() -> dict[str, str]:
         "stream_weekly_counts": stream_weekly_sql(),
         "stream_ticker": stream_ticker_sql(),
         "stream_monthly_rollup": stream_monthly_sql(),
+        "score_batch_timeseries": score_batch_timeseries_sql(),
+        "score_batch_classifications": score_batch_classifications_sql(),
+        "score_batch_topics": score_batch_topics_sql(),
+        "preprocess_training": preprocess_training_sql(),
     }

@@ -236,6 +236,20 @@ def _stream_monthly(spark, sf):
     return monthly_rollup(stream_table(spark, _landing(spark, sf), "monthly"))
 
 
+def _score_parts(spark, sf):
+    from vocspark.operators.vectors import centroids
+    from vocspark.plans.scoring import score_batch
+    lex = {"sev5": FX.FX_SEVERITY_5, "sev4": FX.FX_SEVERITY_4, "sev3": FX.FX_SEVERITY_3,
+           "signal": FX.FX_SIGNAL, "vent": FX.FX_VENT}
+    cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
+    return score_batch(FX.fx_reviews_embedded(spark, sf), cents, lex, FX.FX_ASPECT_KEYWORDS)
+
+
+def _preprocess(spark, sf):
+    from vocspark.plans.scoring import preprocess_training
+    return preprocess_training(FX.fx_reviews(spark, sf).select("reviewId", "content", "score"))
+
+
 QUERIES = {
     "monthly_rates": _q_monthly_rates,
     "topic_stats": _q_topic_stats,
@@ -300,4 +314,8 @@ QUERIES = {
     "stream_weekly_counts": _stream("weekly"),
     "stream_ticker": _stream("ticker"),
     "stream_monthly_rollup": _stream_monthly,
+    "score_batch_timeseries": lambda sp, sf: _score_parts(sp, sf)["topic_timeseries"],
+    "score_batch_classifications": lambda sp, sf: _score_parts(sp, sf)["review_classifications"],
+    "score_batch_topics": lambda sp, sf: _score_parts(sp, sf)["topic_analysis"].drop("sample_reviews"),
+    "preprocess_training": _preprocess,
 }

@@ -38,7 +38,7 @@ def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Reviews: one per order, text from documents[o_orderkey mod n_docs].
 
     Columns: reviewId, content, lang, score, sentiment, at, user_tier, clv,
-    appVersion, thumbsUpCount, app.
+    appVersion, thumbsUpCount, app, doc_id.
     """
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
@@ -59,6 +59,7 @@ def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("v"), F.pmod(F.col("o_custkey"), F.lit(9)).cast("string")).alias("appVersion"),
         F.pmod(F.col("o_custkey"), F.lit(20)).cast("int").alias("thumbsUpCount"),
         F.lit("fixture").alias("app"),
+        F.col("doc_id"),
     )
 
 
@@ -208,3 +209,12 @@ def topics_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 def aspect_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from vocspark.sources.derived import derived
     return derived(spark, sf_dir, "aspect_analysis", lambda: fx_aspect_analysis(spark, sf_dir))
+
+
+def fx_reviews_embedded(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_reviews plus the review text's embedding (embeddings[doc_id mod n_vecs])."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    n_vecs = e.select(F.count(F.lit(1))).scalar()
+    r = fx_reviews(spark, sf_dir).withColumn("_vec", F.pmod(F.col("doc_id"), n_vecs))
+    return r.join(e, r._vec == e.vec_id).drop("_vec", "vec_id") \
+            .withColumn("embedding", F.transform("embedding", lambda x: x.cast("double")))
