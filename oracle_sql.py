@@ -1182,6 +1182,26 @@ def preprocess_training_sql() -> str:
 SELECT content, score, cleaned_content FROM c WHERE trim(cleaned_content) <> ''"""
 
 
+def drift_watchlist_sql(top: int = 6) -> str:
+    return "WITH " + ",\n".join(drift_ctes()) + f"""
+, g AS (SELECT category, avg(drift_score) AS a, avg(CAST(round(drift_score * 10000) AS BIGINT)) AS au,
+               arg_max(shifting_terms, month_from || '|' || month_to) AS terms FROM drift GROUP BY category),
+r AS (SELECT *, row_number() OVER (ORDER BY a DESC, category) AS rank FROM g)
+SELECT category, round(au / 100, 0) / 100 AS score, coalesce(terms, 'stable') AS terms, rank FROM r WHERE rank <= {top}"""
+
+
+def trend_tags_sql() -> str:
+    return f"""WITH tl AS ({trending_sql(0)}),
+a AS (SELECT * FROM tl WHERE NOT is_forecast),
+b AS (SELECT *, lag(value) OVER (PARTITION BY issue_label ORDER BY month) AS pv FROM a),
+c AS (SELECT *, CASE WHEN pv IS NULL OR pv = 0 THEN 'New' WHEN (value - pv) / pv * 100 > 10 THEN 'Rising'
+                     WHEN (value - pv) / pv * 100 < -10 THEN 'Cooling' ELSE 'Stable' END AS trend FROM b),
+l AS (SELECT issue_label, value AS latest FROM (
+        SELECT *, row_number() OVER (PARTITION BY issue_label ORDER BY month DESC) AS rd FROM a) x WHERE rd = 1),
+lr AS (SELECT issue_label, row_number() OVER (ORDER BY latest DESC, issue_label) AS visible_rank FROM l)
+SELECT c.month, c.issue_label, c.value, c.trend, lr.visible_rank FROM c JOIN lr ON c.issue_label = lr.issue_label"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -1244,4 +1264,6 @@ def all_sql() -> dict[str, str]:
         "score_batch_classifications": score_batch_classifications_sql(),
         "score_batch_topics": score_batch_topics_sql(),
         "preprocess_training": preprocess_training_sql(),
+        "drift_watchlist": drift_watchlist_sql(),
+        "trend_tags": trend_tags_sql(),
     }

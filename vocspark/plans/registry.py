@@ -250,6 +250,33 @@ def _preprocess(spark, sf):
     return preprocess_training(FX.fx_reviews(spark, sf).select("reviewId", "content", "score"))
 
 
+def _summary(n):
+    def q(spark, sf):
+        from vocspark.plans.summary import executive_summary
+        return executive_summary(_topics(spark, sf), _aspects(spark, sf), _ts(spark, sf), n)
+    return q
+
+
+def _drift_watchlist(spark, sf):
+    from vocspark.plans.summary import drift_watchlist
+    return drift_watchlist(_drift(spark, sf), 0)
+
+
+def _emerging_watchlist(spark, sf):
+    from vocspark.plans.summary import emerging_watchlist
+    return emerging_watchlist(_emerging(spark, sf))
+
+
+def _emerging_summary(spark, sf):
+    from vocspark.operators.ml import emerging_summary
+    return emerging_summary(_emerging(spark, sf))
+
+
+def _trend_tags(spark, sf):
+    from vocspark.plans.summary import trend_tags
+    return trend_tags(D.trending(_ts(spark, sf), 0))
+
+
 QUERIES = {
     "monthly_rates": _q_monthly_rates,
     "topic_stats": _q_topic_stats,
@@ -318,4 +345,10 @@ QUERIES = {
     "score_batch_classifications": lambda sp, sf: _score_parts(sp, sf)["review_classifications"],
     "score_batch_topics": lambda sp, sf: _score_parts(sp, sf)["topic_analysis"].drop("sample_reviews"),
     "preprocess_training": _preprocess,
+    "executive_summary": _summary(0),
+    "executive_summary_6m": _summary(6),
+    "drift_watchlist": _drift_watchlist,
+    "emerging_watchlist": _emerging_watchlist,
+    "emerging_issues": _emerging_summary,
+    "trend_tags": _trend_tags,
 }
