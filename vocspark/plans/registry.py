@@ -277,6 +277,31 @@ def _trend_tags(spark, sf):
     return trend_tags(D.trending(_ts(spark, sf), 0))
 
 
+def _models(spark, sf):
+    """Sentiment model on the labelled documents and a topic model on the English documents."""
+    from vocspark.operators import ml as ML
+    from vocspark.functions.text import STOP_WORDS
+    lab = _labeled_docs(spark, sf).select("text", F.when(F.col("label") == "good", "positive")
+                                          .otherwise("negative").alias("label"))
+    sm = ML.fit_sentiment(lab, "text", "label", max_features=10000, max_iter=50)
+    en = _docs(spark, sf).filter(F.col("lang") == "en").select("text")
+    tm = ML.fit_topics(en, "text", k=10, max_iter=10, seed=42, stop_words=STOP_WORDS)
+    return sm, tm
+
+
+def _detect_issues(spark, sf):
+    from vocspark.plans.scoring import analyze, detect_issues
+    sm, tm = _models(spark, sf)
+    r = FX.fx_reviews(spark, sf).select("reviewId", "content")
+    return detect_issues(analyze(r, sm, tm, FX.FX_ASPECT_KEYWORDS))
+
+
+def _top_from_reviews(spark, sf):
+    from vocspark.plans.scoring import top_issues_from_reviews
+    sm, tm = _models(spark, sf)
+    return top_issues_from_reviews(_docs(spark, sf).select("doc_id", F.col("text").alias("content"), "lang"), sm, tm)
+
+
 QUERIES = {
     "monthly_rates": _q_monthly_rates,
     "topic_stats": _q_topic_stats,
@@ -351,4 +376,6 @@ QUERIES = {
     "emerging_watchlist": _emerging_watchlist,
     "emerging_issues": _emerging_summary,
     "trend_tags": _trend_tags,
+    "detect_issues": _detect_issues,
+    "top_issues_from_reviews": _top_from_reviews,
 }

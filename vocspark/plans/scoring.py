@@ -69,3 +69,41 @@ def preprocess_training(df: DataFrame, text: str = "content", score: str = "scor
     d = df.filter(F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
     d = d.withColumn("cleaned_content", T.clean_text(F.col(text)))
     return d.filter(F.trim(F.col("cleaned_content")) != "").select(text, score, "cleaned_content")
+
+
+def analyze(reviews: DataFrame, sentiment_model, topic_model, aspect_keywords=None, text: str = "content") -> DataFrame:
+    """Per review — sentiment, most probable topic and its keywords, aspects."""
+    from vocspark.operators.ml import predict_sentiment, predict_topic
+    d = reviews.withColumn("text", F.col(text)) if text != "text" else reviews
+    d = predict_sentiment(d, sentiment_model, "sentiment")
+    d = predict_topic(d, topic_model)
+    return d.select(F.col("text").alias("review"), "sentiment", "topic_id", "topic_keywords",
+                    T.aspects(F.col("text"), aspect_keywords).alias("aspects"))
+
+
+def detect_issues(analyzed: DataFrame, top: int = 10) -> DataFrame:
+    """Reviews per topic keyword string, top `top` (ties by keywords)."""
+    from pyspark.sql import Window as W
+    c = analyzed.groupBy(F.col("topic_keywords").alias("issue")).agg(F.count(F.lit(1)).alias("mentions"))
+    c = c.withColumn("rank", F.row_number().over(W.orderBy(F.col("mentions").desc(), F.col("issue"))).cast("long"))
+    return c.filter(F.col("rank") <= top)
+
+
+def top_issues_from_reviews(reviews: DataFrame, sentiment_model, topic_model, top: int = 10, examples: int = 1,
+                            text: str = "content", lang: str | None = "lang") -> DataFrame:
+    """Valid reviews -> sentiment -> negatives -> topic -> mentions, share of negatives, examples."""
+    from pyspark.sql import Window as W
+    from vocspark.operators.ml import predict_sentiment, predict_topic
+    from vocspark.operators.series import top_per_group
+    d = reviews.filter(T.is_valid_review(F.col(text), F.col(lang) if lang and lang in reviews.columns else None))
+    d = d.withColumn("text", F.col(text)) if text != "text" else d
+    d = predict_sentiment(d, sentiment_model, "predicted_sentiment").filter(F.col("predicted_sentiment") == "negative")
+    d = predict_topic(d, topic_model).withColumn("issue", F.col("topic_keywords"))
+    c = d.groupBy("issue").agg(F.count(F.lit(1)).alias("mentions"))
+    c = c.withColumn("pct", F.round(F.col("mentions") / F.sum("mentions").over(W.partitionBy()) * 100, 1))
+    ex = top_per_group(d.select("issue", T.snippet(F.col("text")).alias("example")), "issue",
+                       [F.col("example").asc()], examples, "_r")
+    ex = ex.groupBy("issue").agg(F.array_sort(F.collect_list(F.struct("_r", "example"))).alias("_e"))
+    c = c.join(ex, "issue", "left").withColumn("examples", F.transform("_e", lambda s: s["example"])).drop("_e")
+    c = c.withColumn("rank", F.row_number().over(W.orderBy(F.col("mentions").desc(), F.col("issue"))).cast("long"))
+    return c.filter(F.col("rank") <= top)

@@ -91,3 +91,94 @@ def write_table(df: DataFrame, base_dir: str, name: str, partition_by=None, fmt:
         w = w.option("header", True)
     w.save(path)
     return path
+
+
+# ---------------------------------------------------------------------------
+# Training inputs
+# ---------------------------------------------------------------------------
+
+INFERENCE_OUTPUTS = ["uploaded_reviews", "review_classifications", "topic_analysis", "topic_timeseries",
+                     "aspect_analysis", "emerging_issues", "semantic_drift", "classification_quality"]
+
+
+def load_training(spark: SparkSession, path: str, fmt: str = "csv", text: str = "cleaned_content") -> DataFrame:
+    """Training data; inference outputs are refused by name; null text dropped."""
+    name = os.path.basename(path.rstrip("/")).lower()
+    if any(name.startswith(x) for x in INFERENCE_OUTPUTS):
+        raise ValueError(f"refusing to train on an inference output: {path}")
+    r = spark.read.format(fmt)
+    if fmt == "csv":
+        r = r.option("header", True).option("multiLine", True).option("escape", '"')
+    return r.load(path).dropna(subset=[text])
+
+
+TEXT_LABEL_ALIASES = ["review", "text", "content"]
+LABEL_ALIASES = ["category", "label", "issue_label"]
+
+
+def load_labeled(df: DataFrame, min_per_class: int = 2) -> DataFrame:
+    """(review, category) with case-insensitive alias resolution, trimmed, blanks
+    dropped, classes with fewer than `min_per_class` rows dropped; < 2 classes is an error."""
+    t = resolve_alias(df.columns, TEXT_LABEL_ALIASES, case_insensitive=True)
+    c = resolve_alias(df.columns, LABEL_ALIASES, case_insensitive=True)
+    if t is None or c is None:
+        raise ValueError(f"need a text column {TEXT_LABEL_ALIASES} and a label column {LABEL_ALIASES}")
+    d = df.select(F.trim(F.col(t).cast("string")).alias("review"), F.trim(F.col(c).cast("string")).alias("category"))
+    d = d.filter(F.col("review").isNotNull() & (F.col("review") != "") &
+                 F.col("category").isNotNull() & (F.col("category") != ""))
+    keep = d.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_per_class)
+    n_classes = keep.count()  # bounded by the number of classes
+    if n_classes < 2:
+        raise ValueError(f"need at least 2 classes with >= {min_per_class} rows, got {n_classes}")
+    return d.join(F.broadcast(keep.select("category")), "category", "left_semi").select("review", "category")
+
+
+# ---------------------------------------------------------------------------
+# Sync log (S7), alert registry (S9), small sinks
+# ---------------------------------------------------------------------------
+
+def sync_log(spark: SparkSession, last_sync: str | None, status: str = "success", dataset: str = "") -> DataFrame:
+    """One-row sync metadata frame (last_sync TIMESTAMP, last_sync_date DATE, status, dataset)."""
+    from vocspark.schemas import SYNC_LOG
+    if last_sync is None:
+        return spark.createDataFrame([], SYNC_LOG)
+    df = spark.createDataFrame([(last_sync, status, dataset)], "ts string, status string, dataset string")
+    return df.select(F.to_timestamp("ts").alias("last_sync"), F.to_date(F.to_timestamp("ts")).alias("last_sync_date"),
+                     "status", "dataset")
+
+
+def needs_sync(log: DataFrame, as_of_date: str) -> DataFrame:
+    """One row `due` — true when there is no log or the last sync date differs from as_of."""
+    last = log.select(F.max("last_sync_date")).scalar()
+    return log.sparkSession.range(1).select(
+        F.coalesce(last != F.to_date(F.lit(as_of_date)), F.lit(True)).alias("due"))
+
+
+def write_alerts(alerts: DataFrame, path: str, as_of: str) -> str:
+    """JSON registry {alerts: [...], last_check}. Alerts are bounded by #aspects/#labels."""
+    doc = alerts.agg(F.collect_list(F.struct(*alerts.columns)).alias("alerts")) \
+                .withColumn("last_check", F.lit(as_of).cast("timestamp"))
+    doc.coalesce(1).write.mode("overwrite").json(path)
+    return path
+
+
+def read_alerts(spark: SparkSession, path: str) -> DataFrame:
+    """The alert rows of a registry written by `write_alerts` (empty if missing)."""
+    from vocspark.schemas import ALERTS
+    if not _exists(spark, path):
+        return spark.createDataFrame([], ALERTS)
+    doc = spark.read.schema(T.StructType([T.StructField("alerts", T.ArrayType(ALERTS)),
+                                          T.StructField("last_check", T.TimestampType())])).json(path)
+    return doc.select(F.explode("alerts").alias("a")).select("a.*")
+
+
+def write_labels_csv(labels: DataFrame, path: str) -> str:
+    """(review, category) CSV with header."""
+    labels.select("review", "category").write.mode("overwrite").option("header", True).csv(path)
+    return path
+
+
+def write_metrics_json(metrics: DataFrame, path: str) -> str:
+    """Evaluation report / training metadata as JSON (one file)."""
+    metrics.coalesce(1).write.mode("overwrite").json(path)
+    return path
