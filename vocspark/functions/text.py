@@ -221,3 +221,18 @@ def ascii_normalise(text) -> Column:
     t = F.translate(_col(text), "‘’“”–—", "''\"\"--")
     t = F.regexp_replace(t, "…", "...")
     return F.regexp_replace(t, r"[^\x00-\xff]", "")
+
+
+def parse_list_literal(col) -> Column:
+    """a list serialised as text ("['a', 'b']", '["it\\'s"]') -> ARRAY<STRING>.
+
+    `from_json` reads single- and double-quoted lists; anything it cannot parse
+    falls back to splitting on quote-comma-quote / commas. Blank items are dropped.
+    """
+    c = _col(col).cast("string")
+    parsed = F.from_json(c, "array<string>", {"allowSingleQuotes": "true"})
+    body = F.regexp_replace(F.trim(c), r"^\[|\]$", "")
+    fallback = F.split(body, r"'\s*,\s*'|\"\s*,\s*\"|,\s*")
+    arr = F.coalesce(parsed, F.when(F.trim(body) != "", fallback).otherwise(F.array().cast("array<string>")))
+    cleaned = F.transform(arr, lambda x: F.regexp_replace(x, r"^[\s'\"]+|[\s'\"]+$", ""))
+    return F.filter(cleaned, lambda x: x != F.lit(""))
