@@ -1202,6 +1202,17 @@ lr AS (SELECT issue_label, row_number() OVER (ORDER BY latest DESC, issue_label)
 SELECT c.month, c.issue_label, c.value, c.trend, lr.visible_rank FROM c JOIN lr ON c.issue_label = lr.issue_label"""
 
 
+def semantic_search_recent_sql(n: int = 3, top: int = 15) -> str:
+    return "WITH " + ",\n".join([fx_reviews_cte(), fx_vectors_cte()]) + f"""
+, q AS (SELECT {_norm_sql('embedding')} AS qv FROM fx_vectors WHERE vec_id = 0),
+emb AS (SELECT vec_id, {_norm_sql('list_transform(embedding, lambda x: CAST(x AS DOUBLE))')} AS u FROM embeddings),
+r AS (SELECT fr.reviewId, fr.content, list_dot_product(emb.u, (SELECT qv FROM q)) AS score
+      FROM fx_reviews fr JOIN emb ON emb.vec_id = fr.doc_id % (SELECT count(*) FROM embeddings)
+      WHERE fr."at" >= TIMESTAMP '{AS_OF}' - INTERVAL {n} MONTH),
+k AS (SELECT *, row_number() OVER (ORDER BY score DESC, reviewId) AS rank FROM r)
+SELECT rank, reviewId, content, round(score, 6) AS confidence FROM k WHERE rank <= {top}"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -1240,6 +1251,7 @@ def all_sql() -> dict[str, str]:
         "category_centroids": category_centroids_sql(),
         "semantic_classify": semantic_classify_sql(),
         "semantic_search": semantic_search_sql(),
+        "semantic_search_recent": semantic_search_recent_sql(),
         "silhouette": silhouette_sql(),
         "semantic_drift": semantic_drift_sql(),
         "semantic_drift_summary": semantic_drift_summary_sql(),

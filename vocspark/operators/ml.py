@@ -131,16 +131,25 @@ def classification_metrics(df: DataFrame, y_true: str, y_pred: str, digits: int
 
 def fit_topics(df: DataFrame, text: str = "text", k: int = 30, max_iter: int = 20, seed: int = 42,
                max_features: int = 10000, stop_words=None) -> PipelineModel:
-    """M5 + M6: term counts (min_df 2, max_df 0.95) -> LDA (online) with k topics."""
+    """M5 + M6: term counts (min_df 2, max_df 0.95) -> LDA (online) with k topics.
+
+    The term-count vectors are persisted while LDA iterates over them (an
+    iterative fit must not recompute the tokenisation lineage every pass).
+    """
     stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)]
     src = "_tok"
     if stop_words:
         stages.append(StopWordsRemover(inputCol="_tok", outputCol="_tok_sw", stopWords=list(stop_words)))
         src = "_tok_sw"
     stages.append(CountVectorizer(inputCol=src, outputCol="_tf", vocabSize=max_features, minDF=2.0, maxDF=0.95))
-    stages.append(LDA(featuresCol="_tf", k=k, maxIter=max_iter, seed=seed, optimizer="online",
-                      topicDistributionCol="_topics"))
-    return Pipeline(stages=stages).fit(df)
+    prep = Pipeline(stages=stages).fit(df)
+    tf = prep.transform(df).select("_tf").persist()
+    try:
+        lda = LDA(featuresCol="_tf", k=k, maxIter=max_iter, seed=seed, optimizer="online",
+                  topicDistributionCol="_topics").fit(tf)
+    finally:
+        tf.unpersist()
+    return PipelineModel(stages=list(prep.stages) + [lda])
 
 
 def topic_keywords(model: PipelineModel, n_words: int = 5) -> DataFrame:
@@ -232,28 +241,35 @@ def triplets(labels: DataFrame, text: str = "review", label: str = "category", c
 
 def emerging_clusters(pool: DataFrame, vec: str, text: str, month: str, label_centroids: DataFrame | None = None,
                       min_pool: int = 20, min_size: int = 20, flag_size: int = 15, max_k: int = 8,
-                      seed: int = 42) -> DataFrame:
+                      seed: int = 42, actionable: str | None = None) -> DataFrame:
     """Cluster the low-confidence pool, keep clusters of >= min_size members.
 
     k = min(max_k, pool_size // 10) (needs >= 2). Momentum compares the last two
     months present in the pool; keywords are the top words of the 10 members
     nearest the centre (A21); samples are the 3 nearest texts cut to 120;
     the label is the nearest label centroid (cosine >= 0.15, else the fallback).
-    Output: emerging_issues schema.
+    `actionable` names an actionability column for the P18 gate. Output: emerging_issues schema.
     """
     from vocspark.functions import vectors as V
     from vocspark.operators.textops import cluster_keywords
     from vocspark.operators.vectors import classify
 
+    pool = pool.persist()
     n = pool.count()
     k = min(max_k, n // 10)
+    if actionable is not None:
+        # Cluster the actionable part of the pool when it has >= 15 rows, else the whole pool
+        act = pool.filter(F.col(actionable) >= 0.3)
+        if act.count() >= 15:
+            pool = act
     spark = pool.sparkSession
     schema = ("cluster_id int, label string, keywords string, estimated_volume long, is_flagged boolean, "
               "momentum_pct double, sample_review_1 string, sample_review_2 string, sample_review_3 string")
     if n < min_pool or k < 2:
         return spark.createDataFrame([], schema)
-    x = pool.withColumn("features", array_to_vector(V.normalize(vec)))
-    km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id", maxIter=50).fit(x)
+    # persist the (small) pool while k-means iterates and the cluster tables are built
+    x = pool.withColumn("features", array_to_vector(V.normalize(vec))).persist()
+    km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id", maxIter=20).fit(x)
     centers = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(km.clusterCenters())],
                                     "cluster_id int, center array<double>")
     a = km.transform(x).join(F.broadcast(centers), "cluster_id")
@@ -298,3 +314,14 @@ def emerging_summary(em: DataFrame, top: int | None = None) -> DataFrame:
     out = out.withColumn("rank", F.row_number().over(W.orderBy(F.col("estimated_volume").desc(), "cluster_id")).cast("long"))
     return out if top is None else out.filter(F.col("rank") <= top)
 
+
+
+def save_model(model: PipelineModel, path: str) -> str:
+    """Persist a fitted pipeline (overwrites)."""
+    model.write().overwrite().save(path)
+    return path
+
+
+def load_model(path: str) -> PipelineModel:
+    """Load a persisted pipeline."""
+    return PipelineModel.load(path)

@@ -209,8 +209,10 @@ def _emerging(spark, sf):
     from vocspark.operators.vectors import centroids, classify
     sem = FX.fx_semantic(spark, sf)
     cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
-    pool = classify(sem, "embedding", cents).filter(F.col("confidence") < 0.30)
-    return ML.emerging_clusters(pool, "embedding", "text", "month", label_centroids=cents)
+    from vocspark.functions.text import actionability
+    pool = classify(sem, "embedding", cents).filter(F.col("confidence") < 0.30) \
+        .withColumn("actionability", actionability(F.col("text"), FX.FX_SIGNAL, FX.FX_VENT))
+    return ML.emerging_clusters(pool, "embedding", "text", "month", label_centroids=cents, actionable="actionability")
 
 
 def _landing(spark, sf):
@@ -302,6 +304,17 @@ def _top_from_reviews(spark, sf):
     return top_issues_from_reviews(_docs(spark, sf).select("doc_id", F.col("text").alias("content"), "lang"), sm, tm)
 
 
+def _search_recent(spark, sf):
+    """Semantic search over the reviews of the last 3 months (P1 + M11)."""
+    from vocspark.operators.vectors import semantic_search
+    from vocspark.operators.windows import period_split
+    r = FX.fx_reviews_embedded(spark, sf)
+    r = period_split(r, AS_OF, 3).filter(F.col("period") == "cur")
+    q = FX.fx_vectors(spark, sf).filter(F.col("vec_id") == 0).select("embedding").scalar()
+    s = semantic_search(r, "embedding", q, "reviewId", 15)
+    return s.select("rank", "reviewId", F.col("content"), F.round("score", 6).alias("confidence"))
+
+
 QUERIES = {
     "monthly_rates": _q_monthly_rates,
     "topic_stats": _q_topic_stats,
@@ -339,6 +352,7 @@ QUERIES = {
     "category_centroids": _vec_centroids,
     "semantic_classify": _semantic_classify,
     "semantic_search": _semantic_search,
+    "semantic_search_recent": _search_recent,
     "silhouette": _silhouette,
     "semantic_drift": _drift,
     "semantic_drift_summary": _drift_summary,
