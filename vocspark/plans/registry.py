@@ -239,12 +239,22 @@ def _stream_monthly(spark, sf):
 
 
 def _score_parts(spark, sf):
+    """E22 on the fixture reviews; the scored reviews are materialised once (like the
+    reference's upload step) and every derived table is built from that file."""
     from vocspark.operators.vectors import centroids
     from vocspark.plans.scoring import score_batch
+    from vocspark.sources.derived import derived
     lex = {"sev5": FX.FX_SEVERITY_5, "sev4": FX.FX_SEVERITY_4, "sev3": FX.FX_SEVERITY_3,
            "signal": FX.FX_SIGNAL, "vent": FX.FX_VENT}
     cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
-    return score_batch(FX.fx_reviews_embedded(spark, sf), cents, lex, FX.FX_ASPECT_KEYWORDS)
+    parts = score_batch(FX.fx_reviews_embedded(spark, sf), cents, lex, FX.FX_ASPECT_KEYWORDS)
+    scored = derived(spark, sf, "scored_reviews", lambda: parts["scored"].drop("embedding"))
+    from vocspark.operators.series import monthly_rates, topic_stats
+    from vocspark.plans.scoring import classifications
+    base = scored.select(F.col("content").alias("text"), "category", "date", "severity", "financial_impact",
+                         "confidence")
+    return {"scored": scored, "review_classifications": classifications(scored),
+            "topic_timeseries": monthly_rates(base), "topic_analysis": topic_stats(base)}
 
 
 def _preprocess(spark, sf):
@@ -280,15 +290,25 @@ def _trend_tags(spark, sf):
 
 
 def _models(spark, sf):
-    """Sentiment model on the labelled documents and a topic model on the English documents."""
+    """Sentiment model on the labelled documents and a topic model on the English documents.
+
+    Fitted once per input folder and persisted (M20) next to the derived tables;
+    later queries load them, as the reference's service loads its trained models.
+    """
     from vocspark.operators import ml as ML
     from vocspark.functions.text import STOP_WORDS
-    lab = _labeled_docs(spark, sf).select("text", F.when(F.col("label") == "good", "positive")
-                                          .otherwise("negative").alias("label"))
-    sm = ML.fit_sentiment(lab, "text", "label", max_features=10000, max_iter=50)
-    en = _docs(spark, sf).filter(F.col("lang") == "en").select("text")
-    tm = ML.fit_topics(en, "text", k=10, max_iter=10, seed=42, stop_words=STOP_WORDS)
-    return sm, tm
+    from vocspark.session import checkpoint_dir
+    from vocspark.sources.derived import _done, _fingerprint
+    base = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-derived/{_fingerprint(spark, sf)}/models"
+    sm_path, tm_path = f"{base}/sentiment", f"{base}/topics"
+    if not _done(spark, sm_path + "/metadata"):
+        lab = _labeled_docs(spark, sf).select("text", F.when(F.col("label") == "good", "positive")
+                                              .otherwise("negative").alias("label"))
+        ML.save_model(ML.fit_sentiment(lab, "text", "label", max_features=10000, max_iter=50), sm_path)
+    if not _done(spark, tm_path + "/metadata"):
+        en = _docs(spark, sf).filter(F.col("lang") == "en").select("text")
+        ML.save_model(ML.fit_topics(en, "text", k=10, max_iter=10, seed=42, stop_words=STOP_WORDS), tm_path)
+    return ML.load_model(sm_path), ML.load_model(tm_path)
 
 
 def _detect_issues(spark, sf):
