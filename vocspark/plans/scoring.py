@@ -55,7 +55,10 @@ def score_batch(reviews: DataFrame, centroids: DataFrame, lexicons=None, aspect_
     from vocspark.plans.dashboard import aspect_counts
     scored = score_reviews(reviews, centroids, lexicons, text)
     base = scored.select(F.col(text).alias("text"), "category", "date", "severity", "financial_impact", "confidence")
+    uploaded = reviews.drop(*[c for c in ("embedding",) if c in reviews.columns]) \
+        .withColumn("cleaned_content", F.lower(F.col(text)))  # the upload keeps a lower-case copy
     return {
+        "uploaded_reviews": uploaded,
         "scored": scored,
         "review_classifications": classifications(scored, text),
         "topic_timeseries": monthly_rates(base),

@@ -9,7 +9,8 @@ Writing a table also cuts the lineage, so a lost executor re-reads files instead
 of recomputing the lineitem x orders x customer join.
 
 The cache key fingerprints the source folder (file names, sizes, modification
-times), so new input data never meets a stale table.
+times) and the library code, so new input data or new code never meets a stale
+table.
 """
 
 from __future__ import annotations
@@ -23,11 +24,30 @@ from vocspark.session import checkpoint_dir
 CONF_ENABLED = "vocspark.derived.cache"
 
 
+def _code_version() -> str:
+    """Hash of the library sources, so a table built by older code is never reused."""
+    import os
+    root = os.path.dirname(os.path.dirname(os.path.abspath(__file__)))
+    h = hashlib.sha1()
+    for d, _, files in sorted(os.walk(root)):
+        for f in sorted(files):
+            if f.endswith(".py"):
+                with open(os.path.join(d, f), "rb") as fh:
+                    h.update(f.encode() + fh.read())
+    return h.hexdigest()[:12]
+
+
+_CODE = None
+
+
 def _fingerprint(spark: SparkSession, src_dir: str) -> str:
+    global _CODE
+    if _CODE is None:
+        _CODE = _code_version()
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(src_dir)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
-    parts = [src_dir]
+    parts = [src_dir, _CODE]
     if fs.exists(p):
         for st in fs.listStatus(p):
             parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
