@@ -33,71 +33,72 @@ def impact_class(score: Column) -> Column:
 
 def executive_summary(topics: DataFrame, aspects_tbl: DataFrame | None, ts: DataFrame, limit_months: int = 0,
                       mapping=None) -> DataFrame:
-    """One row of signals + markdown for the top non-fallback issue."""
+    """One row of signals + markdown for the top non-fallback issue.
+
+    Built as one per-label statistics pipeline over the (label, month) table
+    (windows partitioned by label) plus four one-row aggregates — link, aspects,
+    volatility, movers — joined on a constant key. No nested scalar subqueries,
+    so the plan stays a small DAG; every input is bounded by #labels x #months.
+    """
     n = int(limit_months)
     metric = S.pick_metric(ts.columns, ["severity_weighted_rate", "normalized_rate", "mentions"])
     if n > 0:
         cur = S.month_window(ts, n, "none").filter(F.col("period") == "cur").select("month")
         ts = ts.join(F.broadcast(cur), "month")
-    ts = ts.filter(F.col("issue_label") != C.FALLBACK_LABEL)
+    ts = ts.filter(F.col("issue_label") != C.FALLBACK_LABEL).select("issue_label", "month", "mentions", metric)
     tp = topics.filter(F.col("label") != C.FALLBACK_LABEL)
-    # 1. rank topics by peak metric among labels with >= 15 window mentions
-    vol = ts.groupBy("issue_label").agg(F.sum("mentions").alias("v"), F.max(metric).alias("peak"))
-    valid = vol.filter(F.col("v") >= 15)
-    n_valid = valid.select(F.count(F.lit(1))).scalar()
-    r = tp.join(valid.select(F.col("issue_label").alias("label"), "peak"), "label", "left")
-    r = r.withColumn("sort_score", F.when(n_valid > 0, F.coalesce(F.col("peak"), F.lit(0.0)))
+    gl = W.partitionBy()
+    # --- per-label series statistics (W6 state, W8 slope, W9 last vs previous, W10 first/last month)
+    wl = W.partitionBy("issue_label").orderBy("month")
+    x = ts.withColumn("_m_first", F.min("month").over(gl)).withColumn("_m_last", F.max("month").over(gl)) \
+          .withColumn("_rd", F.row_number().over(W.partitionBy("issue_label").orderBy(F.col("month").desc()))) \
+          .withColumn("_mean_prev", F.avg(metric).over(wl.rowsBetween(W.unboundedPreceding, -1))) \
+          .withColumn("_std_prev", F.stddev_pop(metric).over(wl.rowsBetween(W.unboundedPreceding, -1))) \
+          .withColumn("_prev_v", F.lag(metric).over(wl)) \
+          .withColumn("_x", F.row_number().over(wl)) \
+          .withColumn("_slope", F.regr_slope(metric, "_x").over(wl.rowsBetween(-2, 0))) \
+          .withColumn("_n3", F.count(F.lit(1)).over(wl.rowsBetween(-2, 0)))
+    lab = x.groupBy("issue_label").agg(
+        F.sum("mentions").alias("v"), F.max(metric).alias("peak"), F.count(F.lit(1)).alias("n_pts"),
+        F.max(F.when(F.col("_rd") == 1, F.col(metric))).alias("last_v"),
+        F.max(F.when(F.col("_rd") == 1, F.col("_mean_prev"))).alias("mean_prev"),
+        F.max(F.when(F.col("_rd") == 1, F.col("_std_prev"))).alias("std_prev"),
+        F.max(F.when(F.col("_rd") == 1, F.col("_prev_v"))).alias("prev_v"),
+        F.max(F.when((F.col("_rd") == 1) & (F.col("_n3") >= 3), F.col("_slope"))).alias("slope"),
+        F.coalesce(F.max(F.when(F.col("month") == F.col("_m_last"), F.col(metric))), F.lit(0.0)).alias("c_end"),
+        F.coalesce(F.max(F.when(F.col("month") == F.col("_m_first"), F.col(metric))), F.lit(0.0)).alias("c_start"),
+        F.max("_m_first").alias("m_first"), F.max("_m_last").alias("m_last"))
+    # --- rank topics: peak metric among labels with >= 15 window mentions (else all-time mentions)
+    r = tp.join(lab.withColumnRenamed("issue_label", "label"), "label", "left")
+    r = r.withColumn("_valid", F.count_if(F.col("v") >= 15).over(gl))
+    r = r.withColumn("sort_score", F.when(F.col("_valid") > 0, F.coalesce(F.when(F.col("v") >= 15, F.col("peak")),
+                                                                           F.lit(0.0)))
                      .otherwise(F.col("mentions").cast("double")))
     r = r.withColumn("_rk", F.row_number().over(W.orderBy(F.col("sort_score").desc(), F.col("label"))))
-    top = r.filter(F.col("_rk") == 1)
-    top_label = top.select("label").scalar()
-    top_score = top.select("sort_score").scalar()
-    top_sev = top.select("avg_severity").scalar()
-    evidence = top.select(F.try_element_at("sample_reviews", F.lit(1))).scalar()
-    # 2. state of the top issue (W6 on its window series)
-    tts = ts.filter(F.col("issue_label") == top_label)
-    an = S.anomaly_last(tts, "issue_label", metric, k=1.5, floor=0.5)
-    hist = tts.withColumn("_rd", F.row_number().over(W.orderBy(F.col("month").desc())))
-    mean_prev = hist.filter(F.col("_rd") > 1).select(F.avg(metric)).scalar()
-    last_v = an.select("last").scalar()
-    n_pts = an.select("n_points").scalar()
-    state = F.when(n_pts < 3, F.lit("Steady")).when(an.select("is_anomaly").scalar(), F.lit("Significant Spike")) \
-             .when(last_v > mean_prev, F.lit("Rising")).otherwise(F.lit("Steady"))
-    # 3. strongest link (> 0.8) among the top five
-    top5 = r.filter(F.col("_rk") <= 5).select(F.col("label").alias("issue_label"))
-    g = ts.join(F.broadcast(top5), "issue_label").groupBy("issue_label", "month").agg(F.max(metric).alias("v"))
-    months5 = g.agg(F.array_sort(F.collect_set("month"))).scalar()
-    full = top5.select("issue_label", F.explode(months5).alias("month")).join(g, ["issue_label", "month"], "left")
-    n_months = ts.select(F.countDistinct("month")).scalar()
-    links = S.correlate(full, "issue_label", "month", "v", C.CORR_TRENDING, fill=0.0) \
-             .filter((F.col("issue_label") == top_label) & (n_months >= 3))
-    linked = links.select("linked_to").scalar()
-    # 4. outlook: least-squares slope of the last three points
-    last3 = hist.filter(F.col("_rd") <= 3).withColumn("x", F.lit(3) - F.col("_rd"))
-    slope = last3.select(F.when(F.count(F.lit(1)) >= 3, F.regr_slope(metric, "x"))).scalar()
-    outlook = F.when(slope > 0.2, F.lit("worsening")).when(slope < -0.2, F.lit("improving")).otherwise(F.lit("flat"))
-    # 5. top issue trend vs previous point
-    lp = hist.filter(F.col("_rd") == 2).select(metric).scalar()
-    trend_pct = F.when((n_pts >= 2) & (lp > 0), (F.abs(last_v - lp) / lp * 100).cast("int"))
-    trend_dir = F.when((n_pts >= 2) & (lp > 0) & (last_v > lp), F.lit("spiking")) \
-                 .when((n_pts >= 2) & (lp > 0) & (last_v < lp), F.lit("decreasing"))
-    momentum = F.coalesce(F.when(trend_dir == "spiking", trend_pct).when(trend_dir == "decreasing", trend_pct), F.lit(0))
-    # 6. riser / faller between the first and the last month of the window
-    m_first = ts.select(F.min("month")).scalar()
-    m_last = ts.select(F.max("month")).scalar()
-    mv = ts.groupBy("issue_label").agg(
-        F.sum("mentions").alias("v"),
-        F.coalesce(F.max(F.when(F.col("month") == m_last, F.col(metric))), F.lit(0.0)).alias("c"),
-        F.coalesce(F.max(F.when(F.col("month") == m_first, F.col(metric))), F.lit(0.0)).alias("p"))
-    mv = mv.filter((F.col("v") >= 15) & (F.col("p") > 0) & (F.abs(F.col("c") - F.col("p")) >= 0.5)) \
-           .withColumn("chg", (F.col("c") - F.col("p")) / F.col("p") * 100)
-    riser = mv.filter(F.col("chg") > 0).orderBy(F.col("chg").desc(), "issue_label").select("issue_label").limit(1).scalar()
-    faller = mv.filter(F.col("chg") < 0).orderBy(F.col("chg").asc(), "issue_label").select("issue_label").limit(1).scalar()
-    # 7. aspect status (+-15 % momentum)
+    top = r.filter(F.col("_rk") == 1).withColumn("k", F.lit(1))
+    # --- strongest link (> 0.8) of the top label among the top five (months where any of them has a row)
+    top5 = r.filter(F.col("_rk") <= 5).select(F.col("label").alias("issue_label"), F.col("_rk").alias("r5"))
+    g = ts.join(F.broadcast(top5), "issue_label").groupBy("issue_label", "r5", "month").agg(F.max(metric).alias("v"))
+    g = g.withColumn("_all_m", F.array_sort(F.collect_set("month").over(gl)))
+    grid = g.filter(F.col("r5") >= 1).groupBy("issue_label", "r5").agg(F.first("_all_m").alias("_all_m")) \
+            .select("issue_label", "r5", F.explode("_all_m").alias("month"))
+    full = grid.join(g.select("issue_label", "month", "v"), ["issue_label", "month"], "left")
+    link = S.correlate(full, "issue_label", "month", "v", C.CORR_TRENDING, fill=0.0) \
+            .join(F.broadcast(top5.filter(F.col("r5") == 1).select("issue_label")), "issue_label") \
+            .select(F.lit(1).alias("k"), F.col("linked_to").alias("linked_issue"))
+    n_months = ts.agg(F.countDistinct("month").alias("n_months")).withColumn("k", F.lit(1))
+    # --- biggest riser / faller between the window's first and last month
+    mv = lab.filter((F.col("v") >= 15) & (F.col("c_start") > 0) & (F.abs(F.col("c_end") - F.col("c_start")) >= 0.5)) \
+            .withColumn("chg", (F.col("c_end") - F.col("c_start")) / F.col("c_start") * 100)
+    riser = mv.filter(F.col("chg") > 0).withColumn("_o", F.row_number().over(W.orderBy(F.col("chg").desc(), "issue_label"))) \
+              .filter(F.col("_o") == 1).select(F.lit(1).alias("k"), F.col("issue_label").alias("biggest_riser"))
+    faller = mv.filter(F.col("chg") < 0).withColumn("_o", F.row_number().over(W.orderBy(F.col("chg").asc(), "issue_label"))) \
+               .filter(F.col("_o") == 1).select(F.lit(1).alias("k"), F.col("issue_label").alias("biggest_faller"))
+    # --- aspect status (+-15 % momentum between the window and the window before)
     spark = ts.sparkSession
     amap = C.aspect_map_df(spark, mapping).filter(F.col("aspect") != C.GENERAL_ASPECT)
     mr = ts.select("month").distinct().withColumn("rk", F.row_number().over(W.orderBy(F.col("month").desc()))) \
-           .withColumn("nm", F.count(F.lit(1)).over(W.partitionBy()))
+           .withColumn("nm", F.count(F.lit(1)).over(gl))
     is_cur = (F.col("rk") <= n) if n > 0 else (F.col("rk") == 1)
     is_prev = ((F.col("rk") > n) & (F.col("rk") <= 2 * n) & (F.col("nm") >= 2 * n)) if n > 0 else F.lit(False)
     fl = mr.select("month", is_cur.alias("is_cur"), is_prev.alias("is_prev"))
@@ -109,46 +110,65 @@ def executive_summary(topics: DataFrame, aspects_tbl: DataFrame | None, ts: Data
     av = av.withColumn("status", F.when(F.col("mom") > 15, "Getting Worse").when(F.col("mom") < -15, "Improving")
                        .otherwise("Stable"))
     line = F.concat(F.col("aspect"), F.lit(": **"), F.col("status"), F.lit("**"))
-    aspect_lines = av.agg(F.array_sort(F.collect_list(line))).scalar()
-    aspect_md = av.agg(F.array_join(F.array_sort(F.collect_list(F.concat(F.lit("- "), line))), "\n")).scalar()
-    # 8. emotional volatility (population sigma of earlier monthly scores)
-    sc = S.weighted_severity(ts, tp, "month").select(F.lit("all").alias("k"), "month", "score")
-    vol_an = S.anomaly_last(sc, "k", "score", k=1.5, floor=-1e300)
-    hs = sc.withColumn("_rd", F.row_number().over(W.orderBy(F.col("month").desc())))
-    sd = hs.filter(F.col("_rd") > 1).select(F.stddev_pop("score")).scalar()
-    mn = hs.filter(F.col("_rd") > 1).select(F.avg("score")).scalar()
-    lastsc = vol_an.select("last").scalar()
-    volatile = F.coalesce((vol_an.select("n_points").scalar() >= 3) &
-                          ((lastsc > mn + F.lit(1.5) * sd) | (lastsc < mn - F.lit(1.5) * sd)), F.lit(False))
-    period = F.concat(F.lit("Analysis Period: "), m_first, F.lit(" — "), m_last, F.lit(" ("),
-                      n_months.cast("string"), F.lit(" months total)"))
-    action = next_best_action(top_label, top_sev, momentum)
-    impact = impact_class(top_score)
+    asp = av.agg(F.array_sort(F.collect_list(line)).alias("aspect_status")).withColumn("k", F.lit(1))
+    # --- emotional volatility: last monthly score outside mean +- 1.5 population sigma of the earlier ones
+    sc = S.weighted_severity(ts, tp, "month").select(F.lit("all").alias("key"), "month", "score")
+    vol = S.anomaly_last(sc, "key", "score", k=1.5, floor=-1e300)
+    ws = W.orderBy("month")
+    lo = sc.withColumn("_m", F.avg("score").over(ws.rowsBetween(W.unboundedPreceding, -1))) \
+           .withColumn("_s", F.stddev_pop("score").over(ws.rowsBetween(W.unboundedPreceding, -1))) \
+           .withColumn("_rd", F.row_number().over(W.orderBy(F.col("month").desc()))).filter(F.col("_rd") == 1)
+    vola = lo.join(vol.select("key", "n_points"), "key").select(
+        F.lit(1).alias("k"),
+        F.coalesce((F.col("n_points") >= 3) & ((F.col("score") > F.col("_m") + F.lit(1.5) * F.col("_s")) |
+                                               (F.col("score") < F.col("_m") - F.lit(1.5) * F.col("_s"))),
+                   F.lit(False)).alias("volatility_alert"))
+    # --- assemble the single row
+    j = top.join(link, "k", "left").join(n_months, "k", "left").join(riser, "k", "left").join(faller, "k", "left") \
+           .join(asp, "k", "left").join(vola, "k", "left")
+    c = F.col
+    state = F.when(c("n_pts").isNull() | (c("n_pts") < 3), F.lit("Steady")) \
+             .when((c("last_v") > F.when(c("std_prev") > 0, c("mean_prev") + F.lit(1.5) * c("std_prev"))
+                    .otherwise(c("mean_prev"))) & (c("last_v") > 0.5), F.lit("Significant Spike")) \
+             .when(c("last_v") > c("mean_prev"), F.lit("Rising")).otherwise(F.lit("Steady"))
+    linked = F.when(c("n_months") >= 3, c("linked_issue"))
+    outlook = F.when(c("slope") > 0.2, F.lit("worsening")).when(c("slope") < -0.2, F.lit("improving")).otherwise(F.lit("flat"))
+    has2 = (c("n_pts") >= 2) & (c("prev_v") > 0)
+    trend_pct = F.when(has2 & (c("last_v") != c("prev_v")), (F.abs(c("last_v") - c("prev_v")) / c("prev_v") * 100).cast("int"))
+    trend_dir = F.when(has2 & (c("last_v") > c("prev_v")), F.lit("spiking")).when(has2 & (c("last_v") < c("prev_v")),
+                                                                                    F.lit("decreasing"))
+    momentum = F.coalesce(trend_pct, F.lit(0))
+    evidence = F.coalesce(F.try_element_at("sample_reviews", F.lit(1)), F.lit("No clear textual evidence."))
+    action = next_best_action(c("label"), c("avg_severity"), momentum)
+    impact = impact_class(c("sort_score"))
+    aspect_md = F.array_join(F.transform(F.coalesce(c("aspect_status"), F.array().cast("array<string>")),
+                                         lambda s: F.concat(F.lit("- "), s)), "\n")
     insights = F.concat_ws(" ",
                            F.when(linked.isNotNull(), F.concat(F.lit("Highly linked to **"), linked,
                                                                F.lit("**, suggesting they might have the same root cause."))),
                            F.when(outlook == "worsening", F.lit("This is expected to get worse soon. We should look into it."))
                             .when(outlook == "improving", F.lit("This is expected to improve soon.")))
+    volatile = F.coalesce(c("volatility_alert"), F.lit(False))
     md = F.concat(
-        F.lit("### Primary Focus: "), top_label, F.lit("\n**Current Situation:** This topic is currently **"),
+        F.lit("### Primary Focus: "), c("label"), F.lit("\n**Current Situation:** This topic is currently **"),
         F.lower(state), F.lit("** and is having a **"), impact, F.lit("** on your customers. "), insights,
         F.lit("\n\n---\n\n### Suggested Action\n**"), action, F.lit("**\n\n---\n\n### General App Health\n**Status:** "),
         F.when(volatile, F.lit("HIGH EMOTIONAL VOLATILITY DETECTED.")).otherwise(
             F.lit("Monitoring is active. All systems are currently within normal performance ranges.")),
-        F.when(F.coalesce(aspect_md, F.lit("")) != "", F.concat(F.lit("\n\n**Category Performance:**\n"), aspect_md))
+        F.when(aspect_md != "", F.concat(F.lit("\n\n**Category Performance:**\n"), aspect_md)).otherwise(F.lit("")),
+        F.when(c("biggest_riser").isNotNull() & (c("biggest_riser") != c("label")),
+               F.concat(F.lit("\n\n**Watch Out:** "), c("biggest_riser"), F.lit(" is starting to trend upward.")))
          .otherwise(F.lit("")),
-        F.when(riser.isNotNull() & (riser != top_label),
-               F.concat(F.lit("\n\n**Watch Out:** "), riser, F.lit(" is starting to trend upward."))).otherwise(F.lit("")),
-        F.lit("\n\n---\n\n### What Customers are Saying\n> *\""),
-        F.substring(F.coalesce(evidence, F.lit("No clear textual evidence.")), 1, 200), F.lit("...\"*"))
-    one = tp.select(F.count(F.lit(1)).alias("_n")).filter(F.col("_n") > 0)
-    return one.select(
-        top_label.alias("top_issue"), state.alias("state"), top_score.cast("double").alias("sort_score"),
-        top_sev.cast("double").alias("avg_severity"), linked.alias("linked_issue"), outlook.alias("outlook"),
-        trend_dir.alias("trend_direction"), trend_pct.alias("trend_pct"), riser.alias("biggest_riser"),
-        faller.alias("biggest_faller"), volatile.alias("volatility_alert"), aspect_lines.alias("aspect_status"),
-        action.alias("next_best_action"), impact.alias("impact"), period.alias("period"),
-        F.coalesce(evidence, F.lit("No clear textual evidence.")).alias("evidence"), md.alias("summary"))
+        F.lit("\n\n---\n\n### What Customers are Saying\n> *\""), F.substring(evidence, 1, 200), F.lit("...\"*"))
+    period = F.concat(F.lit("Analysis Period: "), c("m_first"), F.lit(" — "), c("m_last"), F.lit(" ("),
+                      c("n_months").cast("string"), F.lit(" months total)"))
+    return j.select(
+        c("label").alias("top_issue"), state.alias("state"), c("sort_score").cast("double").alias("sort_score"),
+        c("avg_severity").cast("double").alias("avg_severity"), linked.alias("linked_issue"), outlook.alias("outlook"),
+        trend_dir.alias("trend_direction"), trend_pct.alias("trend_pct"), "biggest_riser", "biggest_faller",
+        volatile.alias("volatility_alert"), F.coalesce(c("aspect_status"), F.array().cast("array<string>")).alias("aspect_status"),
+        action.alias("next_best_action"), impact.alias("impact"), period.alias("period"), evidence.alias("evidence"),
+        md.alias("summary"))
 
 
 def drift_watchlist(drift: DataFrame, limit_months: int = 0, top: int = 6) -> DataFrame:
