@@ -110,22 +110,27 @@ def executive_summary(topics: DataFrame, aspects_tbl: DataFrame | None, ts: Data
     av = av.withColumn("status", F.when(F.col("mom") > 15, "Getting Worse").when(F.col("mom") < -15, "Improving")
                        .otherwise("Stable"))
     line = F.concat(F.col("aspect"), F.lit(": **"), F.col("status"), F.lit("**"))
-    asp = av.agg(F.array_sort(F.collect_list(line)).alias("aspect_status")).withColumn("k", F.lit(1))
+    asp = av.agg(F.array_sort(F.collect_list(line)).alias("aspect_status")).withColumn("k", F.lit(1)) \
+            .filter(F.size("aspect_status") > 0)
     # --- emotional volatility: last monthly score outside mean +- 1.5 population sigma of the earlier ones
-    sc = S.weighted_severity(ts, tp, "month").select(F.lit("all").alias("key"), "month", "score")
-    vol = S.anomaly_last(sc, "key", "score", k=1.5, floor=-1e300)
+    sc = S.weighted_severity(ts, tp, "month").select("month", "score")
     ws = W.orderBy("month")
     lo = sc.withColumn("_m", F.avg("score").over(ws.rowsBetween(W.unboundedPreceding, -1))) \
            .withColumn("_s", F.stddev_pop("score").over(ws.rowsBetween(W.unboundedPreceding, -1))) \
+           .withColumn("n_points", F.count(F.lit(1)).over(gl)) \
            .withColumn("_rd", F.row_number().over(W.orderBy(F.col("month").desc()))).filter(F.col("_rd") == 1)
-    vola = lo.join(vol.select("key", "n_points"), "key").select(
+    vola = lo.select(
         F.lit(1).alias("k"),
         F.coalesce((F.col("n_points") >= 3) & ((F.col("score") > F.col("_m") + F.lit(1.5) * F.col("_s")) |
                                                (F.col("score") < F.col("_m") - F.lit(1.5) * F.col("_s"))),
                    F.lit(False)).alias("volatility_alert"))
     # --- assemble the single row
-    j = top.join(link, "k", "left").join(n_months, "k", "left").join(riser, "k", "left").join(faller, "k", "left") \
-           .join(asp, "k", "left").join(vola, "k", "left")
+    # one-row pieces -> one row: stack them (each fills its own columns) and take the single
+    # non-null value per column; no join between the pieces at all
+    from functools import reduce
+    pieces = [top.drop("k")] + [p.drop("k") for p in (link, n_months, riser, faller, asp, vola)]
+    u = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), pieces)
+    j = u.agg(*[F.first(col, ignorenulls=True).alias(col) for col in u.columns]).filter(F.col("label").isNotNull())
     c = F.col
     state = F.when(c("n_pts").isNull() | (c("n_pts") < 3), F.lit("Steady")) \
              .when((c("last_v") > F.when(c("std_prev") > 0, c("mean_prev") + F.lit(1.5) * c("std_prev"))
