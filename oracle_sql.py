@@ -563,9 +563,11 @@ sbands AS (
 
 
 def sentiment_stability_sql(n: int) -> str:
-    body = "\nSELECT * FROM sbands"
+    cols = ("month, score, round(rolling_mean, 6) AS rolling_mean, round(rolling_std, 6) AS rolling_std, "
+            "round(upper_band, 6) AS upper_band, round(lower_band, 6) AS lower_band, is_volatile")
+    body = f"\nSELECT {cols} FROM sbands"
     if n > 0:
-        body = f"\nSELECT month, score, rolling_mean, rolling_std, upper_band, lower_band, is_volatile FROM (" \
+        body = f"\nSELECT {cols} FROM (" \
                f"SELECT *, row_number() OVER (ORDER BY month DESC) AS rd FROM sbands) x WHERE rd <= {n}"
     return "WITH " + ",\n".join(base_ctes() + [stability_scores_cte(3)]) + body
 
@@ -861,7 +863,7 @@ def centroids_cte(src: str, key: str, vec: str, name: str = "cents", eps: str |
 
 def category_centroids_sql() -> str:
     return "WITH " + ",\n".join([fx_vectors_cte(), centroids_cte("fx_vectors", "category", "embedding")]) + \
-        "\nSELECT category, centroid, CAST(n AS BIGINT) AS n FROM cents"
+        "\nSELECT category, list_transform(centroid, lambda x: round(x, 6)) AS centroid, CAST(n AS BIGINT) AS n FROM cents"
 
 
 def semantic_classify_sql() -> str:

@@ -410,6 +410,9 @@ def sentiment_stability(ts: DataFrame, topics: DataFrame, limit_months: int = 0,
     """Mention-weighted severity per month (3 dp), trailing bands, volatility; last n months."""
     sc = S.weighted_severity(ts, topics, "month").select("month", F.round("score", 3).alias("score"))
     b = S.stability_bands(sc, exclude_current=exclude_current)
+    # band statistics to 6 dp: stable output across engines / summation orders
+    b = b.select("month", "score", *[F.round(c, 6).alias(c) for c in ("rolling_mean", "rolling_std", "upper_band",
+                                                                      "lower_band")], "is_volatile")
     if limit_months > 0:
         b = b.withColumn("_rd", F.row_number().over(W.orderBy(F.col("month").desc()))) \
              .filter(F.col("_rd") <= limit_months).drop("_rd")

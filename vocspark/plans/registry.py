@@ -369,7 +369,8 @@ QUERIES = {
     "hash_tier": _hash_tier,
     "cluster_keywords": _cluster_keywords,
     "keyword_titles": _keyword_titles,
-    "category_centroids": _vec_centroids,
+    "category_centroids": lambda sp, sf: _vec_centroids(sp, sf).select(
+        "category", F.transform("centroid", lambda x: F.round(x, 6)).alias("centroid"), "n"),
     "semantic_classify": _semantic_classify,
     "semantic_search": _semantic_search,
     "semantic_search_recent": _search_recent,
