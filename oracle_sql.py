@@ -1215,6 +1215,17 @@ k AS (SELECT *, row_number() OVER (ORDER BY score DESC, reviewId) AS rank FROM r
 SELECT rank, reviewId, content, round(score, 6) AS confidence FROM k WHERE rank <= {top}"""
 
 
+def stream_velocity_sql() -> str:
+    return f"""WITH wk AS ({stream_weekly_sql()}),
+l AS (SELECT max(window_start) + INTERVAL 1 DAY AS e FROM wk),
+cur AS (SELECT category, reviews AS c, window_end FROM wk, l WHERE window_end = l.e),
+prev AS (SELECT category, reviews AS p FROM wk, l WHERE window_end = l.e - INTERVAL 7 DAY),
+j AS (SELECT cur.*, prev.p, round((c - p) / p * 100, 1) AS velocity_pct FROM cur JOIN prev USING (category) WHERE p > 0),
+s AS (SELECT *, CASE WHEN velocity_pct >= 40 THEN 'CRITICAL' WHEN velocity_pct >= 20 THEN 'HIGH'
+                     WHEN velocity_pct >= 10 THEN 'WATCH' END AS severity FROM j)
+SELECT category, window_end, c AS curr_reviews, p AS prev_reviews, velocity_pct, severity FROM s"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -1274,6 +1285,7 @@ def all_sql() -> dict[str, str]:
         "stream_weekly_counts": stream_weekly_sql(),
         "stream_ticker": stream_ticker_sql(),
         "stream_monthly_rollup": stream_monthly_sql(),
+        "stream_weekly_velocity": stream_velocity_sql(),
         "score_batch_timeseries": score_batch_timeseries_sql(),
         "score_batch_classifications": score_batch_classifications_sql(),
         "score_batch_topics": score_batch_topics_sql(),

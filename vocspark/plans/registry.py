@@ -233,6 +233,11 @@ def _stream(kind):
     return q
 
 
+def _stream_velocity(spark, sf):
+    from vocspark.streaming.feed import stream_table, weekly_velocity
+    return weekly_velocity(stream_table(spark, _landing(spark, sf), "weekly"))
+
+
 def _stream_monthly(spark, sf):
     from vocspark.streaming.feed import monthly_rollup, stream_table
     return monthly_rollup(stream_table(spark, _landing(spark, sf), "monthly"))
@@ -401,6 +406,7 @@ QUERIES = {
     "stream_weekly_counts": _stream("weekly"),
     "stream_ticker": _stream("ticker"),
     "stream_monthly_rollup": _stream_monthly,
+    "stream_weekly_velocity": _stream_velocity,
     "score_batch_timeseries": lambda sp, sf: _score_parts(sp, sf)["topic_timeseries"],
     "score_batch_classifications": lambda sp, sf: _score_parts(sp, sf)["review_classifications"],
     "score_batch_topics": lambda sp, sf: _score_parts(sp, sf)["topic_analysis"].drop("sample_reviews"),

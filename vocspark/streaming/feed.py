@@ -149,3 +149,25 @@ def monthly_rollup(daily: DataFrame) -> DataFrame:
     """Batch roll-up of the daily stream table to months (what T2 cannot do in append mode)."""
     return daily.groupBy(F.date_format("day", "yyyy-MM").alias("month"), "category").agg(
         F.sum("reviews").alias("reviews"), F.sum("severity_sum").cast("double").alias("severity_sum"))
+
+
+def weekly_velocity(weekly: DataFrame, alerts_only: bool = False) -> DataFrame:
+    """T4 rules on the sliding-window table: the latest *complete* 7-day window per category
+    (ending at the end of the last event day) against the non-overlapping window that ended
+    7 days earlier; >= 10 / 20 / 40 % -> WATCH / HIGH / CRITICAL (previous 0 skipped), as in
+    the batch velocity alerts. `alerts_only` keeps the rows with a severity."""
+    last_end = F.max("window_start").over(W.partitionBy()) + F.expr("interval 1 day")
+    w = weekly.withColumn("_last", last_end)
+    cur = w.filter(F.col("window_end") == F.col("_last")).select("category", F.col("reviews").alias("c"), "window_end")
+    prev = w.filter(F.col("window_end") == F.col("_last") - F.expr("interval 7 days")) \
+            .select("category", F.col("reviews").alias("p"))
+    j = cur.join(prev, "category").filter(F.col("p") > 0)
+    pct = F.round((F.col("c") - F.col("p")) / F.col("p") * 100, 1)
+    j = j.withColumn("velocity_pct", pct)
+    sev = F.when(F.col("velocity_pct") >= 40, "CRITICAL").when(F.col("velocity_pct") >= 20, "HIGH") \
+           .when(F.col("velocity_pct") >= 10, "WATCH")
+    out = j.withColumn("severity", sev)
+    if alerts_only:
+        out = out.filter(F.col("severity").isNotNull())
+    return out.select("category", "window_end", F.col("c").alias("curr_reviews"), F.col("p").alias("prev_reviews"),
+                      "velocity_pct", "severity")
