@@ -92,12 +92,12 @@ def descend(df: DataFrame, key: str, nodes: list[Node], out: str, seed: int = SE
     return df.withColumn(out, at.cast("int")).drop(*path)
 
 
-def gapless_slots(df: DataFrame, group: str, order: list[str], out: str = "slot", blocks: int = 1024) -> DataFrame:
+def gapless_slots(df: DataFrame, group: str, order: list[str], out: str = "slot") -> DataFrame:
     """Adds a number from 0 without gaps within each group, without putting a group into one task.
 
-    Rows go to (group, block) by a hash of the order columns; the small table of block counts gives
-    each block its offset, and rows are numbered within their block."""
-    df = df.withColumn("__block", F.pmod(F.xxhash64(*order), F.lit(blocks)).cast("int"))
+    Rows go to one of 4096 blocks of their group by the md5 of the order columns; the small table of
+    block counts gives each block its offset, and rows are numbered within their block."""
+    df = df.withColumn("__block", F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order])), 1, 3))
     counts = df.groupBy(group, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(group).alias("__g"), F.col("__block").alias("__b"),
