@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, sharding
+from ..session import cut_lineage
+from . import mixing, quality, sharding
 from .common import table
 
 
@@ -19,7 +20,15 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    counted = cut_lineage(quality.with_counts(table(spark, sf_dir, "documents"), "doc_id"), spark)
+    out = quality.judge(counted, quality.fit(counted))
+    return out.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+                      "base_failed", "kept", "p_good")
+
+
 QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_source_mixing": op4_source_mixing,
+    "op6_quality_rules": op6_quality_rules,
 }
