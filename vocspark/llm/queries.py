@@ -6,10 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import mixing, quality, sharding
+from . import bpe, mixing, quality, sharding
 from .common import table
 
 
+def op2_byte_bpe(spark: SparkSession, sf_dir: str, path: str | None = None, pattern: str | None = None) -> DataFrame:
+    import public_tokenizers
+
+    docs = table(spark, sf_dir, "documents")
+    return bpe.round_trip(docs, path or public_tokenizers.path("byte_bpe_50k.tiktoken"),
+                          pattern or public_tokenizers.PATTERN, "doc_id")
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = sharding.shard_documents(table(spark, sf_dir, "documents"))
     return out.select("doc_id", "size", "text_crc32", F.lit("key").alias("law"), "shard", "slot", "grown_shard")
@@ -28,6 +36,7 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {
+    "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
     "op4_source_mixing": op4_source_mixing,
     "op6_quality_rules": op6_quality_rules,
