@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import bpe, mixing, quality, sharding
+from . import bpe, htmltext, mixing, quality, sharding
 from .common import table
 
 
@@ -35,9 +35,15 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "p_good")
 
 
+def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return htmltext.extract(pages).select("page_id", "url", "text", "n_chars")
+
+
 QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
     "op4_source_mixing": op4_source_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op10_html_text": op10_html_text,
 }
