@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import bpe, htmltext, mixing, quality, sharding
+from . import bpe, htmltext, langid, mixing, quality, sharding
 from .common import table
 
 
@@ -35,6 +35,14 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
                       "base_failed", "kept", "p_good")
 
 
+def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    counts = langid.train(langid.sample(docs.where(~held_out)))
+    out = langid.predict(docs.select("doc_id", "text"), counts, "doc_id")
+    return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages).select("page_id", "url", "text", "n_chars")
@@ -45,5 +53,6 @@ QUERIES = {
     "op3_sharding": op3_sharding,
     "op4_source_mixing": op4_source_mixing,
     "op6_quality_rules": op6_quality_rules,
+    "op7_language_id": op7_language_id,
     "op10_html_text": op10_html_text,
 }
