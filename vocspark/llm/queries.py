@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import bpe, htmltext, langid, mixing, quality, sharding
+from . import bpe, htmltext, langid, lm, mixing, quality, sharding
 from .common import table
 
 
@@ -43,6 +43,12 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm.score(table(spark, sf_dir, "documents"), langid.fold(F.col("doc_id"), 7) != 2)
+    return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
+                      "base_score", "score")
+
+
 def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
     return htmltext.extract(pages).select("page_id", "url", "text", "n_chars")
@@ -54,5 +60,6 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op9_lm_scoring": op9_lm_scoring,
     "op10_html_text": op10_html_text,
 }
