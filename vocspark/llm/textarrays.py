@@ -76,6 +76,12 @@ class Texts:
         _, inverses = _power_tables(len(self.data) + 1)
         return mixed((sums[ends] - sums[starts]) * inverses[starts])
 
+    def gram_hashes(self, sums: np.ndarray, width: int) -> np.ndarray:
+        """The hash of the `width` bytes from each place that has so many after it."""
+        n = max(len(self.data) - width + 1, 0)
+        _, inverses = _power_tables(len(self.data) + 1)
+        return mixed((sums[width: width + n] - sums[:n]) * inverses[:n])
+
     def words(self) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Starts and ends of all words, and the number of words before each document (n + 1)."""
         solid = ~SPACE[self.data]
