@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import bpe, htmltext, langid, lm, mixing, quality, sharding, suffixdedup
+from . import ann, bpe, htmltext, langid, lm, mixing, quality, sharding, suffixdedup
 from .common import table
 
 
@@ -51,6 +51,10 @@ def op7_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 
+def op8_nearest_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = lm.score(table(spark, sf_dir, "documents"), langid.fold(F.col("doc_id"), 7) != 2)
     return out.select("doc_id", (~F.col("train")).alias("held_out"), "n_tokens", "n_known", "train_tokens",
@@ -69,6 +73,7 @@ QUERIES = {
     "op4_source_mixing": op4_source_mixing,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
+    "op8_nearest_vectors": op8_nearest_vectors,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_html_text": op10_html_text,
 }
