@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import ann, bpe, htmltext, langid, lm, mixing, quality, sharding, suffixdedup
+from . import ann, bpe, htmltext, langid, lm, mixing, ngramjoin, quality, sharding, suffixdedup
 from .common import table
 
 
@@ -36,6 +36,10 @@ def op4_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "size", "source_size", "target", (F.col("copies") * F.col("size")).alias("taken"))
 
 
+def op5_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngramjoin.components_of(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     counted = cut_lineage(quality.with_counts(table(spark, sf_dir, "documents"), "doc_id"), spark)
     out = quality.judge(counted, quality.fit(counted))
@@ -71,6 +75,7 @@ QUERIES = {
     "op2_byte_bpe": op2_byte_bpe,
     "op3_sharding": op3_sharding,
     "op4_source_mixing": op4_source_mixing,
+    "op5_ngram_join": op5_ngram_join,
     "op6_quality_rules": op6_quality_rules,
     "op7_language_id": op7_language_id,
     "op8_nearest_vectors": op8_nearest_vectors,
