@@ -13,7 +13,8 @@ their own tasks first and meet that table in a join by source.
 
 Cases: a null text has size 0; a null source is a source of its own, sorted last; a null doc_id
 draws like the text "null"; equal ids draw alike; an empty table gives an empty table; a source of
-size 0 has target 0 and emits nothing.
+size 0 has target 0 and emits nothing. `mix` returns just the columns of docs, whatever their
+names; `with_copies` replaces columns that have the names of its results.
 """
 
 from __future__ import annotations
@@ -61,7 +62,7 @@ def source_rates(sized: DataFrame, cycle: int = WEIGHT_CYCLE, max_repeat: int =
 def with_copies(docs: DataFrame, seed: int = SEED, cycle: int = WEIGHT_CYCLE,
                 max_repeat: int = MAX_REPEAT, share: float = BUDGET_SHARE) -> DataFrame:
     """docs with size, source_size, target and copies (long): how often the mix takes each document."""
-    sized = docs.withColumn("size", word_count(F.col("text")))
+    sized = docs.drop("size", "source_size", "target", "copies").withColumn("size", word_count(F.col("text")))
     rates = source_rates(sized.select("source", "size"), cycle, max_repeat, share)
     rates = rates.select(F.col("source").alias("__s"), "source_size", "target", "rate")
     joined = sized.join(rates, F.col("source").eqNullSafe(F.col("__s"))).drop("__s")
@@ -74,5 +75,6 @@ def with_copies(docs: DataFrame, seed: int = SEED, cycle: int = WEIGHT_CYCLE,
 def mix(docs: DataFrame, seed: int = SEED, cycle: int = WEIGHT_CYCLE,
         max_repeat: int = MAX_REPEAT, share: float = BUDGET_SHARE) -> DataFrame:
     """The mixed corpus: the columns of docs, each document as many times as the mix takes it."""
-    taken = with_copies(docs, seed, cycle, max_repeat, share).where("copies > 0")
-    return taken.select(*docs.columns, F.explode(F.sequence(F.lit(1).cast("long"), "copies")).alias("__copy")).drop("__copy")
+    rows = docs.select(F.struct(*docs.columns).alias("__row"), "doc_id", "source", "text")
+    taken = with_copies(rows, seed, cycle, max_repeat, share).where("copies > 0")
+    return taken.select("__row", F.explode(F.sequence(F.lit(1).cast("long"), "copies"))).select("__row.*")

@@ -336,7 +336,7 @@ def _resolve(length: int):
     return resolve
 
 
-def _cut(length: int, gram: int, kept: list[str]):
+def _cut(length: int, gram: int, kept: list[str], as_text: bool):
     def cut(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         block = _Block(texts, length, gram)
         occurrences, table = _stretch_table(block, [b for _, _, b in B.read_messages(answers, 0)]) if len(texts) else ([], None)
@@ -366,14 +366,16 @@ def _cut(length: int, gram: int, kept: list[str]):
                 kept_bytes.append(x.data[lo:hi][~own_gone].tobytes())
         columns = [texts.column(c) for c in kept]
         span_type = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.table([*columns, pa.array(spans, span_type), pa.array(kept_bytes, pa.binary())], names=[*kept, "removed", "kept"])
+        rest = (pa.array([b.decode("utf-8", errors="ignore") for b in kept_bytes], pa.string()) if as_text
+                else pa.array(kept_bytes, pa.binary()))
+        return pa.table([*columns, pa.array(spans, span_type), rest], names=[*kept, "removed", "kept"])
     return cut
 
 
 def remove_repeats(docs: DataFrame, *keep: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
-                   block_bytes: int = B.BLOCK_BYTES) -> DataFrame:
+                   block_bytes: int = B.BLOCK_BYTES, as_text: bool = False) -> DataFrame:
     """The columns `keep` of docs (all by default) with `removed` (spans of bytes, maximal, in
-    order) and `kept` (the remaining bytes)."""
+    order) and `kept`: the remaining bytes, or as text, without characters that a cut has split."""
     columns = [c for c in (keep or docs.columns) if c not in ("removed", "kept", "__block")]
     n = B.n_blocks(docs, block_bytes)
     shards = 2 * n
@@ -384,5 +386,5 @@ def remove_repeats(docs: DataFrame, *keep: str, length: int = LENGTH, gram: int
     least = by_block.cogroup(marks.groupBy("__block")).applyInArrow(_send_stretches(shards, length, gram), B.MESSAGE) \
         .groupBy("shard").applyInArrow(_resolve(length), B.MESSAGE)
     schema = ", ".join([f"`{f.name}` {f.dataType.simpleString()}" for f in docs.select(*columns).schema.fields]
-                       + ["removed array<struct<start:bigint,end:bigint>>", "kept binary"])
-    return by_block.cogroup(marks.union(least).groupBy("__block")).applyInArrow(_cut(length, gram, columns), schema)
+                       + ["removed array<struct<start:bigint,end:bigint>>", "kept " + ("string" if as_text else "binary")])
+    return by_block.cogroup(marks.union(least).groupBy("__block")).applyInArrow(_cut(length, gram, columns, as_text), schema)
