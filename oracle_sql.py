@@ -33,8 +33,8 @@ def fx_classified_cte() -> str:
     return f"""fx_classified AS (
   SELECT *, CAST(round(CAST(severity AS DECIMAL(12,2)) * CAST(value_weight AS DECIMAL(12,2)), 2) AS DOUBLE) AS financial_impact FROM (
   SELECT
-    'review ' || CAST(l.l_orderkey AS VARCHAR) || '-' || CAST(l.l_linenumber AS VARCHAR) || '-'
-      || CAST(l.l_partkey AS VARCHAR) || '-' || CAST(l.l_suppkey AS VARCHAR) AS text,
+    'review of order ' || lpad(CAST(l.l_orderkey AS VARCHAR), 12, '0') || ', line ' || lpad(CAST(l.l_linenumber AS VARCHAR), 2, '0')
+      || ', part ' || lpad(CAST(l.l_partkey AS VARCHAR), 10, '0') || ', supplier ' || lpad(CAST(l.l_suppkey AS VARCHAR), 10, '0') AS text,
     ({_sql_list(C.ALL_LABELS)})[CAST(l.l_partkey % 13 AS INTEGER) + 1] AS category,
     strftime(l.l_shipdate, '%Y-%m') AS date,
     2.0 + 0.5 * (l.l_quantity % 7.0) AS severity,
@@ -49,8 +49,7 @@ def fx_classified_cte() -> str:
   FROM lineitem l
   JOIN orders o ON l.l_orderkey = o.o_orderkey
   JOIN customer c ON o.o_custkey = c.c_custkey
-  WHERE l.l_shipdate < TIMESTAMP '{AS_OF}'
-    AND (l.l_partkey + 7 * l.l_suppkey + l.l_linenumber) % 24
+  WHERE (l.l_partkey + 7 * l.l_suppkey + l.l_linenumber) % 24
         < 4 + ((l.l_partkey % 13) * (12 * year(l.l_shipdate) + month(l.l_shipdate))) % 13
   ) q
 )"""
@@ -59,16 +58,14 @@ def fx_classified_cte() -> str:
 def fx_timeseries_cte(src: str = "fx_classified", name: str = "fx_timeseries", g: str = "fx_g") -> str:
     return f"""{g} AS (
   SELECT category AS issue_label, date AS month, count(*) AS mentions,
-         count(*) FILTER (WHERE length(text) > 20) AS n_long,
-         sum(CASE WHEN length(text) > 20 THEN severity END) AS sev_sum,
-         sum(CASE WHEN length(text) > 20 THEN CAST(financial_impact AS DECIMAL(18,2)) END) AS impact_sum
+         sum(severity) AS sev_sum, sum(CAST(financial_impact AS DECIMAL(18,2))) AS impact_sum
   FROM {src} WHERE date IS NOT NULL AND date <> '' GROUP BY 1, 2
 ),
 {name} AS (
   SELECT issue_label AS topic_id, issue_label, month, CAST(mentions AS BIGINT) AS mentions,
     round(mentions / greatest(tot, 1) * 1000, 2) AS normalized_rate,
-    round((CASE WHEN n_long > 0 THEN sev_sum ELSE mentions * 2.0 END) / greatest(tot, 1) * 1000, 2) AS severity_weighted_rate,
-    round((CASE WHEN n_long > 0 THEN CAST(impact_sum AS DOUBLE) ELSE mentions * 2.0 END) / greatest(tot, 1) * 1000, 2) AS revenue_risk_score,
+    round(sev_sum / greatest(tot, 1) * 1000, 2) AS severity_weighted_rate,
+    round(CAST(impact_sum AS DOUBLE) / greatest(tot, 1) * 1000, 2) AS revenue_risk_score,
     CAST(tot AS BIGINT) AS total_reviews_in_month
   FROM (SELECT *, sum(mentions) OVER (PARTITION BY month) AS tot FROM {g}) x
 )"""
@@ -79,8 +76,8 @@ def fx_topics_cte() -> str:
   SELECT label, list(t ORDER BY rk) AS sample_reviews FROM (
     SELECT category AS label, text AS t,
            row_number() OVER (PARTITION BY category ORDER BY confidence DESC, text ASC) AS rk
-    FROM fx_classified WHERE length(text) > 20) e
-  WHERE rk <= 3 GROUP BY label
+    FROM fx_classified WHERE length(text) > 40) e
+  WHERE rk <= 15 GROUP BY label
 ),
 fx_topics AS (
   SELECT s.label AS topic_id, s.label AS keywords, s.label, CAST(s.mentions AS BIGINT) AS mentions,
@@ -198,6 +195,16 @@ def fx_reviews_cte() -> str:
 )"""
 
 
+def _run_of_five() -> str:
+    """F7 without back-references: any character but newline five times in a row, written out for
+    each character up to U+024F and for those in use beyond (RE2 reads each text once)."""
+    points = [c for c in [*range(9, 0x250), *range(0x2010, 0x2040), 0x20AC] if c not in (10, 13, 0x2028, 0x2029) and not 0x7F <= c < 0xA0]
+    return "|".join(f"\\x{{{c:x}}}{{5}}" for c in points)
+
+
+_RUN_OF_FIVE = _run_of_five()
+
+
 def valid_doc_sql(text: str = "text", lang: str | None = "lang") -> str:
     """SQL twin of functions.text.is_valid_review, evaluated per row of `docs`."""
     pats = " OR ".join(f"regexp_matches(lower(t), '{p}')" for p in C.CANNED_PATTERNS)
@@ -205,8 +212,7 @@ def valid_doc_sql(text: str = "text", lang: str | None = "lang") -> str:
     return f"""(
   {text} IS NOT NULL AND length(t) >= 15 AND nw >= 3 {lang_pred}
   AND NOT ({pats})
-  AND NOT coalesce(list_bool_or(list_transform(range(1, length(t) - 3),
-        lambda i: substr(lower(t), i, 1) <> chr(10) AND substr(lower(t), i, 5) = repeat(substr(lower(t), i, 1), 5))), false)
+  AND NOT regexp_matches(lower(t), '{_RUN_OF_FIVE}')
   AND NOT (nw > 4 AND maxc / nw > 0.5)
 )"""
 
@@ -985,7 +991,7 @@ def issue_reviews_sql(issue: str, n: int, top: int = 100) -> str:
     return "WITH " + ",\n".join(base_ctes()) + f"""
 , m AS (SELECT * FROM fx_classified WHERE {cond}),
 {months},
-d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY substr(text, 1, 200) ORDER BY confidence DESC, text) AS pr
+d AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY text ORDER BY confidence DESC, text) AS pr
                      FROM m2 WHERE length(text) > 20) x WHERE pr = 1),
 r AS (SELECT *, row_number() OVER (ORDER BY confidence DESC, text) AS rk FROM d)
 SELECT rk AS rank, {_evidence_cols()}, (SELECT count(*) FROM m2) AS total_in_window, '{win}' AS window
@@ -1015,7 +1021,7 @@ FROM t WHERE rk <= {n} AND length(content) >= 30"""
 
 def reviews_head_sql(n: int = 50) -> str:
     return "WITH " + fx_reviews_cte() + f"""
-SELECT * FROM fx_reviews ORDER BY CAST(reviewId AS BIGINT), reviewId LIMIT {n}"""
+SELECT * FROM fx_reviews ORDER BY TRY_CAST(reviewId AS BIGINT) NULLS LAST, reviewId LIMIT {n}"""
 
 
 def export_projection_sql(n: int) -> str:
@@ -1065,13 +1071,13 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER B
 pred AS (SELECT category, cc AS predicted FROM best)""" + metrics_body("pred", "category", "predicted")
 
 
-def bootstrap_cte(cap: int = 300) -> str:
+def bootstrap_cte(cap: int | None = 300) -> str:
     return f"""boot AS (
   SELECT text AS review, category FROM (
     SELECT *, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, text) AS rk FROM fx_classified
     WHERE confidence IS NOT NULL AND confidence >= 0.0 AND category <> '{C.FALLBACK_LABEL}'
       AND text IS NOT NULL AND trim(text) <> '') x
-  WHERE rk <= {cap}
+  {"" if cap is None else f"WHERE rk <= {cap}"}
 )"""
 
 
@@ -1080,8 +1086,8 @@ def bootstrap_labels_sql() -> str:
 
 
 def label_coverage_sql() -> str:
-    vals = ", ".join(f"('{x}')" for x in C.ALL_LABELS)
-    return "WITH " + ",\n".join(base_ctes() + [bootstrap_cte()]) + f"""
+    vals = ", ".join(f"('{x}')" for x in C.TAXONOMY_LABELS)
+    return "WITH " + ",\n".join(base_ctes() + [bootstrap_cte(None)]) + f"""
 , tax(category) AS (VALUES {vals}),
 cnt AS (SELECT category, count(*) AS n FROM boot GROUP BY 1)
 SELECT tax.category, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n FROM tax LEFT JOIN cnt ON tax.category = cnt.category"""
@@ -1095,13 +1101,12 @@ def triplets_sql(cap: int = 500, seed: int = 42, eval_pct: int = 10) -> str:
 cls AS (SELECT c, sz, row_number() OVER (ORDER BY md5('{seed}' || c), c) - 1 AS ci, count(*) OVER () AS nc
         FROM (SELECT DISTINCT c, sz FROM r) d),
 a AS (SELECT r.*, cls.ci, cls.nc, (r.rk + 1) % r.sz AS prk, (cls.ci + 1) % cls.nc AS nci
-      FROM r JOIN cls ON r.c = cls.c WHERE r.sz > 1),
+      FROM r JOIN cls ON r.c = cls.c WHERE r.sz > 1 AND r.rk < {cap}),
 x AS (SELECT a.*, p.t AS positive, n2.c AS ncls FROM a JOIN r p ON p.c = a.c AND p.rk = a.prk JOIN cls n2 ON n2.ci = a.nci),
-y AS (SELECT x.*, n.t AS negative FROM x JOIN r n ON n.c = x.ncls AND n.rk = x.rk % n.sz WHERE x.nc > 1),
-z AS (SELECT *, row_number() OVER (ORDER BY h, t) AS o FROM y)
+y AS (SELECT x.*, n.t AS negative FROM x JOIN r n ON n.c = x.ncls AND n.rk = x.rk % n.sz WHERE x.nc > 1)
 SELECT t AS anchor, positive, negative, c AS category,
   CASE WHEN {_hash_pct('t', seed + 1)} < {eval_pct} THEN 'eval' ELSE 'train' END AS split
-FROM z WHERE o <= {cap}"""
+FROM y"""
 
 
 def stream_daily_sql() -> str:
@@ -1172,8 +1177,14 @@ FROM scored2 WHERE length(text) > 20"""
 
 def score_batch_topics_sql() -> str:
     return "WITH " + ",\n".join(score_batch_ctes()) + """
-SELECT category AS topic_id, category AS keywords, category AS label, CAST(count(*) AS BIGINT) AS mentions,
-  round(avg(severity), 2) AS avg_severity FROM scored2 GROUP BY category"""
+, ev AS (
+  SELECT label, list(t ORDER BY rk) AS sample_reviews FROM (
+    SELECT category AS label, text AS t, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, text) AS rk
+    FROM scored2 WHERE length(text) > 40) e WHERE rk <= 15 GROUP BY label)
+SELECT s.label AS topic_id, s.label AS keywords, s.label, CAST(s.mentions AS BIGINT) AS mentions, s.avg_severity,
+  coalesce(ev.sample_reviews, []) AS sample_reviews
+FROM (SELECT category AS label, count(*) AS mentions, round(avg(severity), 2) AS avg_severity FROM scored2 GROUP BY 1) s
+LEFT JOIN ev ON ev.label = s.label"""
 
 
 def preprocess_training_sql() -> str:

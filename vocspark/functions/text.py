@@ -206,7 +206,7 @@ def clean_text(text, stop_words=None) -> Column:
     t = F.regexp_replace(t, r"[^a-zA-Z\s]", "")
     t = F.regexp_replace(t, r"(?<![a-z])" + trie_regex(stop_words or STOP_WORDS) + r"(?![a-z])", "")
     t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,})ies(?![a-z])", "$1y")
-    t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,}[a-rtvwxyz])s(?![a-z])", "$1")
+    t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,}[a-hj-rtvwxyz])s(?![a-z])", "$1")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

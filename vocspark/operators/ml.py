@@ -23,6 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vocspark import config as C
+from vocspark.session import cut_lineage
 
 # scikit-learn's default token pattern: words of two or more word characters
 TOKEN_PATTERN = r"\b\w\w+\b"
@@ -181,15 +182,16 @@ def predict_topic(df: DataFrame, model: PipelineModel) -> DataFrame:
 # ---------------------------------------------------------------------------
 
 def bootstrap_labels(classified: DataFrame, text: str = "text", label: str = "category", conf: str = "confidence",
-                     min_conf: float = 0.0, cap: int = 300, fallback: str = C.FALLBACK_LABEL,
+                     min_conf: float = 0.0, cap: int | None = 300, fallback: str = C.FALLBACK_LABEL,
                      seed: int = 42) -> DataFrame:
-    """M17 (P19 + W13): confident, non-fallback rows; top `cap` per class by confidence,
-    shuffled by a seeded hash. Output: review, category, shuffle_key."""
+    """M17 (P19 + W13): confident, non-fallback rows; top `cap` per class by confidence
+    (a documented training bound; None keeps all), shuffled by a seeded hash. Output: review, category, shuffle_key."""
     c = F.col(conf).try_cast("double")
     d = classified.filter(c.isNotNull() & (c >= min_conf) & (F.col(label) != fallback) &
                           F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
-    w = W.partitionBy(label).orderBy(c.desc(), F.col(text).asc())
-    d = d.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= cap)
+    if cap is not None:
+        w = W.partitionBy(label).orderBy(c.desc(), F.col(text).asc())
+        d = d.withColumn("_rk", F.row_number().over(w)).filter(F.col("_rk") <= cap)
     key = F.md5(F.concat(F.lit(str(seed)), F.col(text)))
     return d.select(F.col(text).alias("review"), F.col(label).alias("category"), key.alias("shuffle_key"))
 
@@ -209,8 +211,8 @@ def triplets(labels: DataFrame, text: str = "review", label: str = "category", c
     Rows are ranked inside each class by md5(seed || text). The positive of
     rank r is rank r+1 of the same class (cyclic); the negative is the row at
     rank (r mod size) of the next class in hashed class order. Classes with one
-    row give no positive. The first `cap` anchors by hash are kept and split
-    eval / train by another hash.
+    row give no positive. The first `cap` anchors of each class by hash are kept
+    and split eval / train by another hash.
     """
     h = F.md5(F.concat(F.lit(str(seed)), F.col(text)))
     r = labels.select(F.col(text).alias("t"), F.col(label).alias("c"), h.alias("h"))
@@ -220,7 +222,7 @@ def triplets(labels: DataFrame, text: str = "review", label: str = "category", c
     cls = cls.withColumn("ci", F.row_number().over(W.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col("c"))), "c")) - 1) \
              .withColumn("nc", F.count(F.lit(1)).over(W.partitionBy()))
     cls = cls.select("c", "ci", "nc")
-    a = r.filter(F.col("sz") > 1).join(F.broadcast(cls), "c")
+    a = r.filter((F.col("sz") > 1) & (F.col("rk") < cap)).join(F.broadcast(cls), "c")
     a = a.withColumn("prk", F.pmod(F.col("rk") + 1, F.col("sz"))).withColumn("nci", F.pmod(F.col("ci") + 1, F.col("nc")))
     pos = r.select(F.col("c").alias("pc"), F.col("rk").alias("prk"), F.col("t").alias("positive"))
     neg_c = cls.select(F.col("c").alias("ncls"), F.col("ci").alias("nci"))
@@ -229,7 +231,6 @@ def triplets(labels: DataFrame, text: str = "review", label: str = "category", c
     negs = neg.select("ncls", "nsz").distinct()
     x = x.join(F.broadcast(negs), "ncls").withColumn("nrk", F.pmod(F.col("rk"), F.col("nsz")))
     x = x.join(neg.drop("nsz"), ["ncls", "nrk"]).filter(F.col("nc") > 1)
-    x = x.withColumn("_o", F.row_number().over(W.orderBy("h", "t"))).filter(F.col("_o") <= cap)
     sp = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed + 1)), F.col("t"))), 1, 8), 16, 10).cast("long")
     return x.select(F.col("t").alias("anchor"), "positive", "negative", F.col("c").alias("category"),
                     F.when(F.pmod(sp, F.lit(100)) < eval_pct, "eval").otherwise("train").alias("split"))
@@ -240,35 +241,32 @@ def triplets(labels: DataFrame, text: str = "review", label: str = "category", c
 # ---------------------------------------------------------------------------
 
 def emerging_clusters(pool: DataFrame, vec: str, text: str, month: str, label_centroids: DataFrame | None = None,
-                      min_pool: int = 20, min_size: int = 20, flag_size: int = 15, max_k: int = 8,
-                      seed: int = 42, actionable: str | None = None) -> DataFrame:
+                      k: int = 8, min_size: int = 20, flag_size: int = 15,
+                      seed: int = 42, actionable: str | None = None, min_actionable: float = 0.3) -> DataFrame:
     """Cluster the low-confidence pool, keep clusters of >= min_size members.
 
-    k = min(max_k, pool_size // 10) (needs >= 2). Momentum compares the last two
+    `k` clusters at any pool size (at least two; min_size=0 keeps all). Momentum compares the last two
     months present in the pool; keywords are the top words of the 10 members
     nearest the centre (A21); samples are the 3 nearest texts cut to 120;
     the label is the nearest label centroid (cosine >= 0.15, else the fallback).
-    `actionable` names an actionability column for the P18 gate. Output: emerging_issues schema.
+    `actionable` names an actionability column: only rows of at least `min_actionable`
+    are clustered (P18; None: all rows). Output: emerging_issues schema.
     """
     from vocspark.functions import vectors as V
     from vocspark.operators.textops import cluster_keywords
     from vocspark.operators.vectors import classify
 
-    pool = pool.persist()
-    n = pool.count()
-    k = min(max_k, n // 10)
     if actionable is not None:
-        # Cluster the actionable part of the pool when it has >= 15 rows, else the whole pool
-        act = pool.filter(F.col(actionable) >= 0.3)
-        if act.count() >= 15:
-            pool = act
+        pool = pool.filter(F.col(actionable) >= min_actionable)
     spark = pool.sparkSession
     schema = ("cluster_id int, label string, keywords string, estimated_volume long, is_flagged boolean, "
               "momentum_pct double, sample_review_1 string, sample_review_2 string, sample_review_3 string")
-    if n < min_pool or k < 2:
+    if k < 2:
+        raise ValueError("k must be at least 2")
+    # written once: k-means iterates over it, and the cluster tables are built from it
+    x = cut_lineage(pool.withColumn("unit", V.normalize(vec))).withColumn("features", array_to_vector("unit"))
+    if x.isEmpty():
         return spark.createDataFrame([], schema)
-    # persist the (small) pool while k-means iterates and the cluster tables are built
-    x = pool.withColumn("features", array_to_vector(V.normalize(vec))).persist()
     km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id", maxIter=20).fit(x)
     centers = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(km.clusterCenters())],
                                     "cluster_id int, center array<double>")

@@ -42,15 +42,15 @@ def rate_per_1000(x: Column, total: Column) -> Column:
 # ---------------------------------------------------------------------------
 
 def monthly_rates(classified: DataFrame, category: str = "category", month: str = "date",
-                  text: str = "text", min_text_len: int = 20) -> DataFrame:
+                  text: str = "text", min_text_len: int | None = None) -> DataFrame:
     """topic_timeseries from review_classifications.
 
-    mentions counts every dated review; severity / impact sums use only rows
-    whose text is longer than `min_text_len` (the reference's quirk Q16) and
-    fall back to 2.0 per mention when a (label, month) has none.
+    mentions, severity and impact cover every dated review. `min_text_len` (off by
+    default) is the reference's quirk Q16: severity / impact sums then use only rows
+    whose text is longer, and 2.0 per mention where a (label, month) has none.
     """
     base = classified.filter(F.col(month).isNotNull() & (F.col(month) != F.lit("")))
-    long_ = F.length(F.col(text)) > F.lit(min_text_len)
+    long_ = F.lit(True) if min_text_len is None else F.length(F.col(text)) > F.lit(min_text_len)
     g = base.groupBy(F.col(category).alias("issue_label"), F.col(month).alias("month")).agg(
         F.count(F.lit(1)).alias("mentions"),
         F.count_if(long_).alias("n_long"),
@@ -86,8 +86,11 @@ def top_per_group(df: DataFrame, by, order, n: int, rank_col: str = "rk") -> Dat
 
 
 def topic_stats(classified: DataFrame, category: str = "category", text: str = "text",
-                samples: int = 3, sample_min_len: int = 20) -> DataFrame:
-    """A7 + evidence: topic_analysis (topic_id, keywords, label, mentions, avg_severity, sample_reviews)."""
+                samples: int = 15, sample_min_len: int = 40) -> DataFrame:
+    """A7 + evidence: topic_analysis (topic_id, keywords, label, mentions, avg_severity, sample_reviews).
+
+    sample_reviews is a display column: up to `samples` texts longer than
+    `sample_min_len` characters, most confident first (0 turns the length rule off)."""
     stats = classified.groupBy(F.col(category).alias("label")).agg(
         F.count(F.lit(1)).alias("mentions"),
         F.round(F.avg("severity"), 2).alias("avg_severity"),
@@ -151,13 +154,15 @@ def with_period(ts: DataFrame, limit_months: int, short_history: str = "none", m
     return ts.join(F.broadcast(mw), month, "inner")
 
 
-def noise_floor_threshold(total: Column, limit_months: int, fixed: int | None = None) -> Column:
-    """P5: max(2, int(5 % of window mentions)) for n > 0, else 15 (or a fixed floor)."""
+def noise_floor_threshold(total: Column, limit_months: int, fixed: int | None = None, share: float = 0.05,
+                          least: int = 2, all_time: int = 15) -> Column:
+    """P5, the reference's noise floor: max(`least`, int(`share` of window mentions)) for n > 0,
+    else `all_time`. `fixed` replaces all three; fixed=0 turns the floor off."""
     if fixed is not None:
         return F.lit(fixed)
     if limit_months > 0:
-        return F.greatest(F.lit(2), F.floor(total * F.lit(0.05)).cast("long"))
-    return F.lit(15)
+        return F.greatest(F.lit(least), F.floor(total * F.lit(share)).cast("long"))
+    return F.lit(all_time)
 
 
 def window_totals(ts_period: DataFrame, key: str = "issue_label", value: str = "mentions") -> DataFrame:
@@ -196,7 +201,8 @@ def velocity(cur: Column, prev: Column) -> tuple[Column, Column, Column]:
 # ---------------------------------------------------------------------------
 
 def month_start(month: Column) -> Column:
-    return F.to_date(F.concat(month, F.lit("-01")))
+    """First day of a 'yyyy-MM' month; null for text that is no month."""
+    return F.concat(month, F.lit("-01")).try_cast("date")
 
 
 def complete_months(ts: DataFrame, key: str, value: str, month: str = "month",

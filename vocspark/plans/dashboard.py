@@ -351,10 +351,10 @@ def _severity_rank(sev) -> F.Column:
 
 
 def intelligence_alerts(ts: DataFrame, aspect_analysis: DataFrame | None, limit_months: int = 3,
-                        top: int = 6, link_threshold: float = C.CORR_ALERTS) -> DataFrame:
+                        top: int = 6, link_threshold: float = C.CORR_ALERTS, min_volume: float = 5) -> DataFrame:
     """Unified anomaly / velocity / correlation alerts plus aspect dominance.
 
-    Velocity is on the window *sum of the metric* (Q8); volume < 5 skipped;
+    Velocity is on the window *sum of the metric* (Q8); volume < `min_volume` skipped (0: none);
     previous 0 -> 100 %; anomaly = W6 on the whole history of the metric;
     links = best Pearson partner > 0.85 among the window's top-5 topics.
     """
@@ -378,7 +378,7 @@ def intelligence_alerts(ts: DataFrame, aspect_analysis: DataFrame | None, limit_
     vel = F.when(p > 0, F.round((F.col("cur") - p) / p * 100, 1)).otherwise(F.lit(100.0))
     vel_txt = F.when(p > 0, S.pct_text(vel)).otherwise(F.lit("100"))
     is_an = F.coalesce(F.col("is_anomaly"), F.lit(False))
-    a = a.filter(F.col("cur") >= 5).withColumn("velocity_pct", vel).withColumn("is_anomaly", is_an) \
+    a = a.filter(F.col("cur") >= min_volume).withColumn("velocity_pct", vel).withColumn("is_anomaly", is_an) \
          .filter(F.col("is_anomaly") | (F.col("velocity_pct") > 10))
     sev = F.when(F.col("is_anomaly") & (F.col("velocity_pct") > 40), "CRITICAL") \
            .when(F.col("is_anomaly") | (F.col("velocity_pct") > 25), "HIGH").otherwise("WATCH")

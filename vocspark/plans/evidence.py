@@ -31,19 +31,20 @@ def _evidence_select(df: DataFrame) -> list:
     ]
 
 
-def dedup_prefix(df: DataFrame, text: str = "text", order_desc: str = "confidence", prefix: int = 200) -> DataFrame:
-    """First row per `prefix`-char text prefix in (order_desc desc, text asc) order."""
-    key = F.substring(F.col(text), 1, prefix)
+def dedup_prefix(df: DataFrame, text: str = "text", order_desc: str = "confidence", prefix: int | None = None) -> DataFrame:
+    """First row per text in (order_desc desc, text asc) order. `prefix` (the reference's 200)
+    compares only so many leading characters; by default whole texts are compared."""
+    key = F.col(text) if prefix is None else F.substring(F.col(text), 1, prefix)
     packed = F.struct(*[F.col(c) for c in df.columns])
     best = df.groupBy(key.alias("_pfx")).agg(
         F.min_by(packed, F.struct((-F.col(order_desc)).alias("o"), F.col(text).alias("t"))).alias("_r"))
     return best.select("_r.*")
 
 
-def issue_reviews(classified: DataFrame, issue: str, limit_months: int = 0, top: int = 100,
+def issue_reviews(classified: DataFrame, issue: str, limit_months: int = 0, top: int | None = 100,
                   topics: DataFrame | None = None) -> DataFrame:
     """Evidence for one category: last n months *of that category*, text > 20 chars,
-    de-duplicated by 200-char prefix, top 100 by confidence. Falls back to the
+    de-duplicated by text, top 100 by confidence (top=None: all). Falls back to the
     topic's stored sample reviews (> 20 chars, first 20) when no row matches."""
     m = classified.filter(F.trim(F.col("category")) == F.lit(issue.strip()))
     if limit_months > 0:
@@ -55,7 +56,7 @@ def issue_reviews(classified: DataFrame, issue: str, limit_months: int = 0, top:
     total = m.select(F.count(F.lit(1))).scalar()
     d = dedup_prefix(m.filter(F.length("text") > 20))
     d = d.withColumn("_rk", F.row_number().over(W.orderBy(F.col("confidence").desc(), F.col("text").asc())))
-    out = d.filter(F.col("_rk") <= top).select(F.col("_rk").cast("long").alias("rank"), *_evidence_select(d),
+    out = (d if top is None else d.filter(F.col("_rk") <= top)).select(F.col("_rk").cast("long").alias("rank"), *_evidence_select(d),
                                                total.cast("long").alias("total_in_window"))
     win = f"Last {limit_months}M" if limit_months > 0 else "All Time"
     out = out.withColumn("window", F.lit(win))
@@ -103,8 +104,9 @@ def live_ticker(reviews: DataFrame, n: int = 15, min_len: int = 30, cut: int = 2
 
 
 def reviews_head(reviews: DataFrame, n: int = 50, order=None) -> DataFrame:
-    """The first n reviews by an explicit order (default: numeric review id)."""
-    order = order or [F.col("reviewId").cast("long").asc(), F.col("reviewId").asc()]
+    """The first n reviews by an explicit order (default: numeric review id, then
+    ids that are no numbers, by text)."""
+    order = order or [F.col("reviewId").try_cast("long").asc_nulls_last(), F.col("reviewId").asc()]
     return reviews.orderBy(*order).limit(n)
 
 

@@ -182,9 +182,9 @@ def _bootstrap(spark, sf):
 
 
 def _label_coverage(spark, sf):
-    from vocspark.operators.ml import label_coverage
+    from vocspark.operators.ml import bootstrap_labels, label_coverage
     from vocspark import config as C
-    return label_coverage(_bootstrap(spark, sf), C.ALL_LABELS)
+    return label_coverage(bootstrap_labels(FX.classified_table(spark, sf), cap=None), C.TAXONOMY_LABELS)
 
 
 def _triplets(spark, sf):
@@ -409,7 +409,7 @@ QUERIES = {
     "stream_weekly_velocity": _stream_velocity,
     "score_batch_timeseries": lambda sp, sf: _score_parts(sp, sf)["topic_timeseries"],
     "score_batch_classifications": lambda sp, sf: _score_parts(sp, sf)["review_classifications"],
-    "score_batch_topics": lambda sp, sf: _score_parts(sp, sf)["topic_analysis"].drop("sample_reviews"),
+    "score_batch_topics": lambda sp, sf: _score_parts(sp, sf)["topic_analysis"],
     "preprocess_training": _preprocess,
     "executive_summary": _summary(0),
     "executive_summary_6m": _summary(6),

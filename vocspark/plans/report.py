@@ -109,7 +109,9 @@ def report_stability(topics: DataFrame, ts: DataFrame, limit_months: int = 0) ->
 
 
 def report_movers(ts: DataFrame, limit_months: int = 3, top: int = 4, min_mentions: int = 15) -> DataFrame:
-    """Biggest risers/fallers between the window's first month and the last month."""
+    """Biggest risers/fallers between the window's first month and the last month.
+
+    `min_mentions` is the reference's noise floor on the window's mentions (0 turns it off)."""
     mcol = S.pick_metric(ts.columns, METRIC)
     n = int(limit_months)
     m = ts.select("month").distinct()

@@ -32,13 +32,14 @@ def impact_class(score: Column) -> Column:
 
 
 def executive_summary(topics: DataFrame, aspects_tbl: DataFrame | None, ts: DataFrame, limit_months: int = 0,
-                      mapping=None) -> DataFrame:
+                      mapping=None, min_mentions: int = 15) -> DataFrame:
     """One row of signals + markdown for the top non-fallback issue.
 
     Built as one per-label statistics pipeline over the (label, month) table
     (windows partitioned by label) plus four one-row aggregates — link, aspects,
     volatility, movers — joined on a constant key. No nested scalar subqueries,
     so the plan stays a small DAG; every input is bounded by #labels x #months.
+    `min_mentions` is the noise floor on a label's mentions (0 turns it off).
     """
     n = int(limit_months)
     metric = S.pick_metric(ts.columns, ["severity_weighted_rate", "normalized_rate", "mentions"])
@@ -70,8 +71,8 @@ def executive_summary(topics: DataFrame, aspects_tbl: DataFrame | None, ts: Data
         F.max("_m_first").alias("m_first"), F.max("_m_last").alias("m_last"))
     # --- rank topics: peak metric among labels with >= 15 window mentions (else all-time mentions)
     r = tp.join(lab.withColumnRenamed("issue_label", "label"), "label", "left")
-    r = r.withColumn("_valid", F.count_if(F.col("v") >= 15).over(gl))
-    r = r.withColumn("sort_score", F.when(F.col("_valid") > 0, F.coalesce(F.when(F.col("v") >= 15, F.col("peak")),
+    r = r.withColumn("_valid", F.count_if(F.col("v") >= min_mentions).over(gl))
+    r = r.withColumn("sort_score", F.when(F.col("_valid") > 0, F.coalesce(F.when(F.col("v") >= min_mentions, F.col("peak")),
                                                                            F.lit(0.0)))
                      .otherwise(F.col("mentions").cast("double")))
     r = r.withColumn("_rk", F.row_number().over(W.orderBy(F.col("sort_score").desc(), F.col("label"))))
@@ -88,7 +89,7 @@ def executive_summary(topics: DataFrame, aspects_tbl: DataFrame | None, ts: Data
             .select(F.lit(1).alias("k"), F.col("linked_to").alias("linked_issue"))
     n_months = ts.agg(F.countDistinct("month").alias("n_months")).withColumn("k", F.lit(1))
     # --- biggest riser / faller between the window's first and last month
-    mv = lab.filter((F.col("v") >= 15) & (F.col("c_start") > 0) & (F.abs(F.col("c_end") - F.col("c_start")) >= 0.5)) \
+    mv = lab.filter((F.col("v") >= min_mentions) & (F.col("c_start") > 0) & (F.abs(F.col("c_end") - F.col("c_start")) >= 0.5)) \
             .withColumn("chg", (F.col("c_end") - F.col("c_start")) / F.col("c_start") * 100)
     riser = mv.filter(F.col("chg") > 0).withColumn("_o", F.row_number().over(W.orderBy(F.col("chg").desc(), "issue_label"))) \
               .filter(F.col("_o") == 1).select(F.lit(1).alias("k"), F.col("issue_label").alias("biggest_riser"))

@@ -63,7 +63,7 @@ def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def fx_classified(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+def fx_classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     """review_classifications: negative line-item reviews routed to a category.
 
     A line is a negative review when
@@ -73,7 +73,6 @@ def fx_classified(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataF
     """
     li = read_table(spark, sf_dir, "lineitem").select(
         "l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount", "l_shipdate")
-    li = li.filter(F.col("l_shipdate") < F.lit(as_of).cast("timestamp"))
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
     k = F.pmod(F.col("l_partkey"), F.lit(13))
@@ -83,9 +82,11 @@ def fx_classified(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataF
     j = li.filter(negative).join(o, li.l_orderkey == o.o_orderkey).join(c, F.col("o_custkey") == c.c_custkey)
     severity = F.lit(2.0) + F.lit(0.5) * F.pmod(F.col("l_quantity"), F.lit(7.0))
     weight = F.round(tier_weight(_segment_tier(F.col("c_mktsegment"))) * clv_factor(F.col("c_acctbal")), 2)
-    text = F.concat_ws("-", F.concat(F.lit("review "), F.col("l_orderkey").cast("string")),
-                       F.col("l_linenumber").cast("string"), F.col("l_partkey").cast("string"),
-                       F.col("l_suppkey").cast("string"))
+    # fixed width: no rule on text length depends on the scale of the keys
+    text = F.concat(F.lit("review of order "), F.lpad(F.col("l_orderkey").cast("string"), 12, "0"),
+                    F.lit(", line "), F.lpad(F.col("l_linenumber").cast("string"), 2, "0"),
+                    F.lit(", part "), F.lpad(F.col("l_partkey").cast("string"), 10, "0"),
+                    F.lit(", supplier "), F.lpad(F.col("l_suppkey").cast("string"), 10, "0"))
     return (j.select(
         text.alias("text"),
         F.element_at(C.label_array(), (k + 1).cast("int")).alias("category"),
@@ -102,16 +103,16 @@ def fx_classified(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataF
     ).withColumn("financial_impact", financial_impact(F.col("severity"), F.col("value_weight"))))
 
 
-def fx_timeseries(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+def fx_timeseries(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topic_timeseries built by the monthly-rates operator from fx_classified."""
     from vocspark.operators.series import monthly_rates
-    return monthly_rates(fx_classified(spark, sf_dir, as_of))
+    return monthly_rates(fx_classified(spark, sf_dir))
 
 
-def fx_topics(spark: SparkSession, sf_dir: str, as_of: str = AS_OF) -> DataFrame:
+def fx_topics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """topic_analysis built by the topic-stats operator from fx_classified."""
     from vocspark.operators.series import topic_stats
-    return topic_stats(fx_classified(spark, sf_dir, as_of))
+    return topic_stats(fx_classified(spark, sf_dir))
 
 
 def fx_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
