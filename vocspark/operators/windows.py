@@ -17,13 +17,14 @@ def period_split(df: DataFrame, as_of: str = C.DEFAULT_AS_OF, limit_months: int
     """Tag rows with period 'cur' (at >= as_of - n) or 'prev' ([as_of - 2n, as_of - n)).
 
     n = 0 -> every row is current, no previous window. Rows outside both
-    windows are dropped; the timestamp predicate is pushed into the scan.
+    windows, or without a valid timestamp, are dropped; the timestamp predicate is
+    pushed into the scan.
     """
     n = int(limit_months)
     if n <= 0:
         return df.withColumn("period", F.lit("cur"))
     c1, c2 = cutoff(as_of, n), cutoff(as_of, 2 * n)
-    t = F.col(ts)
+    t = F.col(ts) if dict(df.dtypes).get(ts) == "timestamp" else F.col(ts).try_cast("timestamp")  # F34
     x = df.filter(t >= c2)
     return x.withColumn("period", F.when(t >= c1, F.lit("cur")).otherwise(F.lit("prev")))
 

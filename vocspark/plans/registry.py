@@ -306,13 +306,19 @@ def _models(spark, sf):
     from vocspark.sources.derived import _done, _fingerprint
     base = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-derived/{_fingerprint(spark, sf)}/models"
     sm_path, tm_path = f"{base}/sentiment", f"{base}/topics"
-    if not _done(spark, sm_path + "/metadata"):
+
+    def mark(path: str) -> None:  # written last: a half-written model has no marker
+        spark.range(1).write.mode("overwrite").parquet(path + "-complete")
+
+    if not _done(spark, sm_path + "-complete"):
         lab = _labeled_docs(spark, sf).select("text", F.when(F.col("label") == "good", "positive")
                                               .otherwise("negative").alias("label"))
         ML.save_model(ML.fit_sentiment(lab, "text", "label", max_features=10000, max_iter=50), sm_path)
-    if not _done(spark, tm_path + "/metadata"):
+        mark(sm_path)
+    if not _done(spark, tm_path + "-complete"):
         en = _docs(spark, sf).filter(F.col("lang") == "en").select("text")
         ML.save_model(ML.fit_topics(en, "text", k=10, max_iter=10, seed=42, stop_words=STOP_WORDS), tm_path)
+        mark(tm_path)
     return ML.load_model(sm_path), ML.load_model(tm_path)
 
 

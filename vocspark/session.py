@@ -45,11 +45,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
     """Shared checkpoint folder.
 
     On a cluster the operator sets ``spark.checkpoint.dir`` to a shared
-    (HDFS/S3/...) path and we use it as is. Only when it is unset (tests,
-    local runs) do we create a scratch folder of our own.
+    (HDFS/S3/...) path and we use it as is. Only a local session (tests) may
+    leave it unset and gets a scratch folder; on a cluster that is an error, as
+    executors would each write to a disk of their own.
     """
     d = spark.conf.get("spark.checkpoint.dir", None)
     if not d:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         d = tempfile.mkdtemp(prefix="vocspark-ckpt-", dir="/tmp")
         spark.conf.set("spark.checkpoint.dir", d)
     spark.sparkContext.setCheckpointDir(d)

@@ -49,8 +49,10 @@ def _fingerprint(spark: SparkSession, src_dir: str) -> str:
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     parts = [src_dir, _CODE]
     if fs.exists(p):
-        for st in fs.listStatus(p):
-            parts.append(f"{st.getPath().getName()}:{st.getLen()}:{st.getModificationTime()}")
+        files = fs.listFiles(p, True)  # also the part files of tables that are folders
+        while files.hasNext():
+            st = files.next()
+            parts.append(f"{st.getPath()}:{st.getLen()}:{st.getModificationTime()}")
     return hashlib.sha1("|".join(sorted(parts)).encode()).hexdigest()[:16]
 
 

@@ -47,8 +47,10 @@ def resolve_alias(columns, aliases, case_insensitive: bool = False):
     return None
 
 
-def read_reviews(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None) -> DataFrame:
-    """Scan a reviews file; the first of content/review/text/comment becomes `content`."""
+def read_reviews(spark: SparkSession, path: str, fmt: str = "csv", schema: T.StructType | str | None = None,
+                 ts: str = "at") -> DataFrame:
+    """Scan a reviews file; the first of content/review/text/comment becomes `content`.
+    A text column `ts` becomes a timestamp, null where it is none (F34)."""
     r = spark.read.format(fmt)
     if fmt == "csv":
         r = r.option("header", True).option("multiLine", True).option("escape", '"')
@@ -60,6 +62,8 @@ def read_reviews(spark: SparkSession, path: str, fmt: str = "csv", schema: T.Str
         raise ValueError(f"no text column among {TEXT_ALIASES}: {df.columns}")
     if col != "content":
         df = df.withColumn("content", F.col(col))
+    if dict(df.dtypes).get(ts) == "string":
+        df = df.withColumn(ts, F.col(ts).try_cast("timestamp"))
     return df
 
 

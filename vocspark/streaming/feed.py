@@ -12,14 +12,15 @@ a landing folder and is processed incrementally:
 * T4 `weekly_counts` — 7-day windows sliding by 1 day, the input of streaming
   velocity / share alerts.
 
-Sinks are epoch-versioned Parquet folders written inside `foreachBatch`:
-re-running an epoch after a failure rewrites the same version (idempotent),
-and the checkpoint lives in the shared checkpoint folder.
+Sinks are Parquet folders of one epoch each, written inside `foreachBatch`:
+an epoch reads only older folders than its own, so running it again after a
+failure rewrites the same rows. Checkpoints and sinks live in the shared
+checkpoint folder under stable names, so a stopped stream resumes.
 """
 
 from __future__ import annotations
 
-import uuid
+import hashlib
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -62,82 +63,131 @@ def weekly_counts(stream: DataFrame, ts: str = "at", category: str = "category")
     return g.select(F.col("w.start").alias("window_start"), F.col("w.end").alias("window_end"), "category", "reviews")
 
 
-def _versions(spark: SparkSession, path: str) -> list[str]:
+def _children(spark: SparkSession, path: str, prefix: str) -> dict[int, str]:
+    """Complete folders `<prefix><number>` below path, by number."""
     jvm = spark._jvm
     p = jvm.org.apache.hadoop.fs.Path(path)
     fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(p):
-        return []
-    return sorted(st.getPath().toString() for st in fs.listStatus(p)
-                  if st.getPath().getName().startswith("v") and fs.exists(
-                      jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")))
+        return {}
+    found = {}
+    for st in fs.listStatus(p):
+        name = st.getPath().getName()
+        if name.startswith(prefix) and name[len(prefix):].isdigit() and fs.exists(
+                jvm.org.apache.hadoop.fs.Path(st.getPath(), "_SUCCESS")):
+            found[int(name[len(prefix):])] = st.getPath().toString()
+    return found
+
+
+def _drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
 
 
 def latest(spark: SparkSession, path: str) -> str | None:
-    v = _versions(spark, path)
-    return v[-1] if v else None
+    """The newest complete version folder of a top-n or landing table."""
+    v = _children(spark, path, "v")
+    return v[max(v)] if v else None
+
+
+def _newest_per_key(parts: list[DataFrame], keys: list[str]) -> DataFrame:
+    """Rows of several (epoch-tagged) frames, the one of the last epoch for each key."""
+    rows = parts[0]
+    for p in parts[1:]:
+        rows = rows.unionByName(p)
+    values = [c for c in rows.columns if c not in (*keys, "_epoch")]
+    best = rows.groupBy(*keys).agg(F.max_by(F.struct(*values), "_epoch").alias("_v"))
+    return best.select(*keys, "_v.*")
+
 
+def read_upserts(spark: SparkSession, out: str, keys: list[str], below: int | None = None) -> DataFrame | None:
+    """The table that `upsert_sink` keeps: the last written row of each key (of epochs < `below`)."""
+    merged = {e: p for e, p in _children(spark, out, "merged-").items() if below is None or e <= below}
+    start = max(merged) if merged else 0
+    epochs = {e: p for e, p in _children(spark, out, "epoch-").items() if e >= start and (below is None or e < below)}
+    parts = [spark.read.parquet(merged[start]).withColumn("_epoch", F.lit(start - 1))] if merged else []
+    parts += [spark.read.parquet(p).withColumn("_epoch", F.lit(e)) for e, p in sorted(epochs.items())]
+    return _newest_per_key(parts, keys) if parts else None
 
-def upsert_sink(out: str, keys: list[str]):
-    """foreachBatch writer: merge the batch's updated rows into the latest version by `keys`.
 
-    The table is an aggregate (keys = window x category), so its size is bounded
-    by the watermark horizon and the category count, not by the stream length.
+def upsert_sink(out: str, keys: list[str], merge_every: int = 20):
+    """foreachBatch writer: each epoch writes only its own changed rows, to a folder of its own.
+
+    Nothing is read to write an epoch, so a replayed epoch just rewrites its folder. Every
+    `merge_every` epochs the rows before the epoch are merged into one folder; the folders it
+    replaces go at the next merge, so that a replay finds what it read.
     """
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        prev = latest(spark, out)
-        merged = batch
-        if prev is not None:
-            old = spark.read.parquet(prev)
-            merged = old.join(batch.select(*keys), keys, "left_anti").unionByName(batch)
-        merged.write.mode("overwrite").parquet(f"{out}/v{epoch:09d}")
+        batch.write.mode("overwrite").parquet(f"{out}/epoch-{epoch:09d}")
+        if epoch and epoch % merge_every == 0:
+            table = read_upserts(spark, out, keys, below=epoch) if not _children(spark, out, "merged-").get(epoch) else None
+            if table is not None:
+                table.write.mode("overwrite").parquet(f"{out}/merged-{epoch:09d}")
+            horizon = epoch - merge_every
+            for prefix in ("epoch-", "merged-"):
+                for e, p in _children(spark, out, prefix).items():
+                    if e < horizon:
+                        _drop(spark, p)
     return write
 
 
 def topn_sink(out: str, n: int, order):
-    """foreachBatch writer keeping only the newest n rows (T3 live ticker)."""
+    """foreachBatch writer keeping only the newest n rows (T3 live ticker): version e is the top n of
+    version e - 1 or before and the batch, so a replay reads what the first run read. One older
+    version is kept for that; the rest are dropped."""
     def write(batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
-        prev = latest(spark, out)
-        merged = batch if prev is None else spark.read.parquet(prev).unionByName(batch)
+        older = {e: p for e, p in _children(spark, out, "v").items() if e < epoch}
+        merged = batch if not older else spark.read.parquet(older[max(older)]).unionByName(batch)
         merged.orderBy(*order).limit(n).write.mode("overwrite").parquet(f"{out}/v{epoch:09d}")
+        for e in sorted(older)[:-1]:
+            _drop(spark, older[e])
     return write
 
 
-def run_available(df: DataFrame, writer, name: str, output_mode: str = "update") -> None:
-    """Process everything available now (trigger availableNow) and stop."""
-    spark = df.sparkSession
-    ckpt = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-stream/{name}-{uuid.uuid4().hex[:8]}"
+def run_available(df: DataFrame, writer, checkpoint: str, output_mode: str = "update") -> None:
+    """Process everything new (trigger availableNow) and stop; the checkpoint makes the next run resume."""
     q = (df.writeStream.outputMode(output_mode).foreachBatch(writer)
-         .option("checkpointLocation", ckpt).trigger(availableNow=True).start())
+         .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     q.awaitTermination()
 
 
-def land_events(spark: SparkSession, events: DataFrame, landing: str, files: int = 8) -> str:
-    """Write a batch of events into a landing folder as several files (arrival simulation)."""
+def land_events(spark: SparkSession, events: DataFrame, landing: str) -> str:
+    """Write a batch of events into a landing folder, by event day (arrival simulation)."""
     if latest(spark, landing) is None:
-        events.repartition(files, F.to_date("at")).write.mode("overwrite").parquet(f"{landing}/v000000000")
+        events.repartitionByRange(F.to_date("at")).write.mode("overwrite").parquet(f"{landing}/v000000000")
     return latest(spark, landing)
 
 
-def stream_table(spark: SparkSession, landing: str, kind: str = "daily", n: int = 15) -> DataFrame:
-    """Run one streaming pipeline over a landing folder and return its sink as a batch DataFrame."""
-    out = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-stream-out/{kind}-{uuid.uuid4().hex[:8]}"
-    s = feedback_stream(spark, landing)
+def stream_table(spark: SparkSession, landing: str, kind: str = "daily", n: int = 15,
+                 max_files_per_trigger: int | None = None) -> DataFrame:
+    """Run one streaming pipeline over a landing folder and return its sink as a batch DataFrame.
+
+    Checkpoint and sink belong to (landing folder, kind): a further call reads only files that have
+    arrived since."""
+    own = hashlib.sha1(landing.encode()).hexdigest()[:16]
+    base = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-stream/{kind}-{own}-{n}"
+    out, checkpoint = f"{base}/out", f"{base}/checkpoint"
+    s = feedback_stream(spark, landing, max_files_per_trigger=max_files_per_trigger)
     if kind in ("daily", "monthly"):
-        run_available(daily_counts(s), upsert_sink(out, ["day", "category"]), "daily")
+        keys = ["day", "category"]
+        run_available(daily_counts(s), upsert_sink(out, keys), checkpoint)
     elif kind == "weekly":
-        run_available(weekly_counts(s), upsert_sink(out, ["window_start", "category"]), "weekly")
+        keys = ["window_start", "category"]
+        run_available(weekly_counts(s), upsert_sink(out, keys), checkpoint)
     elif kind == "ticker":
         order = [F.col("at").desc(), F.col("reviewId").asc()]
-        run_available(s.select("reviewId", "category", "at", "content"), topn_sink(out, n, order), "ticker", "append")
+        run_available(s.select("reviewId", "category", "at", "content"), topn_sink(out, n, order), checkpoint, "append")
     else:
         raise ValueError(kind)
-    path = latest(spark, out)
-    if path is None:
+    if kind == "ticker":
+        path = latest(spark, out)
+        df = None if path is None else spark.read.parquet(path)
+    else:
+        df = read_upserts(spark, out, keys)
+    if df is None:
         raise RuntimeError("stream produced no output")
-    df = spark.read.parquet(path)
     if kind == "daily":
         df = df.withColumn("severity_sum", F.col("severity_sum").cast("double"))
     if kind == "ticker":
