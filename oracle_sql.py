@@ -867,6 +867,28 @@ def centroids_cte(src: str, key: str, vec: str, name: str = "cents", eps: str |
 )"""
 
 
+def near_dup_evidence_sql(keep: int = 15, threshold: float = 0.85, candidates: int = 20) -> str:
+    """The greedy walk as a recursion over ranks: each step looks at one candidate of every group."""
+    return "WITH RECURSIVE " + ",\n".join([fx_vectors_cte(), centroids_cte("fx_vectors", "category", "embedding")]) + f"""
+, ranked AS (
+  SELECT v.category, v.vec_id, {_norm_sql('v.embedding')} AS u,
+         row_number() OVER (PARTITION BY v.category ORDER BY list_dot_product({_norm_sql('v.embedding')}, c.centroid) DESC, v.vec_id) AS rk
+  FROM fx_vectors v JOIN cents c ON v.category = c.category
+),
+walk AS (
+  SELECT category, 0::BIGINT AS rk, []::VARCHAR[] AS kept, []::DOUBLE[][] AS us FROM (SELECT DISTINCT category FROM ranked) g
+  UNION ALL
+  SELECT w.category, r.rk,
+    CASE WHEN len(w.kept) < {keep} AND NOT coalesce(list_bool_or(list_transform(w.us, lambda k: list_dot_product(k, r.u) >= {threshold})), false)
+         THEN list_append(w.kept, CAST(r.vec_id AS VARCHAR)) ELSE w.kept END,
+    CASE WHEN len(w.kept) < {keep} AND NOT coalesce(list_bool_or(list_transform(w.us, lambda k: list_dot_product(k, r.u) >= {threshold})), false)
+         THEN list_append(w.us, r.u) ELSE w.us END
+  FROM walk w JOIN ranked r ON r.category = w.category AND r.rk = w.rk + 1
+  WHERE r.rk <= {candidates}
+)
+SELECT category, kept FROM (SELECT *, row_number() OVER (PARTITION BY category ORDER BY rk DESC) AS o FROM walk) x WHERE o = 1"""
+
+
 def category_centroids_sql() -> str:
     return "WITH " + ",\n".join([fx_vectors_cte(), centroids_cte("fx_vectors", "category", "embedding")]) + \
         "\nSELECT category, list_transform(centroid, lambda x: round(x, 6)) AS centroid, CAST(n AS BIGINT) AS n FROM cents"
@@ -1290,6 +1312,7 @@ def all_sql() -> dict[str, str]:
         "classifier_metrics": classifier_metrics_sql(),
         "bootstrap_labels": bootstrap_labels_sql(),
         "label_coverage": label_coverage_sql(),
+        "near_dup_evidence": near_dup_evidence_sql(),
         "triplets": triplets_sql(),
         "eval_centroids": eval_centroids_sql(),
         "stream_daily_counts": stream_daily_sql(),

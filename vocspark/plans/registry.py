@@ -264,7 +264,8 @@ def _score_parts(spark, sf):
 
 def _preprocess(spark, sf):
     from vocspark.plans.scoring import preprocess_training
-    return preprocess_training(FX.fx_reviews(spark, sf).select("reviewId", "content", "score"))
+    texts = _docs(spark, sf).select("doc_id", F.col("text").alias("content"))
+    return preprocess_training(FX.fx_reviews(spark, sf).select("doc_id", "score"), texts=texts)
 
 
 def _summary(n):
@@ -325,8 +326,9 @@ def _models(spark, sf):
 def _detect_issues(spark, sf):
     from vocspark.plans.scoring import analyze, detect_issues
     sm, tm = _models(spark, sf)
-    r = FX.fx_reviews(spark, sf).select("reviewId", "content")
-    return detect_issues(analyze(r, sm, tm, FX.FX_ASPECT_KEYWORDS))
+    texts = _docs(spark, sf).select("doc_id", F.col("text").alias("content"))
+    per_text = analyze(texts, sm, tm, FX.FX_ASPECT_KEYWORDS, keep=("doc_id",))  # each text once, then its reviews
+    return detect_issues(FX.fx_reviews(spark, sf).select("doc_id").join(per_text.select("doc_id", "topic_keywords"), "doc_id"))
 
 
 def _top_from_reviews(spark, sf):

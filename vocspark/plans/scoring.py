@@ -67,20 +67,29 @@ def score_batch(reviews: DataFrame, centroids: DataFrame, lexicons=None, aspect_
     }
 
 
-def preprocess_training(df: DataFrame, text: str = "content", score: str = "score") -> DataFrame:
-    """Drop null / blank text, clean it (F1), drop rows whose cleaned text is blank."""
-    d = df.filter(F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
+def preprocess_training(df: DataFrame, text: str = "content", score: str = "score", texts: DataFrame | None = None,
+                        key: str = "doc_id") -> DataFrame:
+    """Drop null / blank text, clean it (F1), drop rows whose cleaned text is blank.
+
+    Where many rows share a text, `texts` holds each once (`key`, `text`): it is cleaned before
+    the rows of `df` (`key`, `score`) meet it."""
+    d = df if texts is None else texts.select(key, text)
+    d = d.filter(F.col(text).isNotNull() & (F.trim(F.col(text)) != ""))
     d = d.withColumn("cleaned_content", T.clean_text(F.col(text)))
-    return d.filter(F.trim(F.col("cleaned_content")) != "").select(text, score, "cleaned_content")
+    d = d.filter(F.trim(F.col("cleaned_content")) != "")
+    if texts is not None:
+        d = df.select(key, score).join(d, key)
+    return d.select(text, score, "cleaned_content")
 
 
-def analyze(reviews: DataFrame, sentiment_model, topic_model, aspect_keywords=None, text: str = "content") -> DataFrame:
-    """Per review — sentiment, most probable topic and its keywords, aspects."""
+def analyze(reviews: DataFrame, sentiment_model, topic_model, aspect_keywords=None, text: str = "content",
+            keep: tuple[str, ...] = ()) -> DataFrame:
+    """Per review — sentiment, most probable topic and its keywords, aspects (after the `keep` columns)."""
     from vocspark.operators.ml import predict_sentiment, predict_topic
     d = reviews.withColumn("text", F.col(text)) if text != "text" else reviews
     d = predict_sentiment(d, sentiment_model, "sentiment")
     d = predict_topic(d, topic_model)
-    return d.select(F.col("text").alias("review"), "sentiment", "topic_id", "topic_keywords",
+    return d.select(*keep, F.col("text").alias("review"), "sentiment", "topic_id", "topic_keywords",
                     T.aspects(F.col("text"), aspect_keywords).alias("aspects"))
 
 
