@@ -15,9 +15,10 @@ from __future__ import annotations
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.clustering import LDA, KMeans
-from pyspark.ml.feature import (IDF, CountVectorizer, IndexToString, NGram, Normalizer, RegexTokenizer,
+from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, StopWordsRemover, StringIndexer)
 from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.linalg import Vectors
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,9 +36,12 @@ def hash_split(df: DataFrame, key: str, test_pct: int = 20, seed: int = 42, col:
     return df.withColumn(col, F.when(F.pmod(h, F.lit(100)) < test_pct, F.lit("test")).otherwise(F.lit("train")))
 
 
-def tfidf_stages(text: str, max_features: int = 10000, ngram: int = 2, min_df: float = 1.0,
-                 max_df: float = 1.0, stop_words=None, out: str = "features") -> list:
-    """M1 / M5: word 1..n-grams -> top `max_features` terms -> IDF -> L2 normalise."""
+def fit_tfidf(df: DataFrame, text: str, max_features: int = 10000, ngram: int = 2, min_df: float = 1.0,
+              max_df: float = 1.0, stop_words=None, out: str = "features") -> PipelineModel:
+    """M1 / M5: word 1..n-grams -> top `max_features` terms -> smoothed IDF + 1 -> L2 normalise.
+
+    MLlib's IDF is ln((1 + n) / (1 + df)); the reference adds 1 to it, so the fitted weights are
+    put into an element-wise product."""
     stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)]
     src = "_tok"
     if stop_words:
@@ -49,9 +53,12 @@ def tfidf_stages(text: str, max_features: int = 10000, ngram: int = 2, min_df: f
         cols.append(f"_ng{n}")
     stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(cols)}) AS _terms FROM __THIS__"))
     stages.append(CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=min_df, maxDF=max_df))
-    stages.append(IDF(inputCol="_tf", outputCol="_tfidf"))
-    stages.append(Normalizer(inputCol="_tfidf", outputCol=out, p=2.0))
-    return stages
+    counts = Pipeline(stages=stages).fit(df)
+    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts.transform(df).select("_tf"))
+    weights = Vectors.dense([float(x) + 1.0 for x in idf.idf.toArray()])
+    return PipelineModel(stages=counts.stages + [
+        ElementwiseProduct(scalingVec=weights, inputCol="_tf", outputCol="_tfidf"),
+        Normalizer(inputCol="_tfidf", outputCol=out, p=2.0)])
 
 
 def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFrame:
@@ -63,22 +70,22 @@ def balanced_weights(df: DataFrame, label: str, out: str = "weight") -> DataFram
 
 
 def fit_sentiment(train: DataFrame, text: str = "text", label: str = "label", max_features: int = 10000,
-                  max_iter: int = 1000) -> PipelineModel:
+                  max_iter: int = 1000, tol: float = 1e-4) -> PipelineModel:
     """M2: TF-IDF + logistic regression with balanced class weights.
 
     regParam = 1 / n matches an inverse-regularisation C = 1 on the summed loss;
     features are already L2-normalised so standardization is off.
     """
-    n = train.count()
-    w = balanced_weights(train, label)
-    stages = [StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc")]
-    stages += tfidf_stages(text, max_features)
-    stages.append(LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", regParam=1.0 / max(n, 1),
-                                     elasticNetParam=0.0, standardization=False, maxIter=max_iter))
-    model = Pipeline(stages=stages).fit(w)
-    labels = model.stages[0].labels
-    return PipelineModel(stages=model.stages + [IndexToString(inputCol="prediction", outputCol="predicted_label",
-                                                              labels=labels)])
+    labelled = cut_lineage(train.select(F.col(text).alias(text), F.col(label).cast("string").alias(label)))
+    prep = fit_tfidf(labelled, text, max_features)
+    index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(labelled)
+    # written once: the fit iterates over the features, not over the texts
+    x = cut_lineage(index.transform(prep.transform(balanced_weights(labelled, label))).select("_y", "weight", "features"))
+    n = x.count()
+    fitted = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", regParam=1.0 / max(n, 1),
+                                elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(x)
+    return PipelineModel(stages=prep.stages + [fitted, IndexToString(
+        inputCol="prediction", outputCol="predicted_label", labels=index.labels)])
 
 
 def predict_sentiment(df: DataFrame, model: PipelineModel, out: str = "sentiment") -> DataFrame:
