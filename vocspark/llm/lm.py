@@ -61,23 +61,37 @@ def _pair_keys(previous: np.ndarray, tokens: np.ndarray) -> np.ndarray:
     return mixed(previous * _PAIR + tokens) | U(1)
 
 
-def _block_keys(table: pa.Table) -> tuple[np.ndarray, np.ndarray]:
-    """A block's distinct keys, sorted, and how often each occurs in its training texts."""
-    train = table.column("train").to_numpy(zero_copy_only=False).astype(bool)
-    seen, other = [np.zeros(0, dtype=U)], [np.array([START & ~U(1)], dtype=U)]
-    for at, x in chunks(table.column("text")):
-        tokens, previous, first = _tokens(x)
-        in_train = np.repeat(train[at: at + x.n], np.diff(np.append(first, len(tokens))))
-        words, pairs = _word_keys(tokens), _pair_keys(previous, tokens)
-        for k in (words, pairs):
-            seen.append(k[in_train])
-            other.append(np.unique(k[~in_train]))
-    counted, times = np.unique(np.concatenate(seen), return_counts=True)
-    keys = np.unique(np.concatenate([counted, *other]))
-    counts = np.zeros(len(keys), dtype=np.int64)
-    counts[np.searchsorted(keys, counted)] = times
-    counts[np.searchsorted(keys, START & ~U(1))] = train.sum()
-    return keys, counts
+class _Block:
+    """A block's tokens in order, and its distinct words and word pairs: `keys`, sorted; `word` and
+    `pair` lead from each token to its own and its pair's key, `start` is the key of a text's start."""
+
+    def __init__(self, table: pa.Table):
+        words, pairs, sizes = [np.zeros(0, dtype=U)], [np.array([START & ~U(1)], dtype=U)], []
+        for _, x in chunks(table.column("text")):
+            tokens, previous, first = _tokens(x)
+            words.append(_word_keys(tokens))
+            pairs.append(_pair_keys(previous, tokens))
+            sizes.append(np.diff(np.append(first, len(tokens))))
+        self.sizes = np.concatenate(sizes) if sizes else np.zeros(0, np.int64)
+        self.first = np.cumsum(self.sizes) - self.sizes
+        every = np.concatenate(words + pairs)
+        n = sum(map(len, words))
+        del words, pairs
+        order = np.argsort(every)
+        every = every[order]
+        fresh = np.ones(len(every), dtype=bool)
+        fresh[1:] = every[1:] != every[:-1]
+        self.keys = every[fresh]
+        where = np.empty(len(every), dtype=np.int32)
+        where[order] = np.cumsum(fresh, dtype=np.int32) - 1
+        self.word, self.start, self.pair = where[:n], where[n], where[n + 1:]
+
+    def counts(self, train: np.ndarray) -> np.ndarray:
+        """How often each key occurs in the texts that train."""
+        taken = np.repeat(train, self.sizes)
+        counts = np.bincount(self.word[taken], minlength=len(self.keys)) + np.bincount(self.pair[taken], minlength=len(self.keys))
+        counts[self.start] = train.sum()
+        return counts
 
 
 def _totals(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -96,10 +110,10 @@ def score(docs: DataFrame, train: Column, prior: float = PRIOR, block_bytes: int
     id_type = docs.schema["doc_id"].dataType.simpleString()
 
     def send(table: pa.Table) -> pa.Table:
-        block = table.column("__block")[0].as_py()
-        keys, counts = _block_keys(table)
+        number, block = table.column("__block")[0].as_py(), _Block(table)
+        keys, counts = block.keys, block.counts(table.column("train").to_numpy(zero_copy_only=False).astype(bool))
         at = B.shard_bounds(keys, n)
-        return B.messages([(block, s, 0, B.pack(B.gaps(keys[at[s]: at[s + 1]]), B.narrow(counts[at[s]: at[s + 1]])))
+        return B.messages([(number, s, 0, B.pack(B.gaps(keys[at[s]: at[s + 1]]), B.narrow(counts[at[s]: at[s + 1]])))
                            for s in range(n)])
 
     def merge(table: pa.Table) -> pa.Table:
@@ -114,21 +128,22 @@ def score(docs: DataFrame, train: Column, prior: float = PRIOR, block_bytes: int
 
     def walk(key: tuple, texts: pa.Table, answers: pa.Table) -> pa.Table:
         own = [B.unpack(body) for _, _, body in B.read_messages(answers)]
-        keys = _block_keys(texts)[0] if len(texts) else np.zeros(0, dtype=U)
         counts = np.concatenate([c.astype(np.int64) for c, _ in own]) if own else np.zeros(0, np.int64)
         total, types = np.sum([t for _, t in own], axis=0) if own else (0, 0)
-        out = []
-        for _, x in chunks(texts.column("text")):
-            tokens, previous, first = _tokens(x)
-            count = counts[np.searchsorted(keys, _word_keys(tokens))]
-            pair = counts[np.searchsorted(keys, _pair_keys(previous, tokens))]
-            state = counts[np.searchsorted(keys, _word_keys(previous))]  # 0: the root
+        if len(texts):
+            block = _Block(texts)
+            first = block.first
+            count, pair = counts[block.word], counts[block.pair]
+            state = np.empty_like(count)  # of the token before; 0: the root
+            state[1:] = count[:-1]
+            state[first] = counts[block.start]
             root = np.log10((count + 1) / (total + types + 1))
+            known = np.add.reduceat((count > 0).astype(np.int64), first)
             arc = np.log10((pair + prior * (count + 1) / (total + types + 1)) / (state + prior))
             weight = np.where(pair > 0, arc, root + np.log10(prior / (state + prior)))
-            out.append([np.diff(np.append(first, len(tokens))), np.add.reduceat((count > 0).astype(np.int64), first),
-                        np.full(x.n, total), np.add.reduceat(root, first), np.add.reduceat(weight, first)])
-        columns = [np.concatenate(c) for c in zip(*out, strict=True)] if out else [np.zeros(0)] * 5
+            columns = [block.sizes, known, np.full(len(first), total), np.add.reduceat(root, first), np.add.reduceat(weight, first)]
+        else:
+            columns = [np.zeros(0)] * 5
         types_out = [pa.int64()] * 3 + [pa.float64()] * 2
         return pa.table([texts.column("doc_id"), texts.column("train"), *[pa.array(c, t) for c, t in zip(columns, types_out, strict=True)]],
                         names=["doc_id", "train", *RESULTS])
