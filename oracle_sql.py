@@ -912,22 +912,27 @@ r AS (SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) AS r
 SELECT rank, vec_id, round(score, 6) AS score FROM r WHERE rank <= {top}"""
 
 
-def silhouette_sql() -> str:
-    """Brute-force pairwise definition (the Spark operator uses cluster sums)."""
-    return "WITH " + fx_vectors_cte() + f"""
-, u AS (SELECT vec_id, category AS l, {_norm_sql('embedding')} AS u FROM fx_vectors),
-p AS (SELECT a.vec_id, a.l AS la, b.l AS lb, 1 - list_dot_product(a.u, b.u) AS d FROM u a JOIN u b ON a.vec_id <> b.vec_id),
-m AS (SELECT vec_id, la, lb, avg(d) AS md FROM p GROUP BY 1, 2, 3),
-s AS (SELECT vec_id, la, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM m GROUP BY 1, 2),
+def _silhouette_body(u: str) -> str:
+    return f"""
+, u AS ({u}),
+p AS (SELECT a.id, a.l AS la, b.l AS lb, 1 - list_dot_product(a.u, b.u) AS d FROM u a JOIN u b ON a.id <> b.id),
+m AS (SELECT id, la, lb, avg(d) AS md FROM p GROUP BY 1, 2, 3),
+s AS (SELECT id, la, max(CASE WHEN la = lb THEN md END) AS a, min(CASE WHEN la <> lb THEN md END) AS b FROM m GROUP BY 1, 2),
 sz AS (SELECT l, count(*) AS n FROM u GROUP BY 1),
 per AS (SELECT CASE WHEN sz.n <= 1 THEN 0.0 ELSE (b - a) / greatest(a, b) END AS sv
-        FROM u LEFT JOIN s ON u.vec_id = s.vec_id LEFT JOIN sz ON sz.l = u.l)
+        FROM u LEFT JOIN s ON u.id = s.id LEFT JOIN sz ON sz.l = u.l)
 SELECT 'silhouette_score' AS metric, round(avg(sv), 4) AS value, CAST((SELECT count(*) FROM sz) AS INTEGER) AS n_categories,
   CAST(count(*) AS INTEGER) AS n_samples, CAST({C.CONFIDENCE_THRESHOLD} AS DOUBLE) AS threshold_confidence,
   CAST({C.DEDUP_THRESHOLD} AS DOUBLE) AS dedup_threshold
 FROM per HAVING (SELECT count(*) FROM sz) >= 2"""
 
 
+def silhouette_sql() -> str:
+    """Brute-force pairwise definition (the Spark operator uses cluster sums)."""
+    return "WITH " + fx_vectors_cte() + _silhouette_body(
+        f"SELECT vec_id AS id, category AS l, {_norm_sql('embedding')} AS u FROM fx_vectors")
+
+
 def fx_semantic_cte() -> str:
     return """fx_semantic AS (
   SELECT d.doc_id, d.text, d.lang, list_transform(e.embedding, lambda x: CAST(x AS DOUBLE)) AS embedding,
@@ -961,11 +966,12 @@ def shifting_terms_sql() -> str:
     return "WITH " + ",\n".join([fx_semantic_cte(), shifting_terms_cte()]) + "\nSELECT * FROM st"
 
 
-def drift_ctes() -> list[str]:
-    return [fx_semantic_cte(),
-            "fs_k AS (SELECT category || '|' || month AS k, category, month, embedding FROM fx_semantic)",
+def drift_ctes(source: list[str] | None = None, name: str = "fx_semantic") -> list[str]:
+    """drift over a source with category, month, text and embedding."""
+    return [*(source or [fx_semantic_cte()]),
+            f"fs_k AS (SELECT category || '|' || month AS k, category, month, embedding FROM {name})",
             centroids_cte("fs_k", "k", "embedding", "dc", eps="1e-8"),
-            shifting_terms_cte(),
+            shifting_terms_cte(name),
             """dcm AS (SELECT split_part(k, '|', 1) AS category, split_part(k, '|', 2) AS month, centroid FROM dc),
 dp AS (
   SELECT category, lag(month) OVER w AS month_from, month AS month_to, lag(centroid) OVER w AS pc, centroid
@@ -1178,7 +1184,7 @@ r AS (SELECT sr.*, sbest.d, sbest.cc, list_distinct({_words_sql('sr.content')})
 scored AS (
   SELECT r.content AS text, CASE WHEN r.d >= 0.3 THEN r.cc ELSE '{C.FALLBACK_LABEL}' END AS category, r.d AS confidence,
     strftime(r."at", '%Y-%m') AS date, CAST({sev} AS DOUBLE) AS severity, CAST({w} AS DOUBLE) AS value_weight,
-    r.appVersion AS app_version, CAST(r.thumbsUpCount AS BIGINT) AS upvotes
+    r.appVersion AS app_version, CAST(r.thumbsUpCount AS BIGINT) AS upvotes, r.reviewId, r.u
   FROM r
 ),
 scored2 AS (
@@ -1197,6 +1203,19 @@ SELECT text, category, date, severity, value_weight, financial_impact, round(con
 FROM scored2 WHERE length(text) > 20"""
 
 
+def score_batch_quality_sql() -> str:
+    return "WITH " + ",\n".join(score_batch_ctes()) + _silhouette_body("SELECT reviewId AS id, category AS l, u FROM scored2")
+
+
+def score_batch_drift_sql() -> str:
+    source = score_batch_ctes() + ["sb_sem AS (SELECT text, category, date AS month, u AS embedding FROM scored2)"]
+    return "WITH " + ",\n".join(drift_ctes(source, "sb_sem")) + "\nSELECT * FROM drift"
+
+
+def score_batch_uploaded_sql() -> str:
+    return "WITH " + fx_reviews_cte() + "\nSELECT *, lower(content) AS cleaned_content FROM fx_reviews"
+
+
 def score_batch_topics_sql() -> str:
     return "WITH " + ",\n".join(score_batch_ctes()) + """
 , ev AS (
@@ -1323,6 +1342,11 @@ def all_sql() -> dict[str, str]:
         "score_batch_timeseries": score_batch_timeseries_sql(),
         "score_batch_classifications": score_batch_classifications_sql(),
         "score_batch_topics": score_batch_topics_sql(),
+        "score_batch_aspects": aspect_mentions_sql(),
+        "score_batch_alerts": threshold_alerts_sql(),
+        "score_batch_quality": score_batch_quality_sql(),
+        "score_batch_drift": score_batch_drift_sql(),
+        "score_batch_uploaded": score_batch_uploaded_sql(),
         "preprocess_training": preprocess_training_sql(),
         "drift_watchlist": drift_watchlist_sql(),
         "trend_tags": trend_tags_sql(),

@@ -251,19 +251,18 @@ def _score_parts(spark, sf):
     """E22 on the fixture reviews; the scored reviews are materialised once (like the
     reference's upload step) and every derived table is built from that file."""
     from vocspark.operators.vectors import centroids
-    from vocspark.plans.scoring import score_batch
+    from vocspark.plans.scoring import score_reviews, tables_of_scored
     from vocspark.sources.derived import derived
     lex = {"sev5": FX.FX_SEVERITY_5, "sev4": FX.FX_SEVERITY_4, "sev3": FX.FX_SEVERITY_3,
            "signal": FX.FX_SIGNAL, "vent": FX.FX_VENT}
     cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
-    parts = score_batch(FX.fx_reviews_embedded(spark, sf), cents, lex, FX.FX_ASPECT_KEYWORDS)
-    scored = derived(spark, sf, "scored_reviews", lambda: parts["scored"].drop("embedding"))
-    from vocspark.operators.series import monthly_rates, topic_stats
-    from vocspark.plans.scoring import classifications
-    base = scored.select(F.col("content").alias("text"), "category", "date", "severity", "financial_impact",
-                         "confidence")
-    return {"scored": scored, "review_classifications": classifications(scored),
-            "topic_timeseries": monthly_rates(base), "topic_analysis": topic_stats(base)}
+    scored = derived(spark, sf, "scored_reviews", lambda: score_reviews(FX.fx_reviews_embedded(spark, sf), cents, lex))
+    return {"scored": scored, **tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False)}
+
+
+def _score_uploaded(spark, sf):
+    from vocspark.plans.scoring import uploaded_reviews
+    return uploaded_reviews(FX.fx_reviews(spark, sf))
 
 
 def _preprocess(spark, sf):
@@ -423,6 +422,11 @@ QUERIES = {
     "score_batch_timeseries": lambda sp, sf: _score_parts(sp, sf)["topic_timeseries"],
     "score_batch_classifications": lambda sp, sf: _score_parts(sp, sf)["review_classifications"],
     "score_batch_topics": lambda sp, sf: _score_parts(sp, sf)["topic_analysis"],
+    "score_batch_aspects": lambda sp, sf: _score_parts(sp, sf)["aspect_analysis"],
+    "score_batch_drift": lambda sp, sf: _score_parts(sp, sf)["semantic_drift"],
+    "score_batch_quality": lambda sp, sf: _score_parts(sp, sf)["classification_quality"],
+    "score_batch_alerts": lambda sp, sf: _score_parts(sp, sf)["alerts"],
+    "score_batch_uploaded": _score_uploaded,
     "preprocess_training": _preprocess,
     "executive_summary": _summary(0),
     "executive_summary_6m": _summary(6),

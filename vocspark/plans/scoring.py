@@ -51,20 +51,41 @@ def classifications(scored: DataFrame, text: str = "content", min_len: int = 20)
 
 def score_batch(reviews: DataFrame, centroids: DataFrame, lexicons=None, aspect_keywords=None,
                 text: str = "content") -> dict[str, DataFrame]:
-    """The derived tables of one upload (lazy; persist `scored` before building many)."""
-    from vocspark.plans.dashboard import aspect_counts
+    """The derived tables of one upload (lazy; write `scored` before building many)."""
     scored = score_reviews(reviews, centroids, lexicons, text)
+    return {"uploaded_reviews": uploaded_reviews(reviews, text), "scored": scored,
+            **tables_of_scored(scored, centroids, aspect_keywords, text)}
+
+
+def uploaded_reviews(reviews: DataFrame, text: str = "content") -> DataFrame:
+    """the upload keeps a lower-case copy of the text."""
+    return reviews.drop("embedding").withColumn("cleaned_content", F.lower(F.col(text)))
+
+
+def tables_of_scored(scored: DataFrame, centroids: DataFrame, aspect_keywords=None, text: str = "content",
+                     vec: str = "embedding", as_of: str = C.DEFAULT_AS_OF, min_confidence: float = C.CONFIDENCE_THRESHOLD,
+                     emerging: bool = True) -> dict[str, DataFrame]:
+    """The tables that the scored reviews give. `emerging` fits the clusters of the reviews
+    below `min_confidence` (M14) at once; without it that table is left out."""
+    from vocspark.operators.ml import emerging_clusters
+    from vocspark.operators.vectors import drift_pairs, silhouette
+    from vocspark.plans.dashboard import aspect_counts, threshold_alerts
     base = scored.select(F.col(text).alias("text"), "category", "date", "severity", "financial_impact", "confidence")
-    uploaded = reviews.drop(*[c for c in ("embedding",) if c in reviews.columns]) \
-        .withColumn("cleaned_content", F.lower(F.col(text)))  # the upload keeps a lower-case copy
-    return {
-        "uploaded_reviews": uploaded,
-        "scored": scored,
+    aspects = aspect_counts(scored, text, aspect_keywords)
+    out = {
         "review_classifications": classifications(scored, text),
         "topic_timeseries": monthly_rates(base),
         "topic_analysis": topic_stats(base),
-        "aspect_analysis": aspect_counts(scored, text, aspect_keywords),
+        "aspect_analysis": aspects,
+        "semantic_drift": drift_pairs(scored, "category", "date", vec, text),
+        "classification_quality": silhouette(scored, "category", vec),
+        "alerts": threshold_alerts(aspects, as_of),
     }
+    if emerging:
+        pool = scored.filter(F.col("confidence") < min_confidence)
+        out["emerging_issues"] = emerging_clusters(pool, vec, text, "date", label_centroids=centroids,
+                                                   actionable="actionability")
+    return out
 
 
 def preprocess_training(df: DataFrame, text: str = "content", score: str = "score", texts: DataFrame | None = None,
