@@ -95,16 +95,17 @@ def descend(df: DataFrame, key: str, nodes: list[Node], out: str, seed: int = SE
 def gapless_slots(df: DataFrame, group: str, order: list[str], out: str = "slot") -> DataFrame:
     """Adds a number from 0 without gaps within each group, without putting a group into one task.
 
-    Rows go to one of 4096 blocks of their group by the md5 of the order columns; the small table of
-    block counts gives each block its offset, and rows are numbered within their block."""
-    df = df.withColumn("__block", F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order])), 1, 3))
+    Rows go to one of 256 blocks of their group by the md5 of the order columns; the table of block
+    counts gives each block its offset, and rows are numbered within their block. That table has at
+    most 256 rows for each group and is broadcast, so there must be few groups (shards)."""
+    df = df.withColumn("__block", F.substring(F.md5(F.concat_ws(":", *[F.col(c).cast("string") for c in order])), 1, 2))
     counts = df.groupBy(group, "__block").agg(F.count(F.lit(1)).alias("__n"))
     before = Window.partitionBy(group).orderBy("__block").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select(F.col(group).alias("__g"), F.col("__block").alias("__b"),
                             F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__offset"))
     within = Window.partitionBy(group, "__block").orderBy(*order)
     numbered = df.withColumn("__row", F.row_number().over(within) - 1)
-    return (numbered.join(offsets, (F.col(group) == F.col("__g")) & (F.col("__block") == F.col("__b")))
+    return (numbered.join(F.broadcast(offsets), (F.col(group) == F.col("__g")) & (F.col("__block") == F.col("__b")))
             .withColumn(out, (F.col("__offset") + F.col("__row")).cast("long"))
             .drop("__block", "__b", "__g", "__offset", "__row"))
 

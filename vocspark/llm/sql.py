@@ -48,7 +48,7 @@ placed AS (
   JOIN now_shard a ON a.k = coalesce(d.doc_id::VARCHAR, 'null')
   JOIN grown_shard b ON b.k = coalesce(d.doc_id::VARCHAR, 'null'))
 SELECT doc_id, size::BIGINT AS size, text_crc32::BIGINT AS text_crc32, 'key' AS law, shard,
-  (row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, text_crc32, size)), 1, 3), doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
+  (row_number() OVER (PARTITION BY shard ORDER BY substr(md5(concat_ws(':', doc_id, text_crc32, size)), 1, 2), doc_id NULLS FIRST, text_crc32, size) - 1)::BIGINT AS slot, grown_shard
 FROM placed"""
 
 
