@@ -3,9 +3,8 @@ silhouette and semantic drift (A23, A24, J9, J10, M9–M16).
 
 Scale notes
 -----------
-* Centroids are a group-by with map-side partial sums: `posexplode` feeds the
-  partial hash aggregate inside the task, so only (key, dim) partial sums are
-  shuffled — never the exploded rows, and never a hot group in one task.
+* Centroids are a group-by with map-side partial sums of whole vectors (MLlib's
+  Summarizer), so a task sends one partial sum per key and a hot group costs no more.
 * The centroid table is bounded by #categories x dim; it is attached to every
   row as one packed scalar-subquery value (Spark broadcasts the single row),
   so classification / silhouette need no join and no pair explosion.
@@ -17,6 +16,8 @@ Scale notes
 
 from __future__ import annotations
 
+from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.stat import Summarizer
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -27,13 +28,13 @@ from vocspark.operators.series import top_per_group
 
 
 def vector_sum(df: DataFrame, keys, vec: str, out: str = "vsum", count: str = "n") -> DataFrame:
-    """Per-key element-wise sum of an ARRAY<DOUBLE> column, plus the row count."""
+    """Per-key element-wise sum of an ARRAY<DOUBLE> column, plus the row count (null vectors left out).
+
+    One aggregate over whole vectors: a task keeps one partial sum for each key."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    e = df.select(*keys, F.posexplode(vec).alias("_p", "_x"))
-    s = e.groupBy(*keys, "_p").agg(F.sum("_x").alias("_s"), F.count(F.lit(1)).alias("_n"))
-    return s.groupBy(*keys).agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("_p", "_s"))), lambda t: t["_s"]).alias(out),
-        F.max("_n").alias(count))
+    v = df.filter(F.col(vec).isNotNull()).select(*keys, array_to_vector(vec).alias("_v"))
+    s = v.groupBy(*keys).agg(Summarizer.sum(F.col("_v")).alias("_s"), F.count(F.lit(1)).alias(count))
+    return s.select(*keys, vector_to_array("_s").alias(out), count)
 
 
 def centroids(df: DataFrame, key: str, vec: str, eps: float = 0.0, normalize_rows: bool = False) -> DataFrame:
