@@ -37,12 +37,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from . import blocks as B
-from .textarrays import U, Texts, chunks, mixed
+from .textarrays import U, Texts, chunks, distinct
 
 LENGTH = 50
 GRAM = 24
 HOT = 10_000
 CHUNK = 1 << 18
+BLOCK_BYTES = 8 << 20
+SHARDS_PER_BLOCK = 4
+SLICE = 1 << 18  # bytes that a shard suffix-sorts at a time, but whole grams
 _POSITION = U((1 << 32) - 1)
 _LAST = np.iinfo(np.int64).max
 
@@ -203,7 +206,7 @@ def _stretch_table(block: _Block, answers: list[bytes]):
     occurrences = []
     parts = list(block.parts())
     every = [a.keys for _, a in parts]
-    grams = np.unique(np.concatenate(every) if every else np.zeros(0, dtype=U))
+    grams = distinct(np.concatenate(every) if every else np.zeros(0, dtype=U))
     flags = _flags(grams, answers)
     for at, a in parts:
         key, first, count, doc = a.stretches(flags[np.searchsorted(grams, a.keys)])
@@ -287,21 +290,30 @@ def _least_ids(keys, names, sizes, ids, data, length: int):
     fresh[1:] = keys[1:] != keys[:-1]
     group = np.cumsum(fresh) - 1
     open_ = np.bincount(group)[group] > 1
-    if open_.any():
-        spans = sizes + (length - 1)
-        starts = np.cumsum(spans) - spans
-        text = _pieces(data, starts[open_], spans[open_])
-        own = spans[open_]
+    which = np.flatnonzero(open_)
+    spans = sizes + (length - 1)
+    starts = np.cumsum(spans) - spans
+    at_window = np.cumsum(sizes) - sizes
+    # grams are independent of each other: sort the texts of some at a time
+    before = np.cumsum(spans[which]) - spans[which]
+    lead = np.concatenate([[True], group[which][1:] != group[which][:-1]]) if len(which) else np.zeros(0, bool)
+    slices = np.maximum.accumulate(np.where(lead, before // SLICE, 0)) if len(which) else before
+    for part in np.split(which, np.flatnonzero(np.diff(slices)) + 1):
+        if not len(part):
+            continue
+        own, n = spans[part], sizes[part]
+        text = _pieces(data, starts[part], own)
         begins = np.cumsum(own) - own
-        n = sizes[open_]
-        places = np.repeat(begins - (np.cumsum(n) - n), n) + np.arange(n.sum())
-        least = np.repeat(ids[open_], n)
+        inner = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        places = np.repeat(begins, n) + inner
+        least = np.repeat(ids[part], n)
         slot = np.empty(len(text), dtype=np.int64)
         slot[places] = np.arange(len(places))
         order, begin = prefix_classes(text, places, length)
-        smallest = np.minimum.reduceat(least[slot[order]], begin)
-        least[slot[order]] = np.repeat(smallest, np.diff(np.append(begin, len(order))))
-        windows[np.repeat(open_, sizes)] = least
+        ordered = slot[order]
+        smallest = np.minimum.reduceat(least[ordered], begin)
+        least[ordered] = np.repeat(smallest, np.diff(np.append(begin, len(order))))
+        windows[np.repeat(at_window[part], n) + inner] = least
     return windows
 
 
@@ -373,12 +385,12 @@ def _cut(length: int, gram: int, kept: list[str], as_text: bool):
 
 
 def remove_repeats(docs: DataFrame, *keep: str, length: int = LENGTH, gram: int = GRAM, hot: int = HOT,
-                   block_bytes: int = B.BLOCK_BYTES, as_text: bool = False) -> DataFrame:
+                   block_bytes: int = BLOCK_BYTES, as_text: bool = False) -> DataFrame:
     """The columns `keep` of docs (all by default) with `removed` (spans of bytes, maximal, in
     order) and `kept`: the remaining bytes, or as text, without characters that a cut has split."""
     columns = [c for c in (keep or docs.columns) if c not in ("removed", "kept", "__block")]
     n = B.n_blocks(docs, block_bytes)
-    shards = 2 * n
+    shards = SHARDS_PER_BLOCK * n
     rows = B.blocked(docs, n, *dict.fromkeys([*columns, "doc_id"]))
     by_block = rows.groupBy("__block")
     marks = by_block.applyInArrow(_send_grams(shards, length, gram), B.MESSAGE) \

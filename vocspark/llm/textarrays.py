@@ -35,6 +35,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The distinct values, sorted."""
+    a = np.sort(a)
+    fresh = np.ones(len(a), dtype=bool)
+    fresh[1:] = a[1:] != a[:-1]
+    return a[fresh]
+
+
 _BYTE = mixed(np.arange(1, 257, dtype=U) * _BASE)
 _powers = np.ones(1, dtype=U)
 _inverses = np.ones(1, dtype=U)
