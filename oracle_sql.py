@@ -867,6 +867,110 @@ def centroids_cte(src: str, key: str, vec: str, name: str = "cents", eps: str |
 )"""
 
 
+def executive_summary_sql(n: int) -> str:
+    """Signals and markdown of the top issue; every signal is a one-row CTE."""
+    ts = ("SELECT t.* FROM fx_timeseries t JOIN mw USING (month) WHERE mw.period = 'cur'" if n > 0
+          else "SELECT * FROM fx_timeseries")
+    if n > 0:
+        cur, prev = f"rk <= {n}", f"rk > {n} AND rk <= {2 * n} AND nm >= {2 * n}"
+    else:
+        cur, prev = "rk = 1", "false"
+    spike = "last_v > (CASE WHEN std_prev > 0 THEN mean_prev + 1.5 * std_prev ELSE mean_prev END) AND last_v > 0.5"
+    pct = "CASE WHEN n_pts >= 2 AND prev_v > 0 AND last_v <> prev_v THEN CAST(trunc(abs(last_v - prev_v) / prev_v * 100) AS INTEGER) END"
+    return "WITH " + ",\n".join(base_ctes() + [month_window_cte(n), _aspect_map_values()]) + f"""
+, e_ts AS (SELECT issue_label, month, mentions, severity_weighted_rate AS v FROM ({ts}) q WHERE issue_label <> '{C.FALLBACK_LABEL}'),
+e_tp AS (SELECT * FROM fx_topics WHERE label <> '{C.FALLBACK_LABEL}'),
+e_x AS (
+  SELECT *, min(month) OVER () AS m_first, max(month) OVER () AS m_last,
+    row_number() OVER (PARTITION BY issue_label ORDER BY month DESC) AS rd,
+    avg(v) OVER (PARTITION BY issue_label ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS mean_prev,
+    stddev_pop(v) OVER (PARTITION BY issue_label ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS std_prev,
+    lag(v) OVER (PARTITION BY issue_label ORDER BY month) AS prev_v,
+    row_number() OVER (PARTITION BY issue_label ORDER BY month) AS xn
+  FROM e_ts),
+e_slope AS (
+  SELECT issue_label, regr_slope(v, xn) AS slope, count(*) AS n3 FROM e_x WHERE rd <= 3 GROUP BY 1),
+e_lab AS (
+  SELECT x.issue_label AS label, sum(mentions) AS vol, max(v) AS peak, count(*) AS n_pts,
+    max(CASE WHEN rd = 1 THEN v END) AS last_v, max(CASE WHEN rd = 1 THEN mean_prev END) AS mean_prev,
+    max(CASE WHEN rd = 1 THEN std_prev END) AS std_prev, max(CASE WHEN rd = 1 THEN prev_v END) AS prev_v,
+    coalesce(max(CASE WHEN month = m_last THEN v END), 0.0) AS c_end,
+    coalesce(max(CASE WHEN month = m_first THEN v END), 0.0) AS c_start,
+    max(m_first) AS m_first, max(m_last) AS m_last
+  FROM e_x x GROUP BY 1),
+e_r0 AS (SELECT tp.label, tp.avg_severity, tp.mentions, tp.sample_reviews, l.* EXCLUDE (label),
+           count(*) FILTER (WHERE l.vol >= 15) OVER () AS n_valid
+         FROM e_tp tp LEFT JOIN e_lab l ON l.label = tp.label),
+e_r1 AS (SELECT *, CASE WHEN n_valid > 0 THEN coalesce(CASE WHEN vol >= 15 THEN peak END, 0.0) ELSE CAST(mentions AS DOUBLE) END AS sort_score
+         FROM e_r0),
+e_r AS (SELECT *, row_number() OVER (ORDER BY sort_score DESC, label) AS rk FROM e_r1),
+e_top AS (SELECT r.*, CASE WHEN s.n3 >= 3 THEN s.slope END AS slope FROM e_r r LEFT JOIN e_slope s ON s.issue_label = r.label WHERE rk = 1),
+e_g AS (SELECT t.issue_label, t.month, max(v) AS v FROM e_ts t JOIN e_r r ON r.label = t.issue_label AND r.rk <= 5 GROUP BY 1, 2),
+e_full AS (
+  SELECT l.issue_label, m.month, coalesce(g.v, 0.0) AS v
+  FROM (SELECT DISTINCT issue_label FROM e_g) l CROSS JOIN (SELECT DISTINCT month FROM e_g) m
+  LEFT JOIN e_g g ON g.issue_label = l.issue_label AND g.month = m.month),
+e_pairs AS (
+  SELECT b.issue_label AS linked, covar_pop(a.v, b.v) / nullif(stddev_pop(a.v) * stddev_pop(b.v), 0) AS c
+  FROM e_full a JOIN e_top t ON a.issue_label = t.label JOIN e_full b ON a.month = b.month AND a.issue_label <> b.issue_label GROUP BY 1),
+e_link AS (SELECT linked FROM (SELECT *, row_number() OVER (ORDER BY c DESC, linked) AS o FROM e_pairs WHERE c IS NOT NULL AND NOT isnan(c)) q
+           WHERE o = 1 AND c > {C.CORR_TRENDING}),
+e_mv AS (SELECT label, (c_end - c_start) / c_start * 100 AS chg FROM e_lab WHERE vol >= 15 AND c_start > 0 AND abs(c_end - c_start) >= 0.5),
+e_months AS (SELECT month, row_number() OVER (ORDER BY month DESC) AS rk, count(*) OVER () AS nm FROM (SELECT DISTINCT month FROM e_ts) d),
+e_av AS (
+  SELECT a.aspect, sum(CASE WHEN {cur} THEN t.mentions END) AS cv, coalesce(sum(CASE WHEN {prev} THEN t.mentions END), 0) AS pv
+  FROM e_ts t JOIN e_months m ON m.month = t.month JOIN amap a ON a.issue_label = t.issue_label
+  WHERE a.aspect <> '{C.GENERAL_ASPECT}' GROUP BY 1),
+e_mom AS (SELECT aspect, CASE WHEN pv > 0 THEN round((cv - pv) / pv * 100, 1) ELSE 0.0 END AS mom FROM e_av WHERE cv > 0),
+e_asp AS (SELECT list_sort(list(aspect || ': **' || CASE WHEN mom > 15 THEN 'Getting Worse' WHEN mom < -15 THEN 'Improving' ELSE 'Stable' END || '**')) AS lines
+          FROM e_mom),
+e_sc AS (
+  SELECT t.month, CAST(sum(CAST(t.mentions AS DECIMAL(20,0)) * CAST(coalesce(p.avg_severity, 2.0) AS DECIMAL(10,2))) AS DOUBLE) / sum(t.mentions) AS score
+  FROM e_ts t LEFT JOIN e_tp p ON p.label = t.issue_label GROUP BY 1 HAVING sum(t.mentions) > 0),
+e_vol AS (
+  SELECT coalesce(n >= 3 AND (score > m + 1.5 * s OR score < m - 1.5 * s), false) AS volatile FROM (
+    SELECT *, avg(score) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS m,
+      stddev_pop(score) OVER (ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS s,
+      count(*) OVER () AS n, row_number() OVER (ORDER BY month DESC) AS rd FROM e_sc) q WHERE rd = 1),
+e_j AS (
+  SELECT t.*, (SELECT count(*) FROM e_months) AS n_months,
+    CASE WHEN (SELECT count(*) FROM e_months) >= 3 THEN (SELECT linked FROM e_link) END AS linked_issue,
+    (SELECT label FROM e_mv WHERE chg > 0 ORDER BY chg DESC, label LIMIT 1) AS biggest_riser,
+    (SELECT label FROM e_mv WHERE chg < 0 ORDER BY chg, label LIMIT 1) AS biggest_faller,
+    coalesce((SELECT lines FROM e_asp), []) AS aspect_status, coalesce((SELECT volatile FROM e_vol), false) AS volatility_alert,
+    CASE WHEN n_pts IS NULL OR n_pts < 3 THEN 'Steady' WHEN {spike} THEN 'Significant Spike' WHEN last_v > mean_prev THEN 'Rising' ELSE 'Steady' END AS state,
+    CASE WHEN slope > 0.2 THEN 'worsening' WHEN slope < -0.2 THEN 'improving' ELSE 'flat' END AS outlook,
+    {pct} AS trend_pct,
+    CASE WHEN n_pts >= 2 AND prev_v > 0 THEN (CASE WHEN last_v > prev_v THEN 'spiking' WHEN last_v < prev_v THEN 'decreasing' END) END AS trend_direction,
+    coalesce(sample_reviews[1], 'No clear textual evidence.') AS evidence
+  FROM e_top t),
+e_k AS (
+  SELECT *, CASE WHEN sort_score > 800 THEN 'high impact' WHEN sort_score > 400 THEN 'notable impact' ELSE 'minor impact' END AS impact,
+    CASE WHEN avg_severity > 4.0 THEN 'Urgent: Assign a team to fix this quickly to avoid losing money.'
+         WHEN coalesce(trend_pct, 0) > 25 THEN 'Action: Check recent app updates to see what caused this sudden spike.'
+         WHEN label = 'App Crash & Launch Failure' THEN 'Action: Check technical logs and consider rolling back the last update.'
+         ELSE 'Standard: Keep an eye on this trend and plan a fix in the next roadmap.' END AS next_best_action
+  FROM e_j)
+SELECT label AS top_issue, state, CAST(sort_score AS DOUBLE) AS sort_score, CAST(avg_severity AS DOUBLE) AS avg_severity, linked_issue, outlook,
+  trend_direction, trend_pct, biggest_riser, biggest_faller, volatility_alert, aspect_status, next_best_action, impact,
+  'Analysis Period: ' || m_first || ' — ' || m_last || ' (' || CAST(n_months AS VARCHAR) || ' months total)' AS period, evidence,
+  '### Primary Focus: ' || label || chr(10) || '**Current Situation:** This topic is currently **' || lower(state) || '** and is having a **'
+    || impact || '** on your customers. '
+    || concat_ws(' ', 'Highly linked to **' || linked_issue || '**, suggesting they might have the same root cause.',
+         CASE outlook WHEN 'worsening' THEN 'This is expected to get worse soon. We should look into it.'
+                      WHEN 'improving' THEN 'This is expected to improve soon.' END)
+    || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### Suggested Action' || chr(10) || '**' || next_best_action || '**' || chr(10) || chr(10)
+    || '---' || chr(10) || chr(10) || '### General App Health' || chr(10) || '**Status:** '
+    || CASE WHEN volatility_alert THEN 'HIGH EMOTIONAL VOLATILITY DETECTED.'
+            ELSE 'Monitoring is active. All systems are currently within normal performance ranges.' END
+    || CASE WHEN len(aspect_status) > 0 THEN chr(10) || chr(10) || '**Category Performance:**' || chr(10)
+            || array_to_string(list_transform(aspect_status, lambda s: '- ' || s), chr(10)) ELSE '' END
+    || CASE WHEN biggest_riser IS NOT NULL AND biggest_riser <> label
+            THEN chr(10) || chr(10) || '**Watch Out:** ' || biggest_riser || ' is starting to trend upward.' ELSE '' END
+    || chr(10) || chr(10) || '---' || chr(10) || chr(10) || '### What Customers are Saying' || chr(10) || '> *"' || substr(evidence, 1, 200) || '..."*' AS summary
+FROM e_k"""
+
+
 def near_dup_evidence_sql(keep: int = 15, threshold: float = 0.85, candidates: int = 20) -> str:
     """The greedy walk as a recursion over ranks: each step looks at one candidate of every group."""
     return "WITH RECURSIVE " + ",\n".join([fx_vectors_cte(), centroids_cte("fx_vectors", "category", "embedding")]) + f"""
@@ -1332,6 +1436,8 @@ def all_sql() -> dict[str, str]:
         "bootstrap_labels": bootstrap_labels_sql(),
         "label_coverage": label_coverage_sql(),
         "near_dup_evidence": near_dup_evidence_sql(),
+        "executive_summary": executive_summary_sql(0),
+        "executive_summary_6m": executive_summary_sql(6),
         "triplets": triplets_sql(),
         "eval_centroids": eval_centroids_sql(),
         "stream_daily_counts": stream_daily_sql(),
