@@ -196,6 +196,13 @@ PAGES = [
     ("<body><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div><p>The story is told here in a row of words that "
      "are not links at all.</p><p>And it goes on for one more paragraph of such words.</p></div></body>",
      "The story is told here in a row of words that are not links at all. And it goes on for one more paragraph of such words."),
+    ('<div class="layout has-sidebar"><div class="site-header"><h1>The Daily</h1></div><div class="content"><h1>Story</h1>'
+     '<p>It was a long day in the town, and the people went home late.</p><p>See <a href=1>one</a> and <a href=2>two</a>.</p>'
+     '<p>Then it rained for hours, as it often does in the autumn months there.</p></div><div class="cookie-notice">We use cookies to '
+     'give you the best experience that there is on the web.</div><div id="comments"><h3>Comments</h3><p>First of all, I was there and '
+     'saw it all with my own eyes.</p></div></div>',
+     "Story It was a long day in the town, and the people went home late. See one and two. "
+     "Then it rained for hours, as it often does in the autumn months there."),
     ("just text &lt; here", "just text < here"), ("", ""), (None, ""), ("<nav>only <a href=x>links</a></nav>", ""),
     ("<article><header><h1>H</h1></header><p>Body text of it.</p><aside>side</aside></article><header>Site</header>", "H Body text of it."),
 ]

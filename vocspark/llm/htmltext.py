@@ -8,7 +8,7 @@ below it, of which LC and LT are in links, and the body's own C and LC,
 A node's sum is that of its children's densities. The node with the largest sum is where the text
 is; the least density on its path up to the body is the threshold for its surroundings: while a
 sibling of the chosen node reaches it, the choice widens to their parent. An <article> or <main>
-around the chosen node ends the widening and is taken whole. Inside the choice, parts made of
+around the chosen node ends the widening and is taken whole. Inside the choice, groups made of
 links are left out.
 
 Parts that say what they are (nav, aside, form, ... or a class, id or role from `BOILERPLATE`) hold
@@ -41,9 +41,11 @@ SAME_LEVEL = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr",
 HOLDERS = {"li": {"ul", "ol", "menu"}, "dt": {"dl"}, "dd": {"dl"}, "tr": {"table"}, "td": {"table", "tr"},
            "th": {"table", "tr"}, "option": {"select"}}
 WHOLE = frozenset(("article", "main"))
+GROUPS = frozenset("ul ol dl menu div section table tbody tr".split())
+HEADER = re.compile(r"(?:^|[\s_-])(?:header|masthead|topbar|banner)(?:$|[\s_-])", re.IGNORECASE)
 BOILERPLATE = re.compile(
     r"(?:^|[\s_-])(?:ad|ads|advert\w*|adsense|sponsor\w*|promo\w*|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|"
-    r"footer|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
+    r"header|topbar|footer|copyright|masthead|cookies?|consent|gdpr|notice|alert|popup|modal|overlay|newsletter|subscribe|signup|login|"
     r"comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|widget|toolbar|pager|"
     r"pagination|search|skip|contentinfo|complementary)(?:$|[\s_-])", re.IGNORECASE)
 
@@ -53,7 +55,7 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.dropped = ["#root"], [0], [False]
+        self.tags, self.parents, self.hard, self.soft = ["#root"], [0], [False], [""]
         self.open = [0]
         self.pieces: list[tuple[int, str]] = []
 
@@ -69,7 +71,8 @@ class Page(HTMLParser):
         parent = self.open[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.dropped.append(self.dropped[parent] or tag in SILENT or self._boilerplate(tag, attrs, parent))
+        self.hard.append(tag in SILENT or tag == "header" and not self._in_whole(parent) or self._hidden(attrs))
+        self.soft.append("" if tag in ("html", "body") or tag in WHOLE else self._named(attrs))
         if tag not in VOID:
             self.open.append(len(self.tags) - 1)
 
@@ -93,20 +96,34 @@ class Page(HTMLParser):
             if name in walls:
                 return
 
-    def _boilerplate(self, tag: str, attrs: list[tuple[str, str | None]], parent: int) -> bool:
-        if tag in ("html", "body") or tag in WHOLE:
-            return False
-        if tag == "header":
-            at = parent
-            while at and self.tags[at] not in WHOLE:
-                at = self.parents[at]
-            return not at
-        for name, value in attrs:
-            if name in ("class", "id", "role") and value and BOILERPLATE.search(value):
-                return True
-            if name == "hidden" or name == "aria-hidden" and value == "true" or name == "style" and value and re.search(r"display\s*:\s*none", value):
-                return True
-        return False
+    def _in_whole(self, at: int) -> bool:
+        while at and self.tags[at] not in WHOLE:
+            at = self.parents[at]
+        return at > 0
+
+    @staticmethod
+    def _hidden(attrs: list[tuple[str, str | None]]) -> bool:
+        return any(n == "hidden" or n == "aria-hidden" and v == "true"
+                   or n == "style" and v and re.search(r"display\s*:\s*none", v) for n, v in attrs)
+
+    @staticmethod
+    def _named(attrs: list[tuple[str, str | None]]) -> str:
+        """The class, id or role that says boilerplate, if any does."""
+        return next((v for n, v in attrs if n in ("class", "id", "role") and v and BOILERPLATE.search(v)), "")
+
+    def dropped(self) -> list[bool]:
+        """Which nodes are boilerplate, by themselves or by a node above. A name is not believed of a node
+        that holds an article, nor of one with the page's heading unless it is called a header."""
+        n = len(self.tags)
+        whole, heading = [t in WHOLE for t in self.tags], [t == "h1" for t in self.tags]
+        for i in range(n - 1, 0, -1):
+            whole[self.parents[i]] |= whole[i]
+            heading[self.parents[i]] |= heading[i]
+        out = [False] * n
+        for i in range(1, n):
+            named = self.soft[i] and not whole[i] and (not heading[i] or HEADER.search(self.soft[i]))
+            out[i] = out[self.parents[i]] or self.hard[i] or bool(named)
+        return out
 
 
 def _density(c: int, t: int, lc: int, lt: int, body_share: float) -> float:
@@ -123,7 +140,7 @@ def main_text(html: str | None) -> str:
     page.feed(html or "")
     page.close()
     n = len(page.tags)
-    tags, parents, dropped = page.tags, page.parents, page.dropped
+    tags, parents, dropped = page.tags, page.parents, page.dropped()
     chars, links, below, link_tags = [0] * n, [0] * n, [0] * n, [0] * n
     in_link = [False] * n
     for i in range(1, n):
@@ -174,7 +191,7 @@ def main_text(html: str | None) -> str:
     taken = [False] * n
     taken[chosen] = True
     for i in range(chosen + 1, n):
-        of_links = links[i] > 0.5 * chars[i] and link_tags[i] > 1
+        of_links = tags[i] in GROUPS and links[i] > 0.8 * chars[i] and link_tags[i] > 2
         taken[i] = taken[parents[i]] and not dropped[i] and not of_links
     return " ".join("".join([t for at, t in page.pieces if at < 0 or taken[at]]).split())
 
