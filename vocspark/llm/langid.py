@@ -31,6 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import unit_hash
 from .textarrays import Texts, chunks
 
 ORDER = 3
@@ -43,10 +44,16 @@ def fold(doc_id: Column, folds: int) -> Column:
 
 
 def sample(labelled: DataFrame, per_lang: int = PER_LANG) -> DataFrame:
-    """At most per_lang rows (text, lang) of each language, by the hash of doc_id."""
+    """At most per_lang rows (text, lang) of each language, by a hash of doc_id.
+
+    Each language is first thinned by that hash to about twice as many rows as are wanted, so that
+    what is ranked, and shuffled with its text, is bounded too."""
     rows = labelled.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", "lang", "text")
-    rank = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text"))
-    return rows.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= per_lang).select("lang", "text")
+    draw = unit_hash(F.lit("langid"), F.coalesce(F.col("doc_id").cast("string"), F.lit("")))
+    share = rows.groupBy("lang").agg((F.lit(2.0 * per_lang + 50) / F.count(F.lit(1))).alias("__share"))
+    thinned = rows.withColumn("__u", draw).join(F.broadcast(share), "lang").where("__u < __share")  # a row for each language
+    rank = Window.partitionBy("lang").orderBy("__u", "doc_id", F.xxhash64("text"))
+    return thinned.withColumn("__r", F.row_number().over(rank)).where(F.col("__r") <= per_lang).select("lang", "text")
 
 
 def _grams(x: Texts, order: int) -> np.ndarray:
