@@ -20,7 +20,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from vocspark import config as C
 
 METRIC_PREFERENCE = ["revenue_risk_score", "severity_weighted_rate", "normalized_rate", "mentions"]
 
