@@ -17,28 +17,30 @@ from __future__ import annotations
 
 import base64
 import hashlib
+from array import array
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
 PAIRS_KEPT = 1 << 20
-PIECES_KEPT = 1 << 19  # in each of two generations
+PIECES_KEPT = 1 << 18  # in each of two generations
 PIECE_KEPT = 64  # characters
 
 
 class Memo(dict):
-    """Remembers `make(piece)` for short pieces, in two generations of at most PIECES_KEPT each."""
+    """Remembers `make(piece)` for short pieces, packed as 32-bit numbers, in two generations of at
+    most PIECES_KEPT each."""
 
     def __init__(self, make):
         super().__init__()
         self.make, self.older = make, {}
 
-    def __missing__(self, piece: str) -> tuple[int, ...]:
+    def __missing__(self, piece: str) -> bytes:
         if (ids := self.older.get(piece)) is None:
-            ids = self.make(piece.encode())
+            ids = array("I", self.make(piece.encode())).tobytes()
         if len(piece) <= PIECE_KEPT:
             if len(self) >= PIECES_KEPT:
                 self.older = dict(self)
@@ -153,9 +155,12 @@ class Codec:
                 token = self._shorter(token)
         return tuple(out)
 
+    def packed(self, text: str) -> bytes:
+        """The ids of a text as 32-bit numbers, each match of the pattern separately."""
+        return b"".join(map(self.memo.__getitem__, self.pieces(text)))
+
     def encode(self, text: str) -> list[int]:
-        """The ids of a text, each match of the pattern separately."""
-        return list(chain.from_iterable(map(self.memo.__getitem__, self.pieces(text))))
+        return array("I", self.packed(text)).tolist()
 
     def decode(self, ids: list[int]) -> bytes:
         return b"".join(map(self.tokens.__getitem__, ids))
@@ -199,7 +204,9 @@ def round_trip(docs: DataFrame, path: str, pattern: str, *keep: str) -> DataFram
 
 
 def _ids(c: Codec, texts: list[str]) -> list[pa.Array]:
-    return [pa.array([c.encode(t) for t in texts], pa.list_(pa.int32()))]
+    packed = [c.packed(t) for t in texts]
+    offsets = np.cumsum([0, *[len(p) // 4 for p in packed]]).astype(np.int32)
+    return [pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.frombuffer(b"".join(packed), np.uint32).astype(np.int32)))]
 
 
 def _digests(c: Codec, texts: list[str]) -> list[pa.Array]:
