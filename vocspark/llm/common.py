@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import gc
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -24,3 +26,10 @@ def unit_hash(*parts: Column) -> Column:
 def word_count(text: Column) -> Column:
     """Number of words of a text; 0 for null."""
     return F.coalesce(F.regexp_count(text, F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
+
+
+def release(spark: SparkSession) -> None:
+    """Lets Spark drop the shuffle files of steps that nothing refers to any more. It does so when the
+    driver's garbage is collected, which may otherwise be long after a checkpoint made them useless."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
