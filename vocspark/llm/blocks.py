@@ -25,15 +25,17 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .textarrays import U
+from .textarrays import U, trim
 
 BLOCK_BYTES = 16 << 20
 
 
-def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, least: int = 4) -> int:
-    """How many blocks of about block_bytes of text there are."""
+def n_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, least_bytes: int = 1 << 20) -> int:
+    """How many blocks there are: of about block_bytes of text each, or, so that a small input keeps
+    all cores busy, as many as there are shuffle partitions, of about least_bytes or more."""
     total = docs.agg(F.sum(F.octet_length("text").cast("long") + 16)).first()[0] or 0
-    return max(least, math.ceil(total / block_bytes))
+    partitions = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(1, math.ceil(total / block_bytes), min(partitions, math.ceil(total / min(least_bytes, block_bytes))))
 
 
 def blocked(docs: DataFrame, blocks: int, *keep: str) -> DataFrame:
@@ -53,6 +55,7 @@ def messages(rows: list[tuple[int, int, int, bytes]]) -> pa.Table:
 
 def read_messages(table: pa.Table, kind: int | None = None) -> list[tuple[int, int, bytes]]:
     """(block, shard, body), ordered by block and shard."""
+    trim()
     rows = zip(table.column("__block").to_pylist(), table.column("shard").to_pylist(),
                table.column("kind").to_pylist(), table.column("body").to_pylist(), strict=True)
     return sorted((b, s, body) for b, s, k, body in rows if kind is None or k == kind)

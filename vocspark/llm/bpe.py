@@ -25,9 +25,12 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-PAIRS_KEPT = 1 << 20
+from .textarrays import trim
+
+PAIRS_KEPT = 1 << 18
 PIECES_KEPT = 1 << 18  # in each of two generations
 PIECE_KEPT = 64  # characters
+BATCH = 1000  # texts held as Python strings at a time
 
 
 class Memo(dict):
@@ -227,10 +230,12 @@ def _per_text(docs: DataFrame, fields: list[str], names: list[str], path: str, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         c = codec(path, pattern)
-        for batch in batches:
-            column = batch.column(batch.schema.get_field_index("text"))
-            results = work(c, [t or "" for t in column.to_pylist()])
-            own = [batch.column(batch.schema.get_field_index(k)) for k in kept]
-            yield pa.RecordBatch.from_arrays(own + results, names=[*kept, *names])
+        for whole in batches:
+            trim()
+            for at in range(0, whole.num_rows, BATCH):
+                batch = whole.slice(at, BATCH)
+                results = work(c, [t or "" for t in batch.column(batch.schema.get_field_index("text")).to_pylist()])
+                own = [batch.column(batch.schema.get_field_index(k)) for k in kept]
+                yield pa.RecordBatch.from_arrays(own + results, names=[*kept, *names])
 
     return source.mapInArrow(run, schema)

@@ -8,6 +8,7 @@ the arrays; one longer document is a chunk of its own.
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,14 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def trim() -> None:
+    """Returns memory that earlier batches or groups have freed to the system: workers live on, and two
+    of them share an executor's memory with its JVM."""
+    pa.default_memory_pool().release_unused()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
 def distinct(a: np.ndarray) -> np.ndarray:
     """The distinct values, sorted."""
     a = np.sort(a)
@@ -137,6 +146,7 @@ def window_hashes(words: np.ndarray, before: np.ndarray, width: int) -> tuple[np
 
 def chunks(column: pa.ChunkedArray | pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, Texts]]:
     """(index of the first document, Texts) over a string column; null is an empty text."""
+    trim()
     done = 0
     for part in (column.chunks if isinstance(column, pa.ChunkedArray) else [column]):
         part = part.cast(pa.large_binary()).fill_null(b"")
