@@ -233,3 +233,25 @@ def test_few_vectors_find_each_other(spark, vectors):
     out = ann.search(few, F.col("vec_id") % 20 == 0).collect()
     assert sorted(r.vec_id for r in out) == [1, 2, 3, 4, 5]
     assert ann.search(df.limit(0), F.col("vec_id") % 20 == 0).count() == 0
+
+
+@pytest.mark.parametrize("bucket", [8192, 50])
+def test_an_id_on_many_rows_takes_one_place(spark, monkeypatch, bucket):
+    monkeypatch.setattr(ann, "BUCKET_ROWS", bucket)
+    rng = np.random.default_rng(3)
+    center = rng.normal(size=16)
+    v = center + 0.05 * rng.normal(size=(100, 16))
+    many = 1.1 * center + 0.001 * rng.normal(size=(1000, 16))  # near the top for every query
+    rows = [(i, [float(x) for x in row]) for i, row in enumerate(v)] + [(777, [float(x) for x in row]) for row in many]
+    rows += [(778, [float(x) for x in 1.1 * center])] * 1000
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, []).append((r["rank"], r.vec_id, r.score))
+    assert set(got) == set(range(0, 100, 20))
+    for q, found in got.items():
+        best = {i: s for i, s in enumerate((v * v[q]).sum(axis=1)) if i != q}
+        best |= {777: (many @ v[q]).max(), 778: 1.1 * center @ v[q]}
+        want = sorted((-s, i) for i, s in best.items())[:20]
+        assert [x[1] for x in sorted(found)] == [i for _, i in want]
+        assert [x[2] for x in sorted(found)] == pytest.approx([-s for s, _ in want])

@@ -11,15 +11,17 @@ W and the number of probes are fitted on a bounded sample: the exact neighbours
 among all vectors. W follows their distance, and probes are taken until `recall` of these
 neighbours is found. Vectors without structure so need many probes, clustered ones few.
 
-The index is dealt by bucket. A bucket larger than BUCKET_ROWS is dealt to several shards by a hash
-of vec_id, and its probes go to all of them, so that one vector that a third of all rows repeat
-makes no large task. Each shard keeps the best k of each query and sends only these on.
+Rows that repeat an id and its vector are made one first. The index is dealt by bucket. A bucket
+larger than BUCKET_ROWS is dealt to several shards by a hash of the row, and its probes go to all of
+them, so that neither one vector of a third of all ids nor one id with many vectors makes a large
+task. Each shard keeps the best k ids of each query and sends only these on.
 
 A query that finds fewer than k visits all buckets of one table, which is exact.
 
 Cases: vectors that are null, of norm 0, with null or non-finite components or another length than
 most have, take no part, nor do null ids; ties go to the smaller id; a repeated id counts once,
-with its best score, and never as its own neighbour; an empty table gives an empty table.
+with its best score, and never as its own neighbour, and asks with its smallest vector; an empty
+table gives an empty table.
 """
 
 from __future__ import annotations
@@ -61,11 +63,17 @@ def _matrix(column: pa.ChunkedArray | pa.Array, width: int) -> np.ndarray:
 
 
 def _best(queries: np.ndarray, ids: np.ndarray, vectors: np.ndarray, own: np.ndarray, k: int):
-    """The best k of some vectors for each query: (query's row, vector's row, exact score)."""
+    """The best k ids of some vectors for each query, with their best rows: (query's row, vector's row, exact score)."""
     rough = queries @ vectors.T
     rough[own[:, None] == ids[None, :]] = -np.inf
-    if rough.shape[1] > k:
-        least = np.partition(rough, rough.shape[1] - k, axis=1)[:, rough.shape[1] - k][:, None]
+    names, group = np.unique(ids, return_inverse=True)
+    top = rough
+    if len(names) < len(ids):  # an id stands once among the k, by its best row
+        order = np.argsort(group, kind="stable")
+        top = np.maximum.reduceat(rough[:, order], np.searchsorted(group[order], np.arange(len(names))), axis=1)
+        rough[rough < (top - 1e-9 * (1 + np.abs(top)))[:, group]] = -np.inf
+    if len(names) > k:
+        least = np.partition(top, len(names) - k, axis=1)[:, len(names) - k][:, None]
         keep = rough >= least - 1e-9 * (1 + np.abs(least))
     else:
         keep = np.ones(rough.shape, dtype=bool)
@@ -130,10 +138,15 @@ def _packed(values: np.ndarray) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _one_each(rows: DataFrame) -> DataFrame:
+    """The smallest vector of each id."""
+    return rows.groupBy("id").agg(F.min("v").alias("v"))
+
+
 def fit(rows: DataFrame, dim: int, norm: float, k: int, tables: int = TABLES, functions: int = FUNCTIONS,
         recall: float = RECALL, sample: int = SAMPLE, seed: int = SEED) -> Hashing:
     """Hash functions whose probes find `recall` of the exact neighbours of `sample` vectors."""
-    picked = rows.orderBy(F.xxhash64("id"), "id").limit(sample).collect()
+    picked = _one_each(rows).orderBy(F.xxhash64("id"), "id").limit(sample).collect()
     queries, own = np.array([r["v"] for r in picked]), np.array([r["id"] for r in picked])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,6 +159,7 @@ def fit(rows: DataFrame, dim: int, norm: float, k: int, tables: int = TABLES, fu
 
     found = rows.select("id", "v").mapInArrow(run, "q bigint, score double, id bigint, v array<double>")
     rank = Window.partitionBy("q").orderBy(F.desc("score"), "id")
+    found = found.groupBy("q", "id").agg(F.max_by("v", "score").alias("v"), F.max("score").alias("score"))
     near = found.withColumn("r", F.row_number().over(rank)).where(F.col("r") <= k).orderBy("q", "r").collect()  # sample * k
     rng = np.random.default_rng(seed)
     a, b = rng.normal(size=(tables, dim + 1, functions)), rng.random((tables, functions))
@@ -252,13 +266,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id"
     if common is None:
         return vectors.sparkSession.createDataFrame([], schema)
     dim, n = common["dim"], common["n"]
-    rows = rows.where(F.size("v") == dim).select("id", "v")
+    rows = cut_lineage(rows.where(F.size("v") == dim).select("id", "v").distinct())
     h = hashing or fit(rows, dim, common["norm"], k)
     shards = max(LEAST_SHARDS, -(-n * len(h.a) // SHARD_ROWS))
-    queries = rows.withColumnRenamed("id", id).where(is_query).withColumnRenamed(id, "id").dropDuplicates(["id"])
+    queries = _one_each(rows.withColumnRenamed("id", id).where(is_query).withColumnRenamed(id, "id"))
     coded = _coded(rows, h, dim)
     buckets = coded.groupBy("t", "code").agg(F.ceil(F.count(F.lit(1)) / BUCKET_ROWS).cast("int").alias("parts"))
-    salted = coded.join(buckets, ["t", "code"]).withColumn("salt", F.pmod(F.xxhash64("id"), "parts").cast("int"))
+    salted = coded.join(buckets, ["t", "code"]).withColumn("salt", F.pmod(F.xxhash64("id", "v"), "parts").cast("int"))
     dealt = salted.select("id", "v", F.xxhash64("t", "code", "salt").alias("cell"),
                           F.pmod(F.xxhash64("t", "code", "salt"), F.lit(shards)).cast("int").alias("shard"))
     found = _search(_visits(queries, h, dim), queries, dealt, buckets, dim, k, shards)
