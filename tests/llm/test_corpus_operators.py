@@ -255,3 +255,21 @@ def test_an_id_on_many_rows_takes_one_place(spark, monkeypatch, bucket):
         want = sorted((-s, i) for i, s in best.items())[:20]
         assert [x[1] for x in sorted(found)] == [i for _, i in want]
         assert [x[2] for x in sorted(found)] == pytest.approx([-s for s, _ in want])
+
+
+def test_sparse_regions_find_their_neighbours(spark):
+    rng = np.random.default_rng(8)
+    tight = np.repeat(rng.normal(size=(4, 16)), 300, axis=0) + 0.1 * rng.normal(size=(1200, 16))
+    v = np.concatenate([tight, rng.normal(size=16) + 0.25 * rng.normal(size=(800, 16))])
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, [float(x) for x in row]) for i, row in enumerate(v)], "vec_id long, embedding array<double>")
+    got = {}
+    for r in ann.search(df, F.col("vec_id") % 20 == 0).collect():
+        got.setdefault(r.query_id, set()).add(r.vec_id)
+    hits = {}
+    for q, found in got.items():
+        scores = (v * v[q]).sum(axis=1)
+        want = {i for _, i in sorted((-s, i) for i, s in enumerate(scores) if i != q)[:20]}
+        hits.setdefault("tight" if q < 1200 else "sparse", []).append(len(found & want) / 20)
+    assert {k: len(x) for k, x in hits.items()} == {"tight": 60, "sparse": 40}
+    assert all(np.mean(x) >= 0.95 for x in hits.values()), {k: np.mean(x) for k, x in hits.items()}

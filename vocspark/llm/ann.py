@@ -8,15 +8,19 @@ step costs the square of the distance to that border of the bucket. Candidates o
 merged and ranked by the exact inner product, in double precision.
 
 W and the number of probes are fitted on a bounded sample: the exact neighbours of SAMPLE vectors
-among all vectors. W follows their distance, and probes are taken until `recall` of these
-neighbours is found. Vectors without structure so need many probes, clustered ones few.
+among all vectors. W follows the distance of the last neighbour of most of them (NEAR). Probes are
+taken until `recall` is reached for the neighbours up to that distance, for the farthest tenth of
+these, and for a neighbour at that distance by the model of the hash functions; where all probes are
+not enough, W grows.
 
 Rows that repeat an id and its vector are made one first. The index is dealt by bucket. A bucket
 larger than BUCKET_ROWS is dealt to several shards by a hash of the row, and its probes go to all of
 them, so that neither one vector of a third of all ids nor one id with many vectors makes a large
 task. Each shard keeps the best k ids of each query and sends only these on.
 
-A query that finds fewer than k visits all buckets of one table, which is exact.
+A query that finds fewer than k, or whose k-th found is farther than the distance up to which the
+fitted probes reach `recall`, is compared with all vectors, which is exact. So no query depends on
+its density being that of the sample.
 
 Cases: vectors that are null, of norm 0, with null or non-finite components or another length than
 most have, take no part, nor do null ids; ties go to the smaller id; a repeated id counts once,
@@ -42,6 +46,8 @@ TABLES = 2
 FUNCTIONS = 6
 SAMPLE = 64
 RECALL = 0.97
+NEAR = 0.95
+DRAWS = 2000
 BUCKET_ROWS = 8192
 SHARD_ROWS = 100_000
 LEAST_SHARDS = 12
@@ -110,6 +116,17 @@ class Hashing:
         extra = np.sqrt(np.maximum(self.norm ** 2 - (v * v).sum(axis=1), 0))
         return np.stack([_packed(np.floor(self._places(np.column_stack([v, extra]), t))) for t in range(len(self.a))], axis=1)
 
+    def reach(self, recall: float = RECALL) -> float:
+        """The distance up to which the probes find `recall` of the neighbours."""
+        share, near, far = _of_one(recall, len(self.a)), 0.0, 4.0
+        for _ in range(20):
+            middle = (near + far) / 2
+            if _place_for(_places_of(middle, self.b.shape[1]), share) < self.probes:
+                near = middle
+            else:
+                far = middle
+        return near * self.width
+
     def _places(self, v: np.ndarray, table: int) -> np.ndarray:
         return (v @ self.a[table]) / self.width + self.b[table]
 
@@ -125,6 +142,27 @@ class Hashing:
         return np.stack([_packed(home[i] + steps[order[i]]) for i in range(len(q))]) if len(q) else np.zeros((0, 0), np.int64)
 
 
+def _places_of(ratio: float, functions: int) -> np.ndarray:
+    """Places, among a query's probes, of the bucket of a neighbour that is `ratio` widths away, for
+    DRAWS random hash functions; the number of all probes where none reaches it."""
+    rng, steps = np.random.default_rng(SEED), _steps(functions)
+    down, move = rng.random((DRAWS, functions)), ratio * rng.normal(size=(DRAWS, functions))
+    step = np.floor(down + move)
+    cost = (down ** 2) @ (steps < 0).T + ((1 - down) ** 2) @ (steps > 0).T
+    own = (down ** 2 * (step < 0) + (1 - down) ** 2 * (step > 0)).sum(axis=1)
+    return np.where(np.abs(step).max(axis=1) > 1, len(steps), (cost < own[:, None] - 1e-12).sum(axis=1))
+
+
+def _place_for(places: np.ndarray, share: float) -> int:
+    """The place up to which `share` of some neighbours are found."""
+    return int(np.sort(places)[min(len(places) - 1, max(int(np.ceil(share * len(places))) - 1, 0))])
+
+
+def _of_one(recall: float, tables: int) -> float:
+    """What one table has to find for all tables to find `recall`."""
+    return 1 - (1 - recall) ** (1 / tables)
+
+
 def _steps(n: int) -> np.ndarray:
     return np.array(list(product((0, -1, 1), repeat=n)), dtype=np.int64)
 
@@ -169,14 +207,23 @@ def fit(rows: DataFrame, dim: int, norm: float, k: int, tables: int = TABLES, fu
     q, v = np.array([r["q"] for r in near]), np.array([r["v"] for r in near])
     cosine = (queries[q] * v).sum(axis=1) / (norm * np.linalg.norm(queries[q], axis=1))
     distance = norm * np.sqrt(np.maximum(2 - 2 * cosine, 0))
-    width = max(1.5 * float(np.median(distance)), 1e-6 * norm)
-    h = Hashing(a, b, width, norm, every)
-    codes, first = h.codes(v), np.full(len(near), every)
-    for t in range(tables):
-        hit = h.visits(queries, t)[q] == codes[:, t][:, None]
-        first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), every))
-    needed = np.sort(first)[min(len(first) - 1, int(np.ceil(recall * len(first))) - 1)]
-    return Hashing(a, b, width, norm, int(min(needed + 1, every)))
+    last = np.zeros(len(queries))
+    np.maximum.at(last, q, distance)
+    aim = float(np.quantile(last[np.unique(q)], NEAR, method="higher"))
+    q, v, distance = q[distance <= aim], v[distance <= aim], distance[distance <= aim]
+    far = distance >= np.quantile(distance, 0.9)
+    width = max(1.5 * aim, 1e-6 * norm)
+    while True:
+        h = Hashing(a, b, width, norm, every)
+        codes, first = h.codes(v), np.full(len(v), every)
+        for t in range(tables):
+            hit = h.visits(queries, t)[q] == codes[:, t][:, None]
+            first = np.minimum(first, np.where(hit.any(axis=1), hit.argmax(axis=1), every))
+        modelled = _place_for(_places_of(aim / width, functions), _of_one(recall, tables))
+        needed = max(_place_for(first, recall), _place_for(first[far], recall), modelled)
+        if needed < every:
+            return Hashing(a, b, width, norm, needed + 1)
+        width *= 1.25  # in the end all vectors are in neighbouring buckets
 
 
 def _coded(rows: DataFrame, h: Hashing, dim: int) -> DataFrame:
@@ -256,6 +303,28 @@ def _search(probes: DataFrame, queries: DataFrame, dealt: DataFrame, buckets: Da
     return dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
 
 
+def _exact(queries: DataFrame, rows: DataFrame, dim: int, k: int, shards: int) -> DataFrame:
+    """(query_id, vec_id, score): the best k of each shard of all rows."""
+    asked = queries.select(F.col("id").alias("q"), "v", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"))
+    dealt = rows.select("id", "v", F.pmod(F.xxhash64("id", "v"), F.lit(shards)).cast("int").alias("shard"))
+
+    def run(key: tuple, vectors: pa.Table, asking: pa.Table) -> pa.Table:
+        ids, v = vectors.column("id").to_numpy(), _matrix(vectors.column("v"), dim)
+        own, q = asking.column("q").to_numpy(), _matrix(asking.column("v"), dim)
+        parts = [(np.zeros(0, np.int64),) * 2 + (np.zeros(0),)]
+        for begin in range(0, len(own), 1024):
+            who, at, score = (np.concatenate(x) for x in zip(*[
+                (a, b + first, s) for first in range(0, len(ids), BUCKET_ROWS)
+                for a, b, s in [_best(q[begin: begin + 1024], ids[first: first + BUCKET_ROWS], v[first: first + BUCKET_ROWS],
+                                      own[begin: begin + 1024], k)]])) if len(ids) else parts[0]
+            best = _first_k(who, ids[at], score, k)
+            parts.append((who[best] + begin, at[best], score[best]))
+        who, at, score = (np.concatenate(x) for x in zip(*parts))
+        return pa.table([pa.array(own[who]), pa.array(ids[at]), pa.array(score)], names=["query_id", "vec_id", "score"])
+
+    return dealt.groupBy("shard").cogroup(asked.groupBy("shard")).applyInArrow(run, "query_id bigint, vec_id bigint, score double")
+
+
 def search(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id", vector: str = "embedding",
            hashing: Hashing | None = None) -> DataFrame:
     """query_id, rank, vec_id, score: the k nearest found of each row where `is_query` (over `id`) holds."""
@@ -284,12 +353,13 @@ def search(vectors: DataFrame, is_query: Column, k: int = 20, id: str = "vec_id"
                 .select("query_id", "rank", "vec_id", "score"))
 
     result = cut_lineage(ranked(found))
-    short = queries.join(result.groupBy("query_id").count().where(F.col("count") >= k),
-                         F.col("id") == F.col("query_id"), "left_anti")
+    length = F.sqrt(F.aggregate("v", F.lit(0.0), lambda s, x: s + x * x))
+    least = length * F.lit(h.norm - h.reach() ** 2 / (2 * h.norm))  # the inner product at that distance
+    kth = result.where(F.col("rank") == k).select("query_id", "score")
+    short = (queries.join(kth, F.col("id") == F.col("query_id"), "left")
+             .where(F.col("score").isNull() | (F.col("score") < least)).select("id", "v"))
     short = cut_lineage(short)
     if short.isEmpty():
         return result
-    one_table = buckets.where(F.col("t") == 0).select("t", "code")
-    all_cells = short.select(F.col("id").alias("q"), F.lit(0).alias("t")).join(one_table, "t")
-    exact = ranked(_search(all_cells, short, dealt, buckets, dim, k, shards))
+    exact = ranked(_exact(short, rows, dim, k, shards))
     return result.join(short.select(F.col("id").alias("query_id")), "query_id", "left_anti").select(*exact.columns).union(exact)
