@@ -215,3 +215,21 @@ def test_html(spark):
         assert out[i].text == text and out[i].n_chars == len(text)
     assert htmltext.extract(df.limit(0)).count() == 0
     assert htmltext.main_text("<div>" * 3000 + "deep text" + "</div>" * 3000) == "deep text"
+
+
+STORY = "<p>It was a long day in the town, and the people went home late.<p>Then it rained for hours, as it often does there."
+STORY_TEXT = "It was a long day in the town, and the people went home late. Then it rained for hours, as it often does there."
+
+
+@pytest.mark.parametrize("page", [
+    f"<body><form id=aspnetForm><input type=hidden><div class=menu><a href=1>x</a></div><div class=text>{STORY}</div>"
+    "<select><option>en</select><button>Send</button></form>",
+    f"<body><form><article>{STORY}</article></form><form>Your <input name=q> mail</form>",
+    f"<body><p>Hi.</p><dialog open><article>{STORY}</article></dialog><form><label>Mail</label></form>"])
+def test_html_forms_around_the_story(page):
+    assert htmltext.main_text(page) == STORY_TEXT
+
+
+def test_html_links_in_an_article_stay():
+    links = "<ul><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ul>"
+    assert htmltext.main_text(f"<body><article>{STORY}{links}</article>{links}") == STORY_TEXT + " First source Second source Third source"

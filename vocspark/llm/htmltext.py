@@ -9,10 +9,11 @@ A node's sum is that of its children's densities. The node with the largest sum
 is; the least density on its path up to the body is the threshold for its surroundings: while a
 sibling of the chosen node reaches it, the choice widens to their parent. An <article> or <main>
 around the chosen node ends the widening and is taken whole. Inside the choice, groups made of
-links are left out.
+links are left out, unless they are in an <article> or <main>.
 
 Parts that say what they are (nav, aside, form, ... or a class, id or role from `BOILERPLATE`) hold
-no article text and count as nothing.
+no article text and count as nothing. A form, button, dialog or object around an <article> or <main>,
+and a form or button around the heading or most of the text, are plain containers.
 
 Cases: null, empty and tag-free pages give the text that is there, or an empty one; unclosed and
 misnested tags are closed as browsers do for the common cases; equal pages give equal texts; an
@@ -32,6 +33,7 @@ from pyspark.sql import DataFrame
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SILENT = frozenset("script style noscript template head title nav aside footer form button select textarea input "
                    "iframe svg canvas object dialog menu audio video map".split())
+HOLDING = frozenset("form button dialog object".split())
 INLINE = frozenset("a abbr b bdi bdo cite code data del dfn em font i ins kbd mark q s samp small span strike strong "
                    "sub sup time tt u var wbr".split())
 CLOSES_P = frozenset("address article aside blockquote details div dl fieldset figcaption figure footer form h1 h2 h3 "
@@ -55,7 +57,7 @@ class Page(HTMLParser):
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
-        self.tags, self.parents, self.hard, self.soft = ["#root"], [0], [False], [""]
+        self.tags, self.parents, self.hard, self.hidden, self.soft = ["#root"], [0], [False], [False], [""]
         self.open = [0]
         self.pieces: list[tuple[int, str]] = []
 
@@ -71,7 +73,8 @@ class Page(HTMLParser):
         parent = self.open[-1]
         self.tags.append(tag)
         self.parents.append(parent)
-        self.hard.append(tag in SILENT or tag == "header" and not self._in_whole(parent) or self._hidden(attrs))
+        self.hard.append(tag in SILENT or tag == "header" and not self._in_whole(parent))
+        self.hidden.append(self._hidden(attrs))
         self.soft.append("" if tag in ("html", "body") or tag in WHOLE else self._named(attrs))
         if tag not in VOID:
             self.open.append(len(self.tags) - 1)
@@ -122,9 +125,29 @@ class Page(HTMLParser):
         out = [False] * n
         for i in range(1, n):
             named = self.soft[i] and not whole[i] and (not heading[i] or HEADER.search(self.soft[i]))
-            out[i] = out[self.parents[i]] or self.hard[i] or bool(named)
+            out[i] = bool(named) or self.hidden[i] or self.hard[i] and self.tags[i] not in HOLDING
+        holding = [i for i in range(1, n) if self.tags[i] in HOLDING and not out[i] and not whole[i]]
+        if holding:
+            text = self._text_of(out)
+            for i in holding:
+                out[i] = self.tags[i] not in ("form", "button") or not heading[i] and 2 * text[i] <= text[0]
+        for i in range(1, n):
+            out[i] |= out[self.parents[i]]
         return out
 
+    def _text_of(self, out: list[bool]) -> list[int]:
+        """The characters of each node outside links and outside the nodes of `out`."""
+        n = len(self.tags)
+        off, text = out[:], [0] * n
+        for i in range(1, n):
+            off[i] |= off[self.parents[i]] or self.tags[i] == "a"
+        for at, t in self.pieces:
+            if at >= 0 and not off[at]:
+                text[at] += len("".join(t.split()))
+        for i in range(n - 1, 0, -1):
+            text[self.parents[i]] += text[i]
+        return text
+
 
 def _density(c: int, t: int, lc: int, lt: int, body_share: float) -> float:
     if not c:
@@ -188,10 +211,12 @@ def main_text(html: str | None) -> str:
         for i in path[:-1]:
             if i == chosen and any(k != i and density[k] >= threshold and density[k] > 0 for k in siblings[parents[i]]):
                 chosen = parents[i]
-    taken = [False] * n
+    taken, in_whole = [False] * n, [False] * n
     taken[chosen] = True
+    for i in range(1, n):
+        in_whole[i] = in_whole[parents[i]] or tags[i] in WHOLE
     for i in range(chosen + 1, n):
-        of_links = tags[i] in GROUPS and links[i] > 0.8 * chars[i] and link_tags[i] > 2
+        of_links = tags[i] in GROUPS and links[i] > 0.8 * chars[i] and link_tags[i] > 2 and not in_whole[i]
         taken[i] = taken[parents[i]] and not dropped[i] and not of_links
     return " ".join("".join([t for at, t in page.pieces if at < 0 or taken[at]]).split())
 
