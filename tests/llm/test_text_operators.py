@@ -233,3 +233,19 @@ def test_html_forms_around_the_story(page):
 def test_html_links_in_an_article_stay():
     links = "<ul><li><a href=1>First source</a><li><a href=2>Second source</a><li><a href=3>Third source</a></ul>"
     assert htmltext.main_text(f"<body><article>{STORY}{links}</article>{links}") == STORY_TEXT + " First source Second source Third source"
+
+
+COMMENT = "<p>First of all, I was there and saw it all with my own eyes, and it was not at all as you tell it here, since "\
+          "nobody went home before the rain, which came much later and was over soon, as anyone in the town will tell you."
+
+
+@pytest.mark.parametrize("comments", [
+    f"<div id=comments><article class=comment>{COMMENT}</article><article class='comment odd'>{COMMENT}</article></div>",
+    f"<ol class=thread><li><article id=div-comment-7 class=comment-body>{COMMENT}</article></ol>"])
+@pytest.mark.parametrize("page", ["<body><article>{}{}</article>", "<body><article>{}</article>{}", "<body><div>{}</div>{}"])
+def test_html_comments_marked_as_articles(page, comments):
+    assert htmltext.main_text(page.format(STORY, comments)) == STORY_TEXT
+
+
+def test_html_an_article_of_opinion_is_no_comment():
+    assert htmltext.main_text(f"<body><article class=comment><h1>Head</h1>{STORY}</article>") == "Head " + STORY_TEXT

@@ -13,7 +13,8 @@ links are left out, unless they are in an <article> or <main>.
 
 Parts that say what they are (nav, aside, form, ... or a class, id or role from `BOILERPLATE`) hold
 no article text and count as nothing. A form, button, dialog or object around an <article> or <main>,
-and a form or button around the heading or most of the text, are plain containers.
+and a form or button around the heading or most of the text, are plain containers. An <article> that
+is named a comment is one, unless it holds the heading.
 
 Cases: null, empty and tag-free pages give the text that is there, or an empty one; unclosed and
 misnested tags are closed as browsers do for the common cases; equal pages give equal texts; an
@@ -51,6 +52,9 @@ BOILERPLATE = re.compile(
     r"comments?|commentlist|disqus|replies|respond|related|recommended|share|sharing|social|widget|toolbar|pager|"
     r"pagination|search|skip|contentinfo|complementary)(?:$|[\s_-])", re.IGNORECASE)
 
+COMMENT = re.compile(r"(?:^|\s)(?:(?:div-)?comments?(?:-(?:body|list|item|entry|content|text|wrapper|\d+))?|repl(?:y|ies))(?:$|\s)",
+                     re.IGNORECASE)
+
 
 class Page(HTMLParser):
     """Nodes in page order (a parent before its children) and the text pieces with their nodes."""
@@ -75,7 +79,7 @@ class Page(HTMLParser):
         self.parents.append(parent)
         self.hard.append(tag in SILENT or tag == "header" and not self._in_whole(parent))
         self.hidden.append(self._hidden(attrs))
-        self.soft.append("" if tag in ("html", "body") or tag in WHOLE else self._named(attrs))
+        self.soft.append("" if tag in ("html", "body", "main") else self._named(attrs, COMMENT if tag in WHOLE else BOILERPLATE))
         if tag not in VOID:
             self.open.append(len(self.tags) - 1)
 
@@ -110,16 +114,17 @@ class Page(HTMLParser):
                    or n == "style" and v and re.search(r"display\s*:\s*none", v) for n, v in attrs)
 
     @staticmethod
-    def _named(attrs: list[tuple[str, str | None]]) -> str:
+    def _named(attrs: list[tuple[str, str | None]], names: re.Pattern) -> str:
         """The class, id or role that says boilerplate, if any does."""
-        return next((v for n, v in attrs if n in ("class", "id", "role") and v and BOILERPLATE.search(v)), "")
+        return next((v for n, v in attrs if n in ("class", "id", "role") and v and names.search(v)), "")
 
     def dropped(self) -> list[bool]:
         """Which nodes are boilerplate, by themselves or by a node above. A name is not believed of a node
-        that holds an article, nor of one with the page's heading unless it is called a header."""
+        that holds an article not so named, nor of one with the page's heading unless it is called a header."""
         n = len(self.tags)
-        whole, heading = [t in WHOLE for t in self.tags], [t == "h1" for t in self.tags]
+        whole, heading = [False] * n, [t == "h1" for t in self.tags]
         for i in range(n - 1, 0, -1):
+            whole[i] |= self.tags[i] in WHOLE and (not self.soft[i] or heading[i])
             whole[self.parents[i]] |= whole[i]
             heading[self.parents[i]] |= heading[i]
         out = [False] * n
