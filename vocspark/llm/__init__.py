@@ -1,4 +1,4 @@
-"""Training-data operators: ten corpus operators and the queries that run them.
+"""Training-data operators: the corpus operators and the queries that run them.
 
 Each module holds one operator with its own general interface (DataFrames in,
 DataFrames out). `queries` derives the registered `opN_<name>` results from

@@ -7,7 +7,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import cut_lineage
-from . import ann, bpe, htmltext, langid, lm, mixing, ngramjoin, quality, sharding, suffixdedup
+from . import (ann, bpe, classify, htmltext, kmeans, langid, lm, mixing, ngramjoin, periodic, quality, sharding,
+               suffixdedup)
 from .common import table
 
 
@@ -71,6 +72,30 @@ def op10_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return htmltext.extract(pages).select("page_id", "url", "text", "n_chars")
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = periodic.with_planted_tail(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    out = periodic.with_runs(docs, "doc_id").withColumn("best", periodic.longest(F.col("runs")))
+    length, period = -F.col("best.less"), F.col("best.period")
+    lines = F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n")))
+    return out.select("doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("best.start").alias("start"),
+                      length.alias("length"), period.alias("period"),
+                      F.floor(F.lit(1000) * length / period).alias("exponent_milli"),
+                      F.sha2(F.array_join(lines, ""), 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
+def op12_centroid_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kmeans.cluster(table(spark, sf_dir, "embeddings"))
+
+
+def op13_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    held_out = langid.fold(F.col("doc_id"), 5) == 0
+    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label")).where(~held_out)
+    weights = classify.train(classify.sample(docs, labels))
+    out = classify.score(docs, weights, "doc_id")
+    return out.select("doc_id", held_out.alias("held_out"), "score", classify.predicted(F.col("score")).alias("predicted"))
+
+
 QUERIES = {
     "pipeline": corpus_pipeline.run,
     "op1_suffix_dedup": op1_suffix_dedup,
@@ -83,4 +108,7 @@ QUERIES = {
     "op8_nearest_vectors": op8_nearest_vectors,
     "op9_lm_scoring": op9_lm_scoring,
     "op10_html_text": op10_html_text,
+    "op11_periodic_runs": op11_periodic_runs,
+    "op12_centroid_clusters": op12_centroid_clusters,
+    "op13_quality_classifier": op13_quality_classifier,
 }
