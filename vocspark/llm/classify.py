@@ -38,6 +38,8 @@ SAMPLE = 8000
 SHARDS = 8
 ROUNDS = 4
 MAX_BYTES = 1 << 17
+#: States are summed as whole numbers of this part, so that the order of the shards does not matter.
+FIXED = 2.0 ** 32
 RESULTS = {"score": "double"}
 _LETTER_CASE = np.zeros(256, dtype=np.uint8)  # 1: A-Z, 2: a-z, 3: digit, 4: other ASCII sign, 0: beyond ASCII
 _LETTER_CASE[33:127] = 4
@@ -148,20 +150,20 @@ def train(rows: DataFrame, buckets: int = BUCKETS, shards: int = SHARDS, rounds:
                     own = slice(bounds[i], bounds[i + 1])
                     state.learn(np.append(0, place[own]), np.append(1.0, value[own]), label[at + i])
             used = np.flatnonzero(state.n != n)
-            return pa.table({"place": pa.array(used.astype(np.int32)), "z": pa.array(state.z[used] - z[used]),
-                             "n": pa.array(state.n[used] - n[used])})
+            return pa.table({"place": pa.array(used.astype(np.int32)),
+                             "z": pa.array(np.rint((state.z[used] - z[used]) * FIXED).astype(np.int64)),
+                             "n": pa.array(np.rint((state.n[used] - n[used]) * FIXED).astype(np.int64))})
 
         return run
 
     for turn in range(rounds):
-        steps = dealt.groupBy("shard").applyInArrow(learn(z, n, turn), "place int, z double, n double")
-        # averaged over the shards that have met the place; exact sums, so that their order does not matter
-        exact = lambda c: F.sum(F.round(F.col(c) * 2.0 ** 40).cast("decimal(38,0)"))
-        mean = steps.groupBy("place").agg((exact("z") / F.count(F.lit(1))).cast("double").alias("z"),
-                                          (exact("n") / F.count(F.lit(1))).cast("double").alias("n")).toArrow()
+        steps = dealt.groupBy("shard").applyInArrow(learn(z, n, turn), "place int, z bigint, n bigint")
+        # the mean over the shards that have met the place
+        mean = steps.groupBy("place").agg((F.sum("z") / F.count(F.lit(1))).alias("z"),
+                                          (F.sum("n") / F.count(F.lit(1))).alias("n")).toArrow()
         at = mean.column("place").to_numpy()
-        z[at] += mean.column("z").to_numpy() / 2.0 ** 40
-        n[at] += mean.column("n").to_numpy() / 2.0 ** 40
+        z[at] += mean.column("z").to_numpy() / FIXED
+        n[at] += mean.column("n").to_numpy() / FIXED
     return Ftrl(z, n, **rates).weights(slice(None))
 
 
