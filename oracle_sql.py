@@ -1382,6 +1382,71 @@ s AS (SELECT *, CASE WHEN velocity_pct >= 40 THEN 'CRITICAL' WHEN velocity_pct >
 SELECT category, window_end, c AS curr_reviews, p AS prev_reviews, velocity_pct, severity FROM s"""
 
 
+def stratified_split_sql() -> str:
+    h = "CAST('0x' || substr(md5('42' || CAST(doc_id AS VARCHAR)), 1, 8) AS BIGINT)"
+    return f"""WITH lab AS (
+  SELECT d.doc_id, CASE WHEN l.quality = 1 THEN 'positive' ELSE 'negative' END AS label FROM documents d JOIN labels l ON d.doc_id = l.doc_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY label ORDER BY {h}, doc_id) AS rn, count(*) OVER (PARTITION BY label) AS n FROM lab)
+SELECT doc_id, label, CASE WHEN rn <= round(n * 20 / 100.0) THEN 'test' ELSE 'train' END AS split FROM r"""
+
+
+def profile_ctes() -> list[str]:
+    from vocspark.operators.language import PROFILE_SIZE, SHORT
+    grams = f"""unnest(list_concat(list_transform(range(1, length(w) + 1), lambda i: substr('_' || w || '_', i, 3)),
+      CASE WHEN length(w) <= {SHORT} THEN ['_' || w || '_'] ELSE [] END)) AS gram"""
+    return [f"""lw AS (SELECT doc_id, lang, unnest(regexp_extract_all(lower(coalesce(text, '')), '\\p{{L}}+')) AS w FROM documents),
+lg AS (SELECT doc_id, lang, {grams} FROM lw),
+lc AS (SELECT lang, gram, count(*) AS n FROM lg WHERE lang IS NOT NULL GROUP BY 1, 2),
+profiles AS (SELECT lang, gram, CAST({PROFILE_SIZE} + 1 - rk AS BIGINT) AS weight FROM (
+  SELECT *, row_number() OVER (PARTITION BY lang ORDER BY n DESC, gram) AS rk FROM lc) x WHERE rk <= {PROFILE_SIZE})""",
+            """scores AS (SELECT g.doc_id, p.lang, sum(p.weight) AS score FROM lg g JOIN profiles p ON g.gram = p.gram GROUP BY 1, 2),
+detected AS (SELECT doc_id, arg_max(lang, (score, lang)) AS detected, CAST(max(score) AS BIGINT) AS score FROM scores GROUP BY 1)"""]
+
+
+def language_profiles_sql() -> str:
+    return "WITH " + profile_ctes()[0] + "\nSELECT * FROM profiles"
+
+
+def language_gate_sql() -> str:
+    return "WITH " + ",\n".join(profile_ctes()) + """
+SELECT d.doc_id, d.lang, x.detected, coalesce(x.score, 0) AS score FROM documents d LEFT JOIN detected x ON d.doc_id = x.doc_id"""
+
+
+def valid_reviews_detected_sql() -> str:
+    return "WITH " + ",\n".join(profile_ctes() + [
+        "docs_lang AS (SELECT d.doc_id, d.text, x.detected FROM documents d LEFT JOIN detected x ON d.doc_id = x.doc_id)",
+        docs_valid_cte("docs_lang", lang="detected")]) + "\nSELECT doc_id, is_valid FROM docs_valid"
+
+
+def lemma_ctes() -> list[str]:
+    from vocspark.operators.lemmas import MIN_COUNT, MIN_STEM, SUFFIX_RULES
+    made = ", ".join(f"CASE WHEN regexp_matches(word, '{p}') THEN regexp_replace(word, '{p}', '{r.replace('$', chr(92))}') END"
+                     for p, r in SUFFIX_RULES)
+    return [f"""words AS (SELECT word, count(*) AS n FROM (
+  SELECT unnest(regexp_extract_all(lower(coalesce(text, '')), '[a-z]+')) AS word FROM documents) u GROUP BY 1),
+proposed AS (SELECT DISTINCT word AS form, n AS form_count, stem FROM (SELECT word, n, unnest([{made}]) AS stem FROM words) p
+  WHERE stem IS NOT NULL AND length(stem) >= {MIN_STEM} AND stem <> word),
+lemmas AS (SELECT form, lemma, form_count, lemma_count FROM (
+  SELECT form, stem AS lemma, form_count, k.n AS lemma_count,
+    row_number() OVER (PARTITION BY form ORDER BY k.n DESC, length(stem), stem) AS rn
+  FROM proposed JOIN words k ON k.word = stem AND k.n >= {MIN_COUNT}) x WHERE rn = 1)"""]
+
+
+def lemma_map_sql() -> str:
+    return "WITH " + lemma_ctes()[0] + "\nSELECT form, lemma, form_count, lemma_count FROM lemmas"
+
+
+def lemmatised_text_sql() -> str:
+    from vocspark.functions.text import STOP_WORDS
+    t = "regexp_replace(regexp_replace(lower(coalesce(text, '')), 'http\\S+|www\\S+', '', 'g'), '[^a-zA-Z\\s]', '', 'g')"
+    return "WITH " + lemma_ctes()[0] + f""",
+cleaned AS (SELECT doc_id, list_filter(regexp_split_to_array({t}, '\\s+'), lambda w: w <> '' AND NOT list_contains({_sql_list(STOP_WORDS)}, w)) AS ws
+  FROM documents),
+tok AS (SELECT doc_id, unnest(range(len(ws))) AS i, unnest(ws) AS w FROM cleaned),
+joined AS (SELECT tok.doc_id, string_agg(coalesce(lemma, w), ' ' ORDER BY i) AS t FROM tok LEFT JOIN lemmas ON lemmas.form = tok.w GROUP BY 1)
+SELECT c.doc_id, coalesce(j.t, '') AS lemmatised FROM cleaned c LEFT JOIN joined j ON c.doc_id = j.doc_id"""
+
+
 def all_sql() -> dict[str, str]:
     return {
         "monthly_rates": monthly_rates_sql(),
@@ -1413,6 +1478,12 @@ def all_sql() -> dict[str, str]:
         "text_scores": text_scores_sql(),
         "valid_reviews": valid_reviews_sql(),
         "clean_text": clean_text_sql(),
+        "stratified_split": stratified_split_sql(),
+        "language_profiles": language_profiles_sql(),
+        "language_gate": language_gate_sql(),
+        "valid_reviews_detected": valid_reviews_detected_sql(),
+        "lemma_map": lemma_map_sql(),
+        "lemmatised_text": lemmatised_text_sql(),
         "value_weight": value_weight_sql(),
         "hash_tier": hash_tier_sql(),
         "cluster_keywords": cluster_keywords_sql(),

@@ -27,9 +27,6 @@ def one(spark, column, **values):
     ("See http://x.y/z now", "see now"), (None, ""), ("AND the of", "")])
 def test_clean_text(spark, text, cleaned):
     assert one(spark, T.clean_text(F.lit(text).cast("string"))) == cleaned
-    tokens = [w for w in cleaned.split() if w]
-    for w in tokens:
-        assert one(spark, T.lemma(F.lit(w))) in (w, w[:-1], w)
 
 
 def test_text_helpers(spark):

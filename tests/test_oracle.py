@@ -2,6 +2,7 @@
 import pytest
 
 from tools.compare import digest
+from vocspark import config as C
 
 import __spark_entry__ as E
 from tests.conftest import SF_SMALL
@@ -14,6 +15,14 @@ KEYS = sorted(k for k in E.queries() if k != "pipeline" and not k.startswith("op
 NO_ORACLE = {
     "sentiment_model": lambda r: {x.label: x.f1 for x in r}["accuracy"] > 0.6,
     "topic_model": lambda r: len({x.topic_id for x in r}) > 1 and all(x.topic_keywords for x in r),
+    "topic_fit": lambda r: all(a.error >= b.error for a, b in zip(r, r[1:])) and r[-1].error < 0.98 * r[0].error,
+    "topic_labels": lambda r: len(r) == 30 and {x.label for x in r} <= set(C.ALL_LABELS) and all(len(x.keywords.split(", ")) == 5 for x in r),
+    "encode_text": lambda r: len(r) == 200 and all(abs(sum(v * v for v in x.embedding) - 1) < 1e-9 for x in r if any(x.embedding)),
+    "taxonomy_centroids": lambda r: {x.category for x in r} == set(C.TAXONOMY_LABELS) and all(
+        abs(sum(v * v for v in x.centroid) - 1) < 1e-9 for x in r),
+    "semantic_classify_text": lambda r: all(x.predicted == (x.best_label if x.confidence >= 0.3 else C.FALLBACK_LABEL)
+                                            for x in r if abs(x.confidence - 0.3) > 1e-4),
+    "text_centroid_metrics": lambda r: {x.label: x.f1 for x in r}["accuracy"] > 0.9,
     "emerging_clusters": lambda r: all(x.estimated_volume >= 20 for x in r),
     "emerging_watchlist": lambda r: len(r) <= 6,
     "emerging_issues": lambda r: True,

@@ -32,6 +32,83 @@ TAXONOMY_LABELS = [
 FALLBACK_LABEL = "General App Feedback"
 ALL_LABELS = TAXONOMY_LABELS + [FALLBACK_LABEL]
 
+# What each issue label means, in words: the phrases whose vectors make its centroid.
+ISSUE_PHRASES = {
+    "Subscription & Billing": [
+        "payment failed auto charge subscription money",
+        "cancel subscription refund billing plan pay",
+        "charged money price expensive pay for feature",
+        "forced to pay subscription auto-renew daily monthly fee",
+        "pay money watch free premium upsell",
+    ],
+    "App Crash & Launch Failure": [
+        "app crashes keeps closing not opening",
+        "cannot open app stuck loading screen",
+        "app won't launch keeps crashing",
+        "force close reinstall uninstall freezing",
+    ],
+    "Video & Streaming Playback": [
+        "video buffering not playing loading slowly",
+        "streaming quality bad pixelated lag",
+        "playback error can't watch video content",
+        "video freezes keeps buffering poor quality",
+    ],
+    "Account & Login": [
+        "login sign in problem account access",
+        "password reset forgot email cannot login",
+        "account blocked banned suspended unable access",
+        "google facebook sign in login failed",
+    ],
+    "Customer Support": [
+        "support team unhelpful no response",
+        "customer service terrible experience bad attitude",
+        "no help from support ticket ignored",
+        "useless support waste of time response",
+    ],
+    "Performance & Speed": [
+        "app slow lagging unresponsive freezing",
+        "takes long time load performance issue",
+        "sluggish response lag spike high memory",
+        "app not responding hanging slow startup",
+    ],
+    "Content & Features": [
+        "missing feature content not available library",
+        "removed content show movie not found",
+        "feature request missing functionality wish list",
+        "content library quality selection poor",
+    ],
+    "Notifications & Spam": [
+        "too many notifications spam unwanted alerts",
+        "notification settings don't work constant alerts",
+        "spam messages annoying push notifications",
+        "notification permission opt-out can't disable",
+    ],
+    "UI & Navigation": [
+        "confusing navigation interface design bad",
+        "hard to find menu button location unclear",
+        "user interface ugly layout poor design",
+        "search not working result wrong filter broken",
+    ],
+    "Bugs & Technical Errors": [
+        "bug error glitch technical problem",
+        "app not working broken feature error code",
+        "software bug unexpected behavior malfunction",
+        "error message keeps appearing not fixed",
+    ],
+    "Privacy & Security": [
+        "data privacy security personal information",
+        "account hacked unauthorized access breach",
+        "privacy settings permissions data collection concern",
+        "security vulnerability exposed data leak",
+    ],
+    "Download & Offline": [
+        "download not working offline mode saves",
+        "cannot download content for offline use",
+        "download fails incomplete file storage",
+        "offline content expired removed unavailable",
+    ],
+}
+
 # Aspect -> issue labels (the "General" aspect is excluded from the radar).
 ASPECT_MAP = {
     "Performance/Technical": ["App Crash & Launch Failure", "Performance & Speed", "Bugs & Technical Errors"],

@@ -145,7 +145,7 @@ def is_valid_review(text, lang=None, english: str = "en", patterns=None) -> Colu
 
 
 # ---------------------------------------------------------------------------
-# Cleaning for the ML pipelines (F1–F3, re-aimed lemmatiser)
+# Cleaning for the ML pipelines (F1–F3; learned lemmas are in operators.lemmas)
 # ---------------------------------------------------------------------------
 
 # Our own short English stop-word list (the reference used a library list).
@@ -160,15 +160,6 @@ STOP_WORDS = [
 ]
 
 
-def lemma(w: Column) -> Column:
-    """F2 re-aimed: light suffix rules instead of a parser-based lemmatiser."""
-    n = F.length(w)
-    return (F.when((n > 4) & w.endswith("ies"), F.regexp_replace(w, "ies$", "y"))
-            .when((n > 3) & w.endswith("s") & ~w.endswith("ss") & ~w.endswith("us") & ~w.endswith("is"),
-                  F.regexp_replace(w, "s$", ""))
-            .otherwise(w))
-
-
 def trie_regex(words_) -> str:
     """Alternation of literal words factored as a prefix trie, so the regex
     engine tries ~one branch per position instead of every word."""
@@ -193,9 +184,12 @@ def trie_regex(words_) -> str:
     return "(?:" + emit(trie) + ")"
 
 
-def clean_text(text, stop_words=None) -> Column:
+def clean_text(text, stop_words=None, suffix_rules: bool = True) -> Column:
     """lower, drop URLs, keep letters and whitespace, drop stop words, lemma, join by space.
 
+    `suffix_rules` are the light rules that need no dictionary; without them the words stay as they
+    are, for the learned lemmas of `operators.lemmas`.
+
     After the letter filter every token is a maximal [a-z]+ run, so stop-word
     removal and the suffix lemma rules are whole-string regex rewrites (one
     codegen'd pass each) instead of per-token lambdas; the result equals the
@@ -205,8 +199,9 @@ def clean_text(text, stop_words=None) -> Column:
     t = F.regexp_replace(t, r"http\S+|www\S+", "")
     t = F.regexp_replace(t, r"[^a-zA-Z\s]", "")
     t = F.regexp_replace(t, r"(?<![a-z])" + trie_regex(stop_words or STOP_WORDS) + r"(?![a-z])", "")
-    t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,})ies(?![a-z])", "$1y")
-    t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,}[a-hj-rtvwxyz])s(?![a-z])", "$1")
+    if suffix_rules:
+        t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,})ies(?![a-z])", "$1y")
+        t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,}[a-hj-rtvwxyz])s(?![a-z])", "$1")
     return F.trim(F.regexp_replace(t, r"\s+", " "))
 
 

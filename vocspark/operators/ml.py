@@ -4,26 +4,27 @@ Fitting runs as distributed MLlib jobs; the only driver-side values are model
 parameters (coefficients, vocabulary, k centroids), whose size is bounded by
 the feature / vocabulary / cluster counts, never by the number of rows.
 
-Substitutions (documented in README): the topic model is MLlib LDA (online
-variational Bayes) instead of NMF, and emerging clusters use k-means on the
-embeddings instead of NMF on shifted embeddings — both are the distributed
-built-ins for the same job (soft topic / hard cluster assignment).
+Topics and emerging clusters are non-negative matrix factorisations
+(`operators.factor`), whose row side stays distributed.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import LDA, KMeans
+from pyspark.ml.clustering import KMeans
 from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, StopWordsRemover, StringIndexer)
-from pyspark.ml.functions import array_to_vector, vector_to_array
+from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from vocspark import config as C
+from vocspark.operators.factor import Nmf, fit_nmf, load_matrix, save_matrix, vocabulary
 from vocspark.session import cut_lineage
 
 # scikit-learn's default token pattern: words of two or more word characters
@@ -36,6 +37,34 @@ def hash_split(df: DataFrame, key: str, test_pct: int = 20, seed: int = 42, col:
     return df.withColumn(col, F.when(F.pmod(h, F.lit(100)) < test_pct, F.lit("test")).otherwise(F.lit("train")))
 
 
+def _hash32(key: Column, seed: int) -> Column:
+    return F.conv(F.substring(F.md5(F.concat(F.lit(str(seed)), key.cast("string"))), 1, 8), 16, 10).cast("long")
+
+
+def stratified_split(df: DataFrame, key: str, label: str, test_pct: int = 20, seed: int = 42, col: str = "split",
+                     buckets: int = 4096) -> DataFrame:
+    """M4: a split that takes exactly round(test_pct %) of each class into the test set: its rows with
+    the smallest md5(seed || key), ties by key.
+
+    No class is sorted: counts of (class, hash bucket) tell in which bucket a class's cut falls, the
+    buckets below are test rows, and only the rows of that one bucket are ranked (1 / buckets of a class)."""
+    h = _hash32(F.col(key), seed)
+    width = (1 << 32) // buckets
+    rows = df.withColumn("_h", h).withColumn("_b", F.floor(h / width).cast("long"))
+    counts = rows.groupBy(label, "_b").agg(F.count(F.lit(1)).alias("_n"))  # classes x buckets rows at most
+    w = W.partitionBy(label).orderBy("_b")
+    counts = counts.withColumn("_upto", F.sum("_n").over(w)) \
+        .withColumn("_want", F.round(F.sum("_n").over(W.partitionBy(label)) * test_pct / 100).cast("long"))
+    cut = counts.where((F.col("_upto") >= F.col("_want")) & (F.col("_upto") - F.col("_n") < F.col("_want")) | (F.col("_want") == 0)) \
+        .groupBy(F.col(label).alias("_label")) \
+        .agg(F.min("_b").alias("_cut"), F.min_by(F.col("_want") - (F.col("_upto") - F.col("_n")), "_b").alias("_rest"))
+    placed = rows.join(cut, F.col(label).eqNullSafe(F.col("_label")))  # a row for each class
+    off = placed.where(F.col("_b") != F.col("_cut")).withColumn("_test", F.col("_b") < F.col("_cut"))
+    rank = F.row_number().over(W.partitionBy(label).orderBy("_h", key))
+    edge = placed.where(F.col("_b") == F.col("_cut")).withColumn("_test", rank <= F.col("_rest"))
+    return off.unionByName(edge).select(*df.columns, F.when(F.col("_test"), F.lit("test")).otherwise(F.lit("train")).alias(col))
+
+
 def fit_tfidf(df: DataFrame, text: str, max_features: int = 10000, ngram: int = 2, min_df: float = 1.0,
               max_df: float = 1.0, stop_words=None, out: str = "features") -> PipelineModel:
     """M1 / M5: word 1..n-grams -> top `max_features` terms -> smoothed IDF + 1 -> L2 normalise.
@@ -137,51 +166,54 @@ def classification_metrics(df: DataFrame, y_true: str, y_pred: str, digits: int
 # Topics (M5–M7)
 # ---------------------------------------------------------------------------
 
-def fit_topics(df: DataFrame, text: str = "text", k: int = 30, max_iter: int = 20, seed: int = 42,
-               max_features: int = 10000, stop_words=None) -> PipelineModel:
-    """M5 + M6: term counts (min_df 2, max_df 0.95) -> LDA (online) with k topics.
+@dataclass(frozen=True)
+class TopicModel:
+    """M5 + M6: the fitted TF-IDF and the non-negative components (k x vocabulary)."""
 
-    The term-count vectors are persisted while LDA iterates over them (an
-    iterative fit must not recompute the tokenisation lineage every pass).
-    """
-    stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)]
-    src = "_tok"
-    if stop_words:
-        stages.append(StopWordsRemover(inputCol="_tok", outputCol="_tok_sw", stopWords=list(stop_words)))
-        src = "_tok_sw"
-    stages.append(CountVectorizer(inputCol=src, outputCol="_tf", vocabSize=max_features, minDF=2.0, maxDF=0.95))
-    prep = Pipeline(stages=stages).fit(df)
-    tf = prep.transform(df).select("_tf").persist()
-    try:
-        lda = LDA(featuresCol="_tf", k=k, maxIter=max_iter, seed=seed, optimizer="online",
-                  topicDistributionCol="_topics").fit(tf)
-    finally:
-        tf.unpersist()
-    return PipelineModel(stages=list(prep.stages) + [lda])
-
-
-def topic_keywords(model: PipelineModel, n_words: int = 5) -> DataFrame:
-    """topic_id, keywords ('w1, w2, ...' — top terms of each topic). Bounded by k x n_words."""
-    cv, lda = model.stages[-2], model.stages[-1]
-    vocab = cv.vocabulary
-    spark = lda.describeTopics(n_words).sparkSession
-    voc = spark.createDataFrame([(i, w) for i, w in enumerate(vocab)], "term_index int, term string")
-    t = lda.describeTopics(n_words).select("topic", F.posexplode("termIndices").alias("pos", "term_index"))
-    t = t.join(F.broadcast(voc), "term_index")
-    return t.groupBy(F.col("topic").alias("topic_id")).agg(
-        F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "term"))), lambda s: s["term"]), ", ")
-        .alias("keywords"))
-
-
-def predict_topic(df: DataFrame, model: PipelineModel) -> DataFrame:
-    """M7: most probable topic per row -> topic_id, topic_keywords."""
+    prep: PipelineModel
+    nmf: Nmf
+
+    def save(self, path: str) -> None:
+        spark = SparkSession.active()
+        self.prep.write().overwrite().save(f"{path}/prep")
+        save_matrix(spark, self.nmf.components, f"{path}/components")
+        spark.createDataFrame([(i, e) for i, e in enumerate(self.nmf.errors)], "pass int, error double") \
+            .coalesce(1).write.mode("overwrite").parquet(f"{path}/errors")
+
+    @staticmethod
+    def load(spark: SparkSession, path: str) -> "TopicModel":
+        errors = tuple(r["error"] for r in spark.read.parquet(f"{path}/errors").orderBy("pass").collect())
+        return TopicModel(PipelineModel.load(f"{path}/prep"), Nmf(load_matrix(spark, f"{path}/components"), errors))
+
+
+def fit_topics(df: DataFrame, text: str = "text", k: int = 30, max_iter: int = 30, seed: int = 42,
+               max_features: int = 1 << 18, stop_words=None) -> TopicModel:
+    """M5 + M6: TF-IDF of the words (min_df 2, max_df 0.95), then an NMF with k components.
+
+    The reference bounds its vocabulary by min_df alone; here `max_features` (MLlib's default) also
+    bounds what the driver and every task hold: max_features x k numbers."""
+    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    prep = fit_tfidf(texts, "_text", max_features, ngram=1, min_df=2.0, max_df=0.95, stop_words=stop_words)
+    x = cut_lineage(prep.transform(texts).select("features"))  # written once: every pass reads it
+    return TopicModel(prep, fit_nmf(x, len(vocabulary(prep)), k, max_iter, seed=seed))
+
+
+def topic_keywords(model: TopicModel, n_words: int = 5) -> DataFrame:
+    """topic_id, keywords ('w1, w2, ...': the heaviest terms of each topic). Bounded by k x n_words."""
+    words = vocabulary(model.prep)
+    rows = [(i, ", ".join(words[j] for j in (-h).argsort(kind="stable")[:n_words])) for i, h in enumerate(model.nmf.components)]
+    return SparkSession.active().createDataFrame(rows, "topic_id int, keywords string")
+
+
+def predict_topic(df: DataFrame, model: TopicModel, text: str = "text") -> DataFrame:
+    """M7: the topic of greatest weight of each row (ties and texts without known words: the first)
+    -> topic_id, topic_keywords."""
+    from vocspark.functions import vectors as V
     cols = df.columns
-    t = model.transform(df)
-    arr = vector_to_array("_topics")
-    best = F.array_max(F.transform(arr, lambda x, i: F.struct(x.alias("s"), (-i).alias("ni"))))
-    t = t.select(*cols, (-best["ni"]).cast("int").alias("topic_id"))
-    kw = topic_keywords(model)
-    return t.join(F.broadcast(kw), "topic_id", "left").withColumnRenamed("keywords", "topic_keywords")
+    x = model.prep.transform(df.select(*cols, F.coalesce(F.col(text), F.lit("")).alias("_text")))
+    w = model.nmf.weights(x.select(*cols, "features"), "features", "_w")
+    t = w.withColumn("_best", V.argmax(F.col("_w"))).select(*cols, (-F.col("_best.ni")).cast("int").alias("topic_id"))
+    return t.join(F.broadcast(topic_keywords(model)), "topic_id", "left").withColumnRenamed("keywords", "topic_keywords")  # k rows
 
 
 # ---------------------------------------------------------------------------

@@ -152,34 +152,119 @@ def _classifier_metrics(spark, sf):
 
 
 def _labeled_docs(spark, sf):
+    """The labelled documents, cleaned; poor quality stands for negative."""
     from vocspark.sources.tables import read_table
-    lab = read_table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "good").otherwise("poor")
+    lab = read_table(spark, sf, "labels").select("doc_id", F.when(F.col("quality") == 1, "positive").otherwise("negative")
                                                  .alias("label"))
-    return _docs(spark, sf).select("doc_id", "text").join(lab, "doc_id")
+    return FX.cleaned_table(spark, sf).join(lab, "doc_id")
 
 
 def _sentiment_data(spark, sf):
-    """M4: the labelled documents, split by a hash of the id; poor quality stands for negative."""
+    """M4: split by a hash of the id, exactly 20 % of each class held out."""
     from vocspark.operators import ml as ML
-    lab = _labeled_docs(spark, sf).withColumn("label", F.when(F.col("label") == "good", "positive").otherwise("negative"))
-    return ML.hash_split(lab, "doc_id", 20, 42)
+    return ML.stratified_split(_labeled_docs(spark, sf), "doc_id", "label", 20, 42)
+
+
+def _stratified_split(spark, sf):
+    return _sentiment_data(spark, sf).select("doc_id", "label", "split")
 
 
 def _sentiment_model(spark, sf):
     """M1-M4 + A25: held-out metrics of the shared TF-IDF + balanced logistic regression."""
     from vocspark.operators import ml as ML
-    test = _sentiment_data(spark, sf).filter(F.col("split") == "test").select("text", "label")
+    test = _sentiment_data(spark, sf).filter(F.col("split") == "test").select("cleaned_content", "label")
     pred = ML.predict_sentiment(test, _models(spark, sf)[0], "predicted")
     return ML.classification_metrics(pred, "label", "predicted")
 
 
 def _topic_model(spark, sf):
-    """M5-M7: the shared topic model, most probable topic of every document."""
+    """M5-M7: the shared topic model, topic of greatest weight of every document."""
     from vocspark.operators import ml as ML
-    return ML.predict_topic(_docs(spark, sf).select("doc_id", "text"), _models(spark, sf)[1]) \
+    return ML.predict_topic(FX.cleaned_table(spark, sf), _models(spark, sf)[1], "cleaned_content") \
         .select("doc_id", "topic_id", "topic_keywords")
 
 
+def _topic_fit(spark, sf):
+    """M6: the reconstruction error of the shared topic model, pass by pass."""
+    errors = _models(spark, sf)[1].nmf.errors
+    return spark.createDataFrame([(i, float(e)) for i, e in enumerate(errors)], "pass int, error double")
+
+
+def _issue_centroids(spark, sf):
+    """M9: the fixture taxonomy's centroids, from phrases."""
+    from vocspark.operators.factor import phrase_centroids
+    return phrase_centroids(_encoder(spark, sf), FX.FX_ISSUE_PHRASES)
+
+
+def _topic_labels(spark, sf):
+    """F22 + F24: each topic's keywords and the issue label nearest to them."""
+    from vocspark.operators.factor import label_keywords
+    from vocspark.operators.ml import topic_keywords
+    return label_keywords(topic_keywords(_models(spark, sf)[1]), "keywords", _encoder(spark, sf), _issue_centroids(spark, sf))
+
+
+def _encode_text(spark, sf):
+    """M8: a unit vector of every document's text."""
+    return _encoder(spark, sf).encode(_docs(spark, sf).select("doc_id", "text"), "text").select("doc_id", "embedding")
+
+
+def _semantic_classify_text(spark, sf):
+    """Every document's text against the phrase centroids."""
+    from vocspark.operators.factor import classify_text
+    out = classify_text(_docs(spark, sf).select("doc_id", "text"), "text", _encoder(spark, sf), _issue_centroids(spark, sf))
+    return out.select("doc_id", "best_label", F.round("confidence", 4).alias("confidence"), "predicted")
+
+
+def _text_centroid_metrics(spark, sf):
+    """M8 + M9 + A25: nearest-centroid language of held-out documents, from their encoded text."""
+    from vocspark.operators import ml as ML
+    from vocspark.operators.vectors import centroids, classify
+    docs = _docs(spark, sf).where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
+    x = ML.stratified_split(_encoder(spark, sf).encode(docs, "text"), "doc_id", "lang", 20, 42)
+    c = centroids(x.filter(F.col("split") == "train"), "lang", "embedding")
+    pred = classify(x.filter(F.col("split") == "test"), "embedding", c, "lang", threshold=-2.0)
+    return ML.classification_metrics(pred, "lang", "predicted")
+
+
+def _language_profiles(spark, sf):
+    """the language profiles learned from the labelled documents."""
+    from vocspark.operators.language import learn_profiles
+    from vocspark.sources.derived import derived
+    return derived(spark, sf, "language_profiles", lambda: learn_profiles(_docs(spark, sf)))
+
+
+def _language_gate(spark, sf):
+    """detected language of every document."""
+    from vocspark.operators.language import detect_language
+    docs = _docs(spark, sf)
+    found = detect_language(docs, "doc_id", "text", _language_profiles(spark, sf))
+    return docs.select("doc_id", "lang").join(found, "doc_id", "left").select(
+        "doc_id", "lang", "detected", F.coalesce("score", F.lit(0)).cast("long").alias("score"))
+
+
+def _valid_reviews_detected(spark, sf):
+    """F4 + F10: the quality gate over documents that carry no language column."""
+    from vocspark.plans.scoring import valid_reviews
+    docs = _docs(spark, sf).select("doc_id", "text")
+    return valid_reviews(docs, "text", profiles=_language_profiles(spark, sf)).select("doc_id", "is_valid")
+
+
+def _lemma_map(spark, sf):
+    """forms and their lemmas, learned from all documents."""
+    from vocspark.operators.lemmas import learn_lemmas
+    return learn_lemmas(_docs(spark, sf), "text")
+
+
+def _lemmatised_text(spark, sf):
+    """F1 + F2: cleaned documents, each form replaced by its learned lemma."""
+    from vocspark.functions.text import clean_text
+    from vocspark.operators.lemmas import lemmatise
+    from vocspark.sources.derived import derived
+    lemmas = derived(spark, sf, "lemmas", lambda: _lemma_map(spark, sf))
+    docs = _docs(spark, sf).select("doc_id", clean_text("text", suffix_rules=False).alias("cleaned_content"))
+    return lemmatise(docs, "doc_id", "cleaned_content", lemmas).select("doc_id", "lemmatised")
+
+
 def _bootstrap(spark, sf):
     from vocspark.operators.ml import bootstrap_labels
     return bootstrap_labels(FX.classified_table(spark, sf), cap=300).select("review", "category")
@@ -298,47 +383,66 @@ def _trend_tags(spark, sf):
     return trend_tags(D.trending(_ts(spark, sf), 0))
 
 
-def _models(spark, sf):
-    """The sentiment model, fitted on the training split of the labelled documents, and the topic
-    model, fitted (as the reference does) on the documents that it takes for negative.
-
-    Fitted once per input folder and persisted (M20) next to the derived tables;
-    later queries load them, as the reference's service loads its trained models.
-    """
-    from vocspark.operators import ml as ML
-    from vocspark.functions.text import STOP_WORDS
+def _fitted(spark, sf, name, fit, load):
+    """A model fitted once per input folder and persisted (M20) next to the derived tables; later
+    queries load it, as the reference's service loads its trained models."""
     from vocspark.session import checkpoint_dir
     from vocspark.sources.derived import _done, _fingerprint
-    base = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-derived/{_fingerprint(spark, sf)}/models"
-    sm_path, tm_path = f"{base}/sentiment", f"{base}/topics"
+    path = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-derived/{_fingerprint(spark, sf)}/models/{name}"
+    if not _done(spark, path + "-complete"):
+        fit(path)
+        spark.range(1).write.mode("overwrite").parquet(path + "-complete")  # written last: a half-written model has no marker
+    return load(path)
+
 
-    def mark(path: str) -> None:  # written last: a half-written model has no marker
-        spark.range(1).write.mode("overwrite").parquet(path + "-complete")
+def _sentiment(spark, sf):
+    """The sentiment model, fitted on the training split of the labelled documents."""
+    from vocspark.operators import ml as ML
 
-    if not _done(spark, sm_path + "-complete"):
+    def fit(path):
         train = _sentiment_data(spark, sf).filter(F.col("split") == "train")
-        ML.save_model(ML.fit_sentiment(train, "text", "label"), sm_path)
-        mark(sm_path)
-    if not _done(spark, tm_path + "-complete"):
-        docs = ML.predict_sentiment(_docs(spark, sf).select("text"), ML.load_model(sm_path), "sentiment")
-        negative = docs.filter(F.col("sentiment") == "negative").select("text")
-        ML.save_model(ML.fit_topics(negative, "text", k=30, max_iter=20, seed=42, stop_words=STOP_WORDS), tm_path)
-        mark(tm_path)
-    return ML.load_model(sm_path), ML.load_model(tm_path)
+        ML.save_model(ML.fit_sentiment(train, "cleaned_content", "label"), path)
+
+    return _fitted(spark, sf, "sentiment", fit, ML.load_model)
+
+
+def _topic_nmf(spark, sf):
+    """The topic model, fitted (as the reference does) on the documents taken for negative."""
+    from vocspark.functions.text import STOP_WORDS
+    from vocspark.operators import ml as ML
+
+    def fit(path):
+        docs = ML.predict_sentiment(FX.cleaned_table(spark, sf).select("cleaned_content"), _sentiment(spark, sf), "sentiment")
+        negative = docs.filter(F.col("sentiment") == "negative")
+        ML.fit_topics(negative, "cleaned_content", k=30, seed=42, stop_words=STOP_WORDS).save(path)
+
+    return _fitted(spark, sf, "topics", fit, lambda path: ML.TopicModel.load(spark, path))
+
+
+def _models(spark, sf):
+    return _sentiment(spark, sf), _topic_nmf(spark, sf)
+
+
+def _encoder(spark, sf):
+    """M8: the text encoder, fitted on all documents."""
+    from vocspark.operators.factor import Encoder, fit_encoder
+    return _fitted(spark, sf, "encoder", lambda path: fit_encoder(_docs(spark, sf), "text").save(path),
+                   lambda path: Encoder.load(spark, path))
 
 
 def _detect_issues(spark, sf):
     from vocspark.plans.scoring import analyze, detect_issues
     sm, tm = _models(spark, sf)
-    texts = _docs(spark, sf).select("doc_id", F.col("text").alias("content"))
-    per_text = analyze(texts, sm, tm, FX.FX_ASPECT_KEYWORDS, keep=("doc_id",))  # each text once, then its reviews
+    texts = _docs(spark, sf).select("doc_id", F.col("text").alias("content")).join(FX.cleaned_table(spark, sf), "doc_id")
+    per_text = analyze(texts, sm, tm, FX.FX_ASPECT_KEYWORDS, keep=("doc_id",), cleaned="cleaned_content")  # each text once, then its reviews
     return detect_issues(FX.fx_reviews(spark, sf).select("doc_id").join(per_text.select("doc_id", "topic_keywords"), "doc_id"))
 
 
 def _top_from_reviews(spark, sf):
     from vocspark.plans.scoring import top_issues_from_reviews
     sm, tm = _models(spark, sf)
-    return top_issues_from_reviews(_docs(spark, sf).select("doc_id", F.col("text").alias("content"), "lang"), sm, tm)
+    return top_issues_from_reviews(_docs(spark, sf).select("doc_id", F.col("text").alias("content"), "lang"), sm, tm,
+                                   labels=_topic_labels(spark, sf))
 
 
 def _search_recent(spark, sf):
@@ -408,7 +512,19 @@ QUERIES = {
     "export_projection": lambda sp, sf: EV.export_projection(FX.fx_reviews(sp, sf), AS_OF, 3),
     "classifier_metrics": _classifier_metrics,
     "sentiment_model": _sentiment_model,
+    "stratified_split": _stratified_split,
     "topic_model": _topic_model,
+    "topic_fit": _topic_fit,
+    "topic_labels": _topic_labels,
+    "encode_text": _encode_text,
+    "taxonomy_centroids": _issue_centroids,
+    "semantic_classify_text": _semantic_classify_text,
+    "text_centroid_metrics": _text_centroid_metrics,
+    "language_profiles": _language_profiles,
+    "language_gate": _language_gate,
+    "valid_reviews_detected": _valid_reviews_detected,
+    "lemma_map": _lemma_map,
+    "lemmatised_text": _lemmatised_text,
     "bootstrap_labels": _bootstrap,
     "label_coverage": _label_coverage,
     "triplets": _triplets,

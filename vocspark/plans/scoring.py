@@ -39,6 +39,18 @@ def score_reviews(reviews: DataFrame, centroids: DataFrame, lexicons=None, text:
     return r.withColumn("financial_impact", financial_impact(F.col("severity"), F.col("value_weight")))
 
 
+def valid_reviews(reviews: DataFrame, text: str = "content", lang: str = "lang", profiles: DataFrame | None = None) -> DataFrame:
+    """F4 + F10: reviews with `is_valid`. Without a language column the profiles tell the language, and
+    a text in which they find none is not valid; without either the language rule is off."""
+    from vocspark.operators.language import with_language
+    if lang in reviews.columns:
+        return reviews.withColumn("is_valid", T.is_valid_review(F.col(text), F.col(lang)))
+    if profiles is None:
+        return reviews.withColumn("is_valid", T.is_valid_review(F.col(text)))
+    found = with_language(reviews, text, profiles, "_lang")
+    return found.withColumn("is_valid", T.is_valid_review(F.col(text), F.col("_lang"))).drop("_lang")
+
+
 def classifications(scored: DataFrame, text: str = "content", min_len: int = 20) -> DataFrame:
     """review_classifications: rows with text longer than 20 characters."""
     return scored.filter(F.length(F.col(text)) > min_len).select(
@@ -104,14 +116,17 @@ def preprocess_training(df: DataFrame, text: str = "content", score: str = "scor
 
 
 def analyze(reviews: DataFrame, sentiment_model, topic_model, aspect_keywords=None, text: str = "content",
-            keep: tuple[str, ...] = ()) -> DataFrame:
-    """Per review — sentiment, most probable topic and its keywords, aspects (after the `keep` columns)."""
+            keep: tuple[str, ...] = (), cleaned: str | None = None) -> DataFrame:
+    """Per review — sentiment, topic of greatest weight and its keywords, aspects (after the `keep` columns).
+
+    The models read the cleaned text (F1): the column `cleaned` where it is at hand, else made here."""
     from vocspark.operators.ml import predict_sentiment, predict_topic
-    d = reviews.withColumn("text", F.col(text)) if text != "text" else reviews
+    d = reviews.select(*keep, F.col(text).alias("review"),
+                       (T.clean_text(F.col(text)) if cleaned is None else F.col(cleaned)).alias("cleaned_content"))
     d = predict_sentiment(d, sentiment_model, "sentiment")
-    d = predict_topic(d, topic_model)
-    return d.select(*keep, F.col("text").alias("review"), "sentiment", "topic_id", "topic_keywords",
-                    T.aspects(F.col("text"), aspect_keywords).alias("aspects"))
+    d = predict_topic(d, topic_model, "cleaned_content")
+    return d.select(*keep, "review", "sentiment", "topic_id", "topic_keywords",
+                    T.aspects(F.col("review"), aspect_keywords).alias("aspects"))
 
 
 def detect_issues(analyzed: DataFrame, top: int = 10) -> DataFrame:
@@ -123,15 +138,21 @@ def detect_issues(analyzed: DataFrame, top: int = 10) -> DataFrame:
 
 
 def top_issues_from_reviews(reviews: DataFrame, sentiment_model, topic_model, top: int = 10, examples: int = 1,
-                            text: str = "content", lang: str | None = "lang") -> DataFrame:
-    """Valid reviews -> sentiment -> negatives -> topic -> mentions, share of negatives, examples."""
+                            text: str = "content", lang: str | None = "lang", labels: DataFrame | None = None) -> DataFrame:
+    """Valid reviews -> sentiment -> negatives -> topic -> mentions, share of negatives, examples.
+
+    `labels` (keywords, label) names the issue of a topic's keywords (F22): topics with one label are one
+    issue. Without it the keywords are the issue."""
     from pyspark.sql import Window as W
     from vocspark.operators.ml import predict_sentiment, predict_topic
     from vocspark.operators.series import top_per_group
     d = reviews.filter(T.is_valid_review(F.col(text), F.col(lang) if lang and lang in reviews.columns else None))
-    d = d.withColumn("text", F.col(text)) if text != "text" else d
+    d = d.select(F.col(text).alias("text"), T.clean_text(F.col(text)).alias("cleaned_content"))
     d = predict_sentiment(d, sentiment_model, "predicted_sentiment").filter(F.col("predicted_sentiment") == "negative")
-    d = predict_topic(d, topic_model).withColumn("issue", F.col("topic_keywords"))
+    d = predict_topic(d, topic_model, "cleaned_content").withColumn("issue", F.col("topic_keywords"))
+    if labels is not None:
+        names = labels.select(F.col("keywords").alias("topic_keywords"), F.col("label").alias("_name"))
+        d = d.join(F.broadcast(names), "topic_keywords", "left").withColumn("issue", F.coalesce("_name", F.lit(C.FALLBACK_LABEL)))  # a row for each topic
     c = d.groupBy("issue").agg(F.count(F.lit(1)).alias("mentions"))
     c = c.withColumn("pct", F.round(F.col("mentions") / F.sum("mentions").over(W.partitionBy()) * 100, 1))
     ex = top_per_group(d.select("issue", T.snippet(F.col("text")).alias("example")), "issue",

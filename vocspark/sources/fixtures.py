@@ -155,6 +155,32 @@ FX_SIGNAL = ["than", "then", "thing", "thin", "thor", "only", "this", "that"]
 FX_VENT = ["the", "and", "of"]
 
 
+# FIXTURE PHRASES — the taxonomy's labels described in words of the driver's prose, as
+# vocspark.config describes them in English.
+FX_ISSUE_PHRASES = {
+    "Subscription & Billing": ["thwh thsh", "thwh erwh ersh"],
+    "App Crash & Launch Failure": ["thnt onnt", "thnt ernt onnt"],
+    "Video & Streaming Playback": ["attion ertion", "thtion attion"],
+    "Account & Login": ["thst erst", "onst thst erst"],
+    "Customer Support": ["thon eron", "anon thon onon"],
+    "Performance & Speed": ["thble erble", "thanedble thble"],
+    "Content & Features": ["onnd thnd", "ernd onnd"],
+    "Notifications & Spam": ["thing ering", "oning thing ering"],
+    "UI & Navigation": ["thou onou", "erou thou"],
+    "Bugs & Technical Errors": ["thre erre", "onre erre"],
+    "Privacy & Security": ["thly erly", "erly oned"],
+    "Download & Offline": ["thes eres", "erth onth"],
+}
+
+
+def cleaned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, cleaned_content): every document cleaned once (F1), read by all that vectorises text."""
+    from vocspark.functions.text import clean_text
+    from vocspark.sources.derived import derived
+    return derived(spark, sf_dir, "cleaned_documents", lambda: read_table(spark, sf_dir, "documents").select(
+        "doc_id", clean_text("text").alias("cleaned_content")))
+
+
 def fx_negative_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3 + P4: negative reviews passing the quality gate (language from the `lang` column)."""
     from vocspark.functions.text import is_valid_review
