@@ -1524,6 +1524,12 @@ def all_sql() -> dict[str, str]:
         "score_batch_quality": score_batch_quality_sql(),
         "score_batch_drift": score_batch_drift_sql(),
         "score_batch_uploaded": score_batch_uploaded_sql(),
+        "ingest_timeseries": score_batch_timeseries_sql(),
+        "ingest_classifications": score_batch_classifications_sql(),
+        "ingest_topics": score_batch_topics_sql(),
+        "ingest_aspects": aspect_mentions_sql(),
+        "ingest_quality": score_batch_quality_sql(),
+        "ingest_alerts": threshold_alerts_sql(),
         "preprocess_training": preprocess_training_sql(),
         "drift_watchlist": drift_watchlist_sql(),
         "trend_tags": trend_tags_sql(),

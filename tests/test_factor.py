@@ -93,7 +93,7 @@ def test_topics_separate_themes_and_survive_saving(spark, tmp_path):
 
 def test_encoder_phrases_and_labels(spark, tmp_path):
     df = spark.createDataFrame(topic_texts() + [(900, -1, None)], "id int, theme int, text string")
-    encoder = factor.fit_encoder(df, "text", dims=5)
+    encoder = factor.fit_encoder(df, "text", dims=3)
     encoder.save(str(tmp_path / "e"))
     encoder = factor.Encoder.load(spark, str(tmp_path / "e"))
     vectors = {r.id: np.array(r.embedding) for r in encoder.encode(df, "text").collect()}

@@ -23,9 +23,13 @@ NO_ORACLE = {
     "semantic_classify_text": lambda r: all(x.predicted == (x.best_label if x.confidence >= 0.3 else C.FALLBACK_LABEL)
                                             for x in r if abs(x.confidence - 0.3) > 1e-4),
     "text_centroid_metrics": lambda r: {x.label: x.f1 for x in r}["accuracy"] > 0.9,
-    "emerging_clusters": lambda r: all(x.estimated_volume >= 20 for x in r),
-    "emerging_watchlist": lambda r: len(r) <= 6,
-    "emerging_issues": lambda r: True,
+    "emerging_clusters": lambda r: r and all(x.estimated_volume >= 20 and x.label in C.ALL_LABELS and x.sample_review_1
+                                             and x.is_flagged for x in r),
+    "emerging_watchlist": lambda r: 0 < len(r) <= 6,
+    "emerging_issues": lambda r: r and [x.estimated_volume for x in sorted(r, key=lambda x: x.rank)] == sorted(
+        (x.estimated_volume for x in r), reverse=True) and all(20 <= x.estimated_volume <= 200 for x in r),
+    "score_batch_emerging": lambda r: r and all(x.estimated_volume >= 20 and x.label in C.ALL_LABELS for x in r),
+    "ingest_sync_log": lambda r: [x.run for x in r] and len({x.run for x in r}) == len(r) and {x.status for x in r} == {"success"},
     "detect_issues": lambda r: [x["rank"] for x in r] == list(range(1, len(r) + 1)) and
     [x.mentions for x in r] == sorted((x.mentions for x in r), reverse=True) and sum(x.mentions for x in r) <= 1500,
     "top_issues_from_reviews": lambda r: all(0 < x.pct <= 100 for x in r) and sum(x.pct for x in r) < 101,

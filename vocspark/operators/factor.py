@@ -27,10 +27,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from vocspark.operators.vectors import vector_sum
-
 #: Entries of one piece of rows: bounds a task's arrays to about this many times k numbers.
 PIECE = 1 << 17
+#: Numbers in one block of a partial sum (32 KB).
+BLOCK = 1 << 12
 
 
 @dataclass(frozen=True)
@@ -48,19 +48,19 @@ class Rows:
     def dot(self, q: np.ndarray) -> np.ndarray:
         """The rows times a matrix of width x k."""
         out = np.zeros((self.n, q.shape[1]))
-        full = np.flatnonzero(np.diff(self.offsets))
-        if len(full):
-            out[full] = np.add.reduceat(q[self.index] * self.value[:, None], self.offsets[:-1][full], axis=0)
+        bounds = self.offsets.tolist()
+        for r, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if a < b:
+                np.dot(self.value[a:b], q[self.index[a:b]], out=out[r])
         return out
 
     def add_transposed(self, p: np.ndarray, acc: np.ndarray) -> None:
-        """Adds the transposed rows times p (one row of p for each row) to acc (width x k)."""
-        order = np.argsort(self.index, kind="stable")
-        index = self.index[order]
-        if len(index):
-            row = np.repeat(np.arange(self.n), np.diff(self.offsets))[order]
-            first = np.flatnonzero(np.append(True, np.diff(index) != 0))
-            acc[index[first]] += np.add.reduceat(p[row] * self.value[order][:, None], first, axis=0)
+        """Adds the transposed rows times p (one row of p for each row) to acc (width x k). The entries of
+        a row have different indices."""
+        bounds = self.offsets.tolist()
+        for r, (a, b) in enumerate(zip(bounds, bounds[1:])):
+            if a < b:
+                acc[self.index[a:b]] += self.value[a:b, None] * p[r]
 
 
 def _pieces(column: pa.Array) -> Iterator[tuple[int, Rows]]:
@@ -97,26 +97,33 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, Rows]]:
 def total(features: DataFrame, shape: tuple[int, int], add: Callable[[Rows, np.ndarray], None]) -> np.ndarray:
     """The sum over all rows of what `add` adds to a matrix of that shape, one piece of rows at a time.
 
-    features: one column. A task sends its non-zero rows of the matrix; Spark adds them up."""
+    features: one column. A task sends its matrix in blocks of about BLOCK numbers, zero blocks left out;
+    blocks of one number are added up in one task, which holds tasks x BLOCK numbers."""
+    n, k = shape
+    rows_each = max(1, BLOCK // k)
+    n_blocks = -(-n // rows_each)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        acc = np.zeros(shape)
+        acc = np.zeros((n_blocks * rows_each, k))
         for batch in batches:
             for _, rows in _pieces(batch.column(0)):
-                add(rows, acc)
-        used = np.flatnonzero(acc.any(axis=1))
-        for at in range(0, len(used), 4096):
-            own = used[at:at + 4096]
-            flat = pa.array(acc[own].ravel())
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(own.astype(np.int32)), pa.ListArray.from_arrays(
-                    pa.array(np.arange(len(own) + 1, dtype=np.int32) * shape[1]), flat)], names=["key", "vec"])
-
-    parts = features.mapInArrow(run, "key int, vec array<double>")
-    sums = vector_sum(parts, "key", "vec").select("key", "vsum").toArrow()  # shape[0] rows at most
-    out = np.zeros(shape)
+                add(rows, acc[:n])
+        for i in range(n_blocks):
+            own = acc[i * rows_each:(i + 1) * rows_each]
+            if own.any():
+                yield pa.RecordBatch.from_arrays([pa.array([i], pa.int32()), pa.array([own.ravel()], pa.list_(pa.float64()))],
+                                                 names=["block", "numbers"])
+
+    def add_up(group: pa.Table) -> pa.Table:
+        parts = group.column("numbers").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
+        return pa.table({"block": group.column("block")[:1], "numbers": pa.array([parts.sum(axis=0)], pa.list_(pa.float64()))})
+
+    schema = "block int, numbers array<double>"
+    sums = features.mapInArrow(run, schema).groupBy("block").applyInArrow(add_up, schema).toArrow()  # shape[0] x shape[1] numbers
+    out = np.zeros((n_blocks, rows_each * k))
     if sums.num_rows:
-        out[sums.column("key").to_numpy()] = sums.column("vsum").combine_chunks().flatten().to_numpy().reshape(-1, shape[1])
-    return out
+        out[sums.column("block").to_numpy()] = sums.column("numbers").combine_chunks().flatten().to_numpy().reshape(sums.num_rows, -1)
+    return out.reshape(-1, k)[:n]
 
 
 def mapped(df: DataFrame, features: str, out: str, fn: Callable[[Rows], np.ndarray]) -> DataFrame:
@@ -298,8 +305,8 @@ def fit_encoder(df: DataFrame, text: str = "text", dims: int = 96, max_features:
     """M8: TF-IDF over the most frequent `max_features` words that two texts share, then `dims` singular
     vectors. The vocabulary bounds what the driver and the tasks hold: max_features x (dims + 8) numbers."""
     from vocspark.operators.ml import fit_tfidf
-    from vocspark.session import cut_lineage
-    texts = df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))
+    from vocspark.session import cut_lineage, spread
+    texts = cut_lineage(spread(df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))))
     prep = fit_tfidf(texts, "_text", max_features, ngram=1, min_df=2.0, max_df=0.95, stop_words=stop_words)
     x = cut_lineage(prep.transform(texts).select("features"))
     width = len(vocabulary(prep))

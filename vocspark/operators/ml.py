@@ -10,14 +10,13 @@ Topics and emerging clusters are non-negative matrix factorisations
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
 
-from pyspark.ml import Pipeline, PipelineModel
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import LogisticRegression
-from pyspark.ml.clustering import KMeans
-from pyspark.ml.feature import (IDF, CountVectorizer, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
+from pyspark.ml.feature import (CountVectorizerModel, ElementwiseProduct, IndexToString, NGram, Normalizer, RegexTokenizer,
                                 SQLTransformer, StopWordsRemover, StringIndexer)
-from pyspark.ml.functions import array_to_vector
 from pyspark.ml.linalg import Vectors
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
@@ -25,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vocspark import config as C
 from vocspark.operators.factor import Nmf, fit_nmf, load_matrix, save_matrix, vocabulary
-from vocspark.session import cut_lineage
+from vocspark.session import cut_lineage, spread
 
 # scikit-learn's default token pattern: words of two or more word characters
 TOKEN_PATTERN = r"\b\w\w+\b"
@@ -69,8 +68,9 @@ def fit_tfidf(df: DataFrame, text: str, max_features: int = 10000, ngram: int =
               max_df: float = 1.0, stop_words=None, out: str = "features") -> PipelineModel:
     """M1 / M5: word 1..n-grams -> top `max_features` terms -> smoothed IDF + 1 -> L2 normalise.
 
-    MLlib's IDF is ln((1 + n) / (1 + df)); the reference adds 1 to it, so the fitted weights are
-    put into an element-wise product."""
+    Terms in fewer than min_df texts (a count, or a share below 1) or in more than max_df of them are left
+    out; of the rest the most frequent are kept, ties by term. The vocabulary and the weights
+    (1 + ln((1 + n) / (1 + df))) come from two aggregations; the driver gets max_features rows."""
     stages = [RegexTokenizer(inputCol=text, outputCol="_tok", pattern=TOKEN_PATTERN, gaps=False, toLowercase=True)]
     src = "_tok"
     if stop_words:
@@ -81,11 +81,18 @@ def fit_tfidf(df: DataFrame, text: str, max_features: int = 10000, ngram: int =
         stages.append(NGram(n=n, inputCol=src, outputCol=f"_ng{n}"))
         cols.append(f"_ng{n}")
     stages.append(SQLTransformer(statement=f"SELECT *, concat({', '.join(cols)}) AS _terms FROM __THIS__"))
-    stages.append(CountVectorizer(inputCol="_terms", outputCol="_tf", vocabSize=max_features, minDF=min_df, maxDF=max_df))
-    counts = Pipeline(stages=stages).fit(df)
-    idf = IDF(inputCol="_tf", outputCol="_tfidf").fit(counts.transform(df).select("_tf"))
-    weights = Vectors.dense([float(x) + 1.0 for x in idf.idf.toArray()])
-    return PipelineModel(stages=counts.stages + [
+    terms = PipelineModel(stages=stages).transform(df).select("_terms")
+    n = df.count()
+    least, most = (min_df if min_df >= 1 else min_df * n), max_df * n
+    times = terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
+    texts = terms.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
+    kept = (texts.where((F.col("texts") >= least) & (F.col("texts") <= most)).join(times, "term")
+            .orderBy(F.col("times").desc(), "term").limit(max_features).select("term", "texts").collect())
+    if not kept:
+        raise ValueError("no term is in enough texts")
+    weights = Vectors.dense([math.log((1 + n) / (1 + r["texts"])) + 1.0 for r in kept])
+    return PipelineModel(stages=stages + [
+        CountVectorizerModel.from_vocabulary([r["term"] for r in kept], inputCol="_terms", outputCol="_tf"),
         ElementwiseProduct(scalingVec=weights, inputCol="_tf", outputCol="_tfidf"),
         Normalizer(inputCol="_tfidf", outputCol=out, p=2.0)])
 
@@ -105,7 +112,7 @@ def fit_sentiment(train: DataFrame, text: str = "text", label: str = "label", ma
     regParam = 1 / n matches an inverse-regularisation C = 1 on the summed loss;
     features are already L2-normalised so standardization is off.
     """
-    labelled = cut_lineage(train.select(F.col(text).alias(text), F.col(label).cast("string").alias(label)))
+    labelled = cut_lineage(spread(train.select(F.col(text).alias(text), F.col(label).cast("string").alias(label))))
     prep = fit_tfidf(labelled, text, max_features)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(labelled)
     # written once: the fit iterates over the features, not over the texts
@@ -192,7 +199,7 @@ def fit_topics(df: DataFrame, text: str = "text", k: int = 30, max_iter: int = 3
 
     The reference bounds its vocabulary by min_df alone; here `max_features` (MLlib's default) also
     bounds what the driver and every task hold: max_features x k numbers."""
-    texts = df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))
+    texts = cut_lineage(spread(df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))))
     prep = fit_tfidf(texts, "_text", max_features, ngram=1, min_df=2.0, max_df=0.95, stop_words=stop_words)
     x = cut_lineage(prep.transform(texts).select("features"))  # written once: every pass reads it
     return TopicModel(prep, fit_nmf(x, len(vocabulary(prep)), k, max_iter, seed=seed))
@@ -279,60 +286,63 @@ def triplets(labels: DataFrame, text: str = "review", label: str = "category", c
 # Emerging clusters
 # ---------------------------------------------------------------------------
 
-def emerging_clusters(pool: DataFrame, vec: str, text: str, month: str, label_centroids: DataFrame | None = None,
-                      k: int = 8, min_size: int = 20, flag_size: int = 15,
-                      seed: int = 42, actionable: str | None = None, min_actionable: float = 0.3) -> DataFrame:
-    """Cluster the low-confidence pool, keep clusters of >= min_size members.
-
-    `k` clusters at any pool size (at least two; min_size=0 keeps all). Momentum compares the last two
-    months present in the pool; keywords are the top words of the 10 members
-    nearest the centre (A21); samples are the 3 nearest texts cut to 120;
-    the label is the nearest label centroid (cosine >= 0.15, else the fallback).
-    `actionable` names an actionability column: only rows of at least `min_actionable`
-    are clustered (P18; None: all rows). Output: emerging_issues schema.
-    """
+EMERGING_SCHEMA = ("cluster_id int, label string, keywords string, estimated_volume long, is_flagged boolean, "
+                   "momentum_pct double, sample_review_1 string, sample_review_2 string, sample_review_3 string")
+
+
+def soft_clusters(pool: DataFrame, vec: str, keep: tuple[str, ...], k: int = 8, max_iter: int = 100, seed: int = 42) -> DataFrame | None:
+    """The columns `keep` and `memberships` (ARRAY<DOUBLE>, one for each cluster) of each row: its
+    weights in an NMF of the unit vectors, shifted to be non-negative. A row may belong to several
+    clusters. At most k clusters, one for ten rows; None if that makes fewer than two."""
     from vocspark.functions import vectors as V
+    x = cut_lineage(spread(pool.select(*keep, V.normalize(vec).alias("_unit"))))  # every pass of the fit reads it
+    low, n, dims = x.agg(F.min(F.array_min("_unit")), F.count(F.lit(1)), F.max(F.size("_unit"))).first()
+    k = min(k, n // 10)
+    if k < 2:
+        return None
+    x = x.withColumn("_features", F.transform("_unit", lambda v: v - F.lit(low)))
+    model = fit_nmf(x.select("_features"), dims, k, max_iter, seed=seed)
+    return cut_lineage(model.weights(x.select(*keep, "_features"), "_features", "memberships"))
+
+
+def emerging_clusters(pool: DataFrame, vec: str, text: str, month: str, labeler=None,
+                      k: int = 8, min_size: int = 20, flag_size: int = 15, membership: float = 0.10,
+                      seed: int = 42, actionable: str | None = None, min_actionable: float = 0.3,
+                      min_pool: int = 15) -> DataFrame:
+    """Soft clusters of the low-confidence pool, those of >= min_size members.
+
+    A row is a member of every cluster in which it weighs more than `membership`. Momentum compares the
+    last two months present in the pool; keywords are the top words of the 10 heaviest rows of a cluster
+    (A21); samples are the 3 heaviest texts, cut to 120 for display. `labeler` maps a frame with
+    `keywords` to one with `label` (F22). `actionable` names an actionability column: if at least
+    `min_pool` rows reach `min_actionable`, only those are clustered (P18). Output: emerging_issues schema."""
+    from vocspark.operators.series import top_per_group
     from vocspark.operators.textops import cluster_keywords
-    from vocspark.operators.vectors import classify
-
-    if actionable is not None:
-        pool = pool.filter(F.col(actionable) >= min_actionable)
-    spark = pool.sparkSession
-    schema = ("cluster_id int, label string, keywords string, estimated_volume long, is_flagged boolean, "
-              "momentum_pct double, sample_review_1 string, sample_review_2 string, sample_review_3 string")
     if k < 2:
         raise ValueError("k must be at least 2")
-    # written once: k-means iterates over it, and the cluster tables are built from it
-    x = cut_lineage(pool.withColumn("unit", V.normalize(vec))).withColumn("features", array_to_vector("unit"))
-    if x.isEmpty():
-        return spark.createDataFrame([], schema)
-    km = KMeans(k=k, seed=seed, featuresCol="features", predictionCol="cluster_id", maxIter=20).fit(x)
-    centers = spark.createDataFrame([(i, [float(v) for v in c]) for i, c in enumerate(km.clusterCenters())],
-                                    "cluster_id int, center array<double>")
-    a = km.transform(x).join(F.broadcast(centers), "cluster_id")
-    a = a.withColumn("_d", V.dot(V.normalize(vec), V.normalize("center")))
-    months = a.select(month).distinct().withColumn("_mr", F.row_number().over(W.orderBy(F.col(month).desc())))
-    a = a.join(F.broadcast(months), month)
-    sizes = a.groupBy("cluster_id").agg(F.count(F.lit(1)).alias("estimated_volume"),
-                                        F.count_if(F.col("_mr") == 1).alias("cv"), F.count_if(F.col("_mr") == 2).alias("pv"))
+    if actionable is not None:
+        strong = pool.filter(F.col(actionable) >= min_actionable)
+        if strong.count() >= min_pool:
+            pool = strong
+    soft = soft_clusters(pool.select(vec, F.col(text).alias("_text"), F.col(month).alias("_month")), vec, ("_text", "_month"), k, seed=seed)
+    if soft is None:
+        return pool.sparkSession.createDataFrame([], EMERGING_SCHEMA)
+    each = soft.select("_text", "_month", F.posexplode("memberships").alias("cluster_id", "_w"))
+    months = soft.select("_month").distinct().withColumn("_mr", F.row_number().over(W.orderBy(F.col("_month").desc())))
+    sizes = each.where(F.col("_w") > membership).join(months.where(F.col("_mr") <= 2), "_month", "left").groupBy("cluster_id").agg(
+        F.count(F.lit(1)).alias("estimated_volume"), F.count_if(F.col("_mr") == 1).alias("cv"), F.count_if(F.col("_mr") == 2).alias("pv"))
     n_months = months.select(F.count(F.lit(1))).scalar()
-    mom = F.when(n_months > 1, F.round((F.col("cv") - F.col("pv")) / F.greatest(F.col("pv"), F.lit(1)) * 100, 1)) \
-           .otherwise(F.lit(0.0))
+    mom = F.when(n_months > 1, F.round((F.col("cv") - F.col("pv")) / F.greatest(F.col("pv"), F.lit(1)) * 100, 1)).otherwise(F.lit(0.0))
     sizes = sizes.withColumn("momentum_pct", mom.cast("double")).filter(F.col("estimated_volume") >= min_size)
-    near = a.withColumn("_r", F.row_number().over(W.partitionBy("cluster_id").orderBy(F.col("_d").desc(), F.col(text))))
-    kw = cluster_keywords(near.filter(F.col("_r") <= 10), "cluster_id", text)
+    near = top_per_group(each, "cluster_id", [F.col("_w").desc(), F.col("_text").asc()], 10, "_r")
+    kw = cluster_keywords(near, "cluster_id", "_text")
     samp = near.filter(F.col("_r") <= 3).groupBy("cluster_id").agg(
-        F.array_sort(F.collect_list(F.struct("_r", F.substring(F.col(text), 1, 120).alias("s")))).alias("_s"))
-    out = sizes.join(kw, "cluster_id", "left").join(samp, "cluster_id", "left")
-    if label_centroids is not None:
-        lab = classify(centers, "center", label_centroids, threshold=C.LABEL_THRESHOLD).select("cluster_id", "predicted")
-        out = out.join(F.broadcast(lab), "cluster_id", "left").withColumnRenamed("predicted", "label")
-    else:
-        out = out.withColumn("label", F.concat(F.lit("Cluster #"), (F.col("cluster_id") + 1).cast("string")))
+        F.array_sort(F.collect_list(F.struct("_r", F.substring("_text", 1, 120).alias("s")))).alias("_s"))
+    out = sizes.join(kw, "cluster_id", "left").join(samp, "cluster_id", "left").withColumn("keywords", F.coalesce("keywords", F.lit("")))
+    out = labeler(out) if labeler else out.withColumn("label", F.concat(F.lit("Cluster #"), (F.col("cluster_id") + 1).cast("string")))
     s = F.col("_s")
     return out.select(
-        F.col("cluster_id").cast("int"), F.coalesce("label", F.lit(C.FALLBACK_LABEL)).alias("label"),
-        F.coalesce("keywords", F.lit("")).alias("keywords"), F.col("estimated_volume").cast("long"),
+        F.col("cluster_id").cast("int"), "label", "keywords", F.col("estimated_volume").cast("long"),
         ((F.col("estimated_volume") >= flag_size) | (F.col("momentum_pct") > 50)).alias("is_flagged"),
         "momentum_pct",
         F.coalesce(F.try_element_at(s, F.lit(1))["s"], F.lit("")).alias("sample_review_1"),

@@ -91,8 +91,10 @@ def silhouette(df: DataFrame, label: str, vec: str) -> DataFrame:
     per = per.withColumn("_own", F.filter("_cs", lambda c: c["k"] == F.col("_l"))[0]) \
              .withColumn("_b", F.array_min(F.transform(F.filter("_cs", lambda c: c["k"] != F.col("_l")),
                                                         lambda c: F.lit(1.0) - c["d"] / c["n"])))
-    per = per.withColumn("_a", (F.col("_own.n") - F.lit(1) - (F.col("_own.d") - F.col("_xx"))) / (F.col("_own.n") - F.lit(1)))
-    s = F.when(F.col("_own.n") <= 1, F.lit(0.0)).otherwise((F.col("_b") - F.col("_a")) / F.greatest("_a", "_b"))
+    per = per.withColumn("_a", (F.col("_own.n") - F.lit(1) - (F.col("_own.d") - F.col("_xx"))) / F.greatest(F.col("_own.n") - F.lit(1), F.lit(1)))
+    # a class of one row, or a row as far from all (both distances zero), scores 0
+    s = F.when(F.col("_own.n") <= 1, F.lit(0.0)).otherwise(F.coalesce(
+        (F.col("_b") - F.col("_a")) / F.nullif(F.greatest("_a", "_b"), F.lit(0.0)), F.lit(0.0)))
     r = per.select(s.alias("s"))
     nk = sums.select(F.count(F.lit(1))).scalar()
     return r.agg(F.avg("s").alias("v"), F.count(F.lit(1)).alias("n")).select(

@@ -47,8 +47,9 @@ def _aspects(spark, sf):
 
 
 def _docs(spark, sf):
+    from vocspark.session import spread
     from vocspark.sources.tables import read_table
-    return read_table(spark, sf, "documents")
+    return spread(read_table(spark, sf, "documents"))
 
 
 def _text_scores(spark, sf):
@@ -219,8 +220,10 @@ def _text_centroid_metrics(spark, sf):
     """M8 + M9 + A25: nearest-centroid language of held-out documents, from their encoded text."""
     from vocspark.operators import ml as ML
     from vocspark.operators.vectors import centroids, classify
+    from vocspark.session import cut_lineage
     docs = _docs(spark, sf).where(F.col("lang").isNotNull()).select("doc_id", "text", "lang")
-    x = ML.stratified_split(_encoder(spark, sf).encode(docs, "text"), "doc_id", "lang", 20, 42)
+    split = ML.stratified_split(docs.select("doc_id", "lang"), "doc_id", "lang", 20, 42)
+    x = cut_lineage(_encoder(spark, sf).encode(docs.drop("lang"), "text").drop("text").join(split, "doc_id"))
     c = centroids(x.filter(F.col("split") == "train"), "lang", "embedding")
     pred = classify(x.filter(F.col("split") == "test"), "embedding", c, "lang", threshold=-2.0)
     return ML.classification_metrics(pred, "lang", "predicted")
@@ -293,15 +296,25 @@ def _eval_centroids(spark, sf):
 
 
 def _emerging(spark, sf):
-    """Clusters of the low-confidence pool (documents whose best centroid cosine < 0.30)."""
+    """Soft clusters of the low-confidence pool (documents whose best centroid cosine < 0.30),
+    fitted once and written; the summary and the watch list read them."""
     from vocspark.operators import ml as ML
     from vocspark.operators.vectors import centroids, classify
-    sem = FX.fx_semantic(spark, sf)
-    cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
-    from vocspark.functions.text import actionability
-    pool = classify(sem, "embedding", cents).filter(F.col("confidence") < 0.30) \
-        .withColumn("actionability", actionability(F.col("text"), FX.FX_SIGNAL, FX.FX_VENT))
-    return ML.emerging_clusters(pool, "embedding", "text", "month", label_centroids=cents, actionable="actionability")
+    from vocspark.sources.derived import derived
+
+    def build():
+        cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
+        pool = classify(FX.fx_semantic(spark, sf), "embedding", cents).filter(F.col("confidence") < 0.30) \
+            .join(FX.text_scores_table(spark, sf).select("doc_id", "actionability"), "doc_id")
+        return ML.emerging_clusters(pool, "embedding", "text", "month", _labeler(spark, sf), actionable="actionability")
+
+    return derived(spark, sf, "emerging_clusters", build)
+
+
+def _labeler(spark, sf):
+    """names a keyword string by the fixture taxonomy."""
+    from vocspark.operators.factor import label_keywords
+    return lambda df: label_keywords(df, "keywords", _encoder(spark, sf), _issue_centroids(spark, sf))
 
 
 def _landing(spark, sf):
@@ -338,13 +351,65 @@ def _score_parts(spark, sf):
     from vocspark.operators.vectors import centroids
     from vocspark.plans.scoring import score_reviews, tables_of_scored
     from vocspark.sources.derived import derived
-    lex = {"sev5": FX.FX_SEVERITY_5, "sev4": FX.FX_SEVERITY_4, "sev3": FX.FX_SEVERITY_3,
-           "signal": FX.FX_SIGNAL, "vent": FX.FX_VENT}
     cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
-    scored = derived(spark, sf, "scored_reviews", lambda: score_reviews(FX.fx_reviews_embedded(spark, sf), cents, lex))
+    scored = derived(spark, sf, "scored_reviews", lambda: score_reviews(
+        FX.fx_reviews_embedded(spark, sf), cents, text_scores=FX.text_scores_table(spark, sf)))
     return {"scored": scored, **tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False)}
 
 
+def _score_emerging(spark, sf):
+    """E22 + M14: emerging issues of the scored reviews; fitted once and written."""
+    from vocspark.operators.ml import emerging_clusters
+    from vocspark.sources.derived import derived
+
+    def build():
+        pool = _score_parts(spark, sf)["scored"].filter(F.col("confidence") < 0.30)
+        return emerging_clusters(pool, "embedding", "content", "date", _labeler(spark, sf), actionable="actionability")
+
+    return derived(spark, sf, "score_batch_emerging", build)
+
+
+def _ingested(spark, sf):
+    """The fixture reviews land as files (without their texts and vectors, which the documents and
+    embeddings bring) and are ingested in several epochs; a further call finds nothing new."""
+    from vocspark.operators.vectors import centroids
+    from vocspark.plans.scoring import score_reviews, tables_of_scored
+    from vocspark.session import checkpoint_dir
+    from vocspark.sources.derived import _fingerprint, derived
+    from vocspark.sources.tables import read_table
+    from vocspark.streaming.ingest import Ingest, review_stream
+    rows = FX.fx_reviews(spark, sf).drop("content", "lang")
+    derived(spark, sf, "landing_reviews", lambda: rows.repartition(4, "reviewId"))
+    base = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-derived/{_fingerprint(spark, sf)}"
+    cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
+
+    def score(reviews):
+        docs = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), "lang")
+        vectors = FX.fx_semantic(spark, sf).select("doc_id", "embedding")
+        negative = reviews.filter(F.col("sentiment") == "negative").join(docs, "doc_id").join(vectors, "doc_id")
+        return score_reviews(negative, cents, text_scores=FX.text_scores_table(spark, sf))
+
+    def tables(scored):
+        made = tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False)
+        return {k: made[k] for k in ("review_classifications", "topic_timeseries", "topic_analysis", "aspect_analysis",
+                                     "classification_quality", "alerts")}
+
+    ingest = Ingest(f"{base}/ingest", score, tables)
+    ingest.run(review_stream(spark, f"{base}/landing_reviews", rows.schema, max_files_per_trigger=2))
+    return ingest
+
+
+def _ingest_table(name):
+    return lambda spark, sf: _ingested(spark, sf).table(spark, name)
+
+
+def _sync_log(spark, sf):
+    """The stored log of the ingest's runs, newest first, and whether a sync is due on the day after."""
+    from vocspark.sources.tables import read_sync_log
+    log = read_sync_log(spark, f"{_ingested(spark, sf).out}/log")
+    return log.select("run", "last_sync", "last_sync_date", "status", "dataset")
+
+
 def _score_uploaded(spark, sf):
     from vocspark.plans.scoring import uploaded_reviews
     return uploaded_reviews(FX.fx_reviews(spark, sf))
@@ -543,6 +608,14 @@ QUERIES = {
     "score_batch_quality": lambda sp, sf: _score_parts(sp, sf)["classification_quality"],
     "score_batch_alerts": lambda sp, sf: _score_parts(sp, sf)["alerts"],
     "score_batch_uploaded": _score_uploaded,
+    "score_batch_emerging": _score_emerging,
+    "ingest_timeseries": _ingest_table("topic_timeseries"),
+    "ingest_classifications": _ingest_table("review_classifications"),
+    "ingest_topics": _ingest_table("topic_analysis"),
+    "ingest_aspects": _ingest_table("aspect_analysis"),
+    "ingest_quality": _ingest_table("classification_quality"),
+    "ingest_alerts": _ingest_table("alerts"),
+    "ingest_sync_log": _sync_log,
     "preprocess_training": _preprocess,
     "executive_summary": _summary(0),
     "executive_summary_6m": _summary(6),

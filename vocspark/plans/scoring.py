@@ -20,21 +20,37 @@ from vocspark.operators.series import monthly_rates, topic_stats
 from vocspark.operators.vectors import classify
 
 
+def score_texts(texts: DataFrame, key: str, text: str = "content", lexicons=None, lang: str | None = "lang") -> DataFrame:
+    """P4 + F11 + F12 of each text: (key, is_valid, severity, actionability). What depends on the text
+    alone is worked out once, however many reviews share it."""
+    lx = lexicons or {}
+    return texts.select(
+        key, T.is_valid_review(F.col(text), F.col(lang) if lang and lang in texts.columns else None).alias("is_valid"),
+        T.severity(F.col(text), lx.get("sev5"), lx.get("sev4"), lx.get("sev3")).alias("severity"),
+        T.actionability(F.col(text), lx.get("signal"), lx.get("vent")).alias("actionability"))
+
+
 def score_reviews(reviews: DataFrame, centroids: DataFrame, lexicons=None, text: str = "content",
                   vec: str = "embedding", lang: str | None = "lang", threshold: float = C.CONFIDENCE_THRESHOLD,
-                  negative_only: bool = True) -> DataFrame:
+                  negative_only: bool = True, text_scores: DataFrame | None = None, key: str = "doc_id") -> DataFrame:
     """P3 + P4 + M10 + F11 + F13 + F17 per review. Output keeps the review columns plus
-    category, confidence, date, severity, actionability, value_weight, financial_impact."""
-    lx = lexicons or {}
+    category, confidence, date, severity, actionability, value_weight, financial_impact.
+
+    Where reviews share texts, `text_scores` (from `score_texts`, by `key`) brings what the texts give."""
     r = reviews
     if negative_only and "sentiment" in r.columns:
         r = r.filter(F.col("sentiment") == "negative")
-    r = r.filter(T.is_valid_review(F.col(text), F.col(lang) if lang and lang in r.columns else None))
+    if text_scores is not None:
+        r = r.join(text_scores.filter("is_valid").select(key, "severity", "actionability"), key)
+    else:
+        lx = lexicons or {}
+        r = r.filter(T.is_valid_review(F.col(text), F.col(lang) if lang and lang in r.columns else None))
     r = r.withColumn("date", F.date_format(F.col("at"), "yyyy-MM"))
     r = classify(r, vec, centroids, threshold=threshold).withColumnRenamed("predicted", "category") \
         .drop("best_label")
-    r = r.withColumn("severity", T.severity(F.col(text), lx.get("sev5"), lx.get("sev4"), lx.get("sev3")))
-    r = r.withColumn("actionability", T.actionability(F.col(text), lx.get("signal"), lx.get("vent")))
+    if text_scores is None:
+        r = r.withColumn("severity", T.severity(F.col(text), lx.get("sev5"), lx.get("sev4"), lx.get("sev3")))
+        r = r.withColumn("actionability", T.actionability(F.col(text), lx.get("signal"), lx.get("vent")))
     r = value_weight(r)
     return r.withColumn("financial_impact", financial_impact(F.col("severity"), F.col("value_weight")))
 
@@ -76,9 +92,9 @@ def uploaded_reviews(reviews: DataFrame, text: str = "content") -> DataFrame:
 
 def tables_of_scored(scored: DataFrame, centroids: DataFrame, aspect_keywords=None, text: str = "content",
                      vec: str = "embedding", as_of: str = C.DEFAULT_AS_OF, min_confidence: float = C.CONFIDENCE_THRESHOLD,
-                     emerging: bool = True) -> dict[str, DataFrame]:
+                     emerging: bool = True, labeler=None) -> dict[str, DataFrame]:
     """The tables that the scored reviews give. `emerging` fits the clusters of the reviews
-    below `min_confidence` (M14) at once; without it that table is left out."""
+    below `min_confidence` (M14) at once, and `labeler` names them (F22); without it that table is left out."""
     from vocspark.operators.ml import emerging_clusters
     from vocspark.operators.vectors import drift_pairs, silhouette
     from vocspark.plans.dashboard import aspect_counts, threshold_alerts
@@ -95,8 +111,7 @@ def tables_of_scored(scored: DataFrame, centroids: DataFrame, aspect_keywords=No
     }
     if emerging:
         pool = scored.filter(F.col("confidence") < min_confidence)
-        out["emerging_issues"] = emerging_clusters(pool, vec, text, "date", label_centroids=centroids,
-                                                   actionable="actionability")
+        out["emerging_issues"] = emerging_clusters(pool, vec, text, "date", labeler, actionable="actionability")
     return out
 
 

@@ -65,3 +65,12 @@ def cut_lineage(df, spark: SparkSession | None = None):
     spark = spark or df.sparkSession
     checkpoint_dir(spark)
     return df.checkpoint(eager=True)
+
+
+def spread(df):
+    """df over at least as many partitions as the session has cores.
+
+    For text-heavy work and iterative fits on inputs of fewer file splits than that; larger inputs
+    come back as they are."""
+    n = df.sparkSession.sparkContext.defaultParallelism
+    return df if df.rdd.getNumPartitions() >= n else df.repartition(n)

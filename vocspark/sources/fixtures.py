@@ -176,16 +176,29 @@ FX_ISSUE_PHRASES = {
 def cleaned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, cleaned_content): every document cleaned once (F1), read by all that vectorises text."""
     from vocspark.functions.text import clean_text
+    from vocspark.session import spread
     from vocspark.sources.derived import derived
-    return derived(spark, sf_dir, "cleaned_documents", lambda: read_table(spark, sf_dir, "documents").select(
+    return derived(spark, sf_dir, "cleaned_documents", lambda: spread(read_table(spark, sf_dir, "documents")).select(
         "doc_id", clean_text("text").alias("cleaned_content")))
 
 
+def fx_lexicons() -> dict[str, list[str]]:
+    return {"sev5": FX_SEVERITY_5, "sev4": FX_SEVERITY_4, "sev3": FX_SEVERITY_3, "signal": FX_SIGNAL, "vent": FX_VENT}
+
+
+def text_scores_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, is_valid, severity, actionability): each document looked at once, for all its reviews."""
+    from vocspark.plans.scoring import score_texts
+    from vocspark.session import spread
+    from vocspark.sources.derived import derived
+    return derived(spark, sf_dir, "text_scores", lambda: score_texts(
+        spread(read_table(spark, sf_dir, "documents")).select("doc_id", "text", "lang"), "doc_id", "text", fx_lexicons()))
+
+
 def fx_negative_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
     """P3 + P4: negative reviews passing the quality gate (language from the `lang` column)."""
-    from vocspark.functions.text import is_valid_review
-    r = fx_reviews(spark, sf_dir)
-    return r.filter((F.col("sentiment") == "negative") & is_valid_review(F.col("content"), F.col("lang")))
+    r = fx_reviews(spark, sf_dir).filter(F.col("sentiment") == "negative")
+    return r.join(text_scores_table(spark, sf_dir).filter("is_valid").select("doc_id"), "doc_id")
 
 
 def fx_aspect_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -151,6 +151,33 @@ def sync_log(spark: SparkSession, last_sync: str | None, status: str = "success"
                      "status", "dataset")
 
 
+def append_sync(spark: SparkSession, base: str, run: str, last_sync, status: str = "success", dataset: str = "") -> str:
+    """Appends one run to the stored sync log. Each run has a folder of its own name, so a run that
+    is written again, as after a failure, still counts once."""
+    row = spark.createDataFrame([(run, None if last_sync is None else str(last_sync), status, dataset)],
+                                "run string, ts string, status string, dataset string")
+    path = os.path.join(base, f"run-{run}")
+    row.select("run", F.to_timestamp("ts").alias("last_sync"), F.to_date(F.to_timestamp("ts")).alias("last_sync_date"),
+               "status", "dataset").coalesce(1).write.mode("overwrite").parquet(path)
+    return path
+
+
+def read_sync_log(spark: SparkSession, base: str, dataset: str | None = None) -> DataFrame:
+    """All runs of the stored log (run, last_sync, last_sync_date, status, dataset); none if missing."""
+    from vocspark.schemas import SYNC_LOG
+    if not _exists(spark, base):
+        return spark.createDataFrame([], T.StructType([T.StructField("run", T.StringType()), *SYNC_LOG.fields]))
+    log = spark.read.parquet(os.path.join(base, "run-*"))
+    return log if dataset is None else log.where(F.col("dataset") == dataset)
+
+
+def last_sync(log: DataFrame) -> DataFrame:
+    """The newest run of each dataset (by last_sync, then run)."""
+    values = [c for c in log.columns if c != "dataset"]
+    newest = log.groupBy("dataset").agg(F.max_by(F.struct(*values), F.struct("last_sync", "run")).alias("v"))
+    return newest.select("dataset", "v.*")
+
+
 def needs_sync(log: DataFrame, as_of_date: str) -> DataFrame:
     """One row `due` — true when there is no log or the last sync date differs from as_of."""
     last = log.select(F.max("last_sync_date")).scalar()
