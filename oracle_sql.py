@@ -1226,19 +1226,19 @@ SELECT tax.category, CAST(coalesce(cnt.n, 0) AS BIGINT) AS n FROM tax LEFT JOIN
 
 
 def triplets_sql(cap: int = 500, seed: int = 42, eval_pct: int = 10) -> str:
+    draw = f"CAST('0x' || substr(md5('{seed + 2}' || a.t), 1, 8) AS BIGINT)"
     return "WITH " + ",\n".join(base_ctes() + [bootstrap_cte()]) + f"""
-, r AS (SELECT review AS t, category AS c, md5('{seed}' || review) AS h,
-               row_number() OVER (PARTITION BY category ORDER BY md5('{seed}' || review), review) - 1 AS rk,
+, r AS (SELECT review AS t, category AS c, row_number() OVER (PARTITION BY category ORDER BY md5('{seed}' || review), review) - 1 AS rk,
                count(*) OVER (PARTITION BY category) AS sz FROM boot),
-cls AS (SELECT c, sz, row_number() OVER (ORDER BY md5('{seed}' || c), c) - 1 AS ci, count(*) OVER () AS nc
+cls AS (SELECT c, sum(sz) OVER (ORDER BY md5('{seed}' || c), c) - sz AS start, sum(sz) OVER () AS total
         FROM (SELECT DISTINCT c, sz FROM r) d),
-a AS (SELECT r.*, cls.ci, cls.nc, (r.rk + 1) % r.sz AS prk, (cls.ci + 1) % cls.nc AS nci
-      FROM r JOIN cls ON r.c = cls.c WHERE r.sz > 1 AND r.rk < {cap}),
-x AS (SELECT a.*, p.t AS positive, n2.c AS ncls FROM a JOIN r p ON p.c = a.c AND p.rk = a.prk JOIN cls n2 ON n2.ci = a.nci),
-y AS (SELECT x.*, n.t AS negative FROM x JOIN r n ON n.c = x.ncls AND n.rk = x.rk % n.sz WHERE x.nc > 1)
-SELECT t AS anchor, positive, negative, c AS category,
-  CASE WHEN {_hash_pct('t', seed + 1)} < {eval_pct} THEN 'eval' ELSE 'train' END AS split
-FROM y"""
+placed AS (SELECT r.*, cls.start, cls.total, cls.start + r.rk AS pos FROM r JOIN cls ON r.c = cls.c),
+a AS (SELECT * FROM placed WHERE sz > 1 AND rk < {cap} AND total > sz),
+drawn AS (SELECT a.*, {draw} % (total - sz) AS d FROM a)
+SELECT x.t AS anchor, p.t AS positive, n.t AS negative, x.c AS category,
+  CASE WHEN {_hash_pct('x.t', seed + 1)} < {eval_pct} THEN 'eval' ELSE 'train' END AS split
+FROM drawn x JOIN placed p ON p.pos = x.start + (x.rk + 1) % x.sz
+JOIN placed n ON n.pos = CASE WHEN x.d < x.start THEN x.d ELSE x.d + x.sz END"""
 
 
 def stream_daily_sql() -> str:
@@ -1320,12 +1320,26 @@ def score_batch_uploaded_sql() -> str:
     return "WITH " + fx_reviews_cte() + "\nSELECT *, lower(content) AS cleaned_content FROM fx_reviews"
 
 
-def score_batch_topics_sql() -> str:
-    return "WITH " + ",\n".join(score_batch_ctes()) + """
-, ev AS (
-  SELECT label, list(t ORDER BY rk) AS sample_reviews FROM (
-    SELECT category AS label, text AS t, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, text) AS rk
-    FROM scored2 WHERE length(text) > 40) e WHERE rk <= 15 GROUP BY label)
+def score_batch_topics_sql(candidates: int = 20, keep: int = 15, threshold: float = 0.85) -> str:
+    """Twenty most confident texts of a category, walked from the one nearest to its centroid, without near copies."""
+    dup = f"coalesce(list_bool_or(list_transform(w.us, lambda k: list_dot_product(k, r.u) >= {threshold})), false)"
+    return "WITH RECURSIVE " + ",\n".join(score_batch_ctes()) + f"""
+, cand AS (SELECT * FROM (
+    SELECT category, text, confidence, u, row_number() OVER (PARTITION BY category ORDER BY confidence DESC, text) AS o
+    FROM scored2 WHERE length(text) > 40) e WHERE o <= {candidates}),
+ranked AS (
+  SELECT c.category, c.text, c.u, row_number() OVER (PARTITION BY c.category
+    ORDER BY list_dot_product(c.u, a.centroid) DESC NULLS LAST, c.confidence DESC, c.text) AS rk
+  FROM cand c LEFT JOIN cents a ON a.category = c.category),
+walk AS (
+  SELECT category, 0::BIGINT AS rk, []::VARCHAR[] AS kept, []::DOUBLE[][] AS us FROM (SELECT DISTINCT category FROM ranked) g
+  UNION ALL
+  SELECT w.category, r.rk,
+    CASE WHEN len(w.kept) < {keep} AND NOT {dup} THEN list_append(w.kept, r.text) ELSE w.kept END,
+    CASE WHEN len(w.kept) < {keep} AND NOT {dup} THEN list_append(w.us, r.u) ELSE w.us END
+  FROM walk w JOIN ranked r ON r.category = w.category AND r.rk = w.rk + 1),
+ev AS (SELECT category AS label, kept AS sample_reviews FROM (
+  SELECT *, row_number() OVER (PARTITION BY category ORDER BY rk DESC) AS o FROM walk) x WHERE o = 1)
 SELECT s.label AS topic_id, s.label AS keywords, s.label, CAST(s.mentions AS BIGINT) AS mentions, s.avg_severity,
   coalesce(ev.sample_reviews, []) AS sample_reviews
 FROM (SELECT category AS label, count(*) AS mentions, round(avg(severity), 2) AS avg_severity FROM scored2 GROUP BY 1) s

@@ -142,3 +142,17 @@ def test_stratified_split_is_exact(spark, buckets):
     tests = {r.label: r.n for r in got.where("split = 'test'").groupBy("label").agg(F.count("*").alias("n")).collect()}
     assert tests == {"a": 27, "b": 13, None: 1}
     assert got.exceptAll(ml.stratified_split(df, "id", "label", 20)).count() == 0
+
+
+def test_triplets_draw_negatives_from_all_other_classes(spark):
+    rows = [(f"text {c} {i}", c) for c, n in (("a", 300), ("b", 40), ("c", 9), ("d", 1)) for i in range(n)]
+    got = ml.triplets(spark.createDataFrame(rows, "review string, category string"), cap=200).collect()
+    own = dict(rows)
+    assert all(own[r.anchor] == own[r.positive] == r.category != own[r.negative] and r.anchor != r.positive for r in got)
+    assert {c: sum(r.category == c for r in got) for c in "abcd"} == {"a": 200, "b": 40, "c": 9, "d": 0}
+    assert {own[r.negative] for r in got if r.category == "a"} == {"b", "c", "d"}
+    assert {r.split for r in got} == {"eval", "train"}
+    ranks = ml.ranked_places(spark.createDataFrame(rows, "t string, c string").withColumn("h", F.md5("t")), "c", "h", "t", 1)
+    places = sorted(r.start + r.rk for r in ranks.collect())
+    assert places == list(range(350))
+    assert ml.triplets(spark.createDataFrame(rows[:300], "review string, category string")).count() == 0  # no other class

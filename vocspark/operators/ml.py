@@ -250,36 +250,47 @@ def label_coverage(labels: DataFrame, taxonomy, label: str = "category") -> Data
     return F.broadcast(tax).join(cnt, label, "left").select(label, F.coalesce("n", F.lit(0)).cast("long").alias("n"))
 
 
+def ranked_places(df: DataFrame, group: str, order_hash: str, tie: str, blocks_hex: int = 3, seed: int = 42) -> DataFrame:
+    """df with rk (0, 1, ... within the group, by a hex hash and a tie-breaker), sz (the group's rows), start
+    (rows of the groups before, in the order of the groups' hashes) and total.
+
+    Gapless, without a whole group in one window: rows are ranked within (group, first hex digits of the
+    hash) only, and counts of these blocks (groups x 16 ** blocks_hex rows at most) give the offsets."""
+    rows = df.withColumn("_block", F.substring(order_hash, 1, blocks_hex))
+    counts = rows.groupBy(group, "_block").agg(F.count(F.lit(1)).alias("_n"))
+    w = W.partitionBy(group).orderBy("_block")
+    counts = counts.withColumn("_before", F.sum("_n").over(w) - F.col("_n")).withColumn("sz", F.sum("_n").over(W.partitionBy(group)))
+    groups = counts.select(group, "sz").distinct()  # a row for each group
+    groups = groups.withColumn("start", F.sum("sz").over(W.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col(group))), group)) - F.col("sz")) \
+        .withColumn("total", F.sum("sz").over(W.partitionBy()))
+    offsets = counts.drop("_n", "sz").join(groups, group)
+    inside = F.row_number().over(W.partitionBy(group, "_block").orderBy(order_hash, tie)) - 1
+    return rows.withColumn("_inside", inside).join(offsets, [group, "_block"]) \
+        .withColumn("rk", F.col("_before") + F.col("_inside")).drop("_block", "_before", "_inside")
+
+
 def triplets(labels: DataFrame, text: str = "review", label: str = "category", cap: int = 500, seed: int = 42,
              eval_pct: int = 10) -> DataFrame:
-    """(anchor, positive, negative, split) by seeded hash ranks — equi-joins only.
-
-    Rows are ranked inside each class by md5(seed || text). The positive of
-    rank r is rank r+1 of the same class (cyclic); the negative is the row at
-    rank (r mod size) of the next class in hashed class order. Classes with one
-    row give no positive. The first `cap` anchors of each class by hash are kept
-    and split eval / train by another hash.
-    """
-    h = F.md5(F.concat(F.lit(str(seed)), F.col(text)))
-    r = labels.select(F.col(text).alias("t"), F.col(label).alias("c"), h.alias("h"))
-    r = r.withColumn("rk", F.row_number().over(W.partitionBy("c").orderBy("h", "t")) - 1) \
-         .withColumn("sz", F.count(F.lit(1)).over(W.partitionBy("c")))
-    cls = r.select("c", "sz").distinct()
-    cls = cls.withColumn("ci", F.row_number().over(W.orderBy(F.md5(F.concat(F.lit(str(seed)), F.col("c"))), "c")) - 1) \
-             .withColumn("nc", F.count(F.lit(1)).over(W.partitionBy()))
-    cls = cls.select("c", "ci", "nc")
-    a = r.filter((F.col("sz") > 1) & (F.col("rk") < cap)).join(F.broadcast(cls), "c")
-    a = a.withColumn("prk", F.pmod(F.col("rk") + 1, F.col("sz"))).withColumn("nci", F.pmod(F.col("ci") + 1, F.col("nc")))
-    pos = r.select(F.col("c").alias("pc"), F.col("rk").alias("prk"), F.col("t").alias("positive"))
-    neg_c = cls.select(F.col("c").alias("ncls"), F.col("ci").alias("nci"))
-    neg = r.select(F.col("c").alias("ncls"), F.col("rk").alias("nrk"), F.col("sz").alias("nsz"), F.col("t").alias("negative"))
-    x = a.join(pos, (a.c == pos.pc) & (a.prk == pos.prk)).join(F.broadcast(neg_c), "nci")
-    negs = neg.select("ncls", "nsz").distinct()
-    x = x.join(F.broadcast(negs), "ncls").withColumn("nrk", F.pmod(F.col("rk"), F.col("nsz")))
-    x = x.join(neg.drop("nsz"), ["ncls", "nrk"]).filter(F.col("nc") > 1)
-    sp = F.conv(F.substring(F.md5(F.concat(F.lit(str(seed + 1)), F.col("t"))), 1, 8), 16, 10).cast("long")
-    return x.select(F.col("t").alias("anchor"), "positive", "negative", F.col("c").alias("category"),
-                    F.when(F.pmod(sp, F.lit(100)) < eval_pct, "eval").otherwise("train").alias("split"))
+    """(anchor, positive, negative, category, split) by seeded hash ranks — equi-joins only.
+
+    Rows have a rank within their class by md5(seed || text), and a place among all rows, class after
+    class. The positive of rank r is rank r + 1 of the same class (cyclic). The negative is drawn, by a
+    hash of the anchor, evenly from all rows of all other classes: a number below total - size, moved
+    past the anchor's own class. Classes with one row give no positive. The first `cap` anchors of each
+    class by hash are kept (the reference's training bound) and split eval / train by another hash."""
+    rows = labels.select(F.col(text).alias("t"), F.col(label).alias("c"), F.md5(F.concat(F.lit(str(seed)), F.col(text))).alias("h"))
+    r = cut_lineage(ranked_places(rows, "c", "h", "t", seed=seed).drop("h"))  # read three times below
+    a = r.filter((F.col("sz") > 1) & (F.col("rk") < cap) & (F.col("total") > F.col("sz")))
+    draw = F.pmod(_hash32(F.col("t"), seed + 2), F.col("total") - F.col("sz"))
+    a = a.withColumn("_d", draw).select(
+        F.col("t").alias("anchor"), F.col("c").alias("category"),
+        (F.col("start") + F.pmod(F.col("rk") + 1, F.col("sz"))).alias("_pos"),
+        F.when(F.col("_d") < F.col("start"), F.col("_d")).otherwise(F.col("_d") + F.col("sz")).alias("_neg"))
+    places = r.select((F.col("start") + F.col("rk")).alias("_place"), "t")
+    x = a.join(places.withColumnRenamed("t", "positive"), F.col("_pos") == F.col("_place")).drop("_place")
+    x = x.join(places.withColumnRenamed("t", "negative"), F.col("_neg") == F.col("_place"))
+    eval_ = F.pmod(_hash32(F.col("anchor"), seed + 1), F.lit(100)) < eval_pct
+    return x.select("anchor", "positive", "negative", "category", F.when(eval_, "eval").otherwise("train").alias("split"))
 
 
 # ---------------------------------------------------------------------------

@@ -85,21 +85,33 @@ def top_per_group(df: DataFrame, by, order, n: int, rank_col: str = "rk") -> Dat
 
 
 def topic_stats(classified: DataFrame, category: str = "category", text: str = "text",
-                samples: int = 15, sample_min_len: int = 40) -> DataFrame:
+                samples: int = 15, sample_min_len: int = 40, vec: str | None = None, anchors: DataFrame | None = None,
+                candidates: int = 20, threshold: float = 0.85) -> DataFrame:
     """A7 + evidence: topic_analysis (topic_id, keywords, label, mentions, avg_severity, sample_reviews).
 
-    sample_reviews is a display column: up to `samples` texts longer than
-    `sample_min_len` characters, most confident first (0 turns the length rule off)."""
+    sample_reviews is a display column: texts longer than `sample_min_len` characters (0 turns the length
+    rule off). Without vectors the `samples` most confident ones. With `vec` and `anchors` (category,
+    centroid) the evidence chain: the `candidates` most confident ones (W11), walked from the one nearest
+    to the label's anchor on (M12), leaving out those within `threshold` of one already taken (M13), up to
+    `samples`; a label without an anchor is walked by confidence."""
     stats = classified.groupBy(F.col(category).alias("label")).agg(
         F.count(F.lit(1)).alias("mentions"),
         F.round(F.avg("severity"), 2).alias("avg_severity"),
     )
-    ev = top_per_group(
-        classified.filter(F.length(F.col(text)) > F.lit(sample_min_len))
-        .select(F.col(category).alias("label"), F.col(text).alias("t"), F.col("confidence")),
-        "label", [F.col("confidence").desc(), F.col("t").asc()], samples)
-    ev = ev.groupBy("label").agg(
-        F.transform(F.array_sort(F.collect_list(F.struct("rk", "t"))), lambda s: s["t"]).alias("sample_reviews"))
+    rows = classified.filter(F.length(F.col(text)) > F.lit(sample_min_len))
+    rows = rows.select(F.col(category).alias("label"), F.col(text).alias("t"), F.col("confidence"), *([vec] if vec else []))
+    order = [F.col("confidence").desc(), F.col("t").asc()]
+    if vec is None or anchors is None:
+        ev = top_per_group(rows, "label", order, samples).groupBy("label").agg(
+            F.transform(F.array_sort(F.collect_list(F.struct("rk", "t"))), lambda s: s["t"]).alias("sample_reviews"))
+    else:
+        from vocspark.functions import vectors as V
+        from vocspark.operators.vectors import greedy_dedup
+        best = top_per_group(rows, "label", order, candidates).drop("rk")  # candidates rows a label
+        best = best.join(anchors.select(F.col(category).alias("label"), F.col("centroid").alias("_anchor")), "label", "left")
+        best = best.withColumn("_align", V.dot(V.normalize(vec), F.col("_anchor")))
+        ev = greedy_dedup(best, "label", [F.col("_align").desc_nulls_last(), *order], vec, "t", samples, threshold, candidates)
+        ev = ev.withColumnRenamed("kept", "sample_reviews")
     return stats.join(ev, "label", "left").select(
         F.col("label").alias("topic_id"), F.col("label").alias("keywords"), "label",
         F.col("mentions").cast("long").alias("mentions"), "avg_severity",

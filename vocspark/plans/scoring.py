@@ -98,12 +98,12 @@ def tables_of_scored(scored: DataFrame, centroids: DataFrame, aspect_keywords=No
     from vocspark.operators.ml import emerging_clusters
     from vocspark.operators.vectors import drift_pairs, silhouette
     from vocspark.plans.dashboard import aspect_counts, threshold_alerts
-    base = scored.select(F.col(text).alias("text"), "category", "date", "severity", "financial_impact", "confidence")
+    base = scored.select(F.col(text).alias("text"), "category", "date", "severity", "financial_impact", "confidence", vec)
     aspects = aspect_counts(scored, text, aspect_keywords)
     out = {
         "review_classifications": classifications(scored, text),
         "topic_timeseries": monthly_rates(base),
-        "topic_analysis": topic_stats(base),
+        "topic_analysis": topic_stats(base, vec=vec, anchors=centroids),
         "aspect_analysis": aspects,
         "semantic_drift": drift_pairs(scored, "category", "date", vec, text),
         "classification_quality": silhouette(scored, "category", vec),
