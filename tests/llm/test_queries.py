@@ -73,6 +73,24 @@ def test_pipeline_stages(spark, corpus, tmp_path):
         assert stage(spark, docs.limit(0), SF).count() == 0
 
 
+ODD = ("n_words", "kept", "removed", "__block", "row", "ids", "extra_0", "copies", "p_good", "a.b")
+
+
+@pytest.mark.parametrize("name", [n for n, _ in corpus_pipeline.STAGES[:-1]])
+def test_stages_leave_further_columns_alone(spark, corpus, name):
+    docs = frame(spark, [(i, t, la, s) for i, t, la, s in corpus], extra=False)
+    odd = docs
+    for i, c in enumerate(ODD):
+        odd = odd.withColumn(c, F.lit(f"mine {i}"))
+    stage = dict(corpus_pipeline.STAGES)[name]
+    out, plain = stage(spark, odd, SF), stage(spark, docs, SF)
+    assert out.columns == odd.columns
+    rows = [r.asDict() for r in out.collect()]
+    assert rows and all(r[c] == f"mine {i}" for r in rows for i, c in enumerate(ODD))
+    key = lambda r: (str(r["doc_id"]), str(r["text"]))
+    assert sorted(map(key, rows)) == sorted(map(key, plain.collect()))
+
+
 def test_pipeline_runs(spark):
     out = corpus_pipeline.run(spark, SF)
     assert out.count() > 50 and out.select("doc_id").distinct().count() <= 200
