@@ -1203,6 +1203,33 @@ best AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER B
 pred AS (SELECT category, cc AS predicted FROM best)""" + metrics_body("pred", "category", "predicted")
 
 
+def model_comparison_sql(rounds: int = 100) -> str:
+    from vocspark.operators.ml import POISSON_1
+    u = "CAST('0x' || substr(md5('42' || concat_ws(':', round, k)), 1, 8) AS BIGINT) / 4294967296.0::DOUBLE"
+    weight = " + ".join(f"CASE WHEN u >= {p!r}::DOUBLE THEN 1 ELSE 0 END" for p in POISSON_1)
+    best = lambda name, cents: f"""{name} AS (SELECT vec_id, cc FROM (
+  SELECT te.vec_id, c.category AS cc, row_number() OVER (PARTITION BY te.vec_id ORDER BY list_dot_product(te.u, c.centroid) DESC, c.category) AS r
+  FROM te CROSS JOIN {cents} c) x WHERE r = 1)"""
+    return "WITH " + ",\n".join([
+        fx_vectors_cte(),
+        f"sp AS (SELECT *, CASE WHEN {_hash_pct('vec_id', 42)} < 20 THEN 'test' ELSE 'train' END AS split FROM fx_vectors)",
+        "tr AS (SELECT * FROM sp WHERE split = 'train')",
+        "fi AS (SELECT category, arg_min(embedding, vec_id) AS embedding FROM tr GROUP BY 1)",
+        centroids_cte("tr", "category", "embedding"), centroids_cte("fi", "category", "embedding", "firsts"),
+        f"te AS (SELECT vec_id, category, {_norm_sql('embedding')} AS u FROM sp WHERE split = 'test')",
+        best("pa", "firsts"), best("pb", "cents")]) + f"""
+, rows AS (SELECT te.vec_id::VARCHAR AS k, CAST(te.category = pa.cc AS INTEGER) AS a, CAST(te.category = pb.cc AS INTEGER) AS b
+  FROM te JOIN pa USING (vec_id) JOIN pb USING (vec_id)),
+draws AS (SELECT *, {u} AS u FROM rows CROSS JOIN range(1, {rounds} + 1) t(round)),
+weighed AS (SELECT round, a, b, {weight} AS w FROM draws),
+per AS (SELECT round, sum(w * (b - a)) / sum(w) AS d FROM weighed GROUP BY round HAVING sum(w) > 0),
+sorted AS (SELECT list(d ORDER BY d) AS d FROM per),
+whole AS (SELECT count(*) AS n, round(sum(a) / count(*), 4) AS baseline, round(sum(b) / count(*), 4) AS candidate,
+  round((sum(b) - sum(a)) / count(*), 4) AS delta, count(*) FILTER (b > a) AS better, count(*) FILTER (b < a) AS worse FROM rows)
+SELECT whole.*, round(d[greatest(ceil(len(d) * 0.025), 1)::INTEGER], 4) AS delta_low,
+  round(d[greatest(ceil(len(d) * 0.975), 1)::INTEGER], 4) AS delta_high FROM whole, sorted"""
+
+
 def bootstrap_cte(cap: int | None = 300) -> str:
     return f"""boot AS (
   SELECT text AS review, category FROM (
@@ -1525,6 +1552,7 @@ def all_sql() -> dict[str, str]:
         "executive_summary_6m": executive_summary_sql(6),
         "triplets": triplets_sql(),
         "eval_centroids": eval_centroids_sql(),
+        "model_comparison": model_comparison_sql(),
         "stream_daily_counts": stream_daily_sql(),
         "stream_weekly_counts": stream_weekly_sql(),
         "stream_ticker": stream_ticker_sql(),

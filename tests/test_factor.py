@@ -156,3 +156,17 @@ def test_triplets_draw_negatives_from_all_other_classes(spark):
     places = sorted(r.start + r.rk for r in ranks.collect())
     assert places == list(range(350))
     assert ml.triplets(spark.createDataFrame(rows[:300], "review string, category string")).count() == 0  # no other class
+
+
+def test_compare_models(spark):
+    rows = [(i, "x", "x" if i % 2 else "y", "x" if i % 10 else "y") for i in range(400)]
+    df = spark.createDataFrame(rows, "id int, t string, a string, b string")
+    got = ml.compare_models(df, "id", "t", "a", "b").collect()
+    assert len(got) == 1
+    r = got[0]
+    assert (r.n, r.baseline, r.candidate, r.delta, r.better, r.worse) == (400, 0.5, 0.9, 0.4, 160, 0)
+    assert 0.33 < r.delta_low < 0.4 < r.delta_high < 0.47
+    assert ml.compare_models(df.repartition(7), "id", "t", "a", "b").collect() == got
+    same = ml.compare_models(df, "id", "t", "a", "a").first()
+    assert (same.delta, same.delta_low, same.delta_high) == (0.0, 0.0, 0.0)
+    assert abs(sum(k * (p - q) for k, (p, q) in enumerate(zip(ml.POISSON_1, [0, *ml.POISSON_1]))) - 1) < 1e-4

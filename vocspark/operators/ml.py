@@ -169,6 +169,36 @@ def classification_metrics(df: DataFrame, y_true: str, y_pred: str, digits: int
                       F.round("f1", digits).alias("f1"), F.col("support").cast("long").alias("support"))
 
 
+#: Cumulative probabilities of a Poisson(1) draw of 0, 1, ... (the weight of a row in a bootstrap round).
+POISSON_1 = [sum(math.exp(-1) / math.factorial(i) for i in range(k + 1)) for k in range(9)]
+
+
+def compare_models(df: DataFrame, key: str, y_true: str, baseline: str, candidate: str, rounds: int = 100,
+                   seed: int = 42, digits: int = 4) -> DataFrame:
+    """Accuracy of two models on the same rows, their difference, and its bootstrap interval (2.5 and
+    97.5 %). Output: one row (n, baseline, candidate, delta, delta_low, delta_high, better, worse).
+
+    Rows that both models get right or both get wrong add only to the denominator. A round weighs each
+    row by a Poisson(1) draw from a hash of seed, round and key, the same on any layout; rounds x rows
+    draws are added up inside the tasks, and `rounds` rows leave them."""
+    right = [(F.col(y_true) == F.col(c)).cast("int") for c in (baseline, candidate)]
+    rows = df.select(F.col(key).cast("string").alias("k"), F.coalesce(right[0], F.lit(0)).alias("a"), F.coalesce(right[1], F.lit(0)).alias("b"))
+    draws = rows.withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
+    u = _hash32(F.concat_ws(":", F.col("round").cast("string"), "k"), seed) / F.lit(2.0 ** 32)
+    weight = sum((F.when(u >= F.lit(p), 1).otherwise(0) for p in POISSON_1), F.lit(0))
+    draws = draws.withColumn("w", weight)
+    per = draws.groupBy("round").agg(F.sum(F.col("w") * (F.col("b") - F.col("a"))).alias("s"), F.sum("w").alias("n"))
+    deltas = per.where("n > 0").select((F.col("s") / F.col("n")).alias("d"))  # a row for each round
+    spread_ = deltas.agg(F.sort_array(F.collect_list("d")).alias("d"))
+    at = lambda share: F.element_at("d", F.greatest(F.ceil(F.size("d") * share), F.lit(1)).cast("int"))
+    bounds = spread_.select(F.round(at(0.025), digits).alias("delta_low"), F.round(at(0.975), digits).alias("delta_high"))
+    n, a, b = F.count(F.lit(1)), F.sum("a"), F.sum("b")
+    whole = rows.agg(n.alias("n"), F.round(a / F.greatest(n, F.lit(1)), digits).alias("baseline"), F.round(b / F.greatest(n, F.lit(1)), digits).alias("candidate"),
+                     F.round((b - a) / F.greatest(n, F.lit(1)), digits).alias("delta"),
+                     F.count_if(F.col("b") > F.col("a")).alias("better"), F.count_if(F.col("b") < F.col("a")).alias("worse"))
+    return whole.withColumn("delta_low", bounds.select("delta_low").scalar()).withColumn("delta_high", bounds.select("delta_high").scalar())
+
+
 # ---------------------------------------------------------------------------
 # Topics (M5–M7)
 # ---------------------------------------------------------------------------

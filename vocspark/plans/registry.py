@@ -295,6 +295,21 @@ def _eval_centroids(spark, sf):
     return ML.classification_metrics(pred, "category", "predicted")
 
 
+def _model_comparison(spark, sf):
+    """Centroids of a class's plain mean vector (candidate) against its first training vector
+    (baseline), on the held-out fifth."""
+    from vocspark.operators import ml as ML
+    from vocspark.operators.vectors import centroids, classify
+    v = ML.hash_split(FX.fx_vectors(spark, sf), "vec_id", 20, 42)
+    train, test = v.filter(F.col("split") == "train"), v.filter(F.col("split") == "test")
+    first = train.groupBy("category").agg(F.min_by("embedding", "vec_id").alias("embedding"))
+    base = classify(test, "embedding", centroids(first, "category", "embedding"), threshold=-2.0)
+    cand = classify(test, "embedding", centroids(train, "category", "embedding"), threshold=-2.0)
+    both = base.select("vec_id", "category", F.col("predicted").alias("baseline")).join(
+        cand.select("vec_id", F.col("predicted").alias("candidate")), "vec_id")
+    return ML.compare_models(both, "vec_id", "category", "baseline", "candidate")
+
+
 def _emerging(spark, sf):
     """Soft clusters of the low-confidence pool (documents whose best centroid cosine < 0.30),
     fitted once and written; the summary and the watch list read them."""
@@ -594,6 +609,7 @@ QUERIES = {
     "label_coverage": _label_coverage,
     "triplets": _triplets,
     "eval_centroids": _eval_centroids,
+    "model_comparison": _model_comparison,
     "emerging_clusters": _emerging,
     "stream_daily_counts": _stream("daily"),
     "stream_weekly_counts": _stream("weekly"),
