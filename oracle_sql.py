@@ -1389,6 +1389,73 @@ r AS (SELECT *, row_number() OVER (ORDER BY a DESC, category) AS rank FROM g)
 SELECT category, round(au / 100, 0) / 100 AS score, coalesce(terms, 'stable') AS terms, rank FROM r WHERE rank <= {top}"""
 
 
+def _strip_sql(t: str) -> str:
+    for pattern, to in ((r"\*\*(.*?)\*\*", r"\1"), (r"\*(.*?)\*", r"\1"), (r"(?m)^>\s?", ""), (r"(?m)^-\s?", ""), (r"\s{2,}", " ")):
+        t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
+    return f"trim({t})"
+
+
+def summary_fields_sql() -> str:
+    part = lambda cond: f"list_filter(s, lambda p: {cond})[1]"
+    plain = lambda p: _strip_sql(f"coalesce(array_to_string({p}.lines, ' '), '')")
+    line = lambda start: f"list_filter(health, lambda t: starts_with(t, '{start}'))[1]"
+    heading = _strip_sql(r"regexp_replace(trim(x[1]), '^###\s*', '')")
+    return rf"""WITH es AS ({executive_summary_sql(0)}),
+parts AS (SELECT list_transform(string_split_regex(summary, '\n-{{3,}}\n'),
+  lambda p: list_filter(string_split(p, chr(10)), lambda x: trim(x) <> '')) AS ps FROM es),
+secs AS (SELECT list_transform(list_filter(ps, lambda x: len(x) > 0), lambda x: struct_pack(heading := {heading}, lines := x[2:])) AS s FROM parts),
+pick AS (SELECT coalesce({part("starts_with(p.heading, 'Primary Focus')")}, s[1]) AS f, {part("p.heading = 'Suggested Action'")} AS a,
+  {part("p.heading = 'General App Health'")} AS h, {part("p.heading = 'What Customers are Saying'")} AS v FROM secs),
+st AS (SELECT *, coalesce(list_transform(h.lines, lambda x: {_strip_sql("x")}), []) AS health,
+  trim(regexp_replace(f.heading, '^[^:]*:', '')) AS topic, {plain("v")} AS quote FROM pick)
+SELECT CASE WHEN coalesce(topic, '') = '' THEN 'Executive Focus' ELSE topic END AS focus_topic,
+  regexp_replace({plain("f")}, '(?i)^Current Situation:\s*', '') AS focus_summary,
+  regexp_replace({plain("a")}, '(?i)^(Action|Urgent|Standard):\s*', '') AS action_summary,
+  coalesce({line("Status:")}, 'Status: Monitoring is active.') AS status_line, coalesce({line("Watch Out:")}, '') AS watch_line,
+  list_filter(health, lambda t: NOT (starts_with(t, 'Status:') OR starts_with(t, 'Category Performance:') OR starts_with(t, 'Watch Out:')))[1:3] AS category_lines,
+  CASE WHEN quote = '' THEN 'No representative customer quote was available.' ELSE quote END AS voice_quote
+FROM st"""
+
+
+def display_texts_sql() -> str:
+    plain = "''''" + '""--'  # two quotes (doubled in SQL), two double quotes, two dashes
+    return rf"""SELECT doc_id,
+  regexp_replace(replace(translate(text, '‘’“”–—', '{plain}'), '…', '...'), '[^\x{{00}}-\x{{ff}}]', '', 'g') AS report_text,
+  regexp_replace(CASE WHEN length(t) > 180 THEN substr(t, 1, 177) || '...' ELSE t END, '(?i)(thou|thing)', '<mark>\1</mark>', 'g') AS marked
+FROM (SELECT doc_id, text, replace(text, chr(10), ' ') AS t FROM documents)"""
+
+
+def source_lists_sql() -> str:
+    return "SELECT doc_id, CASE WHEN lang IS NOT NULL AND source IS NOT NULL THEN [lang, source] END AS items FROM documents"
+
+
+def alert_texts_sql() -> str:
+    return rf"""WITH al AS ({report_alerts_sql(0)}),
+x AS (SELECT category, rank, message, regexp_extract(message, '([+-]?[0-9]+(?:\.[0-9]+)?)%', 1) AS pct,
+  regexp_extract(message, 'Limit: ([0-9]+(?:\.[0-9]+)?)', 1) AS lim FROM al)
+SELECT category, rank, CASE WHEN lim <> '' THEN 'Running above its normal range (limit ' || lim || ')'
+  WHEN pct <> '' THEN 'Mentions changed by ' || pct || '% versus the previous period' ELSE message END AS text FROM x"""
+
+
+def significant_issues_sql() -> str:
+    return f"""WITH tp AS ({topic_stats_sql()}),
+x AS (SELECT label, mentions FROM tp WHERE mentions >= 0.02 * (SELECT max(mentions) FROM tp)),
+r AS (SELECT *, row_number() OVER (ORDER BY mentions DESC, label) AS rank FROM x)
+SELECT * FROM r WHERE rank <= 10"""
+
+
+def drift_bands_sql() -> str:
+    return f"""SELECT category, score, round(least(score * 420, 100.0), 4) AS intensity,
+  CASE WHEN score > 0.18 THEN 'Shifting' WHEN score > 0.14 THEN 'Evolving' ELSE 'Stable' END AS state, rank
+FROM ({drift_watchlist_sql()})"""
+
+
+def stability_band_sql() -> str:
+    return f"""SELECT latest_month, volatility_count, greatest(0, 100 - 20 * volatility_count) AS index,
+  CASE WHEN 100 - 20 * volatility_count > 90 THEN 'Stable' WHEN 100 - 20 * volatility_count > 70 THEN 'Watch' ELSE 'Volatile' END AS band
+FROM ({report_stability_sql()})"""
+
+
 def trend_tags_sql() -> str:
     return f"""WITH tl AS ({trending_sql(0)}),
 a AS (SELECT * FROM tl WHERE NOT is_forecast),
@@ -1573,6 +1640,13 @@ def all_sql() -> dict[str, str]:
         "ingest_quality": score_batch_quality_sql(),
         "ingest_alerts": threshold_alerts_sql(),
         "preprocess_training": preprocess_training_sql(),
+        "summary_fields": summary_fields_sql(),
+        "display_texts": display_texts_sql(),
+        "source_lists": source_lists_sql(),
+        "alert_texts": alert_texts_sql(),
+        "significant_issues": significant_issues_sql(),
+        "drift_bands": drift_bands_sql(),
+        "stability_band": stability_band_sql(),
         "drift_watchlist": drift_watchlist_sql(),
         "trend_tags": trend_tags_sql(),
     }

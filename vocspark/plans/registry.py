@@ -443,6 +443,53 @@ def _summary(n):
     return q
 
 
+def _summary_fields(spark, sf):
+    """F32: the executive summary's text read back into fields."""
+    from vocspark.plans.summary import summary_fields
+    return summary_fields(_summary(0)(spark, sf))
+
+
+def _display_texts(spark, sf):
+    """F31 + F33 + F41: every document's text in the report's character set, and as a snippet with marks."""
+    from vocspark.functions import text as T
+    from vocspark.plans.summary import highlight
+    return _docs(spark, sf).select("doc_id", T.ascii_normalise("text").alias("report_text"),
+                                   highlight(T.snippet("text", 180), ["thou", "thing", "an"]).alias("marked"))
+
+
+def _source_lists(spark, sf):
+    """lists that arrive as text, here written from the documents' columns, read back."""
+    from vocspark.functions import text as T
+    written = F.concat(F.lit("['"), F.col("lang"), F.lit("', \""), F.col("source"), F.lit("\", '']"))
+    return _docs(spark, sf).select("doc_id", T.parse_list_literal(written).alias("items"))
+
+
+def _alert_texts(spark, sf):
+    """the report's alerts in short sentences."""
+    from vocspark.plans.summary import humanise_alert
+    return R.report_alerts(_ts(spark, sf), 0).select("category", "rank", humanise_alert(F.col("message")).alias("text"))
+
+
+def _significant_issues(spark, sf):
+    """Issues of at least 2 % of the largest one's mentions, at most ten."""
+    from vocspark.plans.summary import relative_cutoff
+    return relative_cutoff(_topics(spark, sf).select("label", "mentions"), "mentions", "label")
+
+
+def _drift_bands(spark, sf):
+    """intensity and state of each category on the drift watch list."""
+    from vocspark.plans.summary import drift_state
+    d = _drift_watchlist(spark, sf).withColumn("b", drift_state(F.col("score")))
+    return d.select("category", "score", F.round("b.intensity", 4).alias("intensity"), "b.state", "rank")
+
+
+def _stability_band(spark, sf):
+    """the stability index and its band, from the report's volatile months."""
+    from vocspark.plans.summary import stability_index
+    s = R.report_stability(_topics(spark, sf), _ts(spark, sf), 0).withColumn("b", stability_index(F.col("volatility_count")))
+    return s.select("latest_month", "volatility_count", F.col("b.index").cast("long").alias("index"), "b.band")
+
+
 def _drift_watchlist(spark, sf):
     from vocspark.plans.summary import drift_watchlist
     return drift_watchlist(_drift(spark, sf), 0)
@@ -635,6 +682,13 @@ QUERIES = {
     "preprocess_training": _preprocess,
     "executive_summary": _summary(0),
     "executive_summary_6m": _summary(6),
+    "summary_fields": _summary_fields,
+    "display_texts": _display_texts,
+    "source_lists": _source_lists,
+    "alert_texts": _alert_texts,
+    "significant_issues": _significant_issues,
+    "drift_bands": _drift_bands,
+    "stability_band": _stability_band,
     "drift_watchlist": _drift_watchlist,
     "emerging_watchlist": _emerging_watchlist,
     "emerging_issues": _emerging_summary,

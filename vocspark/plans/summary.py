@@ -265,3 +265,55 @@ def stability_index(volatile_months: Column) -> Column:
     """max(0, 100 - 20 k) with bands > 90 Stable, > 70 Watch, else Volatile."""
     v = F.greatest(F.lit(0), F.lit(100) - F.lit(20) * volatile_months)
     return F.struct(v.alias("index"), F.when(v > 90, "Stable").when(v > 70, "Watch").otherwise("Volatile").alias("band"))
+
+
+# ---------------------------------------------------------------------------
+# Reading a summary back (F32)
+# ---------------------------------------------------------------------------
+
+def strip_markdown(text: Column) -> Column:
+    """F32: bold, italics, quote marks and bullets off; runs of white space become one space."""
+    t = F.coalesce(text, F.lit(""))
+    for pattern, to in ((r"\*\*(.*?)\*\*", "$1"), (r"\*(.*?)\*", "$1"), (r"(?m)^>\s?", ""), (r"(?m)^-\s?", ""), (r"\s{2,}", " ")):
+        t = F.regexp_replace(t, pattern, to)
+    return F.trim(t)
+
+
+def summary_sections(text: Column) -> Column:
+    """F32: the parts between rules of dashes as ARRAY<STRUCT<heading, lines>>; blank lines go."""
+    parts = F.transform(F.split(F.coalesce(text, F.lit("")), "\n-{3,}\n"),
+                        lambda p: F.filter(F.split(p, "\n"), lambda line: F.trim(line) != ""))
+    return F.transform(F.filter(parts, lambda lines: F.size(lines) > 0), lambda lines: F.struct(
+        strip_markdown(F.regexp_replace(F.trim(lines[0]), r"^###\s*", "")).alias("heading"),
+        F.slice(lines, F.lit(2), F.size(lines)).alias("lines")))
+
+
+def summary_fields(df: DataFrame, text: str = "summary") -> DataFrame:
+    """F32: focus_topic, focus_summary, action_summary, status_line, watch_line, category_lines (at most
+    three) and voice_quote of each summary, with the defaults of a report that lacks them."""
+    x = df.select(summary_sections(F.col(text)).alias("s"))
+
+    def part(name: str) -> Column:
+        return F.try_element_at(F.filter("s", lambda p: p["heading"] == F.lit(name)), F.lit(1))
+
+    focus = F.coalesce(F.try_element_at(F.filter("s", lambda p: p["heading"].startswith("Primary Focus")), F.lit(1)),
+                       F.try_element_at("s", F.lit(1)))
+    x = x.select(focus.alias("f"), part("Suggested Action").alias("a"), part("General App Health").alias("h"),
+                 part("What Customers are Saying").alias("v"))
+    plain = lambda p: strip_markdown(F.array_join(F.col(p)["lines"], " "))
+    x = x.withColumn("health", F.coalesce(F.transform(F.col("h")["lines"], strip_markdown), F.array().cast("array<string>")))
+
+    def line(start: str) -> Column:
+        return F.try_element_at(F.filter("health", lambda t: t.startswith(start)), F.lit(1))
+
+    topic = F.trim(F.regexp_replace(F.col("f")["heading"], r"^[^:]*:", ""))
+    rest = F.filter("health", lambda t: ~(t.startswith("Status:") | t.startswith("Category Performance:") | t.startswith("Watch Out:")))
+    quote = plain("v")
+    return x.select(
+        F.when(F.coalesce(topic, F.lit("")) == "", "Executive Focus").otherwise(topic).alias("focus_topic"),
+        F.regexp_replace(plain("f"), r"(?i)^Current Situation:\s*", "").alias("focus_summary"),
+        F.regexp_replace(plain("a"), r"(?i)^(Action|Urgent|Standard):\s*", "").alias("action_summary"),
+        F.coalesce(line("Status:"), F.lit("Status: Monitoring is active.")).alias("status_line"),
+        F.coalesce(line("Watch Out:"), F.lit("")).alias("watch_line"),
+        F.slice(rest, 1, 3).alias("category_lines"),
+        F.when(quote == "", "No representative customer quote was available.").otherwise(quote).alias("voice_quote"))
