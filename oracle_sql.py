@@ -1331,7 +1331,7 @@ def score_batch_timeseries_sql() -> str:
 def score_batch_classifications_sql() -> str:
     return "WITH " + ",\n".join(score_batch_ctes()) + """
 SELECT text, category, date, severity, value_weight, financial_impact, round(confidence, 4) AS confidence, app_version, upvotes
-FROM scored2 WHERE length(text) > 20"""
+FROM scored2"""
 
 
 def score_batch_quality_sql() -> str:
@@ -1389,6 +1389,21 @@ r AS (SELECT *, row_number() OVER (ORDER BY a DESC, category) AS rank FROM g)
 SELECT category, round(au / 100, 0) / 100 AS score, coalesce(terms, 'stable') AS terms, rank FROM r WHERE rank <= {top}"""
 
 
+def topic_rates_by_label_sql() -> str:
+    cases = " ".join(f"WHEN category = '{t}' THEN '{n}'" for t, n in _fx().FX_TOPIC_LABELS.items())
+    return "WITH " + ",\n".join(base_ctes()) + f"""
+, c AS (SELECT * FROM fx_classified WHERE date IS NOT NULL AND date <> ''),
+mn AS (SELECT category AS topic_id, CASE {cases} ELSE category END AS issue_label, date AS month, count(*) AS mentions FROM c GROUP BY 1, 2, 3),
+st AS (SELECT category, date AS month, sum(severity) AS sev_sum, CAST(sum(CAST(financial_impact AS DECIMAL(18,2))) AS DOUBLE) AS impact_sum
+  FROM c WHERE severity >= 4.5 GROUP BY 1, 2),
+j AS (SELECT mn.*, sum(mentions) OVER (PARTITION BY mn.month) AS total,
+    coalesce(l.sev_sum, t.sev_sum, mentions * 2.0) AS sev, coalesce(l.impact_sum, t.impact_sum, CAST(mentions * 2.0 AS DOUBLE)) AS imp
+  FROM mn LEFT JOIN st l ON l.category = mn.issue_label AND l.month = mn.month LEFT JOIN st t ON t.category = mn.topic_id AND t.month = mn.month)
+SELECT topic_id, issue_label, month, CAST(mentions AS BIGINT) AS mentions, round(mentions / greatest(total, 1) * 1000, 2) AS normalized_rate,
+  round(sev / greatest(total, 1) * 1000, 2) AS severity_weighted_rate, round(imp / greatest(total, 1) * 1000, 2) AS revenue_risk_score,
+  CAST(total AS BIGINT) AS total_reviews_in_month FROM j"""
+
+
 def _strip_sql(t: str) -> str:
     for pattern, to in ((r"\*\*(.*?)\*\*", r"\1"), (r"\*(.*?)\*", r"\1"), (r"(?m)^>\s?", ""), (r"(?m)^-\s?", ""), (r"\s{2,}", " ")):
         t = f"regexp_replace({t}, '{pattern}', '{to}', 'g')"
@@ -1640,6 +1655,7 @@ def all_sql() -> dict[str, str]:
         "ingest_quality": score_batch_quality_sql(),
         "ingest_alerts": threshold_alerts_sql(),
         "preprocess_training": preprocess_training_sql(),
+        "topic_rates_by_label": topic_rates_by_label_sql(),
         "summary_fields": summary_fields_sql(),
         "display_texts": display_texts_sql(),
         "source_lists": source_lists_sql(),

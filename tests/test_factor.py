@@ -170,3 +170,14 @@ def test_compare_models(spark):
     same = ml.compare_models(df, "id", "t", "a", "a").first()
     assert (same.delta, same.delta_low, same.delta_high) == (0.0, 0.0, 0.0)
     assert abs(sum(k * (p - q) for k, (p, q) in enumerate(zip(ml.POISSON_1, [0, *ml.POISSON_1]))) - 1) < 1e-4
+
+
+def test_keyed_rates_by_label_then_topic_then_default(spark):
+    from vocspark.operators.series import keyed_rates
+    mentions = spark.createDataFrame([("t1", "L", "2001-01", 4), ("t2", "L", "2001-01", 6), ("t3", "M", "2001-01", 10), ("t4", "N", "2001-01", 5)],
+                                     "topic_id string, issue_label string, month string, mentions long")
+    stats = spark.createDataFrame([("L", "2001-01", 50.0, 100.0), ("t3", "2001-01", 20.0, 40.0), ("t1", "2001-01", 1.0, 1.0), ("N", "2001-02", 9.0, 9.0)],
+                                  "category string, month string, sev_sum double, impact_sum double")
+    got = {r.topic_id: (r.severity_weighted_rate, r.revenue_risk_score, r.total_reviews_in_month) for r in keyed_rates(mentions, stats).collect()}
+    assert got == {"t1": (2000.0, 4000.0, 25), "t2": (2000.0, 4000.0, 25),  # the label's, though t1 has its own
+                   "t3": (800.0, 1600.0, 25), "t4": (400.0, 400.0, 25)}

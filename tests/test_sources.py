@@ -76,3 +76,21 @@ def test_alert_registry_roundtrip(spark):
     back = TB.read_alerts(spark, d).collect()
     assert len(back) == 1 and back[0].category == "Pricing"
     assert TB.read_alerts(spark, d + "-missing").count() == 0
+
+
+def test_labelled_rows_are_checked(spark):
+    rows = [("a text", "x")] * 3 + [("b text", "y")] * 2 + [("c text", "z")]
+    df = spark.createDataFrame(rows, "text string, label string")
+    assert TB.load_labeled(df, min_rows=5).count() == 5
+    with pytest.raises(ValueError, match="6 labelled rows, got 5"):
+        TB.load_labeled(df, min_rows=6)
+    with pytest.raises(ValueError, match="3 classes"):
+        TB.load_labeled(df, min_classes=3)
+
+
+def test_empty_first_table_is_skipped_by_the_report(spark, tmp_path):
+    base = str(tmp_path)
+    TB.write_table(spark.createDataFrame([], "content string"), base, "uploaded_reviews")
+    TB.write_table(spark.createDataFrame([("t",)], "content string"), base, "cleaned_reviews")
+    assert TB.load_reviews(spark, base).count() == 0
+    assert TB.load_reviews(spark, base, skip_empty=True).count() == 1

@@ -168,6 +168,21 @@ TITLE_STOP_WORDS = [
     "amazing", "super", "useful", "best", "worst", "better", "quality",
 ]
 
+# Message texts of alerts, report and summary.
+TEXT_DOMINANCE = "Dominant Volume: Accounting for %.1f%% of all feedback."
+TEXT_ANOMALY_LIMIT = "Statistically out-of-control (Limit: %.1f)"
+TEXT_SPIKE = "MoM spike of +"
+TEXT_VERSUS = "% mentions vs previous {n}M ("
+TEXT_REPORT_ANOMALY_SPIKE = ("Statistically out-of-control with a +", "% MoM spike.")
+TEXT_REPORT_ANOMALY = "Statistically out-of-control versus baseline."
+TEXT_REPORT_INCREASE = ("Mentions increased by about ", "% compared with the previous window.")
+TEXT_VOLATILE = "High volatility detected"
+TEXT_STABLE = "Stable emotional range"
+ACTION_URGENT = "Urgent: Assign a team to fix this quickly to avoid losing money."
+ACTION_SPIKE = "Action: Check recent app updates to see what caused this sudden spike."
+ACTION_CRASH = "Action: Check technical logs and consider rolling back the last update."
+ACTION_STANDARD = "Standard: Keep an eye on this trend and plan a fix in the next roadmap."
+
 # Thresholds.
 CONFIDENCE_THRESHOLD = 0.30
 LABEL_THRESHOLD = 0.15

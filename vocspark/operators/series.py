@@ -72,6 +72,26 @@ def monthly_rates(classified: DataFrame, category: str = "category", month: str
     )
 
 
+def keyed_rates(mentions: DataFrame, stats: DataFrame, default: float = 2.0) -> DataFrame:
+    """topic_timeseries where a topic's id and its issue label differ, and several topics may share a label.
+
+    mentions: (topic_id, issue_label, month, mentions); stats: (category, month, sev_sum, impact_sum). A
+    row takes the sums under its label, else those under its topic id, else `default` for each mention.
+    Both are equi-joins of tables with a row for each (topic, month)."""
+    by_label = stats.select(F.col("category").alias("issue_label"), "month", F.struct("sev_sum", "impact_sum").alias("_l"))
+    by_topic = stats.select(F.col("category").alias("topic_id"), "month", F.struct("sev_sum", "impact_sum").alias("_t"))
+    j = mentions.join(by_label, ["issue_label", "month"], "left").join(by_topic, ["topic_id", "month"], "left")
+    flat = F.struct((F.col("mentions") * F.lit(default)).alias("sev_sum"), (F.col("mentions") * F.lit(default)).alias("impact_sum"))
+    j = j.withColumn("total_reviews_in_month", F.sum("mentions").over(W.partitionBy("month")))
+    pick = lambda c: F.coalesce(F.col("_l")[c].cast("double"), F.col("_t")[c].cast("double"), flat[c])
+    return j.select(
+        "topic_id", "issue_label", "month", F.col("mentions").cast("long").alias("mentions"),
+        rate_per_1000(F.col("mentions"), F.col("total_reviews_in_month")).alias("normalized_rate"),
+        rate_per_1000(pick("sev_sum"), F.col("total_reviews_in_month")).alias("severity_weighted_rate"),
+        rate_per_1000(pick("impact_sum"), F.col("total_reviews_in_month")).alias("revenue_risk_score"),
+        F.col("total_reviews_in_month").cast("long").alias("total_reviews_in_month"))
+
+
 def top_per_group(df: DataFrame, by, order, n: int, rank_col: str = "rk") -> DataFrame:
     """First n rows per group by an explicit total order.
 

@@ -319,7 +319,7 @@ def velocity_alerts(ts: DataFrame, limit_months: int = 3) -> DataFrame:
     t = t.withColumn("severity", sev).filter(F.col("severity").isNotNull())
     sign = F.when(F.col("velocity_pct") > 0, F.lit("+")).otherwise(F.lit(""))
     msg = F.concat(F.lit("\U0001F534 "), F.col("topic_id"), F.lit(": "), sign, S.pct_text(F.col("velocity_pct")),
-                   F.lit(f"% mentions vs previous {n}M ("), F.col("p").cast("string"), F.lit(" → "),
+                   F.lit(C.TEXT_VERSUS.format(n=n)), F.col("p").cast("string"), F.lit(" → "),
                    F.col("c").cast("string"), F.lit(")"))
     out = t.select(
         F.concat(F.lit("vel-"), _slug(F.col("topic_id"), 20)).alias("id"),
@@ -340,7 +340,7 @@ def _aspect_dominance(aspect_analysis: DataFrame, cut: float = C.SHARE_ALERT_PCT
     return x.select(
         F.concat(F.lit("asp-"), F.substring(F.lower(F.col("aspect")), 1, 15)).alias("id"),
         F.col("aspect").alias("category"), F.lit("ASPECT_DOMINANCE").alias("type"), F.lit("HIGH").alias("severity"),
-        F.format_string("Dominant Volume: Accounting for %.1f%% of all feedback.", F.col("pct")).alias("message"),
+        F.format_string(C.TEXT_DOMINANCE, F.col("pct")).alias("message"),
         F.lit(0.0).alias("velocity_pct"), F.lit(False).alias("is_anomaly"),
         F.lit(None).cast("string").alias("linked_to"), F.lit(None).cast("double").alias("link_score"),
         F.lit(0).alias("_src"), ordc.alias("_ord"), F.lit(None).cast("string").alias("_key"))
@@ -383,9 +383,9 @@ def intelligence_alerts(ts: DataFrame, aspect_analysis: DataFrame | None, limit_
     sev = F.when(F.col("is_anomaly") & (F.col("velocity_pct") > 40), "CRITICAL") \
            .when(F.col("is_anomaly") | (F.col("velocity_pct") > 25), "HIGH").otherwise("WATCH")
     msg = F.concat_ws(" | ",
-                      F.when(F.col("is_anomaly"), F.format_string("Statistically out-of-control (Limit: %.1f)",
+                      F.when(F.col("is_anomaly"), F.format_string(C.TEXT_ANOMALY_LIMIT,
                                                                    F.col("threshold"))),
-                      F.when(F.col("velocity_pct") > 10, F.concat(F.lit("MoM spike of +"), vel_txt, F.lit("%"))))
+                      F.when(F.col("velocity_pct") > 10, F.concat(F.lit(C.TEXT_SPIKE), vel_txt, F.lit("%"))))
     topics_out = a.select(
         F.concat(F.lit("int-"), _slug(F.col("topic_id"), 15)).alias("id"),
         F.col("topic_id").alias("category"),

@@ -443,6 +443,20 @@ def _summary(n):
     return q
 
 
+def _topic_rates_by_label(spark, sf):
+    """Topics under shared labels; statistics of the severe reviews by label, else by topic."""
+    from vocspark.operators.series import keyed_rates
+    c = FX.classified_table(spark, sf).filter(F.col("date").isNotNull() & (F.col("date") != ""))
+    label = F.col("category")
+    for topic, name in FX.FX_TOPIC_LABELS.items():
+        label = F.when(F.col("category") == topic, F.lit(name)).otherwise(label)
+    mentions = c.groupBy(F.col("category").alias("topic_id"), label.alias("issue_label"), F.col("date").alias("month")).agg(
+        F.count(F.lit(1)).alias("mentions"))
+    stats = c.filter(F.col("severity") >= 4.5).groupBy("category", F.col("date").alias("month")).agg(
+        F.sum("severity").alias("sev_sum"), F.sum(F.col("financial_impact").cast("decimal(18,2)")).alias("impact_sum"))
+    return keyed_rates(mentions, stats)
+
+
 def _summary_fields(spark, sf):
     """F32: the executive summary's text read back into fields."""
     from vocspark.plans.summary import summary_fields
@@ -682,6 +696,7 @@ QUERIES = {
     "preprocess_training": _preprocess,
     "executive_summary": _summary(0),
     "executive_summary_6m": _summary(6),
+    "topic_rates_by_label": _topic_rates_by_label,
     "summary_fields": _summary_fields,
     "display_texts": _display_texts,
     "source_lists": _source_lists,

@@ -53,9 +53,9 @@ def report_alerts(ts: DataFrame, limit_months: int = 3, top: int = 4) -> DataFra
            .when(F.col("is_anomaly") | (F.col("velocity_pct") > 25), "HIGH").otherwise("WATCH")
     r = F.bround(F.col("velocity_pct"), 0).cast("long").cast("string")
     msg = F.when(F.col("is_anomaly") & (F.col("velocity_pct") > 10),
-                 F.concat(F.lit("Statistically out-of-control with a +"), r, F.lit("% MoM spike."))) \
-           .when(F.col("is_anomaly"), F.lit("Statistically out-of-control versus baseline.")) \
-           .otherwise(F.concat(F.lit("Mentions increased by about "), r, F.lit("% compared with the previous window.")))
+                 F.concat(F.lit(C.TEXT_REPORT_ANOMALY_SPIKE[0]), r, F.lit(C.TEXT_REPORT_ANOMALY_SPIKE[1]))) \
+           .when(F.col("is_anomaly"), F.lit(C.TEXT_REPORT_ANOMALY)) \
+           .otherwise(F.concat(F.lit(C.TEXT_REPORT_INCREASE[0]), r, F.lit(C.TEXT_REPORT_INCREASE[1])))
     out = a.select(F.col("issue_label").alias("category"), sev.alias("severity"), msg.alias("message"), "velocity_pct")
     out = _rank(out, [_severity_rank(F.col("severity")), F.col("velocity_pct").desc(), F.col("category").asc()])
     return out.filter(F.col("rank") <= top)
@@ -101,8 +101,8 @@ def report_stability(topics: DataFrame, ts: DataFrame, limit_months: int = 0) ->
     return b.agg(
         F.round(F.max_by("score", "month"), 2).alias("baseline"),
         F.count_if("is_volatile").cast("long").alias("volatility_count"),
-        F.when(F.max_by("is_volatile", "month"), F.lit("High volatility detected"))
-         .otherwise(F.lit("Stable emotional range")).alias("status"),
+        F.when(F.max_by("is_volatile", "month"), F.lit(C.TEXT_VOLATILE))
+         .otherwise(F.lit(C.TEXT_STABLE)).alias("status"),
         F.max("month").alias("latest_month"),
         F.array_sort(F.collect_list(F.when(F.col("is_volatile"), F.col("month")))).alias("volatile_months"),
     )

@@ -67,9 +67,10 @@ def valid_reviews(reviews: DataFrame, text: str = "content", lang: str = "lang",
     return found.withColumn("is_valid", T.is_valid_review(F.col(text), F.col("_lang"))).drop("_lang")
 
 
-def classifications(scored: DataFrame, text: str = "content", min_len: int = 20) -> DataFrame:
-    """review_classifications: rows with text longer than 20 characters."""
-    return scored.filter(F.length(F.col(text)) > min_len).select(
+def classifications(scored: DataFrame, text: str = "content", min_len: int | None = None) -> DataFrame:
+    """review_classifications. `min_len` (off by default) is the reference's rule: only texts longer than
+    20 characters."""
+    return (scored if min_len is None else scored.filter(F.length(F.col(text)) > min_len)).select(
         F.col(text).alias("text"), "category", "date", "severity", "value_weight", "financial_impact",
         F.round("confidence", 4).alias("confidence"),
         F.col("appVersion").alias("app_version") if "appVersion" in scored.columns else F.lit("Build N/A").alias("app_version"),

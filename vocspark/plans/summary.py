@@ -20,10 +20,10 @@ CRASH_LABEL = "App Crash & Launch Failure"
 
 def next_best_action(label: Column, severity: Column, momentum: Column) -> Column:
     """prescriptive action text."""
-    return F.when(severity > 4.0, F.lit("Urgent: Assign a team to fix this quickly to avoid losing money.")) \
-        .when(momentum > 25, F.lit("Action: Check recent app updates to see what caused this sudden spike.")) \
-        .when(label == CRASH_LABEL, F.lit("Action: Check technical logs and consider rolling back the last update.")) \
-        .otherwise(F.lit("Standard: Keep an eye on this trend and plan a fix in the next roadmap."))
+    return F.when(severity > 4.0, F.lit(C.ACTION_URGENT)) \
+        .when(momentum > 25, F.lit(C.ACTION_SPIKE)) \
+        .when(label == CRASH_LABEL, F.lit(C.ACTION_CRASH)) \
+        .otherwise(F.lit(C.ACTION_STANDARD))
 
 
 def impact_class(score: Column) -> Column:

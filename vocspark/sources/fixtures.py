@@ -173,6 +173,15 @@ FX_ISSUE_PHRASES = {
 }
 
 
+# FIXTURE LABELS — topics (named by their category) whose issue label is another one: a label with
+# statistics of its own, and one that has none.
+FX_TOPIC_LABELS = {
+    "Download & Offline": "Content & Features",
+    "Bugs & Technical Errors": "Technical",
+    "Notifications & Spam": "Technical",
+}
+
+
 def cleaned_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(doc_id, cleaned_content): every document cleaned once (F1), read by all that vectorises text."""
     from vocspark.functions.text import clean_text

@@ -29,6 +29,7 @@ def _exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(p)
 
 
+# FIXED VALUES — column names that input files may use.
 TEXT_ALIASES = ["content", "review", "text", "comment"]
 DATE_ALIASES = ["at", "date"]
 
@@ -75,11 +76,13 @@ def load_table(spark: SparkSession, base_dir: str, name: str, fmt: str = "parque
     return spark.read.format(fmt).load(path)
 
 
-def load_reviews(spark: SparkSession, base_dir: str, empty_schema: T.StructType | None = None) -> DataFrame:
-    """Prefer `uploaded_reviews`, else `cleaned_reviews`, else a typed empty frame."""
+def load_reviews(spark: SparkSession, base_dir: str, empty_schema: T.StructType | None = None,
+                 skip_empty: bool = False) -> DataFrame:
+    """Prefer `uploaded_reviews`, else `cleaned_reviews`, else a typed empty frame. `skip_empty` is
+    the report's variant: a table without rows counts as missing."""
     for name in ("uploaded_reviews", "cleaned_reviews"):
         df = load_table(spark, base_dir, name)
-        if df is not None:
+        if df is not None and not (skip_empty and df.isEmpty()):
             return df
     from vocspark.schemas import REVIEWS
     return spark.createDataFrame([], empty_schema or REVIEWS)
@@ -101,6 +104,7 @@ def write_table(df: DataFrame, base_dir: str, name: str, partition_by=None, fmt:
 # Training inputs
 # ---------------------------------------------------------------------------
 
+# FIXED VALUES — names of the tables that scoring writes.
 INFERENCE_OUTPUTS = ["uploaded_reviews", "review_classifications", "topic_analysis", "topic_timeseries",
                      "aspect_analysis", "emerging_issues", "semantic_drift", "classification_quality"]
 
@@ -116,13 +120,15 @@ def load_training(spark: SparkSession, path: str, fmt: str = "csv", text: str =
     return r.load(path).dropna(subset=[text])
 
 
+# FIXED VALUES — column names that labelled files may use.
 TEXT_LABEL_ALIASES = ["review", "text", "content"]
 LABEL_ALIASES = ["category", "label", "issue_label"]
 
 
-def load_labeled(df: DataFrame, min_per_class: int = 2) -> DataFrame:
-    """(review, category) with case-insensitive alias resolution, trimmed, blanks
-    dropped, classes with fewer than `min_per_class` rows dropped; < 2 classes is an error."""
+def load_labeled(df: DataFrame, min_per_class: int = 2, min_rows: int = 0, min_classes: int = 2) -> DataFrame:
+    """S5 + A19: (review, category) with case-insensitive alias resolution, trimmed, blanks
+    dropped, classes with fewer than `min_per_class` rows dropped. Fewer than `min_classes` classes, or
+    fewer than `min_rows` rows in them, are an error."""
     t = resolve_alias(df.columns, TEXT_LABEL_ALIASES, case_insensitive=True)
     c = resolve_alias(df.columns, LABEL_ALIASES, case_insensitive=True)
     if t is None or c is None:
@@ -131,9 +137,11 @@ def load_labeled(df: DataFrame, min_per_class: int = 2) -> DataFrame:
     d = d.filter(F.col("review").isNotNull() & (F.col("review") != "") &
                  F.col("category").isNotNull() & (F.col("category") != ""))
     keep = d.groupBy("category").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= min_per_class)
-    n_classes = keep.count()  # bounded by the number of classes
-    if n_classes < 2:
-        raise ValueError(f"need at least 2 classes with >= {min_per_class} rows, got {n_classes}")
+    n_classes, n_rows = keep.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    if n_classes < min_classes:
+        raise ValueError(f"need at least {min_classes} classes with >= {min_per_class} rows, got {n_classes}")
+    if n_rows < min_rows:
+        raise ValueError(f"need at least {min_rows} labelled rows, got {n_rows}")
     return d.join(F.broadcast(keep.select("category")), "category", "left_semi").select("review", "category")
 
 
