@@ -45,16 +45,16 @@ def shifting_terms(df: DataFrame, category: str, month: str, text: str, min_len:
 
     Output: category, month_from, month_to, shifting_terms.
     """
-    wc = word_counts(df, [category, month], text)
-    months = df.select(category, month).distinct()
+    wc = word_counts(df, [category, month], text).filter(F.length("word") >= min_len)
     w = W.partitionBy(category).orderBy(month)
-    pairs = months.select(category, F.lag(month).over(w).alias("month_from"), F.col(month).alias("month_to")) \
-                  .filter(F.col("month_from").isNotNull())
-    cur = wc.filter(F.length("word") >= min_len).select(category, F.col(month).alias("month_to"), "word",
-                                                        F.col("cnt").alias("c1"))
-    prev = wc.select(category, F.col(month).alias("month_from"), "word", F.col("cnt").alias("c0"))
-    j = pairs.join(cur, [category, "month_to"]).join(prev, [category, "month_from", "word"], "left")
-    j = j.withColumn("score", F.col("c1") - F.coalesce(F.col("c0"), F.lit(0))).filter(F.col("score") > 0)
+    near = df.select(category, month).distinct() \
+        .select(category, month, F.lag(month).over(w).alias("_before"), F.lead(month).over(w).alias("_after"))
+    # a count adds to its own month's pair and takes off the next one's: one aggregate instead of a join of two word tables
+    parts = F.array(F.struct(F.col("_before").alias("month_from"), F.col(month).alias("month_to"), F.col("cnt").alias("s")),
+                    F.struct(F.col(month).alias("month_from"), F.col("_after").alias("month_to"), (-F.col("cnt")).alias("s")))
+    j = wc.join(near, [category, month]).select(category, "word", F.explode(parts).alias("p")).select(category, "word", "p.*")
+    j = j.filter(F.col("month_from").isNotNull() & F.col("month_to").isNotNull()) \
+        .groupBy(category, "month_from", "month_to", "word").agg(F.sum("s").alias("score")).filter(F.col("score") > 0)
     t = top_per_group(j, [category, "month_from", "month_to"], [F.col("score").desc(), F.col("word").asc()], top, "_rk")
     g = t.groupBy(category, "month_from", "month_to").agg(F.array_sort(F.collect_list(F.struct("_rk", "word"))).alias("_w"))
     return g.select(category, "month_from", "month_to",

@@ -122,8 +122,10 @@ def _silhouette(spark, sf):
 
 
 def _drift(spark, sf):
+    """Written once; the summary, the watch list and the bands read it."""
     from vocspark.operators.vectors import drift_pairs
-    return drift_pairs(FX.fx_semantic(spark, sf), "category", "month", "embedding", "text")
+    from vocspark.sources.derived import derived
+    return derived(spark, sf, "semantic_drift", lambda: drift_pairs(FX.fx_semantic(spark, sf), "category", "month", "embedding", "text"))
 
 
 def _drift_summary(spark, sf):
@@ -582,8 +584,9 @@ def _detect_issues(spark, sf):
 def _top_from_reviews(spark, sf):
     from vocspark.plans.scoring import top_issues_from_reviews
     sm, tm = _models(spark, sf)
-    return top_issues_from_reviews(_docs(spark, sf).select("doc_id", F.col("text").alias("content"), "lang"), sm, tm,
-                                   labels=_topic_labels(spark, sf))
+    docs = _docs(spark, sf).select("doc_id", F.col("text").alias("content")).join(FX.cleaned_table(spark, sf), "doc_id") \
+        .join(FX.text_scores_table(spark, sf).select("doc_id", "is_valid"), "doc_id")
+    return top_issues_from_reviews(docs, sm, tm, labels=_topic_labels(spark, sf), valid="is_valid", cleaned="cleaned_content")
 
 
 def _search_recent(spark, sf):

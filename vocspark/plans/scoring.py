@@ -154,16 +154,18 @@ def detect_issues(analyzed: DataFrame, top: int = 10) -> DataFrame:
 
 
 def top_issues_from_reviews(reviews: DataFrame, sentiment_model, topic_model, top: int = 10, examples: int = 1,
-                            text: str = "content", lang: str | None = "lang", labels: DataFrame | None = None) -> DataFrame:
+                            text: str = "content", lang: str | None = "lang", labels: DataFrame | None = None,
+                            valid: str | None = None, cleaned: str | None = None) -> DataFrame:
     """Valid reviews -> sentiment -> negatives -> topic -> mentions, share of negatives, examples.
 
     `labels` (keywords, label) names the issue of a topic's keywords (F22): topics with one label are one
-    issue. Without it the keywords are the issue."""
+    issue. Without it the keywords are the issue. `valid` and `cleaned` name columns that already hold the
+    quality gate's verdict and the cleaned text."""
     from pyspark.sql import Window as W
     from vocspark.operators.ml import predict_sentiment, predict_topic
     from vocspark.operators.series import top_per_group
-    d = reviews.filter(T.is_valid_review(F.col(text), F.col(lang) if lang and lang in reviews.columns else None))
-    d = d.select(F.col(text).alias("text"), T.clean_text(F.col(text)).alias("cleaned_content"))
+    gate = T.is_valid_review(F.col(text), F.col(lang) if lang and lang in reviews.columns else None) if valid is None else F.col(valid)
+    d = reviews.filter(gate).select(F.col(text).alias("text"), (T.clean_text(F.col(text)) if cleaned is None else F.col(cleaned)).alias("cleaned_content"))
     d = predict_sentiment(d, sentiment_model, "predicted_sentiment").filter(F.col("predicted_sentiment") == "negative")
     d = predict_topic(d, topic_model, "cleaned_content").withColumn("issue", F.col("topic_keywords"))
     if labels is not None:
