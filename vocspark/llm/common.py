@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import gc
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import checkpoint_dir
+
 #: Words are maximal runs of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -53,6 +56,20 @@ def map_rows(docs: DataFrame, keep: tuple[str, ...], inputs: list[Column],
     return source.mapInArrow(step, schema).toDF(*keep, *results)
 
 
+def written(df: DataFrame) -> tuple[DataFrame, str]:
+    """df written as Parquet in the shared folder and read again, and where. Unlike a checkpoint it can be
+    dropped (`drop`) once what needs it has been written in turn."""
+    spark = df.sparkSession
+    path = f"{checkpoint_dir(spark).rstrip('/')}/written-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path), path
+
+
+def drop(spark: SparkSession, path: str) -> None:
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    p.getFileSystem(spark._jsc.hadoopConfiguration()).delete(p, True)
+
+
 def release(spark: SparkSession) -> None:
     """Lets Spark drop the shuffle files of steps that nothing refers to any more. It does so when the
     driver's garbage is collected, which may otherwise be long after a checkpoint made them useless."""
