@@ -249,3 +249,27 @@ def test_html_comments_marked_as_articles(page, comments):
 
 def test_html_an_article_of_opinion_is_no_comment():
     assert htmltext.main_text(f"<body><article class=comment><h1>Head</h1>{STORY}</article>") == "Head " + STORY_TEXT
+
+
+RIVER = "<p>" + "The river rose and the old mill stood by its bank for years, quite alone. " * 6 + "</p>"
+
+
+@pytest.mark.parametrize("name", ["content no-sidebar", "entry has-sidebar", "ad-free", "menu-open", "page with-comments search"])
+def test_html_wrappers_with_boilerplate_names(name):
+    page = (f'<html><body><header><h1>A title</h1><a href="/">Home</a></header><div class="{name}">{RIVER * 3}</div>'
+            '<div class="sidebar"><a href=x>one</a> <a href=y>two</a> aside words</div></body></html>')
+    assert htmltext.main_text(page) == " ".join(re.sub("<.*?>", " ", RIVER * 3).split())
+
+
+@pytest.mark.parametrize("wrapper", ["post", "page has-sidebar"])
+def test_html_long_comments_of_a_short_story_go(wrapper):
+    remark = RIVER.replace("river", "REMARK") * 4
+    page = f'<html><body><div class="{wrapper}"><div class="post">{RIVER}</div><div class="comments">{remark}</div></div></body></html>'
+    assert "REMARK" not in htmltext.main_text(page) and "river" in htmltext.main_text(page)
+
+
+def test_html_unmatched_end_tags_take_linear_time():
+    import time
+    start = time.process_time()
+    assert htmltext.main_text("<div>" * 40_000 + "some words" + "</span>" * 40_000) == "some words"
+    assert time.process_time() - start < 5

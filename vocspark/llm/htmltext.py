@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 from html.parser import HTMLParser
 
@@ -56,6 +57,11 @@ COMMENT = re.compile(r"(?:^|\s)(?:(?:div-)?comments?(?:-(?:body|list|item|entry|
                      re.IGNORECASE)
 
 
+#: Names are doubted where they leave less than this part of the text outside links; so many wrappers are undone.
+LEFT = 8
+WRAPPERS = 4
+
+
 class Page(HTMLParser):
     """Nodes in page order (a parent before its children) and the text pieces with their nodes."""
 
@@ -63,6 +69,7 @@ class Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.tags, self.parents, self.hard, self.hidden, self.soft = ["#root"], [0], [False], [False], [""]
         self.open = [0]
+        self.n_open: Counter[str] = Counter()  # of each tag: an end tag without its start costs no walk
         self.pieces: list[tuple[int, str]] = []
 
     def handle_starttag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
@@ -82,6 +89,7 @@ class Page(HTMLParser):
         self.soft.append("" if tag in ("html", "body", "main") else self._named(attrs, COMMENT if tag in WHOLE else BOILERPLATE))
         if tag not in VOID:
             self.open.append(len(self.tags) - 1)
+            self.n_open[tag] += 1
 
     def handle_startendtag(self, tag: str, attrs: list[tuple[str, str | None]]) -> None:
         self.handle_starttag(tag, attrs)  # HTML ignores the slash
@@ -95,9 +103,12 @@ class Page(HTMLParser):
         self.pieces.append((self.open[-1], data))
 
     def _close(self, tags: set[str], walls: set[str]) -> None:
+        if not any(self.n_open[t] for t in tags):
+            return
         for k in range(len(self.open) - 1, 0, -1):
             name = self.tags[self.open[k]]
             if name in tags:
+                self.n_open.subtract(self.tags[i] for i in self.open[k:])
                 del self.open[k:]
                 return
             if name in walls:
@@ -120,17 +131,26 @@ class Page(HTMLParser):
 
     def dropped(self) -> list[bool]:
         """Which nodes are boilerplate, by themselves or by a node above. A name is not believed of a node
-        that holds an article not so named, nor of one with the page's heading unless it is called a header."""
+        that holds an article not so named, nor of one with the page's heading unless it is called a header, nor
+        of one that holds most of the text where the names would leave next to none of it."""
         n = len(self.tags)
         whole, heading = [False] * n, [t == "h1" for t in self.tags]
         for i in range(n - 1, 0, -1):
             whole[i] |= self.tags[i] in WHOLE and (not self.soft[i] or heading[i])
             whole[self.parents[i]] |= whole[i]
             heading[self.parents[i]] |= heading[i]
-        out = [False] * n
-        for i in range(1, n):
-            named = self.soft[i] and not whole[i] and (not heading[i] or HEADER.search(self.soft[i]))
-            out[i] = bool(named) or self.hidden[i] or self.hard[i] and self.tags[i] not in HOLDING
+        named = [bool(self.soft[i] and not whole[i] and (not heading[i] or HEADER.search(self.soft[i]))) for i in range(n)]
+        sure = [i > 0 and (self.hidden[i] or self.hard[i] and self.tags[i] not in HOLDING) for i in range(n)]
+        if any(named):  # names that leave next to nothing are wrappers': the outermost one with most of the text is not believed
+            text = self._text_of(sure)
+            for _ in range(WRAPPERS):
+                if LEFT * self._text_of([a or b for a, b in zip(named, sure)])[0] >= text[0]:
+                    break
+                wrapper = next((i for i in range(1, n) if named[i] and 2 * text[i] > text[0]), None)
+                if wrapper is None:
+                    break
+                named[wrapper] = False
+        out = [a or b for a, b in zip(named, sure)]
         holding = [i for i in range(1, n) if self.tags[i] in HOLDING and not out[i] and not whole[i]]
         if holding:
             text = self._text_of(out)
