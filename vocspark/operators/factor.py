@@ -35,11 +35,12 @@ BLOCK = 1 << 12
 
 @dataclass(frozen=True)
 class Rows:
-    """A piece of sparse rows: row r has the entries offsets[r] to offsets[r + 1]."""
+    """A piece of sparse rows: row r has the entries offsets[r] to offsets[r + 1] and stands for weight[r] rows."""
 
     offsets: np.ndarray
     index: np.ndarray
     value: np.ndarray
+    weight: np.ndarray
 
     @property
     def n(self) -> int:
@@ -63,8 +64,9 @@ class Rows:
                 acc[self.index[a:b]] += self.value[a:b, None] * p[r]
 
 
-def _pieces(column: pa.Array) -> Iterator[tuple[int, Rows]]:
-    """(first row, rows) over a column of MLlib vectors or of double arrays; null is an empty row."""
+def _pieces(column: pa.Array, weight: pa.Array | None = None) -> Iterator[tuple[int, Rows]]:
+    """(first row, rows) over a column of MLlib vectors or of double arrays; null is an empty row.
+    Only the rows of one piece are turned into numpy arrays at a time."""
     values = column.to_pylist() if pa.types.is_struct(column.type) and column.null_count else None
     if values is not None:  # rare: rows without features
         empty = {"type": 0, "size": 0, "indices": [], "values": []}
@@ -80,24 +82,25 @@ def _pieces(column: pa.Array) -> Iterator[tuple[int, Rows]]:
     else:
         lists, indices = column.fill_null([]) if column.null_count else column, None
     sizes = lists.value_lengths().to_numpy(zero_copy_only=False).astype(np.int64)
-    value = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
     offsets = np.append(0, np.cumsum(sizes))
-    if indices is None:
-        index = np.arange(len(value)) - np.repeat(offsets[:-1], sizes)
-    else:
-        index = indices.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
     at = 0
     while at < len(sizes):
         to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + PIECE, side="right")) - 1)
-        own = slice(offsets[at], offsets[to])
-        yield at, Rows(offsets[at:to + 1] - offsets[at], index[own], value[own])
+        value = lists.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+        own = offsets[at:to + 1] - offsets[at]
+        if indices is None:
+            index = np.arange(len(value)) - np.repeat(own[:-1], sizes[at:to])
+        else:
+            index = indices.slice(at, to - at).flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+        n = np.ones(to - at) if weight is None else weight.slice(at, to - at).to_numpy(zero_copy_only=False).astype(np.float64)
+        yield at, Rows(own, index, value, n)
         at = to
 
 
 def total(features: DataFrame, shape: tuple[int, int], add: Callable[[Rows, np.ndarray], None]) -> np.ndarray:
     """The sum over all rows of what `add` adds to a matrix of that shape, one piece of rows at a time.
 
-    features: one column. A task sends its matrix in blocks of about BLOCK numbers, zero blocks left out;
+    features: one column, or a second with the number of rows that each stands for. A task sends its matrix in blocks of about BLOCK numbers, zero blocks left out;
     blocks of one number are added up in one task, which holds tasks x BLOCK numbers."""
     n, k = shape
     rows_each = max(1, BLOCK // k)
@@ -106,7 +109,7 @@ def total(features: DataFrame, shape: tuple[int, int], add: Callable[[Rows, np.n
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((n_blocks * rows_each, k))
         for batch in batches:
-            for _, rows in _pieces(batch.column(0)):
+            for _, rows in _pieces(batch.column(0), batch.column(1) if batch.num_columns > 1 else None):
                 add(rows, acc[:n])
         for i in range(n_blocks):
             own = acc[i * rows_each:(i + 1) * rows_each]
@@ -127,21 +130,18 @@ def total(features: DataFrame, shape: tuple[int, int], add: Callable[[Rows, np.n
 
 
 def mapped(df: DataFrame, features: str, out: str, fn: Callable[[Rows], np.ndarray]) -> DataFrame:
-    """df without `features`, with `out`: an array<double> that fn makes of each row's features."""
-    keep = [f for f in df.schema.fields if f.name not in (features, out)]
-    n_keep, names = len(keep), [f"c{i}" for i in range(len(keep))] + ["made"]
-    schema = T.StructType([T.StructField(f"c{i}", f.dataType) for i, f in enumerate(keep)]
-                          + [T.StructField("made", T.ArrayType(T.DoubleType()))])
+    """df without `features`, with `out`: an array<double> that fn makes of each row's features.
+    Only the features go to Python."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at, rows in _pieces(batch.column(n_keep)):
-                made = fn(rows)
-                lists = pa.ListArray.from_arrays(pa.array(np.arange(rows.n + 1, dtype=np.int32) * made.shape[1]), pa.array(made.ravel()))
-                yield pa.RecordBatch.from_arrays([batch.column(i).slice(at, rows.n) for i in range(n_keep)] + [lists], names=names)
+    @F.arrow_udf("array<double>")
+    def made(column: pa.Array) -> pa.Array:
+        parts = [fn(rows) for _, rows in _pieces(column)]
+        if not parts:
+            return pa.array([], pa.list_(pa.float64()))
+        m = np.concatenate(parts)
+        return pa.ListArray.from_arrays(pa.array(np.arange(len(m) + 1, dtype=np.int32) * m.shape[1]), pa.array(m.ravel()))
 
-    source = df.select(*[df[f"`{f.name}`"].alias(f"c{i}") for i, f in enumerate(keep)], df[f"`{features}`"].alias("features"))
-    return source.mapInArrow(run, schema).toDF(*[f.name for f in keep], out)
+    return df.select(*[F.col(f"`{c}`") for c in df.columns if c not in (features, out)], made(F.col(f"`{features}`")).alias(out))
 
 
 def svd(features: DataFrame, width: int, dims: int, passes: int = 4, seed: int = 42,
@@ -154,7 +154,7 @@ def svd(features: DataFrame, width: int, dims: int, passes: int = 4, seed: int =
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
 
     def gram(q: np.ndarray) -> np.ndarray:
-        return total(features, (width, size), lambda rows, acc: rows.add_transposed(rows.dot(q), acc))
+        return total(features, (width, size), lambda rows, acc: rows.add_transposed(rows.dot(q) * rows.weight[:, None], acc))
 
     for _ in range(passes):
         q = np.linalg.qr(gram(q))[0]
@@ -190,8 +190,8 @@ def nndsvd(features: DataFrame, v: np.ndarray, sigma: np.ndarray) -> np.ndarray:
 
     def parts(rows: Rows, acc: np.ndarray) -> None:
         u = rows.dot(v) / safe
-        acc[0] += (np.maximum(u, 0) ** 2).sum(axis=0)
-        acc[1] += (np.minimum(u, 0) ** 2).sum(axis=0)
+        acc[0] += rows.weight @ np.maximum(u, 0) ** 2
+        acc[1] += rows.weight @ np.minimum(u, 0) ** 2
 
     left = np.sqrt(total(features, (2, k), parts))
     h = np.zeros((k, len(v)))
@@ -224,7 +224,8 @@ class Nmf:
 
 def fit_nmf(features: DataFrame, width: int, k: int, max_iter: int = 30, tol: float = 1e-4, seed: int = 42,
             inner: int = 10) -> Nmf:
-    """NMF of the rows (one column of vectors). Stops when a pass lowers the error by less than tol of it.
+    """NMF of the rows (a column of vectors, and one with the number of rows that each stands for, if they
+    differ). Stops when a pass lowers the error by less than tol of it.
 
     features should be a written table (each pass reads it again)."""
     v, sigma = svd(features, width, min(k, width), seed=seed)
@@ -237,10 +238,11 @@ def fit_nmf(features: DataFrame, width: int, k: int, max_iter: int = 30, tol: fl
         def step(rows: Rows, acc: np.ndarray, h: np.ndarray = h, g: np.ndarray = g) -> None:
             b = rows.dot(h.T)
             w = solve_weights(g, b)
-            rows.add_transposed(w, acc)  # the first `width` rows
-            acc[width:width + k] += w.T @ w
-            acc[width + k, 0] += (rows.value ** 2).sum()
-            acc[width + k + 1, 0] += (b * w).sum()
+            each = w * rows.weight[:, None]
+            rows.add_transposed(each, acc)  # the first `width` rows
+            acc[width:width + k] += each.T @ w
+            acc[width + k, 0] += rows.value ** 2 @ np.repeat(rows.weight, np.diff(rows.offsets))
+            acc[width + k + 1, 0] += (b * each).sum()
 
         sums = total(features, (width + k + 2, k), step)
         cross, a = sums[:width].T, sums[width:width + k]

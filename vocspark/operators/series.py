@@ -106,21 +106,28 @@ def top_per_group(df: DataFrame, by, order, n: int, rank_col: str = "rk") -> Dat
 
 def topic_stats(classified: DataFrame, category: str = "category", text: str = "text",
                 samples: int = 15, sample_min_len: int = 40, vec: str | None = None, anchors: DataFrame | None = None,
-                candidates: int = 20, threshold: float = 0.85) -> DataFrame:
+                candidates: int = 20, threshold: float = 0.85, texts: DataFrame | None = None, weight: str | None = None) -> DataFrame:
     """A7 + evidence: topic_analysis (topic_id, keywords, label, mentions, avg_severity, sample_reviews).
 
     sample_reviews is a display column: texts longer than `sample_min_len` characters (0 turns the length
     rule off). Without vectors the `samples` most confident ones. With `vec` and `anchors` (category,
     centroid) the evidence chain: the `candidates` most confident ones (W11), walked from the one nearest
     to the label's anchor on (M12), leaving out those within `threshold` of one already taken (M13), up to
-    `samples`; a label without an anchor is walked by confidence."""
+    `samples`; a label without an anchor is walked by confidence.
+
+    Where rows share texts, `texts` holds the evidence columns of each once and `weight`, its number of rows."""
     stats = classified.groupBy(F.col(category).alias("label")).agg(
         F.count(F.lit(1)).alias("mentions"),
         F.round(F.avg("severity"), 2).alias("avg_severity"),
     )
-    rows = classified.filter(F.length(F.col(text)) > F.lit(sample_min_len))
-    rows = rows.select(F.col(category).alias("label"), F.col(text).alias("t"), F.col("confidence"), *([vec] if vec else []))
+    rows = (classified if texts is None else texts).filter(F.length(F.col(text)) > F.lit(sample_min_len))
+    rows = rows.select(F.col(category).alias("label"), F.col(text).alias("t"), F.col("confidence"), *([vec] if vec else []),
+                       *([F.col(weight).alias("_n")] if weight else []))
     order = [F.col("confidence").desc(), F.col("t").asc()]
+    if weight:  # the first rows have the first texts: those few come back as rows
+        most = max(samples, candidates)
+        first = top_per_group(rows, "label", order, most).drop("rk")
+        rows = first.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(most)).cast("int")))).drop("_copy", "_n")
     if vec is None or anchors is None:
         ev = top_per_group(rows, "label", order, samples).groupBy("label").agg(
             F.transform(F.array_sort(F.collect_list(F.struct("rk", "t"))), lambda s: s["t"]).alias("sample_reviews"))

@@ -17,11 +17,12 @@ from vocspark.functions.text import words
 from vocspark.operators.series import top_per_group
 
 
-def word_counts(df: DataFrame, keys, text: str) -> DataFrame:
-    """(keys..., word, cnt): whitespace tokens of the lower-cased text."""
+def word_counts(df: DataFrame, keys, text: str, weight: str | None = None) -> DataFrame:
+    """(keys..., word, cnt): whitespace tokens of the lower-cased text, each counted `weight` times (default 1)."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    e = df.select(*keys, F.explode(words(F.col(text))).alias("word"))
-    return e.groupBy(*keys, "word").agg(F.count(F.lit(1)).alias("cnt"))
+    n = F.lit(1) if weight is None else F.col(weight)
+    e = df.select(*keys, n.alias("_n"), F.explode(words(F.col(text))).alias("word"))
+    return e.groupBy(*keys, "word").agg(F.sum("_n").alias("cnt"))
 
 
 def cluster_keywords(df: DataFrame, group: str, text: str, k: int = 5, stop_words=None, min_len: int = 4) -> DataFrame:
@@ -39,13 +40,14 @@ def cluster_keywords(df: DataFrame, group: str, text: str, k: int = 5, stop_word
     return groups.join(g, group, "left").select(group, F.coalesce(F.col("keywords"), F.lit("")).alias("keywords"))
 
 
-def shifting_terms(df: DataFrame, category: str, month: str, text: str, min_len: int = 4, top: int = 3) -> DataFrame:
+def shifting_terms(df: DataFrame, category: str, month: str, text: str, min_len: int = 4, top: int = 3,
+                   weight: str | None = None) -> DataFrame:
     """Per category and consecutive months (prev -> cur): words of cur with length >= min_len,
     score = count(cur) - count(prev); top `top` with score > 0, joined ', '.
 
     Output: category, month_from, month_to, shifting_terms.
     """
-    wc = word_counts(df, [category, month], text).filter(F.length("word") >= min_len)
+    wc = word_counts(df, [category, month], text, weight).filter(F.length("word") >= min_len)
     w = W.partitionBy(category).orderBy(month)
     near = df.select(category, month).distinct() \
         .select(category, month, F.lag(month).over(w).alias("_before"), F.lead(month).over(w).alias("_after"))

@@ -27,20 +27,23 @@ from vocspark.functions import vectors as V
 from vocspark.operators.series import top_per_group
 
 
-def vector_sum(df: DataFrame, keys, vec: str, out: str = "vsum", count: str = "n") -> DataFrame:
+def vector_sum(df: DataFrame, keys, vec: str, out: str = "vsum", count: str = "n", weight: str | None = None) -> DataFrame:
     """Per-key element-wise sum of an ARRAY<DOUBLE> column, plus the row count (null vectors left out).
+    A row stands for `weight` rows (default 1).
 
     One aggregate over whole vectors: a task keeps one partial sum for each key."""
     keys = [keys] if isinstance(keys, str) else list(keys)
-    v = df.filter(F.col(vec).isNotNull()).select(*keys, array_to_vector(vec).alias("_v"))
-    s = v.groupBy(*keys).agg(Summarizer.sum(F.col("_v")).alias("_s"), F.count(F.lit(1)).alias(count))
+    n = F.lit(1) if weight is None else F.col(weight)
+    v = df.filter(F.col(vec).isNotNull()).select(*keys, array_to_vector(vec).alias("_v"), n.cast("long").alias("_n"))
+    s = v.groupBy(*keys).agg(Summarizer.sum(F.col("_v"), F.col("_n").cast("double")).alias("_s"), F.sum("_n").alias(count))
     return s.select(*keys, vector_to_array("_s").alias(out), count)
 
 
-def centroids(df: DataFrame, key: str, vec: str, eps: float = 0.0, normalize_rows: bool = False) -> DataFrame:
+def centroids(df: DataFrame, key: str, vec: str, eps: float = 0.0, normalize_rows: bool = False,
+              weight: str | None = None) -> DataFrame:
     """Mean vector per key, L2-normalised (zero norm -> /1, or + eps for drift)."""
-    src = df.select(key, (V.normalize(vec) if normalize_rows else F.col(vec)).alias("_v"))
-    s = vector_sum(src, key, "_v")
+    src = df.select(key, (V.normalize(vec) if normalize_rows else F.col(vec)).alias("_v"), *([weight] if weight else []))
+    s = vector_sum(src, key, "_v", weight=weight)
     mean = F.transform("vsum", lambda x: x / F.col("n"))
     return s.select(key, V.normalize(mean, eps).alias("centroid"), F.col("n").cast("long").alias("n"))
 
@@ -73,18 +76,19 @@ def semantic_search(df: DataFrame, vec: str, query: Column, id_col: str, top_n:
     return top.withColumn("rank", F.row_number().over(W.orderBy(F.col("score").desc(), F.col(id_col).asc())).cast("long"))
 
 
-def silhouette(df: DataFrame, label: str, vec: str) -> DataFrame:
-    """Exact mean cosine silhouette over *all* rows, without pairs.
+def silhouette(df: DataFrame, label: str, vec: str, weight: str | None = None) -> DataFrame:
+    """Exact mean cosine silhouette over *all* rows, without pairs. A row stands for `weight`
+    rows (default 1).
 
     For unit x in cluster A: a = (|A| - 1 - (x.S_A - x.x)) / (|A| - 1),
     b = min over B != A of 1 - x.S_B / |B|, s = (b - a) / max(a, b), s = 0 for |A| = 1.
     Output (classification_quality schema): metric, value, n_categories, n_samples,
     threshold_confidence, dedup_threshold.
     """
-    u = df.select(F.col(label).alias("_l"), V.normalize(vec).alias("_u"))
-    sums = vector_sum(u, "_l", "_u", "S", "n")
+    u = df.select(F.col(label).alias("_l"), V.normalize(vec).alias("_u"), (F.lit(1) if weight is None else F.col(weight)).alias("_n"))
+    sums = vector_sum(u, "_l", "_u", "S", "n", "_n")
     packed = sums.agg(F.array_sort(F.collect_list(F.struct(F.col("_l").alias("k"), "S", "n")))).scalar()
-    per = u.withColumn("_packed", packed).select("_l", F.transform("_packed", lambda c: F.struct(
+    per = u.withColumn("_packed", packed).select("_l", "_n", F.transform("_packed", lambda c: F.struct(
         c["k"].alias("k"), c["n"].alias("n"), V.dot(F.col("_u"), c["S"]).alias("d"))).alias("_cs"),
         V.dot("_u", "_u").alias("_xx"))
     # staged projections: each non-trivial value is computed once per row
@@ -95,9 +99,10 @@ def silhouette(df: DataFrame, label: str, vec: str) -> DataFrame:
     # a class of one row, or a row as far from all (both distances zero), scores 0
     s = F.when(F.col("_own.n") <= 1, F.lit(0.0)).otherwise(F.coalesce(
         (F.col("_b") - F.col("_a")) / F.nullif(F.greatest("_a", "_b"), F.lit(0.0)), F.lit(0.0)))
-    r = per.select(s.alias("s"))
+    r = per.select(s.alias("s"), "_n")
     nk = sums.select(F.count(F.lit(1))).scalar()
-    return r.agg(F.avg("s").alias("v"), F.count(F.lit(1)).alias("n")).select(
+    scored = F.when(F.col("s").isNotNull(), F.col("_n"))
+    return r.agg((F.sum(F.col("s") * F.col("_n")) / F.sum(scored)).alias("v"), F.coalesce(F.sum("_n"), F.lit(0)).alias("n")).select(
         F.lit("silhouette_score").alias("metric"), F.round("v", 4).alias("value"),
         nk.cast("int").alias("n_categories"), F.col("n").cast("int").alias("n_samples"),
         F.lit(C.CONFIDENCE_THRESHOLD).alias("threshold_confidence"), F.lit(C.DEDUP_THRESHOLD).alias("dedup_threshold"),
@@ -134,8 +139,9 @@ def greedy_dedup(df: DataFrame, group: str, order, vec: str, item: str, keep: in
 
 def drift_pairs(df: DataFrame, category: str, month: str, vec: str, text: str | None = None,
                 cut: float = C.DRIFT_EVOLVING_PAIR, per_month: int | None = None, order=None,
-                min_len: int = 4, top_terms: int = 3) -> DataFrame:
-    """1 - cos(centroid(prev month), centroid(month)) for consecutive months per category.
+                min_len: int = 4, top_terms: int = 3, weight: str | None = None) -> DataFrame:
+    """1 - cos(centroid(prev month), centroid(month)) for consecutive months per category. A row stands
+    for `weight` rows (default 1).
 
     Centroids use eps = 1e-8 as the reference does; `per_month` optionally caps
     rows per (category, month) by an explicit `order` (default: all rows).
@@ -144,8 +150,10 @@ def drift_pairs(df: DataFrame, category: str, month: str, vec: str, text: str |
     """
     src = df
     if per_month is not None:
+        if weight is not None:
+            raise ValueError("per_month counts rows: give them unweighed")
         src = top_per_group(df, [category, month], order or [F.col(text).asc()], per_month, "_rk")
-    cents = centroids(src.select(F.struct(category, month).alias("_k"), F.col(vec)), "_k", vec, eps=1e-8)
+    cents = centroids(src.select(F.struct(category, month).alias("_k"), F.col(vec), *([weight] if weight else [])), "_k", vec, eps=1e-8, weight=weight)
     cents = cents.select(F.col("_k").getField(category).alias(category), F.col("_k").getField(month).alias(month),
                          "centroid")
     w = W.partitionBy(category).orderBy(month)
@@ -158,7 +166,7 @@ def drift_pairs(df: DataFrame, category: str, month: str, vec: str, text: str |
     if text is None:
         return p.withColumn("shifting_terms", F.lit(""))
     from vocspark.operators.textops import shifting_terms
-    st = shifting_terms(src, category, month, text, min_len=min_len, top=top_terms)
+    st = shifting_terms(src, category, month, text, min_len=min_len, top=top_terms, weight=weight)
     return p.join(st, [category, "month_from", "month_to"], "left") \
             .withColumn("shifting_terms", F.coalesce(F.col("shifting_terms"), F.lit("")))
 
