@@ -6,13 +6,14 @@ so that a replay writes the same folders again; a review that lands again replac
 (newest epoch, and within an epoch the newest timestamp). Scoring, the work that grows with the text,
 is done once for each review that lands. The derived tables are then built from the scores of all
 reviews into the epoch's version folder, as the reference builds them after each upload; readers see a
-version only once its marker is written, last. Two versions are kept.
+version only once its marker is written, last. Two versions are kept. Tables that follow row by row from
+the scores (`views`) are made when they are read: an epoch does not write every review's text again.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,7 +27,7 @@ SCORED = "_scored"
 @dataclass(frozen=True)
 class Ingest:
     """What an ingest needs: a shared folder, the scoring of reviews (which may drop rows, and keeps the
-    key), and the derived tables of all scored reviews."""
+    key), the derived tables of all scored reviews, and `views` of the scores, by name."""
 
     out: str
     score: Callable[[DataFrame], DataFrame]
@@ -34,6 +35,7 @@ class Ingest:
     key: str = "reviewId"
     ts: str = "at"
     dataset: str = "reviews"
+    views: dict[str, Callable[[DataFrame], DataFrame]] = field(default_factory=dict)
 
     def write(self, batch: DataFrame, epoch: int) -> None:
         spark = batch.sparkSession
@@ -68,7 +70,8 @@ class Ingest:
         done = _children(spark, self.out, "complete-")
         if not done:
             raise ValueError(f"nothing has been ingested into {self.out}")
-        return spark.read.parquet(f"{self.out}/version-{max(done):09d}/{name}")
+        version = f"{self.out}/version-{max(done):09d}"
+        return self.views[name](spark.read.parquet(f"{version}/scored")) if name in self.views else spark.read.parquet(f"{version}/{name}")
 
     def reviews(self, spark: SparkSession) -> DataFrame:
         """All reviews landed so far, each in its newest form."""
