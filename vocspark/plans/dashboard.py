@@ -187,13 +187,15 @@ def top_per_group_small(df: DataFrame, by: str, order) -> DataFrame:
     return S.top_per_group(df, by, order, 1).drop("rk")
 
 
-def aspect_counts(reviews: DataFrame, text: str = "content", keywords=None) -> DataFrame:
+def aspect_counts(reviews: DataFrame, text: str = "content", keywords=None, weight: str | None = None,
+                  found: str | None = None) -> DataFrame:
     """aspect_analysis — reviews per aspect (a review can hit several; no-hit -> General,
-    which is counted but left out of the table, Q2)."""
+    which is counted but left out of the table, Q2). A row stands for `weight` reviews (default 1).
+    `found` names a column that already holds a text's aspects."""
     from vocspark.functions.text import aspects as aspect_expr
     kw = keywords or C.ASPECT_KEYWORDS
-    a = reviews.select(F.explode(aspect_expr(F.col(text), kw)).alias("aspect"))
-    counts = a.groupBy("aspect").agg(F.count(F.lit(1)).alias("mentions"))
+    a = reviews.select(F.explode(aspect_expr(F.col(text), kw) if found is None else F.col(found)).alias("aspect"), (F.lit(1) if weight is None else F.col(weight)).alias("_n"))
+    counts = a.groupBy("aspect").agg(F.sum("_n").alias("mentions"))
     spark = reviews.sparkSession
     names = spark.createDataFrame([(k,) for k in kw.keys()], "aspect string")
     return F.broadcast(names).join(counts, "aspect", "left").select(

@@ -365,53 +365,52 @@ def _stream_monthly(spark, sf):
 def _score_parts(spark, sf):
     """E22 on the fixture reviews; the scored reviews are materialised once (like the
     reference's upload step) and every derived table is built from that file."""
-    from vocspark.operators.vectors import centroids
     from vocspark.plans.scoring import score_reviews, tables_of_scored
     from vocspark.sources.derived import derived
-    cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
-    scored = derived(spark, sf, "scored_reviews", lambda: score_reviews(
-        FX.fx_reviews_embedded(spark, sf), cents, text_scores=FX.text_scores_table(spark, sf)))
-    return {"scored": scored, **tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False)}
+    cents, texts = _vec_centroids(spark, sf), _scored_texts(spark, sf)
+    scored = derived(spark, sf, "scored_reviews", lambda: score_reviews(FX.fx_review_rows(spark, sf), cents, texts=texts))
+    return {"scored": scored, **tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False, texts=texts)}
+
+
+def _scored_texts(spark, sf):
+    """What the scores of reviews take from their texts, worked out and written once for each valid document."""
+    from vocspark.plans.scoring import scored_texts
+    from vocspark.session import cut_lineage
+    from vocspark.sources.derived import CONF_ENABLED, derived
+    texts = FX.fx_semantic(spark, sf).select("doc_id", F.col("text").alias("content"), "embedding")
+    made = derived(spark, sf, "scored_texts", lambda: scored_texts(texts, FX.text_scores_table(spark, sf), _vec_centroids(spark, sf)))
+    return made if spark.conf.get(CONF_ENABLED, "true").lower() == "true" else cut_lineage(made)  # its numbers must stay
 
 
 def _score_emerging(spark, sf):
     """E22 + M14: emerging issues of the scored reviews; fitted once and written."""
-    from vocspark.operators.ml import emerging_clusters
+    from vocspark.plans.scoring import emerging_of_scored
     from vocspark.sources.derived import derived
-
-    def build():
-        pool = _score_parts(spark, sf)["scored"].filter(F.col("confidence") < 0.30)
-        return emerging_clusters(pool, "embedding", "content", "date", _labeler(spark, sf), actionable="actionability")
-
-    return derived(spark, sf, "score_batch_emerging", build)
+    return derived(spark, sf, "score_batch_emerging", lambda: emerging_of_scored(
+        _score_parts(spark, sf)["scored"], labeler=_labeler(spark, sf), texts=_scored_texts(spark, sf)))
 
 
 def _ingested(spark, sf):
     """The fixture reviews land as files (without their texts and vectors, which the documents and
     embeddings bring) and are ingested in several epochs; a further call finds nothing new."""
-    from vocspark.operators.vectors import centroids
-    from vocspark.plans.scoring import score_reviews, tables_of_scored
+    from vocspark.plans.scoring import classifications, score_reviews, tables_of_scored, with_text
     from vocspark.session import checkpoint_dir
     from vocspark.sources.derived import _fingerprint, derived
-    from vocspark.sources.tables import read_table
     from vocspark.streaming.ingest import Ingest, review_stream
     rows = FX.fx_reviews(spark, sf).drop("content", "lang")
     derived(spark, sf, "landing_reviews", lambda: rows.repartition(4, "reviewId"))
     base = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-derived/{_fingerprint(spark, sf)}"
-    cents = centroids(FX.fx_vectors(spark, sf), "category", "embedding")
+    cents, texts = _vec_centroids(spark, sf), _scored_texts(spark, sf)
 
     def score(reviews):
-        docs = read_table(spark, sf, "documents").select("doc_id", F.col("text").alias("content"), "lang")
-        vectors = FX.fx_semantic(spark, sf).select("doc_id", "embedding")
-        negative = reviews.filter(F.col("sentiment") == "negative").join(docs, "doc_id").join(vectors, "doc_id")
-        return score_reviews(negative, cents, text_scores=FX.text_scores_table(spark, sf))
+        return score_reviews(reviews, cents, texts=texts)
 
     def tables(scored):
-        made = tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False)
-        return {k: made[k] for k in ("review_classifications", "topic_timeseries", "topic_analysis", "aspect_analysis",
-                                     "classification_quality", "alerts")}
+        made = tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False, texts=texts)
+        return {k: made[k] for k in ("topic_timeseries", "topic_analysis", "aspect_analysis", "classification_quality", "alerts")}
 
-    ingest = Ingest(f"{base}/ingest", score, tables)
+    ingest = Ingest(f"{base}/ingest", score, tables, views={
+        "review_classifications": lambda scored: classifications(with_text(scored, texts))})
     ingest.run(review_stream(spark, f"{base}/landing_reviews", rows.schema, max_files_per_trigger=2))
     return ingest
 

@@ -40,17 +40,21 @@ def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
     Columns: reviewId, content, lang, score, sentiment, at, user_tier, clv,
     appVersion, thumbsUpCount, app, doc_id.
     """
+    r = fx_review_rows(spark, sf_dir)
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"), "lang")
+    return r.join(d, "doc_id").select("reviewId", "content", "lang", *[c for c in r.columns if c not in ("reviewId", "doc_id")], "doc_id")
+
+
+def fx_review_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """fx_reviews without what the documents bring (content, lang): a row for each order of a customer, whether
+    its document exists or not."""
     o = read_table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     c = read_table(spark, sf_dir, "customer").select("c_custkey", "c_acctbal", "c_mktsegment")
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    n_docs = d.select(F.count(F.lit(1))).scalar()
-    oc = o.join(c, o.o_custkey == c.c_custkey, "inner").withColumn("_doc", F.pmod(F.col("o_orderkey"), n_docs))
-    r = oc.join(d, oc._doc == d.doc_id, "inner")
+    n_docs = read_table(spark, sf_dir, "documents").select(F.count(F.lit(1))).scalar()
+    r = o.join(c, o.o_custkey == c.c_custkey, "inner")
     score = (F.lit(1) + F.pmod(F.lit(7) * F.col("o_orderkey") + F.col("o_custkey"), F.lit(5))).cast("int")
     return r.select(
         F.col("o_orderkey").cast("string").alias("reviewId"),
-        F.col("text").alias("content"),
-        F.col("lang"),
         score.alias("score"),
         rating_sentiment(score).alias("sentiment"),
         F.col("o_orderdate").alias("at"),
@@ -59,7 +63,7 @@ def fx_reviews(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("v"), F.pmod(F.col("o_custkey"), F.lit(9)).cast("string")).alias("appVersion"),
         F.pmod(F.col("o_custkey"), F.lit(20)).cast("int").alias("thumbsUpCount"),
         F.lit("fixture").alias("app"),
-        F.col("doc_id"),
+        F.pmod(F.col("o_orderkey"), n_docs).alias("doc_id"),
     )
 
 
@@ -205,15 +209,17 @@ def text_scores_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def fx_negative_valid(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """P3 + P4: negative reviews passing the quality gate (language from the `lang` column)."""
-    r = fx_reviews(spark, sf_dir).filter(F.col("sentiment") == "negative")
-    return r.join(text_scores_table(spark, sf_dir).filter("is_valid").select("doc_id"), "doc_id")
+    """P3 + P4: negative reviews passing the quality gate (language from the `lang` column), counted by text:
+    (doc_id, content, n_reviews)."""
+    r = fx_review_rows(spark, sf_dir).filter(F.col("sentiment") == "negative").groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_reviews"))
+    d = read_table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("content"))
+    return d.join(text_scores_table(spark, sf_dir).filter("is_valid").select("doc_id"), "doc_id").join(r, "doc_id")
 
 
 def fx_aspect_analysis(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """aspect_analysis over the negative, valid fixture reviews (fixture aspect lexicon)."""
+    """aspect_analysis over the negative, valid fixture reviews (fixture aspect lexicon); each text is looked at once."""
     from vocspark.plans.dashboard import aspect_counts
-    return aspect_counts(fx_negative_valid(spark, sf_dir), "content", FX_ASPECT_KEYWORDS)
+    return aspect_counts(fx_negative_valid(spark, sf_dir), "content", FX_ASPECT_KEYWORDS, "n_reviews")
 
 
 def fx_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
