@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vocspark import config as C
 from vocspark.operators.factor import Nmf, fit_nmf, load_matrix, save_matrix, vocabulary
-from vocspark.session import cut_lineage, spread
+from vocspark.session import cut_and_spread, cut_lineage, spread
 
 # scikit-learn's default token pattern: words of two or more word characters
 TOKEN_PATTERN = r"\b\w\w+\b"
@@ -84,9 +84,11 @@ def fit_tfidf(df: DataFrame, text: str, max_features: int = 10000, ngram: int =
     terms = PipelineModel(stages=stages).transform(df).select("_terms")
     n = df.count()
     least, most = (min_df if min_df >= 1 else min_df * n), max_df * n
-    times = terms.select(F.explode("_terms").alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("times"))
-    texts = terms.select(F.explode(F.array_distinct("_terms")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).alias("texts"))
-    kept = (texts.where((F.col("texts") >= least) & (F.col("texts") <= most)).join(times, "term")
+    # one aggregate: the texts are taken apart once, and a term is shuffled once a task
+    met = F.concat(F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
+                   F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))))
+    counts = terms.select(F.inline(met)).groupBy("term").agg(F.count_if(F.col("first") == 0).alias("times"), F.sum("first").alias("texts"))
+    kept = (counts.where((F.col("texts") >= least) & (F.col("texts") <= most))
             .orderBy(F.col("times").desc(), "term").limit(max_features).select("term", "texts").collect())
     if not kept:
         raise ValueError("no term is in enough texts")
@@ -112,7 +114,7 @@ def fit_sentiment(train: DataFrame, text: str = "text", label: str = "label", ma
     regParam = 1 / n matches an inverse-regularisation C = 1 on the summed loss;
     features are already L2-normalised so standardization is off.
     """
-    labelled = cut_lineage(spread(train.select(F.col(text).alias(text), F.col(label).cast("string").alias(label))))
+    labelled = cut_and_spread(train.select(F.col(text).alias(text), F.col(label).cast("string").alias(label)))
     prep = fit_tfidf(labelled, text, max_features)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(labelled)
     # written once: the fit iterates over the features, not over the texts
@@ -339,7 +341,7 @@ def soft_clusters(pool: DataFrame, vec: str, keep: tuple[str, ...], k: int = 8,
     that makes fewer than two."""
     from vocspark.functions import vectors as V
     n_rows = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_rows")
-    rows = cut_lineage(spread(pool.select(*keep, n_rows, V.normalize(vec).alias("_unit"))))
+    rows = cut_and_spread(pool.select(*keep, n_rows, V.normalize(vec).alias("_unit")))
     low, n, dims = rows.agg(F.min(F.array_min("_unit")), F.coalesce(F.sum("_rows"), F.lit(0)), F.max(F.size("_unit"))).first()
     k = min(k, n // 10)
     if k < 2:

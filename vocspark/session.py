@@ -74,3 +74,11 @@ def spread(df):
     come back as they are."""
     n = df.sparkSession.sparkContext.defaultParallelism
     return df if df.rdd.getNumPartitions() >= n else df.repartition(n)
+
+
+def cut_and_spread(df):
+    """`cut_lineage`, over at least as many partitions as the session has cores. The plan of df runs once:
+    asking a frame with shuffles for its partitions, as `spread` does, would run them beforehand."""
+    x = cut_lineage(df)
+    n = x.sparkSession.sparkContext.defaultParallelism
+    return x if x.rdd.getNumPartitions() >= n else cut_lineage(x.repartition(n))
