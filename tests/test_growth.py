@@ -21,3 +21,21 @@ def test_language_sums_need_no_shuffle(spark):
     assert scores == {0: ("bb", 21), 1: ("bb", 18), 6: ("aa", 8), 7: ("aa", 8)}
     none = language.with_language(df, "text", profiles.limit(0), "lang")
     assert [r["lang"] for r in none.collect()] == [None] * 8
+
+
+def test_scored_texts_hold_no_text(spark, tmp_path):
+    from vocspark.plans import registry
+    from vocspark.plans import scoring as S
+    docs = [(i, f"document number {i} says than and then with many plain words", "en") for i in range(9)]
+    docs += [(3, "another body under the key three, with many plain words", "en"), (4, None, "en"), (None, "no key but many plain words", "en")]
+    spark.createDataFrame(docs, "doc_id long, text string, lang string").write.parquet(f"{tmp_path}/documents.parquet")
+    spark.createDataFrame([(i, [float(i), 1.0], i % 2) for i in range(4)], "vec_id long, embedding array<double>, label int") \
+        .write.parquet(f"{tmp_path}/embeddings.parquet")
+    texts = registry._scored_texts(spark, str(tmp_path))
+    assert not {"content", "text"} & set(texts.columns)
+    bodies = S.with_contents(texts, registry._contents(spark, str(tmp_path)))
+    got = sorted((r["doc_id"], r["content"] or "") for r in bodies.collect())
+    scores = {k for k, t, _ in docs if t is not None}  # a key's rows meet every valid score of the key
+    want = sorted((k, t or "") for k, t, _ in docs if k is not None and k in scores for _ in range(2 if k == 3 else 1))
+    assert got == want
+    assert bodies.select(S.TEXT_ID).distinct().count() == len(want)

@@ -369,48 +369,57 @@ def _score_parts(spark, sf):
     from vocspark.sources.derived import derived
     cents, texts = _vec_centroids(spark, sf), _scored_texts(spark, sf)
     scored = derived(spark, sf, "scored_reviews", lambda: score_reviews(FX.fx_review_rows(spark, sf), cents, texts=texts))
-    return {"scored": scored, **tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False, texts=texts)}
+    return {"scored": scored, **tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False,
+                                                 texts=texts, contents=_contents(spark, sf))}
 
 
 def _scored_texts(spark, sf):
-    """What the scores of reviews take from their texts, worked out and written once for each valid document."""
-    from vocspark.plans.scoring import scored_texts
+    """What the scores of reviews take from their texts, worked out and written once for each valid document.
+    The texts themselves are read for their hash and aspects only: they are neither joined nor written."""
+    from vocspark.functions import text as T
+    from vocspark.plans.scoring import scored_texts, text_hash
     from vocspark.session import cut_lineage
     from vocspark.sources.derived import CONF_ENABLED, derived
-    texts = FX.fx_semantic(spark, sf).select("doc_id", F.col("text").alias("content"), "embedding")
+    docs = _docs(spark, sf).select("doc_id", text_hash("text"), T.aspects(F.col("text"), FX.FX_ASPECT_KEYWORDS).alias("aspects"))
+    texts = FX.with_vectors(spark, sf, docs).drop("category", "month")
     made = derived(spark, sf, "scored_texts", lambda: scored_texts(texts, FX.text_scores_table(spark, sf), _vec_centroids(spark, sf)))
     return made if spark.conf.get(CONF_ENABLED, "true").lower() == "true" else cut_lineage(made)  # its numbers must stay
 
 
+def _contents(spark, sf):
+    from vocspark.plans.scoring import contents_of
+    return contents_of(_docs(spark, sf).select("doc_id", F.col("text").alias("content")))
+
+
 def _score_emerging(spark, sf):
     """E22 + M14: emerging issues of the scored reviews; fitted once and written."""
     from vocspark.plans.scoring import emerging_of_scored
     from vocspark.sources.derived import derived
     return derived(spark, sf, "score_batch_emerging", lambda: emerging_of_scored(
-        _score_parts(spark, sf)["scored"], labeler=_labeler(spark, sf), texts=_scored_texts(spark, sf)))
+        _score_parts(spark, sf)["scored"], labeler=_labeler(spark, sf), texts=_scored_texts(spark, sf), contents=_contents(spark, sf)))
 
 
 def _ingested(spark, sf):
     """The fixture reviews land as files (without their texts and vectors, which the documents and
     embeddings bring) and are ingested in several epochs; a further call finds nothing new."""
-    from vocspark.plans.scoring import classifications, score_reviews, tables_of_scored, with_text
+    from vocspark.plans.scoring import classifications, score_reviews, tables_of_scored, with_contents, with_text
     from vocspark.session import checkpoint_dir
     from vocspark.sources.derived import _fingerprint, derived
     from vocspark.streaming.ingest import Ingest, review_stream
     rows = FX.fx_reviews(spark, sf).drop("content", "lang")
     derived(spark, sf, "landing_reviews", lambda: rows.repartition(4, "reviewId"))
     base = f"{checkpoint_dir(spark).rstrip('/')}/vocspark-derived/{_fingerprint(spark, sf)}"
-    cents, texts = _vec_centroids(spark, sf), _scored_texts(spark, sf)
+    cents, texts, contents = _vec_centroids(spark, sf), _scored_texts(spark, sf), _contents(spark, sf)
 
     def score(reviews):
         return score_reviews(reviews, cents, texts=texts)
 
     def tables(scored):
-        made = tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False, texts=texts)
+        made = tables_of_scored(scored, cents, FX.FX_ASPECT_KEYWORDS, as_of=AS_OF, emerging=False, texts=texts, contents=contents)
         return {k: made[k] for k in ("topic_timeseries", "topic_analysis", "aspect_analysis", "classification_quality", "alerts")}
 
     ingest = Ingest(f"{base}/ingest", score, tables, views={
-        "review_classifications": lambda scored: classifications(with_text(scored, texts))})
+        "review_classifications": lambda scored: classifications(with_text(scored, with_contents(texts, contents)))})
     ingest.run(review_stream(spark, f"{base}/landing_reviews", rows.schema, max_files_per_trigger=2))
     return ingest
 

@@ -227,13 +227,18 @@ def fx_semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     Columns: doc_id, text, lang, embedding, category ('c' || label), month ('2024-0' || 1 + doc_id mod 6).
     """
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    return with_vectors(spark, sf_dir, read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang"))
+
+
+def with_vectors(spark: SparkSession, sf_dir: str, d: DataFrame) -> DataFrame:
+    """Rows with a doc_id and their document's embedding, category and month (see fx_semantic)."""
     e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
     n_vecs = e.select(F.count(F.lit(1))).scalar()
+    own = d.columns
     d = d.withColumn("_vec", F.pmod(F.col("doc_id"), n_vecs))
     j = d.join(e, d._vec == e.vec_id)
     return j.select(
-        "doc_id", "text", "lang",
+        *own,
         F.transform("embedding", lambda x: x.cast("double")).alias("embedding"),
         F.concat(F.lit("c"), F.col("label").cast("string")).alias("category"),
         F.concat(F.lit("2024-0"), (F.lit(1) + F.pmod(F.col("doc_id"), F.lit(6))).cast("string")).alias("month"),
