@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+from pyspark.ml.linalg import Vectors
+
+from vocspark.operators import factor
+
 def plan(df) -> str:
     return df._jdf.queryExecution().executedPlan().toString()
 
@@ -39,3 +44,19 @@ def test_scored_texts_hold_no_text(spark, tmp_path):
     want = sorted((k, t or "") for k, t, _ in docs if k is not None and k in scores for _ in range(2 if k == 3 else 1))
     assert got == want
     assert bodies.select(S.TEXT_ID).distinct().count() == len(want)
+
+
+def test_component_sums_stay_with_the_tasks(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    m = rng.random((60, 700)) * (rng.random((60, 700)) < 0.1)
+    rows = [(Vectors.sparse(700, [(int(j), float(r[j])) for j in np.flatnonzero(r)]),) for r in m]
+    x = spark.createDataFrame(rows, ["features"]).repartition(3)
+    plain = factor.fit_nmf(x, 700, 6, max_iter=6)
+    fetched = []
+    collected = factor.collected
+    monkeypatch.setattr(factor, "SMALL", 0)
+    monkeypatch.setattr(factor, "collected", lambda sums, shape, first=0: fetched.append((sums.schema["numbers"].dataType.simpleString(), shape[0])) or collected(sums, shape, first))
+    large = factor.fit_nmf(x, 700, 6, max_iter=6)
+    assert len(plain.errors) == len(large.errors) and np.allclose(plain.errors, large.errors, rtol=1e-4)
+    assert np.allclose(plain.components, large.components, atol=1e-3)
+    assert all(kind == "array<float>" or n <= 8 for kind, n in fetched)  # of a pass, 6 + 2 rows

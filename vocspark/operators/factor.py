@@ -11,7 +11,8 @@ tasks of one pass only.
 
 * SVD: subspace iteration from a seeded start, then Rayleigh-Ritz.
 * NMF: alternating non-negative least squares. Row weights are solved anew from the components in
-  every pass; the components are then improved by coordinate descent from the sums of that pass.
+  every pass; the components are then improved by coordinate descent from the sums of that pass, where
+  the sums are: the driver gets sums of k x k numbers and the new components.
   The start is NNDSVD. The reconstruction error comes out of the same sums.
 """
 
@@ -27,10 +28,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from vocspark.session import written
+
 #: Entries of one piece of rows: bounds a task's arrays to about this many times k numbers.
 PIECE = 1 << 17
 #: Numbers in one block of a partial sum (32 KB).
 BLOCK = 1 << 12
+#: Up to so many numbers (512 KB) a factor goes through the driver as it is in every pass.
+SMALL = 1 << 16
 
 
 @dataclass(frozen=True)
@@ -97,14 +102,20 @@ def _pieces(column: pa.Array, weight: pa.Array | None = None) -> Iterator[tuple[
         at = to
 
 
-def total(features: DataFrame, shape: tuple[int, int], add: Callable[[Rows, np.ndarray], None]) -> np.ndarray:
-    """The sum over all rows of what `add` adds to a matrix of that shape, one piece of rows at a time.
+def rows_in_block(k: int) -> int:
+    return max(1, BLOCK // k)
+
+
+def block_sums(features: DataFrame, shape: tuple[int, int], add: Callable[[Rows, np.ndarray], None], wire: str = "double") -> DataFrame:
+    """(block, numbers): the sum over all rows of what `add` adds to a matrix of that shape, one piece of rows at a time.
 
     features: one column, or a second with the number of rows that each stands for. A task sends its matrix in blocks of about BLOCK numbers, zero blocks left out;
-    blocks of one number are added up in one task, which holds tasks x BLOCK numbers."""
+    blocks of one number are added up in one task, which holds tasks x BLOCK numbers. The sums are made in double
+    precision and come as `wire` (float or double)."""
     n, k = shape
-    rows_each = max(1, BLOCK // k)
+    rows_each = rows_in_block(k)
     n_blocks = -(-n // rows_each)
+    number = pa.float32() if wire == "float" else pa.float64()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         acc = np.zeros((n_blocks * rows_each, k))
@@ -119,16 +130,28 @@ def total(features: DataFrame, shape: tuple[int, int], add: Callable[[Rows, np.n
 
     def add_up(group: pa.Table) -> pa.Table:
         parts = group.column("numbers").combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-        return pa.table({"block": group.column("block")[:1], "numbers": pa.array([parts.sum(axis=0)], pa.list_(pa.float64()))})
+        numbers = parts.sum(axis=0).astype(number.to_pandas_dtype())
+        return pa.table({"block": group.column("block")[:1], "numbers": pa.array([numbers], pa.list_(number))})
+
+    return features.mapInArrow(run, "block int, numbers array<double>").groupBy("block").applyInArrow(add_up, f"block int, numbers array<{wire}>")
+
 
-    schema = "block int, numbers array<double>"
-    sums = features.mapInArrow(run, schema).groupBy("block").applyInArrow(add_up, schema).toArrow()  # shape[0] x shape[1] numbers
-    out = np.zeros((n_blocks, rows_each * k))
-    if sums.num_rows:
-        out[sums.column("block").to_numpy()] = sums.column("numbers").combine_chunks().flatten().to_numpy().reshape(sums.num_rows, -1)
+def collected(sums: DataFrame, shape: tuple[int, int], first: int = 0) -> np.ndarray:
+    """The matrix of that shape whose blocks are those of `sums` from `first` on: shape[0] x shape[1] numbers."""
+    n, k = shape
+    rows_each = rows_in_block(k)
+    out = np.zeros((-(-n // rows_each), rows_each * k))
+    got = sums.toArrow()
+    if got.num_rows:
+        out[got.column("block").to_numpy() - first] = got.column("numbers").combine_chunks().flatten().to_numpy().reshape(got.num_rows, -1)
     return out.reshape(-1, k)[:n]
 
 
+def total(features: DataFrame, shape: tuple[int, int], add: Callable[[Rows, np.ndarray], None], wire: str = "double") -> np.ndarray:
+    """The sums of `block_sums` as one matrix."""
+    return collected(block_sums(features, shape, add, wire), shape)
+
+
 def mapped(df: DataFrame, features: str, out: str, fn: Callable[[Rows], np.ndarray]) -> DataFrame:
     """df without `features`, with `out`: an array<double> that fn makes of each row's features.
     Only the features go to Python."""
@@ -145,8 +168,9 @@ def mapped(df: DataFrame, features: str, out: str, fn: Callable[[Rows], np.ndarr
 
 
 def svd(features: DataFrame, width: int, dims: int, passes: int = 4, seed: int = 42,
-        extra: int = 8) -> tuple[np.ndarray, np.ndarray]:
-    """(right singular vectors, width x dims; singular values) of the rows, without centring.
+        extra: int = 8, wire: str = "double") -> tuple[np.ndarray, np.ndarray]:
+    """(right singular vectors, width x dims; singular values) of the rows, without centring. The sums of a
+    pass come as `wire`.
 
     Each pass multiplies a basis of dims + extra vectors by the Gram matrix; signs are fixed by making
     the largest entry of a vector positive."""
@@ -154,7 +178,7 @@ def svd(features: DataFrame, width: int, dims: int, passes: int = 4, seed: int =
     q = np.linalg.qr(np.random.default_rng(seed).normal(size=(width, size)))[0]
 
     def gram(q: np.ndarray) -> np.ndarray:
-        return total(features, (width, size), lambda rows, acc: rows.add_transposed(rows.dot(q) * rows.weight[:, None], acc))
+        return total(features, (width, size), lambda rows, acc: rows.add_transposed(rows.dot(q) * rows.weight[:, None], acc), wire)
 
     for _ in range(passes):
         q = np.linalg.qr(gram(q))[0]
@@ -228,9 +252,12 @@ def fit_nmf(features: DataFrame, width: int, k: int, max_iter: int = 30, tol: fl
     differ). Stops when a pass lowers the error by less than tol of it.
 
     features should be a written table (each pass reads it again)."""
-    v, sigma = svd(features, width, min(k, width), seed=seed)
+    large = width * k > SMALL
+    v, sigma = svd(features, width, min(k, width), seed=seed, wire="float" if large else "double")
     h = np.zeros((k, width))
     h[:len(sigma)] = nndsvd(features, v, sigma)
+    first = -(-width // rows_in_block(k))  # the small sums have blocks of their own after those of the components
+    at = first * rows_in_block(k)
     errors: list[float] = []
     for _ in range(max_iter):
         g = h @ h.T
@@ -240,22 +267,66 @@ def fit_nmf(features: DataFrame, width: int, k: int, max_iter: int = 30, tol: fl
             w = solve_weights(g, b)
             each = w * rows.weight[:, None]
             rows.add_transposed(each, acc)  # the first `width` rows
-            acc[width:width + k] += each.T @ w
-            acc[width + k, 0] += rows.value ** 2 @ np.repeat(rows.weight, np.diff(rows.offsets))
-            acc[width + k + 1, 0] += (b * each).sum()
-
-        sums = total(features, (width + k + 2, k), step)
-        cross, a = sums[:width].T, sums[width:width + k]
-        errors.append(float(np.sqrt(max(sums[-2, 0] - 2 * sums[-1, 0] + (a * g).sum(), 0.0))))
+            acc[at:at + k] += each.T @ w
+            acc[at + k, 0] += rows.value ** 2 @ np.repeat(rows.weight, np.diff(rows.offsets))
+            acc[at + k + 1, 0] += (b * each).sum()
+
+        sums = block_sums(features, (at + k + 2, k), step)
+        if large:
+            sums = written(sums)  # the large ones stay with the tasks
+            small = collected(sums.where(F.col("block") >= first), (k + 2, k), first)
+        else:
+            sums = collected(sums, (at + k + 2, k))
+            small = sums[at:]
+        a = small[:k]
+        errors.append(float(np.sqrt(max(small[-2, 0] - 2 * small[-1, 0] + (a * g).sum(), 0.0))))
         if len(errors) > 1 and errors[-2] - errors[-1] < tol * errors[-2]:
             break
-        h = h.copy()
-        for _ in range(inner):
-            for j in np.flatnonzero(np.diag(a) > 1e-12):
-                h[j] = np.maximum(0.0, h[j] + (cross[j] - a[j] @ h) / a[j, j])
+        h = improved_in_tasks(sums.where(F.col("block") < first), h, a, inner) if large else improved(h, sums[:width].T, a, inner)
     return Nmf(h, tuple(errors))
 
 
+def improved(h: np.ndarray, cross: np.ndarray, a: np.ndarray, inner: int) -> np.ndarray:
+    """Components (or some columns of them) after `inner` sweeps of coordinate descent; columns do not depend on one another."""
+    h = h.copy()
+    for _ in range(inner):
+        for j in np.flatnonzero(np.diag(a) > 1e-12):
+            h[j] = np.maximum(0.0, h[j] + (cross[j] - a[j] @ h) / a[j, j])
+    return h
+
+
+def improved_in_tasks(sums: DataFrame, h: np.ndarray, a: np.ndarray, inner: int) -> np.ndarray:
+    """`improved`, block by block where the sums are. Only the new components come to the driver, in single
+    precision (which is then what they are), and zeros are left out where that is shorter."""
+    k, width = h.shape
+    rows_each = rows_in_block(k)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for block, numbers in zip(batch.column(0).to_pylist(), batch.column(1)):
+                old = h[:, block * rows_each:(block + 1) * rows_each]
+                cross = numbers.values.to_numpy().reshape(rows_each, k).T[:, :old.shape[1]]
+                new = improved(old, cross, a, inner).T.ravel().astype(np.float32)
+                kept = np.flatnonzero(new)
+                sparse = k <= BLOCK and 6 * len(kept) < 4 * len(new)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array([block], pa.int32()), pa.array([kept.astype(np.int16)] if sparse else [None], pa.list_(pa.int16())),
+                     pa.array([new[kept] if sparse else new], pa.list_(pa.float32()))], names=["block", "place", "number"])
+
+    got = sums.mapInArrow(run, "block int, place array<smallint>, number array<float>").toArrow()
+    out = [None] * -(-width // rows_each)
+    for block, place, number in zip(got.column("block").to_pylist(), got.column("place"), got.column("number")):
+        own = slice(block * rows_each, min((block + 1) * rows_each, width))
+        new = np.zeros((own.stop - own.start) * k)
+        new[slice(None) if not place.is_valid else place.values.to_numpy()] = number.values.to_numpy()
+        out[block] = new.reshape(-1, k).T
+    for block, new in enumerate(out):
+        if new is None:  # terms that no weight has met
+            old = h[:, block * rows_each:(block + 1) * rows_each]
+            out[block] = improved(old, np.zeros_like(old), a, inner).astype(np.float32).astype(np.float64)
+    return np.concatenate(out, axis=1)
+
+
 def save_matrix(spark: SparkSession, m: np.ndarray, path: str) -> None:
     """A bounded matrix as rows of a Parquet table."""
     spark.createDataFrame([(i, r) for i, r in enumerate(m.tolist())], "row int, vec array<double>") \
@@ -307,10 +378,10 @@ def fit_encoder(df: DataFrame, text: str = "text", dims: int = 96, max_features:
     """M8: TF-IDF over the most frequent `max_features` words that two texts share, then `dims` singular
     vectors. The vocabulary bounds what the driver and the tasks hold: max_features x (dims + 8) numbers."""
     from vocspark.operators.ml import fit_tfidf
-    from vocspark.session import cut_lineage, spread
-    texts = cut_lineage(spread(df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))))
+    from vocspark.session import spread
+    texts = written(spread(df.select(F.coalesce(F.col(text).cast("string"), F.lit("")).alias("_text"))))
     prep = fit_tfidf(texts, "_text", max_features, ngram=1, min_df=2.0, max_df=0.95, stop_words=stop_words)
-    x = cut_lineage(prep.transform(texts).select("features"))
+    x = written(prep.transform(texts).select("features"))
     width = len(vocabulary(prep))
     v, _ = svd(x, width, dims, passes, seed)
     return Encoder(prep, v)

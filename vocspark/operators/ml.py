@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from vocspark import config as C
 from vocspark.operators.factor import Nmf, fit_nmf, load_matrix, save_matrix, vocabulary
-from vocspark.session import cut_and_spread, cut_lineage, spread
+from vocspark.session import cut_and_spread, cut_lineage, spread, written
 
 # scikit-learn's default token pattern: words of two or more word characters
 TOKEN_PATTERN = r"\b\w\w+\b"
@@ -118,7 +118,7 @@ def fit_sentiment(train: DataFrame, text: str = "text", label: str = "label", ma
     prep = fit_tfidf(labelled, text, max_features)
     index = StringIndexer(inputCol=label, outputCol="_y", stringOrderType="alphabetAsc").fit(labelled)
     # written once: the fit iterates over the features, not over the texts
-    x = cut_lineage(index.transform(prep.transform(balanced_weights(labelled, label))).select("_y", "weight", "features"))
+    x = written(index.transform(prep.transform(balanced_weights(labelled, label))).select("_y", "weight", "features"))
     n = x.count()
     fitted = LogisticRegression(featuresCol="features", labelCol="_y", weightCol="weight", regParam=1.0 / max(n, 1),
                                 elasticNetParam=0.0, standardization=False, maxIter=max_iter, tol=tol).fit(x)
@@ -231,9 +231,9 @@ def fit_topics(df: DataFrame, text: str = "text", k: int = 30, max_iter: int = 3
 
     The reference bounds its vocabulary by min_df alone; here `max_features` (MLlib's default) also
     bounds what the driver and every task hold: max_features x k numbers."""
-    texts = cut_lineage(spread(df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))))
+    texts = written(spread(df.select(F.coalesce(F.col(text), F.lit("")).alias("_text"))))
     prep = fit_tfidf(texts, "_text", max_features, ngram=1, min_df=2.0, max_df=0.95, stop_words=stop_words)
-    x = cut_lineage(prep.transform(texts).select("features"))  # written once: every pass reads it
+    x = written(prep.transform(texts).select("features"))  # every pass reads it
     return TopicModel(prep, fit_nmf(x, len(vocabulary(prep)), k, max_iter, seed=seed))
 
 

@@ -8,6 +8,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -67,6 +68,14 @@ def cut_lineage(df, spark: SparkSession | None = None):
     return df.checkpoint(eager=True)
 
 
+def written(df):
+    """df written once as Parquet under the checkpoint folder, and read back. An eager checkpoint runs the plan of
+    df twice, once to count and once to write: too dear where df takes texts apart."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/vocspark-written/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def spread(df):
     """df over at least as many partitions as the session has cores.
 
