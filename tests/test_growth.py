@@ -60,3 +60,14 @@ def test_component_sums_stay_with_the_tasks(spark, monkeypatch):
     assert len(plain.errors) == len(large.errors) and np.allclose(plain.errors, large.errors, rtol=1e-4)
     assert np.allclose(plain.components, large.components, atol=1e-3)
     assert all(kind == "array<float>" or n <= 8 for kind, n in fetched)  # of a pass, 6 + 2 rows
+
+
+def test_shifting_terms_sum_words_once(spark):
+    from vocspark.operators.textops import shifting_terms
+    rows = [("a", "2024-01", "crash crash login"), ("a", "2024-02", "crash price price"), ("a", "2024-04", "crash crash crash login price price"),
+            ("a", None, "crash crash price"), (None, "2024-02", "crash price"), ("b", "2024-02", "login"), ("b", "2024-03", None)]
+    df = spark.createDataFrame(rows, "c string, m string, t string").repartition(3)
+    found = shifting_terms(df, "c", "m", "t")
+    assert plan(found).count("sum(") == 2  # one aggregate: partial and final
+    got = sorted(tuple(r) for r in found.collect())
+    assert got == [("a", "2024-01", "2024-02", "price"), ("a", "2024-02", "2024-04", "crash, login")]

@@ -50,13 +50,13 @@ def shifting_terms(df: DataFrame, category: str, month: str, text: str, min_len:
     wc = word_counts(df, [category, month], text, weight).filter(F.length("word") >= min_len)
     w = W.partitionBy(category).orderBy(month)
     near = df.select(category, month).distinct() \
-        .select(category, month, F.lag(month).over(w).alias("_before"), F.lead(month).over(w).alias("_after"))
-    # a count adds to its own month's pair and takes off the next one's: one aggregate instead of a join of two word tables
-    parts = F.array(F.struct(F.col("_before").alias("month_from"), F.col(month).alias("month_to"), F.col("cnt").alias("s")),
-                    F.struct(F.col(month).alias("month_from"), F.col("_after").alias("month_to"), (-F.col("cnt")).alias("s")))
-    j = wc.join(near, [category, month]).select(category, "word", F.explode(parts).alias("p")).select(category, "word", "p.*")
-    j = j.filter(F.col("month_from").isNotNull() & F.col("month_to").isNotNull()) \
-        .groupBy(category, "month_from", "month_to", "word").agg(F.sum("s").alias("score")).filter(F.col("score") > 0)
+        .select(category, month, F.lag(month).over(w).alias("month_from"))
+    # a word's own months are few: its count in the month before is found by sorting, where sums by pair need a map of twice the counts
+    own = W.partitionBy(category, "word").orderBy(month)
+    wc = wc.select(category, month, "word", "cnt", F.lag(month).over(own).alias("_m"), F.lag("cnt").over(own).alias("_n"))
+    before = F.when(F.col("_m") == F.col("month_from"), F.col("_n")).otherwise(F.lit(0))
+    j = wc.join(near.filter(F.col("month_from").isNotNull()), [category, month]) \
+        .select(category, "month_from", F.col(month).alias("month_to"), "word", (F.col("cnt") - before).alias("score")).filter(F.col("score") > 0)
     t = top_per_group(j, [category, "month_from", "month_to"], [F.col("score").desc(), F.col("word").asc()], top, "_rk")
     g = t.groupBy(category, "month_from", "month_to").agg(F.array_sort(F.collect_list(F.struct("_rk", "word"))).alias("_w"))
     return g.select(category, "month_from", "month_to",
