@@ -11,6 +11,7 @@ Topics and emerging clusters are non-negative matrix factorisations
 from __future__ import annotations
 
 import math
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.ml import PipelineModel
@@ -84,10 +85,9 @@ def fit_tfidf(df: DataFrame, text: str, max_features: int = 10000, ngram: int =
     terms = PipelineModel(stages=stages).transform(df).select("_terms")
     n = df.count()
     least, most = (min_df if min_df >= 1 else min_df * n), max_df * n
-    # one aggregate: the texts are taken apart once, and a term is shuffled once a task
-    met = F.concat(F.transform("_terms", lambda t: F.struct(t.alias("term"), F.lit(0).alias("first"))),
-                   F.transform(F.array_distinct("_terms"), lambda t: F.struct(t.alias("term"), F.lit(1).alias("first"))))
-    counts = terms.select(F.inline(met)).groupBy("term").agg(F.count_if(F.col("first") == 0).alias("times"), F.sum("first").alias("texts"))
+    # one aggregate: the texts are taken apart once, and a term is shuffled once a task; places after a text's terms hold its distinct ones
+    met = terms.select(F.size("_terms").alias("n"), F.posexplode(F.concat("_terms", F.array_distinct("_terms"))).alias("at", "term"))
+    counts = met.groupBy("term").agg(F.count_if(F.col("at") < F.col("n")).alias("times"), F.count_if(F.col("at") >= F.col("n")).alias("texts"))
     kept = (counts.where((F.col("texts") >= least) & (F.col("texts") <= most))
             .orderBy(F.col("times").desc(), "term").limit(max_features).select("term", "texts").collect())
     if not kept:
@@ -341,21 +341,21 @@ def soft_clusters(pool: DataFrame, vec: str, keep: tuple[str, ...], k: int = 8,
     that makes fewer than two."""
     from vocspark.functions import vectors as V
     n_rows = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_rows")
-    rows = cut_and_spread(pool.select(*keep, n_rows, V.normalize(vec).alias("_unit")))
+    rows = spread(written(pool.select(*keep, n_rows, V.normalize(vec).alias("_unit"))))  # the plan of the pool runs once
     low, n, dims = rows.agg(F.min(F.array_min("_unit")), F.coalesce(F.sum("_rows"), F.lit(0)), F.max(F.size("_unit"))).first()
     k = min(k, n // 10)
     if k < 2:
         return None
     features = F.transform("_unit", lambda v: v - F.lit(low)).alias("_features")
     model = fit_nmf(cut_lineage(rows.select(features, "_rows")), dims, k, max_iter, seed=seed)  # every pass reads it: no texts in it
-    return cut_lineage(model.weights(rows.select(*keep, features), "_features", "memberships"))
+    return written(model.weights(rows.select(*keep, features), "_features", "memberships"))
 
 
 def emerging_clusters(pool: DataFrame, vec: str, text: str, month: str, labeler=None,
                       k: int = 8, min_size: int = 20, flag_size: int = 15, membership: float = 0.10,
                       seed: int = 42, actionable: str | None = None, min_actionable: float = 0.3,
                       min_pool: int = 15, months: DataFrame | None = None, key: str | None = None,
-                      weight: str | None = None) -> DataFrame:
+                      weight: str | None = None, bodies: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """Soft clusters of the low-confidence pool, those of >= min_size members.
 
     A row is a member of every cluster in which it weighs more than `membership`. Momentum compares the
@@ -365,7 +365,9 @@ def emerging_clusters(pool: DataFrame, vec: str, text: str, month: str, labeler=
     `min_pool` rows reach `min_actionable`, only those are clustered (P18). Output: emerging_issues schema.
 
     Where many reviews share a text, the pool holds each text once (`key`, `weight`: its number of reviews)
-    and `months` (key, month, weight) says when they came; all counts are of reviews."""
+    and `months` (key, month, weight) says when they came; all counts are of reviews. With `bodies` the pool
+    holds no texts: from a frame with `key` it makes one of (key, text), and is asked for the rows alone that weigh
+    as much as a cluster's tenth or more."""
     from vocspark.operators.series import top_per_group
     from vocspark.operators.textops import cluster_keywords
     if k < 2:
@@ -376,8 +378,9 @@ def emerging_clusters(pool: DataFrame, vec: str, text: str, month: str, labeler=
             pool = strong
     own = (F.col(month).alias("_month"),) if months is None else (F.col(key).alias("_key"),)
     n_rows = (F.lit(1) if weight is None else F.col(weight)).cast("long").alias("_n")
-    soft = soft_clusters(pool.select(vec, F.col(text).alias("_text"), n_rows, *own), vec,
-                         ("_text", "_n", "_month" if months is None else "_key"), k, seed=seed, weight="_n")
+    body = (F.col(text).alias("_text"),) if bodies is None else ()
+    soft = soft_clusters(pool.select(vec, *body, n_rows, *own), vec,
+                         (*(("_text",) if body else ()), "_n", "_month" if months is None else "_key"), k, seed=seed, weight="_n")
     if soft is None:
         return pool.sparkSession.createDataFrame([], EMERGING_SCHEMA)
     # (cluster, month) counts of members
@@ -394,7 +397,11 @@ def emerging_clusters(pool: DataFrame, vec: str, text: str, month: str, labeler=
     n_months = present.select(F.count(F.lit(1))).scalar()
     mom = F.when(n_months > 1, F.round((F.col("cv") - F.col("pv")) / F.greatest(F.col("pv"), F.lit(1)) * 100, 1)).otherwise(F.lit(0.0))
     sizes = sizes.withColumn("momentum_pct", mom.cast("double")).filter(F.col("estimated_volume") >= min_size)
-    each = soft.select("_text", "_n", F.posexplode("memberships").alias("cluster_id", "_w"))
+    each = soft.select("_text" if bodies is None else "_key", "_n", F.posexplode("memberships").alias("cluster_id", "_w"))
+    if bodies is not None:
+        first = F.rank().over(W.partitionBy("cluster_id").orderBy(F.col("_w").desc()))  # rows of one weight are told apart by their texts
+        each = written(each.withColumn("_r", first).where(F.col("_r") <= 10).drop("_r"))
+        each = each.join(bodies(each.select(F.col("_key").alias(key))).select(F.col(key).alias("_key"), F.col(text).alias("_text")), "_key").drop("_key")
     heaviest = [F.col("_w").desc(), F.col("_text").asc()]
     near = top_per_group(each, "cluster_id", heaviest, 10, "_r")  # the 10 heaviest rows have the 10 heaviest texts
     near = near.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.least(F.col("_n"), F.lit(10)).cast("int"))))
