@@ -125,6 +125,65 @@ def test_prefix_tree_join_finds_all_links():
         assert index(label) == index(want)
 
 
+def chained_sets(rng, n):
+    """n sets of 40 shingles, of which each shares its smallest with the next one's; the last two are near copies."""
+    own = np.sort(rng.choice(1 << 40, (n, 40), replace=False) + 1000)
+    for i in range(n):
+        own[i, :2] = i, i + 1
+    near = own[-1].copy()
+    near[-1] += 1
+    return [*own, near]
+
+
+def test_sets_that_share_little_need_no_probe(monkeypatch):
+    """Sets which a chain of single shingles joins are told apart by the counts of their prefixes."""
+    probes, probe = [], ngramjoin.PrefixTree.probe
+    monkeypatch.setattr(ngramjoin.PrefixTree, "probe", lambda self, *a: probes.append(len(self.end_set)) or probe(self, *a))
+    sets = chained_sets(np.random.default_rng(5), 60)
+    label = ngramjoin.linked_groups(sets, np.zeros(len(sets), dtype=int))
+    assert label.tolist() == [*range(60), 59]
+    assert probes == [2]  # of the near copies alone
+    side = np.arange(len(sets)) % 2
+    assert ngramjoin.linked_groups(sets, side).tolist() == [*range(60), 59]
+
+
+def test_prefix_counts_keep_all_links():
+    rng = np.random.default_rng(6)
+    met = 0
+    for t in range(40):
+        base = rng.choice(np.iinfo(np.int64).max, 90)
+        sets = []
+        for _ in range(20):
+            own = set(base[: rng.integers(60, 90)].tolist())
+            own -= set(rng.choice(base, rng.integers(0, 12)).tolist())
+            own |= set(rng.integers(-(1 << 62), 1 << 62, rng.integers(0, 8)).tolist())
+            sets.append(np.sort(np.array(sorted(own)).view(np.uint64)).view(np.int64))
+        side = rng.integers(0, 2, len(sets)) if t % 2 else np.zeros(len(sets), dtype=int)
+        two = bool(side.any() and not side.all())
+        size = np.array([len(s) for s in sets])
+        cut = [s[:n] for s, n in zip(sets, ngramjoin._prefix_size(size, 80))]
+        p = ngramjoin.Prefixes(cut, size, side, two, 80)
+        for a in range(len(sets)):
+            for b in range(len(sets)) if two and not side[a] else range(a + 1, len(sets)) if not two else ():
+                x, y = set(sets[a].tolist()), set(sets[b].tolist())
+                if (not two or side[b]) and 100 * len(x & y) >= 80 * len(x | y):
+                    met += 1
+                    assert b in p.may_link(a)
+    assert met > 500
+
+
+def test_wide_groups_are_split_before_the_join(spark, monkeypatch):
+    """A group of more than `part` sets that single shingles join goes to the join as what the counts leave together."""
+    dealt, deal = [], ngramjoin._dealt
+    monkeypatch.setattr(ngramjoin, "_dealt", lambda sets, groups, part: dealt.append(groups) or deal(sets, groups, part))
+    sets = chained_sets(np.random.default_rng(7), 12)
+    rows = [(i, len(s), s.tolist(), s[:12].tolist()) for i, s in enumerate(sets)]
+    reps = spark.createDataFrame(rows, "rep long, n_shingles long, tokens array<long>, names array<long>")
+    edges = ngramjoin._edges(reps, 80, 4, 10_000).collect()
+    assert [(e.a, e.b) for e in edges] == [(12, 11)]
+    assert [g.count() for g in dealt] == [13, 2]
+
+
 def test_components(spark):
     edges = [(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7), (200, 150)]
     got = {r.id: r.label for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
