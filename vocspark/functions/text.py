@@ -201,7 +201,7 @@ def clean_text(text, stop_words=None, suffix_rules: bool = True) -> Column:
     """
     t = F.lower(F.coalesce(_col(text).cast("string"), F.lit("")))
     t = F.regexp_replace(t, r"http\S+|www\S+", "")
-    t = F.regexp_replace(t, r"[^a-zA-Z\s]", "")
+    t = F.regexp_replace(t, r"[^a-z \t\n\x0B\f\r]+", "")  # [^a-zA-Z\s] of lower-case text, in a class that the regex engine tests quickly
     t = F.regexp_replace(t, r"(?<![a-z])" + trie_regex(stop_words or STOP_WORDS) + r"(?![a-z])", "")
     if suffix_rules:
         t = F.regexp_replace(t, r"(?<![a-z])([a-z]{2,})ies(?![a-z])", "$1y")
